@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def complete_object(body: Column) -> Column:
-    """VARIANT of a text that is one complete JSON object, else null.
+def complete_objects(df: DataFrame, body: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the VARIANT of a text that is one complete JSON object, else null.
 
     ``try_parse_json`` stops after the first value and ignores what follows, so
     the text is parsed inside four pairs of brackets, which the rest has to
@@ -29,15 +29,19 @@ def complete_object(body: Column) -> Column:
     row are parsed once more inside braces, which brackets cannot close.
     Repeated member names in one object make it ambiguous: null.
     """
-    text = F.btrim(body, F.lit(" \t\r\n"))
+    text = F.btrim(F.col(body), F.lit(" \t\r\n"))
     framed = F.try_parse_json(F.concat(F.lit("[[[["), text, F.lit("]]]]")))
     braced = F.try_parse_json(F.concat(F.lit('{"b":'), text, F.lit("}")))
-    alone = F.expr("1 = 1")
-    for level in ("$", "$[0]", "$[0][0]", "$[0][0][0]"):
-        alone = alone & (F.size(F.try_variant_get(framed, level, "array<variant>")) == 1)
+    frames = df.withColumn("__n", F.try_variant_get(framed, "$", "array<array<array<array<variant>>>>"))
+    level = F.col("__n")
+    alone = F.size(level) == 1
+    for _ in range(3):
+        level = F.get(level, F.lit(0))
+        alone = alone & (F.size(level) == 1)
     sure = F.when(text.rlike(r"(\]\s*){4}"), braced.isNotNull()).otherwise(F.lit(True))
-    value = F.try_variant_get(framed, "$[0][0][0][0]", "variant")
-    return F.when(text.startswith("{") & text.endswith("}") & alone & sure, value)
+    value = F.when(alone & text.startswith("{") & text.endswith("}") & sure, F.get(level, F.lit(0)))
+    # a column of its own, not an expression: it is used often and must be parsed once
+    return frames.withColumn(out, value).drop("__n")
 
 
 def members(value: Column, name: str) -> Column:
@@ -174,15 +178,11 @@ def export_spans(exports: DataFrame) -> DataFrame:
         )
     )
     services = F.transform(members(F.col("__v"), "resourceSpans"), service_of)
-    body_hash = F.xxhash64("body")
-    parsed = (
-        exports.select("export_id", "received_at", body_hash.alias("__hash"), complete_object(F.col("body")).alias("__v"))
-        .filter(F.col("__v").isNotNull())
-        .select(
-            "export_id",
-            F.when(F.col("export_id").isNull(), F.col("__hash")).alias("__own"),
-            F.struct("received_at", "__hash", services.alias("services"), places.alias("spans")).alias("__d"),
-        )
+    read = complete_objects(exports.select("export_id", "received_at", "body"), "body", "__v")
+    # incomplete bodies give a null, which min() passes over; a filter would parse them twice
+    delivery = F.when(F.col("__v").isNotNull(), F.struct("received_at", "__hash", services.alias("services"), places.alias("spans")))
+    parsed = read.withColumn("__hash", F.xxhash64("body")).select(
+        "export_id", F.when(F.col("export_id").isNull(), F.col("__hash")).alias("__own"), delivery.alias("__d")
     )
     settled = parsed.groupBy("export_id", "__own").agg(F.min("__d").alias("__d"))
     return settled.select("export_id", F.col("__d.services").alias("__svc"), F.explode("__d.spans").alias("__s")).filter("__s.__is").select(

@@ -15,8 +15,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export_trees(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    exports = table(spark, sf_dir, "otlp_exports").select(F.col("export_id").cast("string").alias("k"), nested.complete_object(F.col("body")).alias("v"))
-    return nested.dewey_tables(exports, "k", "v")
+    exports = table(spark, sf_dir, "otlp_exports").select(F.col("export_id").cast("string").alias("k"), "body")
+    return nested.dewey_tables(nested.complete_objects(exports, "body", "v"), "k", "v")
 
 
 def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
