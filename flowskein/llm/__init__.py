@@ -1 +1 @@
-
+"""Operators for training data; nothing outside this subpackage imports it."""
