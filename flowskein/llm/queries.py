@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowskein.llm import mixing, packing, sketches
+from flowskein.llm import mixing, packing, quality, sketches
 from flowskein.session import table
 
 
@@ -75,10 +75,30 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(mixing.mixture(documents, plan), plan)
 
 
+def p9_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest structural profile, prose share and divergences of every document."""
+    documents = table(spark, sf_dir, "documents")
+    profiles = quality.fit_profiles(documents, table(spark, sf_dir, "doc_labels"))
+    return quality.profile_documents(documents, profiles)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of whose text more than half is no natural prose."""
+    return p9_profiles(spark, sf_dir).filter("prose_share < 0.5").select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic text counts of every document."""
+    return quality.basic_statistics(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_percentiles, p4_daily_combined, p7_found, p7_windows, p7_fill, p8_found, p8_mixture, p8_shares)
-}
+    for f in (
+        p4_found, p4_percentiles, p4_daily_combined, p7_found, p7_windows, p7_fill, p8_found, p8_mixture, p8_shares,
+        p9_found, p9_profiles, p9_statistics,
+    )
+}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 ORACLES = {
@@ -92,4 +112,15 @@ SELECT l.tool, l.measure, l.pct FROM tool_limits l JOIN v ON v.tool = l.tool AND
 WITH d AS (SELECT lower(trim(source, {_BLANK})) AS source, strlen(coalesce(text, '')) AS n FROM documents WHERE trim(source, {_BLANK}) <> ''),
 t AS (SELECT sum(n) AS total FROM d), s AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
 SELECT m.source FROM mix_targets m CROSS JOIN t LEFT JOIN s ON s.source = m.source WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * t.total""",
+    "p9_statistics": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g')) <> '') AS l FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(l) AS BIGINT) AS n_lines,
+  coalesce(round(length(array_to_string(w, '')) / nullif(len(w), 0), 6), 0.0) AS mean_word_chars,
+  coalesce(round(length(regexp_replace(t, '[\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]', '', 'g')) / nullif(length(t), 0), 6), 0.0) AS symbol_share,
+  coalesce(round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,][ \\t\\n\\x0B\\f\\r]*$'))) / nullif(len(l), 0), 6), 0.0) AS ended_line_share,
+  coalesce(round(len(list_filter(w, lambda x: list_contains([%s], lower(x)))) / nullif(len(w), 0), 6), 0.0) AS common_word_share
+FROM s"""
+    % ", ".join(f"'{w}'" for w in sorted(quality.FUNCTION_WORDS["en"].split())),
 }
