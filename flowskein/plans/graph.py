@@ -128,7 +128,7 @@ def _locals(n: DataFrame) -> DataFrame:
 
 def _backward_seed(spark, sf_dir):
     # the node that most edge rows point to
-    counts = table(spark, sf_dir, "edges").filter("dst IS NOT NULL AND dst <> 'unresolved'").groupBy("dst").count()
+    counts = table(spark, sf_dir, "edges").filter("trim(dst) <> '' AND dst <> 'unresolved'").groupBy("dst").count()
     most = counts.agg(F.max(F.struct("count", "dst"))["dst"].alias("node_id"))
     return most.select(F.col("node_id").alias("root_id"), "node_id")
 
@@ -429,7 +429,7 @@ def _walk(seed: str, depth: int, near: str = "src", far: str = "dst", name: str
 
 
 _HUB = f"SELECT '{HUB}' AS root_id, '{HUB}' AS node_id"
-_BACK = "SELECT arg_max(dst, (k, dst)) AS root_id, arg_max(dst, (k, dst)) AS node_id FROM (SELECT dst, count(*) AS k FROM edges WHERE dst IS NOT NULL AND dst <> 'unresolved' GROUP BY dst)"
+_BACK = "SELECT arg_max(dst, (k, dst)) AS root_id, arg_max(dst, (k, dst)) AS node_id FROM (SELECT dst, count(*) AS k FROM edges WHERE trim(dst) <> '' AND dst <> 'unresolved' GROUP BY dst)"
 _T = """WITH RECURSIVE st AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
 t AS (SELECT src || '->' || dst AS id, src, dst FROM st WHERE dst IS NOT NULL GROUP BY src, dst)"""
 
