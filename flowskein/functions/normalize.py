@@ -1,6 +1,8 @@
 """Normalisers of channel keys: pure expressions, applied by name.
 
 Each takes a key column and an environment of columns and gives a key column.
+All but one mention the key once, so that a chain of them stays one small
+expression instead of doubling with every step.
 """
 
 from __future__ import annotations
@@ -44,8 +46,7 @@ def case_fold(key: Column, env: Env = Env()) -> Column:
 
 def trim_slash(key: Column, env: Env = Env()) -> Column:
     """Trailing slashes go; what was only slashes is one."""
-    cut = F.regexp_replace(key, r"/+$", "")
-    return F.when(key == "", "").when(cut == "", "/").otherwise(cut)
+    return F.regexp_replace(key, r"(?<=.)/+$", "")
 
 
 def base_url_strip(key: Column, env: Env = Env()) -> Column:
@@ -61,32 +62,29 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(F.btrim(path, F.lit("/")), "/"), lambda s: s != "")
 
 
-def _all_wild(key: Column) -> Column:
-    return (F.size(segments(key)) > 0) & F.forall(segments(key), lambda s: s == "*")
+_ALL_WILD = r"^/*\*(?:/+\*)*/*$"
 
 
 def shared_anchor_guard(key: Column, env: Env = Env()) -> Column:
     """A key of wildcards only anchors nothing."""
-    return F.when(_all_wild(key), "").otherwise(key)
+    return F.regexp_replace(key, _ALL_WILD, "")
 
 
 def empty_path_guard(key: Column, env: Env = Env()) -> Column:
-    return F.when(_all_wild(key), "").otherwise(key)
+    return F.regexp_replace(key, _ALL_WILD, "")
 
 
 def url_to_path(key: Column, env: Env = Env()) -> Column:
     """What follows ``scheme://host``, '/' if nothing does."""
-    path = F.regexp_extract(key, r"://[^/]*(/.*)$", 1)
-    return F.when(key.contains("://"), F.when(path == "", "/").otherwise(path)).otherwise(key)
+    return F.regexp_replace(F.regexp_replace(key, r"^.*?://[^/]*$", "/"), r"^.*?://[^/]*(?=/)", "")
 
 
 def dynamic_host_strip(key: Column, env: Env = Env()) -> Column:
-    return F.when(key.startswith("*/"), F.substr(key, F.lit(2))).otherwise(key)
+    return F.regexp_replace(key, r"^\*/", "/")
 
 
 def amqp_topic_wildcard(key: Column, env: Env = Env()) -> Column:
-    parts = F.transform(F.split(key, r"\."), lambda s: F.when(s.isin("#", "*"), "*").otherwise(s))
-    return F.array_join(parts, ".")
+    return F.regexp_replace(key, r"(?<=^|\.)#(?=\.|$)", "*")
 
 
 NORMALIZERS: dict[str, Callable[[Column, Env], Column]] = {

@@ -17,6 +17,7 @@ from flowskein import model
 from flowskein.functions import normalize as N
 from flowskein.functions.predicates import given, is_test_file, path_evidence
 from flowskein.operators.graph_store import latest
+from flowskein.session import materialize
 
 SERVICE_POLICIES = ("keep", "skip", "same_service_only")
 UNMATCHED_POLICIES = ("unknown_edge", "ledger", "drop")
@@ -117,7 +118,7 @@ def _side(nodes: DataFrame, rule: Rule, end: Endpoint) -> DataFrame:
 def deduped(producers: DataFrame) -> DataFrame:
     """Of producers of one key on one line the one with most evidence, ties to the least id."""
     score = F.when(path_evidence(F.col("tail")) == "strong", 4).otherwise(0) + F.when(F.col("ceiling") == "", 2).otherwise(0) + F.when(F.col("wrapper") == "", 1).otherwise(0)
-    scored = producers.withColumn("__score", score).withColumn("__neg", F.lit(0))
+    scored = producers.withColumn("__score", score)
     first = scored.groupBy("service", "file", "line", "raw").agg(F.min(F.struct((-F.col("__score")).alias("s"), "id")).alias("b"))
     return producers.join(first.select(F.col("b.id").alias("id")), "id", "left_semi")
 
@@ -161,7 +162,10 @@ def link(nodes: DataFrame, rule: Rule) -> Linked:
     exchange only; partial too when the targets lie in several services. Without
     nodes both are empty.
     """
-    p, c = deduped(_side(nodes, rule, rule.producer)), _side(nodes, rule, rule.consumer)
+    # keys are made once and hits are found once: both are read several times below
+    p, _ = materialize(_side(nodes, rule, rule.producer), f"{rule.kind}-producers")
+    c, _ = materialize(_side(nodes, rule, rule.consumer), f"{rule.kind}-consumers")
+    p = deduped(p)
     tried = _with_methods(p) if rule.producer.key[0] == "method" else p.withColumn("__try", F.lit(0))
     hits = None
     for tier in rule.tiers:
@@ -170,6 +174,7 @@ def link(nodes: DataFrame, rule: Rule) -> Linked:
     if rule.same_service != "keep":
         same = F.col("service") == F.col("c_service")
         hits = hits.filter(same if rule.same_service == "same_service_only" else ~same)
+    hits, _ = materialize(hits, f"{rule.kind}-hits")
     best = hits.groupBy("id").agg(F.min(F.struct("__try", "__t")).alias("b"))
     won = hits.join(best, "id").filter((F.col("__try") == F.col("b.__try")) & (F.col("__t") == F.col("b.__t")))
     fan = won.groupBy("id").agg(F.countDistinct("c_service").alias("__services"))

@@ -78,6 +78,10 @@ def capped(fused: DataFrame, types: DataFrame, caps: dict[str, int], most: int)
     return fused.join(types, "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
 
 
+def _begins(word: str) -> Callable[[Column], Column]:
+    return lambda t: t.startswith(word)
+
+
 def search_nodes(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Nodes whose label, file or service holds a word that a query word begins.
 
@@ -89,7 +93,7 @@ def search_nodes(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     found = nodes.withColumn("__t", text)
     met: Column = F.lit(0)
     for w in words:
-        met = met + F.when(F.exists("__t", lambda t, w=w: t.startswith(w)), 1).otherwise(0)
+        met = met + F.when(F.exists("__t", _begins(w)), 1).otherwise(0)
     scored = found.withColumn("n_words", met).filter("n_words > 0").withColumn("exact", is_exact(F.col("label"), F.lit(query)).cast("int"))
     scored = scored.withColumn("penalty", test_rank_penalty(F.col("file")))
     return scored.orderBy(F.col("exact").desc(), "penalty", F.col("n_words").desc(), "id").limit(limit).select("id", "label", "type", "service", "file", "exact", "penalty", "n_words")
