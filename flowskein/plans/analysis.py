@@ -527,7 +527,7 @@ h AS (SELECT c.id, d.id AS d_id, d.service AS ds, c.p, c.g, CASE WHEN c.p = d.p
     WHEN len(c.g) = len(d.g) AND len(list_filter(c.g, lambda z: z <> '*')) > 0 AND len(list_filter(list_zip(c.g, d.g), lambda z: z[1] = z[2] OR z[1] = '*' OR z[2] = '*')) = len(c.g)
       AND (NOT list_contains(c.g, '*') OR len(list_filter(list_zip(c.g, d.g), lambda z: z[1] = z[2] AND z[1] <> '*' AND z[1] NOT IN ('api', 'apis', 'rest', 'public', 'internal') AND NOT regexp_full_match(z[1], 'v[0-9]+'))) > 0) THEN 2 END AS t
   FROM y c JOIN y d ON c.is_client AND NOT d.is_client AND c.m = d.m),
-b AS (SELECT id, min(t) AS t FROM h GROUP BY id), w AS (SELECT h.* FROM h JOIN b ON b.id = h.id AND b.t = h.t), f AS (SELECT id, count(DISTINCT ds) AS k FROM w GROUP BY id)
+bt AS (SELECT id, min(t) AS t FROM h GROUP BY id), w AS (SELECT h.* FROM h JOIN bt ON bt.id = h.id AND bt.t = h.t), f AS (SELECT id, count(DISTINCT ds) AS k FROM w GROUP BY id)
 SELECT 'link:' || w.id || '->' || w.d_id AS id, CASE WHEN f.k > 1 THEN 'partial' WHEN t = 0 THEN 'static' ELSE 'inferred' END AS confidence, CASE WHEN t = 0 THEN 'exact' ELSE 'wildcard_anchored' END AS tier FROM w JOIN f ON f.id = w.id
 WHERE NOT (f.k > 1 AND contains(w.p, '*') AND len(list_filter(w.g, lambda z: NOT contains(z, '*') AND z[-1] <> ':')) = 1)""",
     "session_coverage": W.rstrip()
@@ -538,7 +538,7 @@ WHERE NOT (f.k > 1 AND contains(w.p, '*') AND len(list_filter(w.g, lambda z: NOT
 SELECT e.type, count(*) AS n_edges, count(f.type) AS n_seen FROM e LEFT JOIN f ON f.type = e.type AND f.label = e.label
 WHERE e.type IN ('http_call', 'sse_endpoint', 'publishes', 'kafka_publish', 'nats_publish', 'job_enqueue') GROUP BY e.type""",
     "doc_chunks": """WITH s AS (SELECT doc_id, CASE WHEN len(parts) = 0 THEN [] ELSE parts END AS parts FROM (
-  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '(^|\n)(#{1,6} )', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: trim(p) <> '') AS parts FROM documents)),
+  SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '(^|\\n)(#{1,6} )', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda p: trim(p) <> '') AS parts FROM documents)),
 p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM s)
 SELECT doc_id, count(DISTINCT k) AS n_sections, CAST(sum(greatest(ceil(length(part) / 800), 1)) AS BIGINT) AS n_pieces, CAST(sum(length(part)) AS BIGINT) AS n_chars FROM p GROUP BY doc_id""",
 }
