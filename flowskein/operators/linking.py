@@ -105,9 +105,13 @@ def similar_sets(left: DataFrame, right: DataFrame, least_shared: int = 2, least
         order = W.partitionBy("class").orderBy("n", "item")
         # a pair as similar as asked shares one of the first size - ceil(t size) + 1 items of either side
         keep = F.col("size") - F.ceil(F.lit(least_jaccard) * F.col("size") - 1e-9) + 1
-        return ranked.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= keep).select(F.col("class").alias(name), "item")
+        kept = ranked.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= keep)
+        return kept.select(F.col("class").alias(name), "item", F.col("size").alias(f"{name}_size"))
 
-    near = prefixes(lc, "l").join(prefixes(rc, "r"), "item").select("l", "r").distinct()
+    # sets of sizes too far apart cannot be similar
+    near = prefixes(lc, "l").join(prefixes(rc, "r"), "item").filter(
+        (F.col("l_size") >= F.lit(least_jaccard) * F.col("r_size") - 1e-9) & (F.col("r_size") >= F.lit(least_jaccard) * F.col("l_size") - 1e-9)
+    ).select("l", "r").distinct()
     pairs = near.join(lc.select(F.col("class").alias("l"), F.col("items").alias("a")), "l").join(rc.select(F.col("class").alias("r"), F.col("items").alias("b")), "r")
     shared = F.size(F.array_intersect("a", "b"))
     scored = pairs.select("l", "r", shared.alias("shared"), (shared / (F.size("a") + F.size("b") - shared)).alias("jaccard"))

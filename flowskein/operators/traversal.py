@@ -48,6 +48,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_dep
     )
     if policy.drop_locals and locals_ is not None:
         steps = steps.join(locals_.select(F.col("id").alias("next_id")), "next_id", "left_anti")
+    if max_depth != 1:
+        steps, _ = materialize(steps, "steps")  # what stands behind the edges is worked out once, not once a level
     start = seeds.select("root_id", "node_id").distinct()
     frontier, _ = materialize(start.withColumn("structural", F.lit(False)), "seeds")
     seen = frontier.select("root_id", "node_id")
@@ -108,7 +110,7 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, rule: PathRule) -> DataFram
     of each hop, ``is_leaf`` says that nothing unvisited follows or that the
     depth is reached. Exponential in its nature: bound the depth.
     """
-    steps = _steps(edges, rule.direction)
+    steps, _ = materialize(_steps(edges, rule.direction), "steps")
     level = seeds.select(
         F.array("node_id").alias("nodes"), F.expr("cast(array() as array<string>)").alias("edge_ids"), F.expr("cast(array() as array<string>)").alias("keys")
     )
