@@ -125,6 +125,15 @@ def jsd(p: np.ndarray, q: np.ndarray) -> float:
     return float(max(0.0, (a + b) / 2))
 
 
+def jsds(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence of each row of ``p`` from ``q``."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
+        b = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+    return np.maximum(0.0, (a + b) / 2)
+
+
 def transitions(words: list[bool]) -> np.ndarray:
     """Shares of the four steps between function (true) and content words, and of run lengths."""
     out = np.full(7, 0.25)
@@ -266,13 +275,20 @@ class Profiles:
         self.common = frozenset(word for word, n in seen.items() if n >= need)
 
     def _coordinates(self, measured: list[tuple]) -> np.ndarray:
-        out = []
-        for plain, chars, lang, words, steps, counts in measured:
-            own = self.prose.get(lang)
-            far = [jsd(chars, self.chars[s]) for s in SHAPES] + ([jsd(words, own[0]), jsd(steps, own[1])] if own else [1.0, 1.0])
-            n = sum(counts.values())
-            out.append([*plain, *far, sum(k for word, k in counts.items() if word in self.common) / n if n else -1.0])
-        return np.array(out, dtype=float).reshape(len(measured), len(PLAIN) + len(SHAPES) + 3)
+        chars = np.array([m[1] for m in measured])
+        steps = np.array([m[4] for m in measured])
+        far = np.ones((len(measured), len(SHAPES) + 3))
+        for i, s in enumerate(SHAPES):
+            far[:, i] = jsds(chars, self.chars[s])
+        for lang, (words, transition) in self.prose.items():
+            on = np.array([m[2] == lang for m in measured])
+            if on.any():
+                far[on, -3] = jsds(np.array([measured[j][3] for j in np.flatnonzero(on)]), words)
+                far[on, -2] = jsds(steps[on], transition)
+        for i, m in enumerate(measured):
+            n = sum(m[5].values())
+            far[i, -1] = sum(k for word, k in m[5].items() if word in self.common) / n if n else -1.0
+        return np.hstack([np.array([m[0] for m in measured]), far])
 
     def _banded(self, x: np.ndarray) -> np.ndarray:
         columns = [np.ones(len(x))]
@@ -344,35 +360,51 @@ def profile_documents(documents: DataFrame, profiles: Profiles, batch_chars: int
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            ids, cuts, held = [], [], 0
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                cut = units(text) if isinstance(text, str) else []
-                measured = [measure(*u) for u in cut]
-                shapes, prose = profiles.nearest(measured)
-                sizes = np.array([u[2] for u in cut], dtype=float)
-                held: Counter = Counter()
-                for shape, size in zip(shapes, sizes):
-                    held[shape] += size
-                lang, common, words_far, chars_far = "", 0.0, None, None
-                if cut:
-                    m = measured[int(np.argmax(sizes))]
-                    counts = sum((x[5] for x in measured), Counter())
-                    lang = "ja" if m[0][PLAIN.index("kana")] > 0.05 else language_of(counts)[0]
-                    if profiles.fitted:
-                        n = sum(counts.values())
-                        common = sum(k for w, k in counts.items() if w in profiles.common) / n if n else 0.0
-                        chars_far = jsd(m[1], profiles.chars["prose"])
-                        words_far = jsd(m[3], profiles.prose[m[2]][0]) if m[2] in profiles.prose else None
-                total = sizes.sum()
-                rows.append((
-                    doc_id, lang, len(cut), float(sizes[prose].sum() / total) if total else 0.0,
-                    min(held, key=lambda s: (-held[s], s)) if held else "blank", common, words_far, chars_far,
-                ))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+                ids.append(doc_id)
+                cuts.append(units(text) if isinstance(text, str) else [])
+                held += len(text) if isinstance(text, str) else 0
+                if held >= batch_chars:
+                    yield table(ids, cuts)
+                    ids, cuts, held = [], [], 0
+            if ids:
+                yield table(ids, cuts)
+
+    def table(ids: list, cuts: list[list]) -> pd.DataFrame:
+        """All units of a batch are compared with the profiles at once."""
+        measured = [measure(*u) for cut in cuts for u in cut]
+        shapes, prose = profiles.nearest(measured)
+        rows, at = [], 0
+        for doc_id, cut in zip(ids, cuts):
+            own = slice(at, at := at + len(cut))
+            rows.append((doc_id, *_summary(profiles, cut, measured[own], shapes[own], prose[own])))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(describe, RESULT)
 
 
+def _summary(profiles: Profiles, cut: list, measured: list[tuple], shapes: list[str], prose: np.ndarray) -> tuple:
+    """The row of one document, without its id."""
+    if not cut:
+        return "", 0, 0.0, "blank", 0.0, None, None
+    sizes = np.array([u[2] for u in cut], dtype=float)
+    held: Counter = Counter()
+    for shape, size in zip(shapes, sizes):
+        held[shape] += size
+    m = measured[int(np.argmax(sizes))]
+    counts = sum((x[5] for x in measured), Counter())
+    lang = "ja" if m[0][PLAIN.index("kana")] > 0.05 else language_of(counts)[0]
+    common, words_far, chars_far = 0.0, None, None
+    if profiles.fitted:
+        n = sum(counts.values())
+        common = sum(k for w, k in counts.items() if w in profiles.common) / n if n else 0.0
+        chars_far = jsd(m[1], profiles.chars["prose"])
+        words_far = jsd(m[3], profiles.prose[m[2]][0]) if m[2] in profiles.prose else None
+    share = float(sizes[prose].sum() / sizes.sum())
+    return lang, len(cut), share, min(held, key=lambda s: (-held[s], s)), common, words_far, chars_far
+
+
 def basic_statistics(documents: DataFrame) -> DataFrame:
     """Counts of every document inside the JVM; null texts count as empty.
 
