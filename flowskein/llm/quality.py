@@ -415,7 +415,7 @@ def basic_statistics(documents: DataFrame) -> DataFrame:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
     n_words, n_lines = F.size("__w"), F.size("__l")
-    common = F.filter("__w", lambda w: F.lower(w).isin(sorted(_FUNCTION["en"])))
+    common = F.filter("__w", lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "").isin(sorted(_FUNCTION["en"])))
     ended = F.filter("__l", lambda x: x.rlike(r"[.!?:;,]\s*$"))
     share = lambda part, whole: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6)
     return documents.select("doc_id", text.alias("__t"), words.alias("__w"), lines.alias("__l")).select(

@@ -120,7 +120,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(l) AS BIGINT) AS n_li
   coalesce(round(length(array_to_string(w, '')) / nullif(len(w), 0), 6), 0.0) AS mean_word_chars,
   coalesce(round(length(regexp_replace(t, '[\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]', '', 'g')) / nullif(length(t), 0), 6), 0.0) AS symbol_share,
   coalesce(round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,][ \\t\\n\\x0B\\f\\r]*$'))) / nullif(len(l), 0), 6), 0.0) AS ended_line_share,
-  coalesce(round(len(list_filter(w, lambda x: list_contains([%s], lower(x)))) / nullif(len(w), 0), 6), 0.0) AS common_word_share
+  coalesce(round(len(list_filter(w, lambda x: list_contains([%s], regexp_replace(lower(x), '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')))) / nullif(len(w), 0), 6), 0.0) AS common_word_share
 FROM s"""
     % ", ".join(f"'{w}'" for w in sorted(quality.FUNCTION_WORDS["en"].split())),
 }
