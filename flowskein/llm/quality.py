@@ -54,10 +54,11 @@ _MARK = re.compile(
     r"^[ \t]*((?:(?://+!?|/\*+|\*+/|#+!?|>+|--+|;+|%+|<!--|(?:\*|[-+•‣▪◦·–—])(?=[ \t])|\d{1,3}[.)](?=[ \t])|[a-z][.)](?=[ \t])|\[[ xX]\](?=[ \t]))[ \t]*)+)"
 )
 _SPEAKER = re.compile(r"^[ \t]*([\w.@-]{2,24}:[ \t]+)(?=\S)")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_", re.UNICODE)
 _IDENT = re.compile(r"\w*[a-z]\d*[A-Z]\w*|\w+_\w+|\w+(?:/[\w.-]+)+|\w+\(|\w+\.\w+\(|\w+://\S+")
 _SENTENCE = re.compile(r"[.!?。！？]+(?=\s|$|[^\x00-\x7f])")
 _SPLIT = re.compile(r"[,;|│·\t、]| {2,}|[.!?:。！？](?=\s|$)|[.!?:。！？]$")
+_HIRAGANA, _KANJI, _PARTICLE = re.compile("[぀-ゞ]"), re.compile("[一-鿾]"), re.compile(f"[{_KANA}]")
+_VOWEL, _DIGIT, _SYMBOL = re.compile("[aeiouyáéíóúäöüàèêîôûâ]"), re.compile(r"\d"), re.compile(r"[^\w\s.,!?']|_")
 _CELL = re.compile(r"[\t|;│,]| {2,}")
 _KANA_STEP = re.compile(r"[一-鿿ァ-ヶ][ぁ-ゟ]")
 _LATIN = re.compile(r"[^\W\d_]+", re.UNICODE)
@@ -191,21 +192,22 @@ def measure(kind: str, lines: list[str], size: int) -> tuple[np.ndarray, np.ndar
     sentences = [s.split() for s in _SENTENCE.split(flow) if s.strip()] or [[]]
     upper = sum(1 for s in sentences if s and s[0][:1].isupper())
     joined = sum(1 for a, b in zip(lines, lines[1:]) if a.rstrip()[-1:] not in tuple(".!?:;,|") and b[:1].islower())
-    kana = sum("぀" <= c < "ゟ" for c in flow)
-    kanji = sum("一" <= c < "鿿" for c in flow)
-    particles = sum(c in _KANA for c in flow) if kana else 0
+    plain_ascii = flow.isascii()
+    kana = 0 if plain_ascii else len(_HIRAGANA.findall(flow))
+    kanji = 0 if plain_ascii else len(_KANJI.findall(flow))
+    particles = len(_PARTICLE.findall(flow)) if kana else 0
     spans = [len(s) for x in lines for s in _SPLIT.split(x) if s.strip()] or [0]
     cells = [len(_CELL.findall(x.strip())) for x in lines]
     steps = len(_KANA_STEP.findall(flow)) if kana else 0
     bigrams = Counter(zip(low, low[1:]))
     odd = sum(k for (a, b), k in bigrams.items() if a == b)
     letters = sum(map(len, words)) or 1
-    vowels = sum(w.count(v) for w in low for v in "aeiouyáéíóúäöüàèêîôûâ") / letters if n else 0
+    vowels = len(_VOWEL.findall("".join(low))) / letters
     length = max(len(flow), 1)
     plain = (
         np.log1p(size), np.log(len(lines)), ends / len(lines), np.log1p(np.median(lens)), float(np.std(lens) / (np.mean(lens) + 1)), np.log1p(n), letters / max(n, 1),
         sum(counts[w] for w in counts if w in _ANY_FUNCTION) / max(n, 1), best, len(counts) / max(n, 1), odd / max(n, 1),
-        ident / length, sum(c.isdigit() for c in flow) / length, sum(not c.isalnum() and not c.isspace() and c not in ".,!?'" for c in flow) / length,
+        ident / length, len(_DIGIT.findall(flow)) / length, len(_SYMBOL.findall(flow)) / length,
         sum(x.lstrip()[:1].islower() for x in lines) / len(lines), sum(x.lstrip()[:1].isupper() for x in lines) / len(lines),
         np.log1p(np.mean(segments)), float(np.std(segments)), np.log1p(np.mean([len(s) for s in sentences])), upper / len(sentences),
         joined / len(lines), kana / length, kanji / length, particles / max(kana, 1), float(kind[:1] in tuple("-*+•‣▪·1[abc")), float(kind[:1] in tuple("/>#;%")), float(kind == "who:"),
