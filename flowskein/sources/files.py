@@ -23,6 +23,26 @@ def texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return raw.select("path", F.col("content").cast("string").alias("text"))
 
 
+def hidden_texts(spark: SparkSession, root: str, prefix: str = ".env", most: int = 10_000) -> DataFrame:
+    """Dot files, which file sources leave out, as ``path``, ``text``: small configuration, read by the driver.
+
+    More than ``most`` of them is an error.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listing, rows = fs.listFiles(path, True), []
+    while listing.hasNext():
+        at = listing.next().getPath()
+        if at.getName().startswith(prefix):
+            if len(rows) == most:
+                raise ValueError(f"more than {most} files named {prefix}*")
+            stream = fs.open(at)
+            rows.append((at.toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return spark.createDataFrame(rows, "path string, text string")
+
+
 def changed_since(files: DataFrame, since: Column) -> DataFrame:
     """Number of files newer than the last index."""
     return files.filter(F.col("modificationTime") > since).agg(F.count("*").alias("n_changed"))
