@@ -35,10 +35,15 @@ def case_scores(expected: DataFrame, returned: DataFrame, ledger: DataFrame, mus
 
 
 def corpus_report(results: DataFrame, by: list[str]) -> DataFrame:
-    """Macro averages over cases; NaN and null scores are no scores."""
-    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    """Macro averages over cases; NaN and null scores are no scores.
+
+    Scores are summed as whole millionths and means are cut to them, so that the
+    result does not hang on the order of addition.
+    """
+    micro = lambda c: F.when(~F.isnan(c), F.round(F.col(c) * 1e6).cast("bigint"))
+    mean = lambda c: F.floor(F.sum(micro(c)) / F.count(micro(c))) / 1e6
     return results.groupBy(*by).agg(
-        F.count("*").alias("n_cases"), F.round(F.avg(real("recall")), 6).alias("recall"), F.round(F.avg(real("precision_score")), 6).alias("precision_mean"),
+        F.count("*").alias("n_cases"), mean("recall").alias("recall"), mean("precision_score").alias("precision_mean"),
         F.sum("honest_misses").alias("honest_misses"), F.sum("silent_misses").alias("silent_misses"), F.count_if("hard_fail").alias("hard_fails"),
     )
 
@@ -64,7 +69,7 @@ def regression_gate(current: DataFrame, baseline: DataFrame, keys: list[str]) ->
 def arm_summary(trials: DataFrame, arm: str, value: str, error: str) -> DataFrame:
     """Averages per arm over measured trials; errors are counted apart."""
     ok = F.col(error).isNull() | (F.col(error) == "")
-    return trials.groupBy(arm).agg(F.count("*").alias("n_trials"), F.count_if(~ok).alias("n_errors"), F.round(F.avg(F.when(ok, F.col(value))), 4).alias("mean_value"))
+    return trials.groupBy(arm).agg(F.count("*").alias("n_trials"), F.count_if(~ok).alias("n_errors"), (F.floor(10_000 * F.sum(F.when(ok, F.col(value))) / F.count(F.when(ok, F.col(value)))) / 10_000).alias("mean_value"))
 
 
 def pairing(trials: DataFrame, keys: list[str], arm: str, value: str, a: str, b: str) -> DataFrame:

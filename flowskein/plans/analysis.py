@@ -480,7 +480,7 @@ ORDER BY exact DESC, CASE WHEN regexp_matches(lower(file), '_test\\.go$|_test\\.
     "embed_delta": "SELECT CAST(doc_id AS VARCHAR) AS entity_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 <> 0",
     "rank_margins": "WITH " + _COS + "SELECT a.type, a.doc_id, round(round(coalesce(a.score - b.score, 0), 3), 2) AS margin FROM cr a LEFT JOIN cr b ON b.type = a.type AND b.rank = 2 WHERE a.rank = 1",
     "eval_report": _EVAL
-    + """SELECT repo, count(*) AS n_cases, round(avg(recall) FILTER (NOT isnan(recall)), 6) AS recall, round(avg(precision_score) FILTER (NOT isnan(precision_score)), 6) AS precision_mean,
+    + """SELECT repo, count(*) AS n_cases, floor(sum(CAST(round(CASE WHEN NOT isnan(recall) THEN recall END * 1e6) AS BIGINT)) / count(recall) FILTER (NOT isnan(recall))) / 1e6 AS recall, floor(sum(CAST(round(CASE WHEN NOT isnan(precision_score) THEN precision_score END * 1e6) AS BIGINT)) / count(precision_score) FILTER (NOT isnan(precision_score))) / 1e6 AS precision_mean,
   CAST(sum(honest_misses) AS BIGINT) AS honest_misses, CAST(sum(silent_misses) AS BIGINT) AS silent_misses, count(*) FILTER (hard_fail) AS hard_fails FROM v GROUP BY repo""",
     "eval_gate": _EVAL
     + """, o AS (SELECT repo, case_id, arg_max(v, (run_id, recall, precision_score, silent_misses, hard_fail)) AS c, arg_max(v, (-run_id, recall, precision_score, silent_misses, hard_fail)) AS b FROM v GROUP BY 1, 2),
@@ -488,7 +488,7 @@ g AS (SELECT repo, case_id, CASE WHEN c.hard_fail AND NOT b.hard_fail THEN 'new_
   WHEN NOT isnan(c.precision_score) AND NOT isnan(b.precision_score) AND c.precision_score < b.precision_score - 1e-9 THEN 'precision_drop' END AS reason FROM o)
 SELECT * FROM g WHERE reason IS NOT NULL""",
     "arm_summary": _CALLS
-    + """SELECT source, count(*) AS n_trials, count(*) FILTER (coalesce(error, '') <> '') AS n_errors, round(avg(duration_ms) FILTER (coalesce(error, '') = ''), 4) AS mean_value FROM c WHERE duration_ms >= 0 GROUP BY source""",
+    + """SELECT source, count(*) AS n_trials, count(*) FILTER (coalesce(error, '') <> '') AS n_errors, floor(10000 * sum(duration_ms) FILTER (coalesce(error, '') = '') / count(*) FILTER (coalesce(error, '') = '')) / 10000 AS mean_value FROM c WHERE duration_ms >= 0 GROUP BY source""",
     "ab_pairing_median": _CALLS
     + """, g AS (SELECT tool, strftime(ts, '%Y-%m-%d %H') AS h, avg(duration_ms) FILTER (source = 'ui') AS a, avg(duration_ms) FILTER (source = 'mcp') AS b FROM c WHERE duration_ms >= 0 GROUP BY 1, 2)
 SELECT count(*) AS n_pairs, round(median(100.0 * (a - b) / a), 6) AS median_reduction FROM g WHERE a > 0 AND b IS NOT NULL""",

@@ -541,7 +541,7 @@ m AS (SELECT DISTINCT coalesce(a.g, e.src) AS s, coalesce(b.g, e.dst) AS d, e.ty
 SELECT type, count(*) AS n FROM m WHERE s <> d GROUP BY type""",
     "unparsed_files": W
     + """, x AS (SELECT file, regexp_extract(regexp_extract(file, '[^/]*$'), '\\.([^.]+)$', 1) AS ext FROM n WHERE file <> '')
-SELECT count(DISTINCT file) AS n_files, array_to_string(list_slice(list_sort(list_distinct(list(ext))), 1, 3), ',') AS first_exts FROM x WHERE ext NOT IN ('go', 'ts')""",
+SELECT count(DISTINCT file) AS n_files, coalesce(array_to_string(list_slice(list_sort(list_distinct(list(ext))), 1, 3), ','), '') AS first_exts FROM x WHERE ext NOT IN ('go', 'ts')""",
     "channel_roles": W
     + """, r AS (SELECT src, count(DISTINCT type) AS k, min(type) AS t FROM e WHERE type IN ('publishes', 'subscribes') GROUP BY src)
 SELECT CASE WHEN k = 2 THEN 'both' WHEN t = 'publishes' THEN 'producer' ELSE 'consumer' END AS role, count(*) AS n FROM r GROUP BY 1""",
