@@ -190,7 +190,7 @@ def word_pieces(text: Column, vocabulary: list[str]) -> Column:
 
         def step(state: Column, _: Column) -> Column:
             head = F.when(F.size(state["out"]) > 0, "##").otherwise("")
-            tries = F.filter(F.transform(F.sequence(F.length(state["rest"]), F.lit(1), F.lit(-1)), lambda n: F.concat(head, F.substr(state["rest"], F.lit(1), n))), lambda p: F.array_contains(vocab, p))
+            tries = F.filter(F.transform(F.sequence(F.greatest(F.length(state["rest"]), F.lit(1)), F.lit(1), F.lit(-1)), lambda n: F.concat(head, F.substr(state["rest"], F.lit(1), n))), lambda p: F.array_contains(vocab, p))
             best = F.get(tries, F.lit(0))
             stuck = best.isNull() | (state["rest"] == "")
             grown = F.struct(F.concat(state["out"], F.array(best)).alias("out"), F.substr(state["rest"], F.length(best) - F.length(head) + 1).alias("rest"))
