@@ -1,8 +1,7 @@
 """Producers joined to consumers over channel keys, by declared rules.
 
 A rule is compiled to one plan: keys are normalised, each tier is an equi-join
-(the wildcard tier on method and segment count, with the segments compared as
-residual), and the first tier with hits wins for each producer, with all of its
+(the wildcard tier on keys masked at their wildcard places), and the first tier with hits wins for each producer, with all of its
 hits: joins are multi-valued.
 """
 
@@ -131,6 +130,27 @@ def _with_methods(producers: DataFrame) -> DataFrame:
     ).drop("__m")
 
 
+def _wildcard_pairs(p: DataFrame, q: DataFrame) -> DataFrame:
+    """Segment-wise matches with ``*`` on either side, by equality of masked keys.
+
+    A pair matches if its keys are equal once the wildcard places of both are
+    masked. Few sets of places occur for a method and length, so each key is
+    masked once for each set that occurs on the other side, and the join is on
+    the masked text: no method's keys are compared all with all. Pairs without a
+    literal place in common cannot pass the anchor rule and are never made.
+    """
+    wild = lambda segs: F.filter(F.transform(segs, lambda s, i: F.when(s == "*", i).otherwise(-1)), lambda i: i >= 0)
+    left = p.withColumn("__s", N.segments(F.col("tail"))).filter(F.exists("__s", lambda s: s != "*")).withColumn("__n", F.size("__s")).withColumn("__mp", wild(F.col("__s")))
+    right = q.withColumn("__cs", N.segments(F.col("c_tail"))).withColumn("__n", F.size("__cs")).withColumn("__mc", wild(F.col("__cs"))).withColumn("head", F.col("c_head"))
+    both = lambda: F.array_union("__mp", "__mc")
+    masked = lambda segs: F.array_join(F.transform(segs, lambda s, i: F.when(F.array_contains(both(), i), "*").otherwise(s)), "/")
+    anchored = F.size(both()) < F.col("__n")
+    lk = left.join(right.select("head", "__n", "__mc").distinct(), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__s")))
+    rk = right.join(left.select("head", "__n", "__mp").distinct(), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__cs")))
+    met = lk.join(rk, ["head", "__n", "__mp", "__mc", "__key"]).filter(N.segments_match(F.col("__s"), F.col("__cs")))
+    return met.select(*p.columns, *q.columns)
+
+
 def _pairs(p: DataFrame, c: DataFrame, tier: str) -> DataFrame:
     q = c.select(*(F.col(n).alias(f"c_{n}") for n in ("id", "service", "raw", "norm", "head", "tail")))
     if tier == "exact":
@@ -138,10 +158,7 @@ def _pairs(p: DataFrame, c: DataFrame, tier: str) -> DataFrame:
     elif tier == "normalized":
         joined = p.join(q, p["norm"] == q["c_norm"])
     elif tier == "wildcard_anchored":
-        left = p.withColumn("__s", N.segments(F.col("tail")))
-        left = left.withColumn("__n", F.size("__s")).filter(F.exists("__s", lambda s: s != "*"))
-        right = q.withColumn("__cs", N.segments(F.col("c_tail")))
-        joined = left.join(right, (left["head"] == right["c_head"]) & (left["__n"] == F.size(right["__cs"])) & N.segments_match(left["__s"], right["__cs"])).drop("__s", "__n", "__cs")
+        joined = _wildcard_pairs(p, q)
     else:
         is_open = lambda t: F.regexp_replace(t, r"[*#. ]", "") == ""
         joined = p.join(q, (p["head"] == q["c_head"]) & (is_open(p["tail"]) | is_open(q["c_tail"])))

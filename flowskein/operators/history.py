@@ -39,11 +39,20 @@ def growth(history: DataFrame, by: list[str], runs: int = 3) -> DataFrame:
     return flags.filter((F.col("n") == runs - 1) & (F.col("known") == runs - 1) & (F.col("up") == 1)).select(*by)
 
 
-def budget_prefix(items: DataFrame, by: list[str], order: list[Column], cost: str, most: int) -> DataFrame:
-    """The longest prefix of each group whose cost stays within the budget, at least one item."""
-    w = W.partitionBy(*by).orderBy(*order)
-    run = items.withColumn("used", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
-    return run.filter((F.col("used") <= most) | (F.col("__n") == 1)).drop("__n")
+def budget_prefix(items: DataFrame, by: list[str], order: list[str], cost: str, most: int, salts: int = 64) -> DataFrame:
+    """The longest prefix of each group whose cost stays within the budget, at least one item.
+
+    What is beyond the budget in a salted part of a group is beyond it in the
+    group, so parts are cut first and the last window sees little of a large
+    group. Costs are not negative.
+    """
+    def cut(df: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(*order)
+        run = df.withColumn("used", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
+        return run.filter((F.col("used") <= most) | (F.col("__n") == 1)).drop("__n")
+
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    return cut(cut(salted, [*by, "__salt"]).drop("used"), by).drop("__salt")
 
 
 def backfill(items: DataFrame, by: str, order: str, cost: str, most: int) -> DataFrame:

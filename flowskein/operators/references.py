@@ -20,13 +20,15 @@ from flowskein.session import materialize
 LEAST, MOST = -(2**63), 2**63 - 1
 #: Bits of the largest bitmap: a broadcast of at most 2**21 words.
 BITMAP_BITS = 2**27
+#: Part of the axis in which runs are joined first: a day of microseconds.
+CHUNK = 86_400_000_000
 
 
 def identity(value: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), value).alias("__h1"), F.xxhash64(F.lit(2), value).alias("__h2")]
 
 
-def key_runs(parents: DataFrame) -> DataFrame:
+def key_runs(parents: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
     """Contiguous runs [``start``, ``end``) of each identity (``__h1``, ``__h2``).
 
     Input: one row for each stay, ``start`` and ``end`` bigint, end exclusive and
@@ -38,11 +40,18 @@ def key_runs(parents: DataFrame) -> DataFrame:
     start = F.coalesce("start", F.lit(LEAST))
     stays = parents.select("__h1", "__h2", start.alias("start"), F.greatest(start, F.when(F.col("start").isNull(), start).otherwise(F.coalesce("end", F.lit(MOST)))).alias("end"))
     stays = stays.groupBy("__h1", "__h2", "start").agg(F.max("end").alias("end"))
-    by_id = W.partitionBy("__h1", "__h2").orderBy("start")
+    # within spans of the axis first, so that an identity of very many stays does not come to one task whole
+    chunk = F.expr(f"start div {chunk_size}")
+    return _joined(_joined(stays.withColumn("__chunk", chunk), ["__h1", "__h2", "__chunk"]), ["__h1", "__h2"])
+
+
+def _joined(stays: DataFrame, by: list[str]) -> DataFrame:
+    """Overlapping and touching stays of a group as one; other columns than the group's go."""
+    by_id = W.partitionBy(*by).orderBy("start")
     before = F.max("end").over(by_id.rowsBetween(W.unboundedPreceding, -1))
     opened = stays.withColumn("__new", F.when(before >= F.col("start"), 0).otherwise(1))
     numbered = opened.withColumn("__run", F.sum("__new").over(by_id.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("__h1", "__h2", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
+    return numbered.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("__h1", "__h2", "start", "end")
 
 
 def key_axis(runs: DataFrame) -> DataFrame:

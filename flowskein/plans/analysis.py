@@ -277,7 +277,7 @@ def growth_flags(spark, sf_dir):
 def budget_prefix(spark, sf_dir):
     """Chunks of every source, by id, within 50,000 characters."""
     docs = _docs(spark, sf_dir).select("doc_id", "type", F.length("text").cast("bigint").alias("cost"))
-    return history.budget_prefix(docs, ["type"], [F.col("doc_id")], "cost", 50_000).select("doc_id", "type", "used")
+    return history.budget_prefix(docs, ["type"], ["doc_id"], "cost", 50_000).select("doc_id", "type", "used")
 
 
 def budget_backfill(spark, sf_dir):

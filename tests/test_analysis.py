@@ -116,7 +116,7 @@ def test_history(spark):
     assert [r["g"] for r in history.growth(up, ["g"], 3).collect()] == ["a"]
     items = spark.createDataFrame([("x", 1, 60), ("x", 2, 50), ("x", 3, 30), ("x", 4, 20), ("y", 1, 900)], "g string, n int, cost bigint")
     assert sorted(r["n"] for r in history.backfill(items, "g", "n", "cost", 100).filter("g = 'x'").collect()) == [1, 3]
-    assert {(r["g"], r["n"]) for r in history.budget_prefix(items, ["g"], [F.col("n")], "cost", 110).collect()} == {("x", 1), ("x", 2), ("y", 1)}
+    assert {(r["g"], r["n"]) for r in history.budget_prefix(items, ["g"], ["n"], "cost", 110).collect()} == {("x", 1), ("x", 2), ("y", 1)}
 
 
 def test_sources(spark, tmp_path):
