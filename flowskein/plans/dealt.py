@@ -177,6 +177,14 @@ ORACLES = {
   CASE WHEN regexp_full_match(coalesce(json_extract_string(p, '$.parentSpanId'), ''), '[\\s0]*') THEN '' ELSE json_extract_string(p, '$.parentSpanId') END AS parent_span_id,
   coalesce(json_extract_string(list_filter(json_extract(r, '$.resource.attributes[*]'), lambda x: json_extract_string(x, '$.key') = 'service.name')[1], '$.value.stringValue'), '') AS service
 FROM p WHERE json_type(p) = 'OBJECT'""",
+    "p1_spans": _P1
+    + """SELECT DISTINCT CAST(export_id AS VARCHAR) AS record_key, concat_ws('.', resource_pos, scope_pos, span_pos) AS dewey, concat_ws('.', resource_pos, scope_pos) AS parent_dewey,
+  coalesce(json_extract_string(p, '$.traceId'), '') AS trace_id, coalesce(json_extract_string(p, '$.spanId'), '') AS span_id, coalesce(json_extract_string(p, '$.name'), '') AS name,
+  coalesce(json_extract_string(p, '$.startTimeUnixNano'), '') AS start_ns, coalesce(json_extract_string(p, '$.endTimeUnixNano'), '') AS end_ns FROM p""",
+    "p1_attributes": _P1
+    + """, a AS (SELECT 'span' AS owner, unnest(json_extract(p, '$.attributes[*]')) AS a FROM p
+  UNION ALL SELECT 'resource', unnest(json_extract(r, '$.resource.attributes[*]')) FROM r)
+SELECT owner, coalesce(json_extract_string(a, '$.key'), '') AS key, coalesce(json_keys(a, '$.value')[1], '') AS value_type, count(*) AS n FROM a GROUP BY 1, 2, 3""",
     "p2_found": """SELECT src, type FROM edges WHERE src IS NOT NULL AND trim(src) <> '' GROUP BY src, type
 HAVING count(DISTINCT id) * 100 > (SELECT count(DISTINCT id) FROM edges)""",
     "p2_pair_counts": """SELECT src, type, count(DISTINCT id) AS n_edges, count(*) AS n_rows FROM edges WHERE src IS NOT NULL AND trim(src) <> '' GROUP BY src, type""",
