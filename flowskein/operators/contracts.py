@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowskein import model
 from flowskein.functions import normalize as N
-from flowskein.functions.predicates import given, is_test_file, path_evidence
+from flowskein.functions.predicates import given, is_browser_executed, is_relative_url, is_test_file, path_evidence
 from flowskein.operators.graph_store import latest
 from flowskein.session import materialize
 
@@ -94,6 +94,16 @@ def _field(end: Endpoint, name: str) -> Column:
     return F.coalesce(*options, F.lit(""))
 
 
+def _candidates(nodes: DataFrame, end: Endpoint) -> DataFrame:
+    """A node whose last key field has several values (``key_candidates``, a JSON list) once for each; ``cand`` counts them from 1, 0 for none."""
+    field = F.lit(end.key[-1])
+    values = F.from_json(F.try_element_at("meta", F.lit("key_candidates")), "array<string>")
+    each = nodes.select("*", F.posexplode(F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(None).cast("string")))).alias("__i", "__v"))
+    rest = F.map_filter("meta", lambda k, _: ~k.isin(end.key[-1], "key_candidates"))
+    own = F.when(F.col("__v").isNull(), F.col("meta")).otherwise(F.map_concat(rest, F.create_map(field, F.col("__v"))))
+    return each.withColumn("meta", own).withColumn("cand", F.when(F.col("__v").isNull(), 0).otherwise(F.col("__i") + 1)).drop("__i", "__v")
+
+
 def _side(nodes: DataFrame, rule: Rule, end: Endpoint) -> DataFrame:
     """Nodes of one side with raw and normalised key; none without any key, none whose given field normalises away."""
     kept = nodes.filter(F.col("type") == end.node_type).filter(~is_test_file(F.col("file")))
@@ -101,6 +111,9 @@ def _side(nodes: DataFrame, rule: Rule, end: Endpoint) -> DataFrame:
         kept = kept.filter(given(F.try_element_at("meta", F.lit(key))) == value)
     for key, value in end.not_where.items():
         kept = kept.filter(given(F.try_element_at("meta", F.lit(key))) != value)
+    kept = _candidates(kept, end)
+    lang = F.col("lang") if "lang" in kept.columns else F.lit("")
+    local = is_browser_executed(lang, given(F.try_element_at("meta", F.lit("nav_link")))) & is_relative_url(_field(end, end.key[-1]))
     raw = [_field(end, f) for f in end.key]
     norm = [N.normalize_fields([r], list(rule.normalizers.get(f, ()))) for f, r in zip(end.key, raw)]
     lost = F.lit(False)
@@ -110,7 +123,7 @@ def _side(nodes: DataFrame, rule: Rule, end: Endpoint) -> DataFrame:
     return kept.filter(~lost & ~empty).select(
         "id", "service", "file", "line", F.concat_ws(" ", *raw).alias("raw"), F.concat_ws(" ", *norm).alias("norm"),
         norm[0].alias("head"), norm[-1].alias("tail"), given(F.try_element_at("meta", F.lit("confidence_ceiling"))).alias("ceiling"),
-        given(F.try_element_at("meta", F.lit("wrapper"))).alias("wrapper"),
+        given(F.try_element_at("meta", F.lit("wrapper"))).alias("wrapper"), "cand", local.alias("local"),
     )
 
 
@@ -118,8 +131,8 @@ def deduped(producers: DataFrame) -> DataFrame:
     """Of producers of one key on one line the one with most evidence, ties to the least id."""
     score = F.when(path_evidence(F.col("tail")) == "strong", 4).otherwise(0) + F.when(F.col("ceiling") == "", 2).otherwise(0) + F.when(F.col("wrapper") == "", 1).otherwise(0)
     scored = producers.withColumn("__score", score)
-    first = scored.groupBy("service", "file", "line", "raw").agg(F.min(F.struct((-F.col("__score")).alias("s"), "id")).alias("b"))
-    return producers.join(first.select(F.col("b.id").alias("id")), "id", "left_semi")
+    first = scored.groupBy("service", "file", "line", "raw").agg(F.min(F.struct((-F.col("__score")).alias("s"), "id", "cand")).alias("b"))
+    return producers.join(first.select("b.id", "b.cand"), ["id", "cand"], "left_semi")
 
 
 def _with_methods(producers: DataFrame) -> DataFrame:
@@ -192,20 +205,24 @@ def link(nodes: DataFrame, rule: Rule) -> Linked:
         same = F.col("service") == F.col("c_service")
         hits = hits.filter(same if rule.same_service == "same_service_only" else ~same)
     hits, _ = materialize(hits, f"{rule.kind}-hits")
-    best = hits.groupBy("id").agg(F.min(F.struct("__try", "__t")).alias("b"))
-    won = hits.join(best, "id").filter((F.col("__try") == F.col("b.__try")) & (F.col("__t") == F.col("b.__t")))
-    fan = won.groupBy("id").agg(F.countDistinct("c_service").alias("__services"))
+    one = ["id", "cand"]
+    best = hits.groupBy(*one).agg(F.min(F.struct("__try", "__t")).alias("b"))
+    won = hits.join(best, one).filter((F.col("__try") == F.col("b.__try")) & (F.col("__t") == F.col("b.__t")))
+    # what a browser asks of its own origin is its own service's, if that answers at all
+    own = won.filter("local AND c_service = service").select(*one).distinct().withColumn("__own", F.lit(True))
+    won = won.join(own, one, "left").filter(F.col("__own").isNull() | (F.col("c_service") == F.col("service")))
+    fan = won.groupBy(*one).agg(F.countDistinct("c_service").alias("__services"))
     confidence = (
         F.when((F.col("__services") > 1) | (F.col("tier") == "exchange_only") | (F.col("ceiling") == "partial"), "partial")
-        .when((F.col("tier") == "exact") & (F.col("ceiling") == ""), "static")
+        .when((F.col("tier") == "exact") & (F.col("ceiling") == "") & (F.col("cand") == 0), "static")
         .otherwise("inferred")
     )
     weak = (F.col("__services") > 1) & (path_evidence(F.col("tail")) == "weak")
-    edges = won.join(fan, "id").filter(~weak).select(
+    edges = won.join(fan, one).filter(~weak).select(
         F.concat(F.lit(rule.id_prefix + ":"), "id", F.lit("->"), "c_id").alias("id"), F.col("id").alias("src"), F.col("c_id").alias("dst"),
         F.lit(rule.edge_type).alias("type"), F.col("norm").alias("label"), confidence.alias("confidence"), "tier",
     ).distinct()
-    lost = p.join(won.select("id").distinct(), "id", "left_anti").select("id", "service", "file", "line", F.col("raw").alias("name"), F.lit(rule.kind).alias("kind"))
+    lost = p.join(won.select(*one).distinct(), one, "left_anti").select("id", "service", "file", "line", F.col("raw").alias("name"), F.lit(rule.kind).alias("kind"))
     return Linked(edges, lost if rule.unmatched != "drop" else lost.limit(0))
 
 

@@ -33,6 +33,18 @@ def test_http_tiers_and_fan_out(spark):
     assert contracts.link(nodes(spark, rows).limit(0), http).edges.count() == 0
 
 
+def test_candidate_keys_and_own_origin(spark):
+    http = contracts.RULES[0]
+    rows = [
+        ("c", "http_client", "web", {"method": "GET", "key_candidates": '["/a/one", "/b/two", "/none/x"]'}), ("h1", "http_handler", "api", {"method": "GET", "path": "/a/one"}), ("h2", "http_handler", "api", {"method": "GET", "path": "/b/:id"}),
+        ("b", "http_client", "shop", {"method": "GET", "path": "/cart/items"}), ("o", "http_handler", "shop", {"method": "GET", "path": "/cart/items"}), ("x", "http_handler", "other", {"method": "GET", "path": "/cart/items"}),
+    ]
+    linked = contracts.link(nodes(spark, rows).withColumn("lang", F.lit("typescript")), http)
+    got = {(r["src"], r["dst"], r["confidence"]) for r in linked.edges.collect()}
+    assert got == {("c", "h1", "inferred"), ("c", "h2", "inferred"), ("b", "o", "static")}
+    assert [r["name"] for r in linked.unmatched.collect()] == ["GET /none/x"]
+
+
 def test_messaging_rules(spark):
     rule = {r.kind: r for r in contracts.RULES}
     kafka = [
