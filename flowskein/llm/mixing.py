@@ -116,7 +116,7 @@ def mixture(documents: DataFrame, plan: list[Share], seed: int = 0) -> DataFrame
     documents like others. Nothing is gathered: running counts are taken within
     hash buckets of bounded size and shifted by the buckets before.
     """
-    live = [s for s in plan if s.taken >= 1]
+    live = [s for s in plan if s.taken > 0]
     rows = documents.select(normal_source(F.col("source")).alias("source"), "doc_id", byte_tokens(F.col("text")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("__h"))
     empty = "position bigint, doc_id bigint, source string, epoch int, n_tokens bigint"
     if not live:
@@ -148,11 +148,16 @@ def mixture(documents: DataFrame, plan: list[Share], seed: int = 0) -> DataFrame
 
 
 def share_report(mixed: DataFrame, plan: list[Share]) -> DataFrame:
-    """Target and actual share of every target source, counted from the mixture."""
+    """Target and actual share of every target source, counted from the mixture.
+
+    ``is_short``: the mixture holds fewer tokens of the source than its target
+    asks for, since all its repeats are used up. Documents are never cut, so a
+    source that can reach its target is never below it.
+    """
     spark = mixed.sparkSession
     known = spark.createDataFrame(
-        [(s.source, float(s.target), s.max_repeats, s.tokens, s.short) for s in plan],
-        "source string, target_share double, max_repeats int, available_tokens bigint, is_short boolean",
+        [(s.source, float(s.target), s.max_repeats, s.tokens, float(s.wanted)) for s in plan],
+        "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens double",
     )
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), (F.max("epoch") + 1).alias("epochs"))
     whole = W.partitionBy()
@@ -160,5 +165,6 @@ def share_report(mixed: DataFrame, plan: list[Share]) -> DataFrame:
         known.join(got, "source", "left")
         .withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast("bigint")))
         .withColumn("epochs", F.coalesce("epochs", F.lit(0)))
+        .withColumn("is_short", F.col("mixed_tokens") < F.col("wanted_tokens"))
         .withColumn("actual_share", F.col("mixed_tokens") / F.greatest(F.sum("mixed_tokens").over(whole), F.lit(1)))  # one row a source
     )

@@ -26,6 +26,7 @@ def test_mixture_meets_shares_and_caps(spark):
     total = sum(len(t) for _, t, s in docs if s and s.strip())
     small = sum(len(t) for _, t, s in docs if s == "small")
     assert report["absent"]["is_short"] and report["absent"]["mixed_tokens"] == 0 and not report["big"]["is_short"]
+    assert {s.source: s.short for s in plan} == {name: row["is_short"] for name, row in report.items()}
     assert abs(report["big"]["mixed_tokens"] - 0.5 * total) <= 60
     assert abs(report["small"]["mixed_tokens"] - min(0.4 * total, 3 * small)) <= 60
     copies = mixed.groupBy("doc_id", "source").count().collect()
