@@ -91,12 +91,12 @@ def orphan_keys(references: DataFrame, axis: DataFrame) -> DataFrame:
 def thinned(rows: DataFrame, wanted: DataFrame, n_wanted: int, on: list[str]) -> DataFrame:
     """``rows`` that may match ``wanted`` on the columns ``on``: all that do, few others.
 
-    A bitmap of 64 bits for each wanted row, at most ``BITMAP_BITS``, goes to the
+    A bitmap of 16 bits for each wanted row, at most ``BITMAP_BITS``, goes to the
     tasks as (word, bits) rows. Beyond the size it is made for it lets more rows
     through, never fewer.
     """
     size = 2**16
-    while size < min(64 * n_wanted, BITMAP_BITS):
+    while size < min(16 * n_wanted, BITMAP_BITS):
         size *= 2
     place = F.pmod(F.xxhash64(F.lit(7), *(F.coalesce(F.col(c), F.lit(LEAST)) for c in on)), F.lit(size))
     bit = lambda: F.expr("shiftleft(1L, cast(__place & 63 as int))")
