@@ -204,3 +204,16 @@ def channel_roles(rows: DataFrame, by: list[str]) -> DataFrame:
     roles = F.collect_set(F.when(F.col("role") != "", F.col("role")))
     merged = F.when(F.array_contains("__r", "both") | (F.size("__r") > 1), "both").otherwise(F.coalesce(F.try_element_at("__r", F.lit(1)), F.lit("")))
     return rows.groupBy(*by).agg(roles.alias("__r")).select(*by, merged.alias("role"))
+
+
+def health(nodes: DataFrame, edges: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Counts of nodes, of edges by state, and of the ledger by kind: ``what``, ``kind``, ``n``."""
+    count = lambda df, what, kind: df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    return count(nodes, "nodes", F.lit("")).unionByName(count(edges, "edges", F.col("verification_state"))).unionByName(count(ledger, "ledger", F.col("kind")))
+
+
+def ledger_rows(ledger: DataFrame, service: str = "", kind: str = "", q: str = "") -> DataFrame:
+    """Ledger rows (``service``, ``file``, ``name``, ``kind``) by service, kind, and a text in name or file."""
+    for column, value in (("service", service), ("kind", kind)):
+        ledger = ledger.filter(F.col(column) == value) if value else ledger
+    return ledger.filter(F.lower("name").contains(q.lower()) | F.lower("file").contains(q.lower())) if q else ledger

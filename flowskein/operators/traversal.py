@@ -159,6 +159,19 @@ def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 5, max_d
     return paths.select("nodes", "edge_ids", F.size("edge_ids").alias("hops")).orderBy("hops", F.array_join("edge_ids", ",")).limit(min(k, 20))
 
 
+def flows_through(edges: DataFrame, entrypoints: DataFrame, target: str, depth: int = 8, limit: int = 20) -> DataFrame:
+    """Chains from entry points (``node_id``) that pass the target, in depth-first order.
+
+    Only entry points that reach the target within the depth are walked from;
+    the target itself may be one.
+    """
+    seed = edges.sparkSession.createDataFrame([(target, target)], "root_id string, node_id string")
+    behind = traverse(edges, seed, "in", depth).select("node_id").unionByName(seed.select("node_id"))
+    roots, _ = materialize(entrypoints.select("node_id").join(behind, "node_id", "left_semi"), "roots")
+    through = simple_paths(edges, roots, PathRule(depth)).filter("is_leaf").filter(F.array_contains("nodes", target))
+    return through.withColumn("chain_key", F.array_join(F.concat(F.slice("nodes", 1, 1), "keys"), "\u0002")).orderBy("chain_key").limit(min(limit, 200))
+
+
 def rolled_up(edges: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
     """Edges for flow walks: neighbours of one (node, type, service) above ``most`` become one ``rollup`` hop."""
     target = nodes.select(F.col("id").alias("dst"), F.col("service").alias("dst_service"))

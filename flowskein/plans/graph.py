@@ -10,6 +10,7 @@ from flowskein.operators import graph_store as G
 from flowskein.operators import linking, rollups
 from flowskein.operators import traversal as T
 from flowskein.session import table
+from flowskein.sources import patterns
 
 HUB = "shared-kit:pkg/util/mixed.go:function:Sundry:227"
 SPAN_HUB = "shared-kit:pkg/flow/sinkhole.go:function:sink:162"
@@ -377,9 +378,50 @@ def similar_documents(spark, sf_dir):
     return lm.join(links, "class").select("id", "class", "n_links")
 
 
+def _ledger(spark, sf_dir):
+    """Unresolved references: edges to the sentinel, with their source's service and file."""
+    rows = table(spark, sf_dir, "edges").filter("dst = 'unresolved' OR startswith(dst, 'unresolved:')").select(F.col("src").alias("id"), F.col("type").alias("kind"), F.col("dst").alias("name"))
+    return rows.join(nodes(spark, sf_dir).select("id", "service", "file"), "id").select("service", "file", "name", "kind")
+
+
+def health_report(spark, sf_dir):
+    """Counts of the whole graph."""
+    return rollups.health(*both(spark, sf_dir), _ledger(spark, sf_dir))
+
+
+def ledger_filter(spark, sf_dir):
+    """Unresolved calls that name or lie in something with 'web'."""
+    return rollups.ledger_rows(_ledger(spark, sf_dir), kind="calls", q="web").groupBy("service", "file").agg(F.count("*").alias("n"))
+
+
+def file_nodes(spark, sf_dir):
+    """Nodes of every file whose path ends in that of the shared barrel."""
+    return linking.nodes_in_file(nodes(spark, sf_dir), "barrel/index.ts").select("id", "file")
+
+
+def scanned_files(spark, sf_dir):
+    """Documents' paths that declare no node, by service."""
+    scanned = table(spark, sf_dir, "documents").select(P.given(F.col("service")).alias("service"), F.col("path").alias("file")).distinct()
+    return linking.scanned_files(nodes(spark, sf_dir), scanned).groupBy("service").agg(F.count("*").alias("n"))
+
+
+def flows_through(spark, sf_dir):
+    """Chains from view or signup through purchase, three hops at most."""
+    starts = spark.createDataFrame([("view",), ("signup",)], "node_id string")
+    return T.flows_through(transitions(spark, sf_dir), starts, "purchase", 3, 25).select(F.array_join("nodes", ">").alias("path"))
+
+
+def pattern_nodes(spark, sf_dir):
+    """What the Go patterns find in all chunks, were they Go files."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), "text")
+    found = patterns.extract(docs, "docs", tuple(p for p in patterns.PACKS if p.lang == "go"))
+    return found.groupBy(F.col("meta")["pattern"].alias("pattern"), "type").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        health_report, ledger_filter, file_nodes, scanned_files, flows_through, pattern_nodes,
         graph_stats, current_edge_states, current_node_rows, point_lookup, edge_scan, nodes_by_type_ranked, delete_cascade, graph_page, ledger_replace,
         history_latest_runs, audit_page, audit_retention, edge_union, descendants_bfs, impact_backward, impact_both, impact_terminal_policy, impact_multi_root,
         file_impact, entry_points_hit, related_files, noise_classes, test_files, min_verification, diff_spans, diff_impact, enclosing_functions, nearest_below,
@@ -440,7 +482,32 @@ def _paths(seed: str, depth: int, stop: str = "true") -> str:
   UNION ALL SELECT list_append(p.nodes, t.dst), p.key || '|' || t.dst, p.hops + 1 FROM p JOIN t ON t.src = p.nodes[-1] WHERE p.hops < {depth} AND NOT list_contains(p.nodes, t.dst) AND {stop})"""
 
 
+_LEDGER = W + ", lg AS (SELECT n.service, n.file, x.dst AS name, x.type AS kind FROM edges x JOIN n ON n.id = x.src WHERE x.dst = 'unresolved' OR starts_with(x.dst, 'unresolved:'))"
+_GO = [p for p in patterns.PACKS if p.lang == "go"]
+
+
+def _pattern_sql() -> str:
+    """One branch for each Go pattern over all lines; a label is the group named so, else all groups joined."""
+    parts = []
+    for p in _GO:
+        group = lambda i: f"regexp_extract(line, '{p.regex}', {i + 1})"  # noqa: B023, E731
+        label = group(p.fields.index("label")) if "label" in p.fields else "trim(" + " || ' ' || ".join(group(i) for i in range(len(p.fields))) + ")"
+        parts.append(f"SELECT '{p.name}' AS pattern, '{p.node_type}' AS type, doc_id, pos, {label} AS label FROM l WHERE regexp_matches(line, '{p.regex}')")
+    return " UNION ALL ".join(parts)
+
+
 ORACLES = {
+    "health_report": _LEDGER + """SELECT 'nodes' AS what, '' AS kind, count(*) AS n FROM n UNION ALL SELECT 'edges', verification_state, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'ledger', kind, count(*) FROM lg GROUP BY 2""",
+    "ledger_filter": _LEDGER + "SELECT service, file, count(*) AS n FROM lg WHERE kind = 'calls' AND (contains(lower(name), 'web') OR contains(lower(file), 'web')) GROUP BY 1, 2",
+    "file_nodes": W + "SELECT id, file FROM n WHERE file = 'barrel/index.ts' OR file LIKE '%/barrel/index.ts' OR file = 'index.ts'",
+    "scanned_files": W + "SELECT service, count(*) AS n FROM (SELECT DISTINCT coalesce(service, '') AS service, path FROM documents) d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.service = d.service AND n.file = d.path) GROUP BY service",
+    "flows_through": _T
+    + _paths("src", 3)
+    + """SELECT array_to_string(nodes, '>') AS path FROM p WHERE nodes[1] IN ('view', 'signup') AND hops > 0 AND list_contains(nodes, 'purchase')
+  AND (hops = 3 OR NOT EXISTS (SELECT 1 FROM t WHERE t.src = p.nodes[-1] AND NOT list_contains(p.nodes, t.dst))) ORDER BY nodes[1], key LIMIT 25""",
+    "pattern_nodes": "WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS x FROM documents)), f AS ("
+    + _pattern_sql()
+    + ") SELECT pattern, type, count(DISTINCT (doc_id, pos, type, label)) AS n, count(DISTINCT label) AS n_labels FROM f GROUP BY 1, 2",
     "graph_stats": W + "SELECT 'nodes' AS what, count(*) AS n FROM n UNION ALL SELECT 'edges', count(*) FROM e",
     "current_edge_states": W + "SELECT id, src, dst, type, confidence, verification_state FROM e",
     "current_node_rows": W + "SELECT id, type, label, service, file, line FROM n",
