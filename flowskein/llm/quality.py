@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,8 @@ _MARK = re.compile(
     r"^[ \t]*((?:(?://+!?|/\*+|\*+/|#+!?|>+|--+|;+|%+|<!--|(?:\*|[-+•‣▪◦·–—])(?=[ \t])|\d{1,3}[.)](?=[ \t])|[a-z][.)](?=[ \t])|\[[ xX]\](?=[ \t]))[ \t]*)+)"
 )
 _SPEAKER = re.compile(r"^[ \t]*([\w.@-]{2,24}:[ \t]+)(?=\S)")
-_IDENT = re.compile(r"\w*[a-z]\d*[A-Z]\w*|\w+_\w+|\w+(?:/[\w.-]+)+|\w+\(|\w+\.\w+\(|\w+://\S+")
+#: A token that looks like code: camel or snake case, a path, a call, a URL.
+_IDENT = re.compile(r"(?<!\S)\S*?(?:[a-z]\d*[A-Z]|\w_\w|\w/[\w.-]|\w\(|\w://\S)\S*")
 _SENTENCE = re.compile(r"[.!?。！？]+(?=\s|$|[^\x00-\x7f])")
 _SPLIT = re.compile(r"[,;|│·\t、]| {2,}|[.!?:。！？](?=\s|$)|[.!?:。！？]$")
 _HIRAGANA, _KANJI, _PARTICLE = re.compile("[぀-ゞ]"), re.compile("[一-鿾]"), re.compile(f"[{_KANA}]")
@@ -174,6 +176,13 @@ PLAIN = (
 )
 
 
+def _moments(values: list[int]) -> tuple[float, float]:
+    """Mean and standard deviation."""
+    n, total = len(values), sum(values)
+    mean = total / n
+    return mean, max(0.0, sum(v * v for v in values) / n - mean * mean) ** 0.5
+
+
 def measure(kind: str, lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray, str, np.ndarray, np.ndarray, Counter]:
     """Plain coordinates, character classes, language, its function words, transitions and words of a unit."""
     text = "\n".join(lines)
@@ -185,9 +194,10 @@ def measure(kind: str, lines: list[str], size: int) -> tuple[np.ndarray, np.ndar
     known = _FUNCTION[lang]
     n = len(words)
     tokens = flow.split()
-    ident = sum(len(t) for t in tokens if _IDENT.search(t))
+    ident = sum(map(len, _IDENT.findall(flow)))
     ends = sum(1 for x in lines if x.rstrip()[-1:] in tuple(".!?。！？:;,"))
-    lens = np.array([len(x) for x in lines])
+    lens = [len(x) for x in lines]
+    mean_len, spread_len = _moments(lens)
     segments = [len(s.split()) for x in lines for s in _SPLIT.split(x) if s.strip()] or [0]
     sentences = [s.split() for s in _SENTENCE.split(flow) if s.strip()] or [[]]
     upper = sum(1 for s in sentences if s and s[0][:1].isupper())
@@ -205,16 +215,16 @@ def measure(kind: str, lines: list[str], size: int) -> tuple[np.ndarray, np.ndar
     vowels = len(_VOWEL.findall("".join(low))) / letters
     length = max(len(flow), 1)
     plain = (
-        np.log1p(size), np.log(len(lines)), ends / len(lines), np.log1p(np.median(lens)), float(np.std(lens) / (np.mean(lens) + 1)), np.log1p(n), letters / max(n, 1),
+        np.log1p(size), np.log(len(lines)), ends / len(lines), np.log1p(median(lens)), spread_len / (mean_len + 1), np.log1p(n), letters / max(n, 1),
         sum(counts[w] for w in counts if w in _ANY_FUNCTION) / max(n, 1), best, len(counts) / max(n, 1), odd / max(n, 1),
         ident / length, len(_DIGIT.findall(flow)) / length, len(_SYMBOL.findall(flow)) / length,
         sum(x.lstrip()[:1].islower() for x in lines) / len(lines), sum(x.lstrip()[:1].isupper() for x in lines) / len(lines),
-        np.log1p(np.mean(segments)), float(np.std(segments)), np.log1p(np.mean([len(s) for s in sentences])), upper / len(sentences),
+        np.log1p(_moments(segments)[0]), _moments(segments)[1], np.log1p(_moments([len(s) for s in sentences])[0]), upper / len(sentences),
         joined / len(lines), kana / length, kanji / length, particles / max(kana, 1), float(kind[:1] in tuple("-*+•‣▪·1[abc")), float(kind[:1] in tuple("/>#;%")), float(kind == "who:"),
-        np.log1p(np.mean([len(x.split()) for x in lines])), vowels, flow.count(",") / length, len(sentences) / max(n, 1),
+        np.log1p(_moments([len(x.split()) for x in lines])[0]), vowels, flow.count(",") / length, len(sentences) / max(n, 1),
         sum(1 for k in bigrams.values() if k == 1) / max(len(low) - 1, 1), sum("\t" in x or "   " in x.strip() for x in lines) / len(lines),
         1 - len(set(lines)) / len(lines),
-        np.log1p(length / max(len(tokens), 1)), np.log1p(np.mean(spans)), float(np.mean(cells)), float(np.std(cells)),
+        np.log1p(length / max(len(tokens), 1)), np.log1p(_moments(spans)[0]), *_moments(cells),
         steps / length, np.log1p(max(map(len, tokens), default=0)), flow.count("..") / max(n + kana, 1),
     )
     return np.array(plain, dtype=float), char_classes(text), lang, function_profile(counts, lang), transitions([w in known for w in low]), counts
@@ -395,7 +405,9 @@ def _summary(profiles: Profiles, cut: list, measured: list[tuple], shapes: list[
     for shape, size in zip(shapes, sizes):
         held[shape] += size
     m = measured[int(np.argmax(sizes))]
-    counts = sum((x[5] for x in measured), Counter())
+    counts: Counter = Counter()
+    for x in measured:
+        counts.update(x[5])
     lang = "ja" if m[0][PLAIN.index("kana")] > 0.05 else language_of(counts)[0]
     common, words_far, chars_far = 0.0, None, None
     if profiles.fitted:
