@@ -1 +1,8 @@
 """Spark-native analytics over cross-service code-flow graphs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel whole, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
