@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowskein.functions.predicates import given, meta
 from flowskein.functions.scalars import sql_table
+from flowskein.session import materialize
 
 
 def edge(prefix: str, src: Column, dst: Column, edge_type: str, confidence: Column | str = "static") -> list[Column]:
@@ -119,6 +120,54 @@ def similar_sets(left: DataFrame, right: DataFrame, least_shared: int = 2, least
     return kept, lm, rm
 
 
+def similar_within(docs: DataFrame, by: str, least_shared: int = 2, least_jaccard: float = 0.8) -> DataFrame:
+    """Every row of ``docs`` (``id``, ``items``, ``by``) with its class, and how many other rows it links to, in all and within its ``by``.
+
+    As ``similar_sets``, with all rows on both sides; sets of fewer than
+    ``least_shared`` items have a class and no link, and a null ``by`` is ''. A
+    pair of classes is tried where the smaller one's prefix meets the larger
+    one's, if the items left there and the bits that differ allow the overlap.
+    """
+    items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
+    keyed = docs.select("id", given(F.col(by)).alias(by), items.alias("items")).withColumn("class", F.sha2(F.array_join("items", "\u0001"), 256))
+    members, _ = materialize(keyed.filter(F.size("items") >= least_shared).groupBy("class", by).agg(F.count("*").alias("n"), F.any_value("items").alias("items")), "members")
+    sets, _ = materialize(members.groupBy("class").agg(F.any_value("items").alias("items")).withColumn("set", F.monotonically_increasing_id()), "sets")
+
+    each = sets.select("set", F.size("items").alias("size"), F.explode("items").alias("item"))
+    words = [f"b{i}" for i in range(4)]
+    bits = each.groupBy("set").agg(*(F.expr(f"bit_or(if(pmod(xxhash64(item), 256) div 64 = {i}, shiftleft(1L, cast(pmod(xxhash64(item), 64) AS int)), 0L))").alias(b) for i, b in enumerate(words)))
+    freq = each.groupBy("item").agg(F.count("*").alias("n"))
+    placed = each.join(freq, "item").withColumn("at", F.row_number().over(W.partitionBy("set").orderBy("n", "item")))
+    of_both = least_jaccard / (1 + least_jaccard)
+
+    def prefixes(name: str, share: float) -> DataFrame:
+        kept = placed.filter(F.col("at") <= F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1)
+        return kept.join(bits, "set").select("item", F.col("set").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "at", *words)))
+
+    # with the larger set an overlap takes at least 2t / (1 + t) of the smaller one, so its prefix is shorter
+    total, least = F.col("l_size") + F.col("r_size"), F.ceil(F.lit(of_both) * (F.col("l_size") + F.col("r_size")) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"l_{b}").bitwiseXOR(F.col(f"r_{b}"))) for b in words), F.lit(0))
+    ordered = (F.col("l_size") < F.col("r_size")) | ((F.col("l_size") == F.col("r_size")) & (F.col("l") < F.col("r")))
+    left = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) + 1
+    may = ordered & (F.col("l_size") >= F.lit(least_jaccard) * F.col("r_size") - 1e-9) & (left >= least) & (differ <= total - 2 * least)
+    near = prefixes("l", 2 * of_both).join(prefixes("r", least_jaccard), "item").filter(may).select("l", "r").distinct()
+
+    held = lambda name, alias: sets.select(F.col("set").alias(name), F.col("items").alias(alias))
+    shared = F.size(F.array_intersect("a", "b"))
+    scored = near.join(held("l", "a"), "l").join(held("r", "b"), "r").withColumn("shared", shared)
+    alike = (F.col("shared") >= least_shared) & (F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")) >= least_jaccard - 1e-12)
+    pairs, _ = materialize(scored.filter(alike).select("l", "r"), "pairs")
+    itself = sets.select(F.col("set").alias("l"), F.col("set").alias("r"))
+    both = pairs.unionByName(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"))).unionByName(itself)
+
+    named = sets.select("set", "class")
+    counts = members.select("class", by, "n").join(named, "class").select(F.col("set").alias("r"), by, "n")
+    near_by = both.join(counts, "r").groupBy("l", by).agg(F.sum("n").alias("own"))
+    links = near_by.join(near_by.groupBy("l").agg(F.sum("own").alias("all")), "l").join(named.withColumnRenamed("set", "l"), "l")
+    less = lambda c: F.coalesce(F.col(c) - 1, F.lit(0).cast("bigint"))
+    return keyed.select("id", by, "class").join(links.select("class", by, "all", "own"), ["class", by], "left").select("id", by, "class", less("all").alias("n_links"), less("own").alias("n_own"))
+
+
 def handshakes(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     """Cross-service equality of a broker field: none ledger, one resolves, several are candidates.
 

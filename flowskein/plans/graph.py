@@ -378,6 +378,13 @@ def similar_documents(spark, sf_dir):
     return lm.join(links, "class").select("id", "class", "n_links")
 
 
+def similar_documents_all(spark, sf_dir):
+    """Every chunk with its class of equal word sets, and its links to chunks of any source and of its own (blank is one)."""
+    items = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lower(F.trim("source")).alias("source"), items.alias("items"))
+    return linking.similar_within(docs, "source")
+
+
 def _ledger(spark, sf_dir):
     """Unresolved references: edges to the sentinel, with their source's service and file."""
     rows = table(spark, sf_dir, "edges").filter("dst = 'unresolved' OR startswith(dst, 'unresolved:')").select(F.col("src").alias("id"), F.col("type").alias("kind"), F.col("dst").alias("name"))
@@ -427,7 +434,7 @@ QUERIES = {
         file_impact, entry_points_hit, related_files, noise_classes, test_files, min_verification, diff_spans, diff_impact, enclosing_functions, nearest_below,
         k_shortest_paths, chain_enumeration, longest_chain, flow_walk_rollup, seam, link_explorer, cross_service_edges, scope_graph, contract_coverage,
         verification_summary, file_folding, unparsed_files, channel_roles, containment_links, datastore_links, handshake_outcomes, convention_links,
-        route_handlers, shared_channel_keys, similar_documents,
+        route_handlers, shared_channel_keys, similar_documents, similar_documents_all,
         _of_both("stack_profile", rollups.stack_profile, "Profile of every service."),
         _of_both("type_counts", rollups.type_counts, "Nodes and edges by service and type."),
         _of_both("service_channels", lambda n, e: rollups.service_channels(e, n), "Channels between services."),
@@ -674,4 +681,9 @@ l AS (SELECT * FROM d WHERE source = 'docs' AND len(items) >= 2), r AS (SELECT *
 p AS (SELECT l.id, l.items, count(*) AS n_links FROM l JOIN r ON len(r.items) BETWEEN len(l.items) * 0.79 AND len(l.items) * 1.26
   WHERE len(list_intersect(l.items, r.items)) >= 2 AND len(list_intersect(l.items, r.items)) / (len(l.items) + len(r.items) - len(list_intersect(l.items, r.items))) >= 0.8 - 1e-12 GROUP BY 1, 2)
 SELECT id, sha256(array_to_string(list_sort(items), chr(1))) AS class, n_links FROM p""",
+    "similar_documents_all": """WITH d AS (SELECT row_number() OVER () AS k, CAST(doc_id AS VARCHAR) AS id, coalesce(lower(trim(source)), '') AS source,
+  coalesce(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')), []) AS items FROM documents),
+p AS (SELECT a.k, count(*) AS n_links, count(*) FILTER (a.source = b.source) AS n_own FROM d a JOIN d b ON a.k <> b.k AND len(a.items) >= 2 AND len(b.items) BETWEEN len(a.items) * 0.79 AND len(a.items) * 1.26
+  WHERE len(list_intersect(a.items, b.items)) >= 2 AND len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))) >= 0.8 - 1e-12 GROUP BY 1)
+SELECT id, source, sha256(array_to_string(list_sort(items), chr(1))) AS class, coalesce(n_links, 0) AS n_links, coalesce(n_own, 0) AS n_own FROM d LEFT JOIN p USING (k)""",
 }

@@ -129,3 +129,19 @@ def test_evidence_makes_gaps_and_conflicts(spark):
 def test_channel_roles(spark):
     rows = spark.createDataFrame([("a", ""), ("a", "producer"), ("b", "producer"), ("b", "consumer"), ("c", "both"), ("c", "consumer"), ("d", "")], "id string, role string")
     assert {r["id"]: r["role"] for r in rollups.channel_roles(rows, ["id"]).collect()} == {"a": "producer", "b": "both", "c": "both", "d": ""}
+
+
+def test_similar_within_links_all_sources(spark):
+    r = random.Random(3)
+    sets = []
+    for _ in range(40):
+        base = [f"w{r.randrange(60)}" for _ in range(r.randrange(1, 30))]
+        sets += [base, base[::-1], [*base, "x"], base[: len(base) * 9 // 10]]
+    rows = [(str(i), r.choice(["docs", "a", "b", "", None]), s) for i, s in enumerate(sets)] + [("none", "a", None), ("one", "a", ["w1"])]
+    docs = spark.createDataFrame(rows, "id string, source string, items array<string>")
+    near = lambda a, b: len(a) > 1 and len(b) > 1 and len(a & b) >= 2 and len(a & b) / len(a | b) >= 0.8 - 1e-12
+    plain = [(i, s or "", set(x or [])) for i, s, x in rows]
+    want = {i: (sum(near(x, y) for j, _, y in plain if j != i), sum(near(x, y) for j, t, y in plain if j != i and s == t)) for i, s, x in plain}
+    got = linking.similar_within(docs, "source").collect()
+    assert len(got) == len(rows) and {g["id"]: (g["n_links"], g["n_own"]) for g in got} == want
+    assert len({g["class"] for g in got}) == len({frozenset(x) for _, _, x in plain})
