@@ -44,15 +44,17 @@ def budget_prefix(items: DataFrame, by: list[str], order: list[str], cost: str,
 
     What is beyond the budget in a salted part of a group is beyond it in the
     group, so parts are cut first and the last window sees little of a large
-    group. Costs are not negative.
+    group. The item that takes a part over the budget stays until then, for it
+    is that item's cost that ends the group. Costs are not negative.
     """
-    def cut(df: DataFrame, keys: list[str]) -> DataFrame:
-        w = W.partitionBy(*keys).orderBy(*order)
-        run = df.withColumn("used", F.sum(cost).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
-        return run.filter((F.col("used") <= most) | (F.col("__n") == 1)).drop("__n")
+    def over(keys: list[str]):
+        return W.partitionBy(*keys).orderBy(*order)
 
     salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    return cut(cut(salted, [*by, "__salt"]).drop("used"), by).drop("__salt")
+    before = F.coalesce(F.sum(cost).over(over([*by, "__salt"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = salted.withColumn("__before", before).filter(F.col("__before") <= max(most, 0)).drop("__before")
+    run = parts.withColumn("used", F.sum(cost).over(over(by).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(over(by)))
+    return run.filter((F.col("used") <= most) | (F.col("__n") == 1)).drop("__n", "__salt")
 
 
 def backfill(items: DataFrame, by: str, order: str, cost: str, most: int) -> DataFrame:

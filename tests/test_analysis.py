@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,21 @@ def test_history(spark):
     assert {(r["g"], r["n"]) for r in history.budget_prefix(items, ["g"], ["n"], "cost", 110).collect()} == {("x", 1), ("x", 2), ("y", 1)}
 
 
+def test_budget_counts_what_overshoots_in_a_salt(spark):
+    r = random.Random(2)
+    rows = [("x", 1, 10), ("x", 2, 60_000), ("x", 3, 10)] + [(f"g{g}", n, r.choice([1, 5, 20, 300, None])) for g in range(20) for n in range(60)]
+    want = set()
+    for g in {g for g, _, _ in rows}:
+        used = None
+        for k, (_, n, c) in enumerate(sorted(x for x in rows if x[0] == g)):
+            used = used if c is None else (used or 0) + c
+            want |= {(g, n, used)} if k == 0 or used is not None and used <= (50_000 if g == "x" else 200) else set()
+    items = spark.createDataFrame(rows, "g string, n int, cost bigint")
+    for salts in (1, 2, 3, 64):
+        cut = lambda df, most: {(x["g"], x["n"], x["used"]) for x in history.budget_prefix(df, ["g"], ["n"], "cost", most, salts).collect()}  # noqa: E731,B023
+        assert cut(items.filter("g = 'x'"), 50_000) | cut(items.filter("g <> 'x'"), 200) == want
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / ".env").write_text("# c\nexport A='x y' # z\nB=1\nB=2 # note\n")
