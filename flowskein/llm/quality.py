@@ -22,7 +22,7 @@ from statistics import median
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled documents that profiles are fitted on: those of the lowest hash.
@@ -50,6 +50,8 @@ _FUNCTION = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.it
 _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 #: Particles and endings that run through Japanese prose.
 _KANA = "はがをにでのともからまたいるますしたことなれ"
+#: Languages with a list of function words, and Japanese by its kana.
+LANGUAGES = (*FUNCTION_WORDS, "ja")
 
 _MARK = re.compile(
     r"^[ \t]*((?:(?://+!?|/\*+|\*+/|#+!?|>+|--+|;+|%+|<!--|(?:\*|[-+•‣▪◦·–—])(?=[ \t])|\d{1,3}[.)](?=[ \t])|[a-z][.)](?=[ \t])|\[[ xX]\](?=[ \t]))[ \t]*)+)"
@@ -419,25 +421,44 @@ def _summary(profiles: Profiles, cut: list, measured: list[tuple], shapes: list[
     return lang, len(cut), share, min(held, key=lambda s: (-held[s], s)), common, words_far, chars_far
 
 
-def basic_statistics(documents: DataFrame) -> DataFrame:
+def basic_statistics(documents: DataFrame, languages: tuple[str, ...] = ("en",)) -> DataFrame:
     """Counts of every document inside the JVM; null texts count as empty.
 
     Words are runs without white space, symbols what is neither letter, digit
     nor white space, lines those that are not blank. Shares of nothing are 0.
+
+    ``common_word_share`` is that of English function words, and a line ends
+    with an ASCII mark. With several ``languages`` (of ``LANGUAGES``) the share
+    is the best of theirs, an elided article (``l'``) counts as the word it
+    begins, Japanese is the share of particle kana among letters, and
+    full-width marks end a line too.
     """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
     n_words, n_lines = F.size("__w"), F.size("__l")
-    common = F.filter("__w", lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "").isin(sorted(_FUNCTION["en"])))
-    ended = F.filter("__l", lambda x: x.rlike(r"[.!?:;,]\s*$"))
+    several = languages != ("en",)
+    bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "")
+    head = lambda w: F.regexp_replace(F.regexp_extract(w, "^([^'’]+['’])", 1), "’", "'")
+
+    def common(lang: str) -> Column:
+        """Share of a language's function words in ``__b``, the words without outer marks."""
+        if lang == "ja":
+            count = lambda but: F.length(F.regexp_replace("__t", but, ""))
+            return F.when(F.col("__t").rlike("[ぁ-ゞ]"), F.try_divide(count(f"[^{_KANA}]"), count(r"[^\p{L}]")))
+        known = sorted(_FUNCTION[lang])
+        met = lambda w: w.isin(known) | head(w).isin(known) if several else w.isin(known)
+        return F.try_divide(F.size(F.filter("__b", met)), n_words)
+
+    shares = [F.coalesce(common(lang), F.lit(0.0)) for lang in languages]
+    ended = F.filter("__l", lambda x: x.rlike(r"[.!?:;,。！？：；，、．]\s*$" if several else r"[.!?:;,]\s*$"))
     share = lambda part, whole: F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 6)
-    return documents.select("doc_id", text.alias("__t"), words.alias("__w"), lines.alias("__l")).select(
+    return documents.select("doc_id", text.alias("__t"), words.alias("__w"), lines.alias("__l")).withColumn("__b", F.transform("__w", bare)).select(
         "doc_id",
         n_words.cast("bigint").alias("n_words"),
         n_lines.cast("bigint").alias("n_lines"),
         share(F.length(F.array_join("__w", "")), n_words).alias("mean_word_chars"),
         share(F.length(F.regexp_replace("__t", r"[\p{L}\p{N}\s]", "")), F.length("__t")).alias("symbol_share"),
         share(F.size(ended), n_lines).alias("ended_line_share"),
-        share(F.size(common), n_words).alias("common_word_share"),
+        F.round(F.greatest(*shares) if several else shares[0], 6).alias("common_word_share"),
     )
