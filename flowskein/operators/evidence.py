@@ -133,7 +133,7 @@ def verdict(n_unresolved: Column, dynamic: Column, n_candidate: Column, n_stale:
     return F.array_join(F.array_sort(causes), ",")
 
 
-def per_type_top(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+def per_type_top(rows: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 

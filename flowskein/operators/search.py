@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowskein.functions.predicates import is_test_file, test_rank_penalty
-from flowskein.functions.scalars import content_hash, cosine, is_exact, rounded_score, search_tokens
+from flowskein.functions.scalars import content_hash, cosine, dot, is_exact, norm, rounded_score, search_tokens
 from flowskein.operators.evidence import per_type_top
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -57,18 +57,32 @@ def cosine_top(vectors: DataFrame, query: list[float], k: int, by: str = "type")
     return per_type_top(vectors.withColumn("score", F.round(cosine(F.col("vector"), q), 9)).drop("vector"), by, [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def rrf(lexical: DataFrame, semantic: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+def cosine_top_each(vectors: DataFrame, queries: DataFrame, k: int, by: str = "type") -> DataFrame:
+    """Brute-force cosine of all vectors against each of ``queries`` (``query_id``, ``query``); the best ``k`` of each query and type.
+
+    Neither side goes to the driver. Every block of queries meets every block of
+    rows, and a block keeps its best before the shuffle.
+    """
+    v, q = vectors.withColumn("__n", norm(F.col("vector"))), queries.withColumn("__m", norm(F.col("query")))
+    both = F.col("__n") * F.col("__m")
+    score = F.round(F.when(both == 0, 0.0).otherwise(dot(F.col("vector"), F.col("query")) / both), 9)
+    scored = v.crossJoin(q).withColumn("score", score).drop("vector", "query", "__n", "__m")
+    return per_type_top(scored, ["query_id", by], [F.col("score").desc(), F.col("doc_id")], k)
+
+
+def rrf(lexical: DataFrame, semantic: DataFrame, exact: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion of two rankings (``doc_id``, ``rank``): score, and which arms hit.
 
     ``exact`` (``doc_id``) marks exact hits, which come first whatever their score.
+    With ``by`` (of both rankings) each of its values is fused apart.
     """
-    a = lexical.select("doc_id", F.col("rank").alias("__l"))
-    b = semantic.select("doc_id", F.col("rank").alias("__s"))
-    both = a.join(b, "doc_id", "full")
+    a = lexical.select(*by, "doc_id", F.col("rank").alias("__l"))
+    b = semantic.select(*by, "doc_id", F.col("rank").alias("__s"))
+    both = a.join(b, [*by, "doc_id"], "full")
     both = both.join(exact.select("doc_id", F.lit(True).alias("__x")), "doc_id", "left") if exact is not None else both.withColumn("__x", F.lit(False))
     part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
     label = F.when(F.col("__x"), "exact").when(F.col("__l").isNotNull() & F.col("__s").isNotNull(), "fused").when(F.col("__l").isNotNull(), "lexical").otherwise("semantic")
-    return both.select("doc_id", (part("__l") + part("__s")).alias("score"), label.alias("match"))
+    return both.select(*by, "doc_id", (part("__l") + part("__s")).alias("score"), label.alias("match"))
 
 
 def capped(fused: DataFrame, types: DataFrame, caps: dict[str, int], most: int) -> DataFrame:

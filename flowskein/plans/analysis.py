@@ -172,6 +172,19 @@ def cosine_topk_per_type(spark, sf_dir):
     return search.cosine_top(v, q, 5).select("doc_id", "type", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 
 
+def _cosine_each(spark, sf_dir, k: int) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all."""
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("type"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.cosine_top_each(v, q, k)
+
+
+def cosine_topk_per_query(spark, sf_dir):
+    """Nearest five of every label to every vector whose id is divisible by 50."""
+    return _cosine_each(spark, sf_dir, 5).select("query_id", "doc_id", "type", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
+
+
 def rrf_fusion(spark, sf_dir):
     """Lexical and vector ranks fused."""
     v, q = _vectors(spark, sf_dir)
@@ -179,6 +192,14 @@ def rrf_fusion(spark, sf_dir):
     return search.rrf(lexical, search.cosine_top(v, q, 50).select("doc_id", "rank")).groupBy("doc_id", "match").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+def rrf_fusion_per_query(spark, sf_dir):
+    """As rrf_fusion, for every vector whose id is divisible by 50."""
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    lexical = _lexical(spark, sf_dir, 50).select("doc_id", "rank").crossJoin(queries)
+    fused = search.rrf(lexical, _cosine_each(spark, sf_dir, 50).select("query_id", "doc_id", "rank"), by=("query_id",))
+    return fused.groupBy("query_id", "doc_id", "match").agg(F.round(F.max("score"), 6).alias("score"))
+
+
 def exact_first_search(spark, sf_dir):
     """The first 20 nodes for a name: exact labels, then production files."""
     return search.search_nodes(nodes(spark, sf_dir), "sinkhole sink", 20).select("id", "exact", F.col("n_words").cast("bigint").alias("n_words"))
@@ -207,6 +228,12 @@ def rank_margins(spark, sf_dir):
     return search.rank_margin(search.cosine_top(v, q, 2).select("type", "doc_id", "score"), ["type"]).select("type", "doc_id", F.round("margin", 2).alias("margin"))
 
 
+def rank_margins_per_query(spark, sf_dir):
+    """As rank_margins, for every vector whose id is divisible by 50."""
+    rows = _cosine_each(spark, sf_dir, 2).select("query_id", "type", "doc_id", "score")
+    return search.rank_margin(rows, ["query_id", "type"]).select("query_id", "type", "doc_id", F.round("margin", 2).alias("margin"))
+
+
 def _eval(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "eval_baseline").select("run_id", "repo", F.lower(F.trim("case_id")).alias("case_id"), "kind", "recall", "precision_score", "honest_misses", "silent_misses", "hard_fail")
     return rows.distinct()
@@ -337,8 +364,8 @@ QUERIES = {
     for f in (
         reconcile_states, reconcile_report, runtime_coverage, provider_pairs, rule_proposals, evidence_fusion, yield_scorecard, yield_gate, ledger_retraction,
         provider_files, epistemic_verdicts, compact_sources, spans_parent_child, spans_flow_records, span_outcomes, session_summaries, session_coverage,
-        contract_http, normalized_paths, bm25_search, fts_per_type, cosine_topk_per_type, rrf_fusion, exact_first_search, resolve_target, embed_delta,
-        doc_chunks, rank_margins, eval_report, eval_gate, arm_summary, ab_pairing_median, promoted_gaps, case_scores, promotion_diff, trend_delta,
+        contract_http, normalized_paths, bm25_search, fts_per_type, cosine_topk_per_type, cosine_topk_per_query, rrf_fusion, rrf_fusion_per_query, exact_first_search, resolve_target, embed_delta,
+        doc_chunks, rank_margins, rank_margins_per_query, eval_report, eval_gate, arm_summary, ab_pairing_median, promoted_gaps, case_scores, promotion_diff, trend_delta,
         growth_flags, budget_prefix, budget_backfill, per_file_caps, previous_click, stream_tumbling_counts, stream_sliding_counts, stream_sessions,
     )
 }
@@ -408,6 +435,10 @@ _COS = """cq AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 cs AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS type, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) AS score FROM embeddings, cq),
 cr AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, doc_id) AS rank FROM cs)
 """
+_COS_EACH = """es AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, CAST(e.label AS VARCHAR) AS type, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0),
+er AS (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, doc_id) AS rank FROM es)
+"""
 _EVAL = "WITH v AS (SELECT DISTINCT run_id, repo, lower(trim(case_id)) AS case_id, kind, recall, precision_score, honest_misses, silent_misses, hard_fail FROM eval_baseline)"
 _CALLS = "WITH c AS (SELECT DISTINCT id, ts, duration_ms, result_bytes, status, error, lower(trim(tool)) AS tool, lower(trim(source)) AS source FROM tool_calls)"
 
@@ -466,6 +497,14 @@ FROM s LEFT JOIN fl ON fl.trace_id = s.trace_id AND fl.span_id = s.span_id AND f
     "bm25_search": _BM + "SELECT doc_id, score FROM bm",
     "fts_per_type": _BM + "SELECT doc_id, type, row_number() OVER (PARTITION BY type ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10",
     "cosine_topk_per_type": "WITH " + _COS + "SELECT doc_id, type, rank, round(score, 5) AS score FROM cr WHERE rank <= 5",
+    "cosine_topk_per_query": "WITH " + _COS_EACH + "SELECT query_id, doc_id, type, rank, round(score, 5) AS score FROM er WHERE rank <= 5",
+    "rrf_fusion_per_query": _BM
+    + ", l AS (SELECT bm.doc_id, bm.type, row_number() OVER (PARTITION BY type ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 50), lq AS (SELECT q.vec_id AS query_id, l.doc_id, l.rank FROM l JOIN embeddings q ON q.vec_id % 50 = 0), "
+    + _COS_EACH
+    + """SELECT query_id, doc_id, match, round(max(score), 6) AS score FROM (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL AND v.doc_id IS NOT NULL THEN 'fused' WHEN l.doc_id IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS match,
+  coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score FROM lq l FULL JOIN (SELECT * FROM er WHERE rank <= 50) v ON v.doc_id = l.doc_id AND v.query_id = l.query_id) GROUP BY 1, 2, 3""",
+    "rank_margins_per_query": "WITH " + _COS_EACH
+    + "SELECT a.query_id, a.type, a.doc_id, round(round(coalesce(a.score - b.score, 0), 3), 2) AS margin FROM er a LEFT JOIN er b ON b.query_id = a.query_id AND b.type = a.type AND b.rank = 2 WHERE a.rank = 1",
     "rrf_fusion": _BM
     + ", l AS (SELECT doc_id, row_number() OVER (PARTITION BY type ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 50), "
     + _COS

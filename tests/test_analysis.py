@@ -147,6 +147,18 @@ def test_budget_counts_what_overshoots_in_a_salt(spark):
         assert cut(items.filter("g = 'x'"), 50_000) | cut(items.filter("g <> 'x'"), 200) == want
 
 
+def test_cosine_answers_every_query(spark):
+    r = random.Random(4)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(8)] if i else [0.0] * 8, "ab"[i % 2]) for i in range(60)]
+    v = spark.createDataFrame(rows, "doc_id int, vector array<float>, type string")
+    q = v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"))
+    key = lambda x: (x["doc_id"], x["type"], x["rank"], x["score"])
+    got = search.cosine_top_each(v, q, 3).collect()
+    assert len(got) == 3 * 2 * 3
+    for one in q.collect():
+        assert {key(x) for x in got if x["query_id"] == one["query_id"]} == {key(x) for x in search.cosine_top(v, one["query"], 3).collect()}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / ".env").write_text("# c\nexport A='x y' # z\nB=1\nB=2 # note\n")
