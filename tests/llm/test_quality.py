@@ -38,10 +38,7 @@ def test_held_out_accuracy(corpus):
     profiles = quality.Profiles().fit([t for _, t in train], [s for s, _ in train])
     right = 0
     for shape, text in test:
-        cut = quality.units(text)
-        _, found = profiles.nearest([quality.measure(*u) for u in cut])
-        sizes = np.array([u[2] for u in cut], dtype=float)
-        right += (sizes[found].sum() * 2 >= sizes.sum()) == (shape == "prose")
+        right += (quality.describe_batch(profiles, [1], [quality.units(text)])["prose_share"][0] >= 0.5) == (shape == "prose")
     assert right / len(test) >= 0.95
 
 
@@ -53,8 +50,6 @@ def test_documents_of_every_kind(spark, corpus):
     assert len(rows) == len(docs)
     by = {r["doc_id"]: r for r in rows}
     assert all(by[i]["shape"] == "blank" and by[i]["prose_share"] == 0 for i in (900, 901, 902)) and by[903]["n_units"] == 1
-    unfitted = quality.profile_documents(documents.limit(20), quality.fit_profiles(documents, labels.limit(0))).collect()
-    assert {r["shape"] for r in unfitted} <= {"prose", "junk"}
     assert quality.profile_documents(documents.limit(0), quality.fit_profiles(documents.limit(0), labels)).count() == 0
 
 
@@ -84,3 +79,46 @@ def test_counts_know_all_languages(spark):
     letters = "この文書はとても短いまた見ることにします"
     assert every[3]["common_word_share"] == round(sum(c in quality._KANA for c in letters) / len(letters), 6) and every[3]["ended_line_share"] == 1.0
     assert english[4]["common_word_share"] == 0.6 and english[3]["ended_line_share"] == 0.0
+
+
+def test_same_method_whatever_the_labels(corpus):
+    """Without labels, or with labels of one kind, the examples of the module give all profiles."""
+    for labelled in ([], [x for x in corpus if x[0] == "prose"][:60], [x for x in corpus if x[0] == "code"][:40]):
+        profiles = quality.Profiles().fit([t for _, t in labelled], [s for s, _ in labelled])
+        assert set(profiles.shape_of) == set(range(len(quality.SHAPES)))
+        found = quality.describe_batch(profiles, list(range(len(corpus))), [quality.units(t) for _, t in corpus])
+        right = (found["prose_share"] >= 0.5) == np.array([s == "prose" for s, _ in corpus])
+        assert right.mean() >= 0.75
+
+
+def test_batches_do_not_change_what_is_measured():
+    """Units measured together equal the same units measured one by one."""
+    texts = ["The node's file is (not) here_yet: see src/a.go.\nIt was there, and it is not.", "", "c'est l’arête d'un graphe", "//\n// x", "この文書はとても短いです。", "a\tb\t12\n-\t-\t\n", "Ωμέγα и слово 한글", "\x00\ud800 odd", "x" * 5_000]
+    cut = [u for t in texts for u in quality.units(t)]
+    together = quality.measure(cut)
+    for i, u in enumerate(cut):
+        one = quality.measure([u])
+        assert np.allclose(one.plain[0], together.plain[i]) and np.allclose(one.chars[0], together.chars[i]) and np.allclose(one.steps[0], together.steps[i])
+        assert one.lang[0] == together.lang[i]
+        mine = together.function[0] == i
+        assert np.array_equal(one.function[1], together.function[1][mine]) and np.allclose(one.function[2], together.function[2][mine])
+
+
+def test_measures_by_hand():
+    plain = dict(zip(quality.PLAIN, quality.measure(quality.units("The node of the file.\nparseNode calls it, the the end"))
+                     .plain[0]))
+    assert plain["log_words"] == pytest.approx(np.log1p(11)) and plain["function"] == pytest.approx(6 / 11)
+    assert plain["lines_end"] == 0.5 and plain["twice"] == pytest.approx(1 / 11) and plain["ident"] == pytest.approx(9 / 54)  # every line counts its end
+    french = quality.measure(quality.units("c'est l’arête"))
+    assert french.lang[0] == list(quality.LANGUAGES).index("fr") and french.plain[0][quality.PLAIN.index("function")] == pytest.approx(3 / 4)
+
+
+def test_divergence_from_profiles_is_that_of_the_whole_distributions(corpus):
+    profiles = quality.Profiles().fit([t for _, t in corpus], [s for s, _ in corpus])
+    m = quality.measure(quality.units(corpus[0][1]) + quality.units("Das ist nicht der Knoten und auch keine Kante"))
+    whole = np.zeros((len(m), quality._PLACES))
+    whole[m.function[0], m.function[1]] = m.function[2]
+    want = [quality.jsd(p, profiles.function[l]) for p, l in zip(whole, m.lang)]
+    assert np.allclose(profiles.divergences(m)[0], want)
+    assert quality._point_jsd(np.array([0.0, 1.0])).tolist() == [1.0, 0.0]
+    assert quality._point_jsd(np.array([0.3]))[0] == pytest.approx(quality.jsd(np.array([1.0, 0, 0]), np.array([0.3, 0.5, 0.2])))
