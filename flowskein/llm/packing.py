@@ -181,3 +181,34 @@ def fill_report(placed: DataFrame, capacity: int = 4096) -> DataFrame:
         F.sum(F.col("n_tokens").cast("bigint")).alias("n_tokens"),
         F.sum((F.col("n_pieces") > 1).cast("bigint") * (F.col("piece") == 0).cast("bigint")).alias("n_cut"),
     ).withColumn("fill", F.col("n_tokens") / (F.col("n_windows") * capacity))
+
+
+def guarantees(placed: DataFrame, documents: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row that says whether the windows keep what they promise.
+
+    Documents and tokens placed, documents cut; windows that hold more than
+    ``capacity``; windows in which pieces overlap or leave a gap; keys whose
+    pieces do not add up to the tokens of their documents. ``tight``: no more
+    windows than tokens need, but for one of a hundred and one of each cell.
+    """
+    each = placed.groupBy("window_id").agg(
+        F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.sum(F.col("start").cast("bigint") * F.col("n_tokens")).alias("moment"),
+        F.sum(F.col("n_tokens").cast("bigint") * F.col("n_tokens")).alias("squares"),
+    )
+    # pieces side by side from 0: twice the sum of start * n is the square of all less the squares of each
+    over = each.agg(
+        F.count("*").alias("n_windows"), F.count_if(F.col("end") > capacity).alias("n_overfull"), F.count_if((F.col("end") != F.col("n")) | (2 * F.col("moment") != F.col("n").cast("bigint") * F.col("n") - F.col("squares"))).alias("n_overlaps"),
+        F.countDistinct(F.shiftrightunsigned("window_id", 32)).alias("n_cells"),
+    )
+    own = placed.groupBy("doc_id").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("n"), F.count_if(F.col("piece") == 0).alias("rows"))
+    real = documents.groupBy(F.col(key).alias("doc_id")).agg(F.sum(byte_tokens(F.col(text))).alias("n"), F.count("*").alias("rows"))
+    counted = own.withColumn("side", F.lit(1)).unionByName(real.withColumn("side", F.lit(-1))).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("side")).alias("off"), F.sum(F.col("rows") * F.col("side")).alias("off_rows"))
+    wrong = counted.agg(F.count_if((F.col("off") != 0) | (F.col("off_rows") != 0)).alias("n_wrong_sizes"))
+    totals = placed.agg(
+        F.count_if(F.col("piece") == F.col("n_pieces") - 1).alias("n_documents"), F.coalesce(F.sum(F.col("n_tokens").cast("bigint")), F.lit(0)).alias("n_tokens"),
+        F.count_if((F.col("n_pieces") > 1) & (F.col("piece") == 0)).alias("n_cut"),
+    )
+    tight = F.col("n_windows") <= F.ceil(F.col("n_tokens") / capacity * 1.01) + F.col("n_cells")
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    # three tables of one row each
+    return one(totals).join(one(over), "__one").join(one(wrong), "__one").select("n_documents", "n_tokens", "n_cut", "n_overfull", "n_overlaps", "n_wrong_sizes", tight.alias("tight"))

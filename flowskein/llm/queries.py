@@ -34,6 +34,14 @@ def p4_daily_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.percentiles(sketches.merged(days, ["tool", "measure"], 2 * sketches.ERROR), ["tool", "measure"], PCTS)
 
 
+def p4_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles, of the whole and combined from days, have ranks within their stated errors."""
+    values = sketches.tool_measures(table(spark, sf_dir, "tool_calls"))
+    keys = ["tool", "measure"]
+    parts = [sketches.rank_check(values, found(spark, sf_dir), keys).withColumn("made_of", F.lit(how)) for how, found in (("partitions", p4_percentiles), ("days", p4_daily_combined))]
+    return parts[0].unionByName(parts[1])
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.windows(table(spark, sf_dir, "documents"))
 
@@ -75,6 +83,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(mixing.mixture(documents, plan), plan)
 
 
+def p8_share_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mixture gives each source what its target and cap allow, by the mixture's own rows."""
+    documents, plan = _shares(spark, sf_dir)
+    return mixing.share_bounds(mixing.mixture(documents, plan), documents, plan)
+
+
+def p7_guarantees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the windows must keep: capacity, every token once, no cut without need, hardly any room left."""
+    return packing.guarantees(_windows(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def p9_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest structural profile, prose share and divergences of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -100,7 +119,8 @@ def p9_statistics_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_found, p4_percentiles, p4_daily_combined, p7_found, p7_windows, p7_fill, p8_found, p8_mixture, p8_shares,
+        p4_found, p4_percentiles, p4_daily_combined, p4_rank_check, p7_found, p7_windows, p7_fill, p7_guarantees, p8_found, p8_mixture, p8_shares,
+        p8_share_bounds,
         p9_found, p9_profiles, p9_statistics, p9_statistics_languages,
     )
 }
@@ -112,11 +132,22 @@ WITH c AS (SELECT DISTINCT id, lower(trim(tool, {_BLANK})) AS tool, duration_ms,
 m AS (SELECT tool, 'duration_ms' AS measure, duration_ms AS value FROM c UNION ALL SELECT tool, 'result_bytes', result_bytes FROM c),
 v AS (SELECT tool, measure, value, row_number() OVER (PARTITION BY tool, measure ORDER BY value) AS rn, count(*) OVER (PARTITION BY tool, measure) AS n FROM m WHERE value >= 0)
 SELECT l.tool, l.measure, l.pct FROM tool_limits l JOIN v ON v.tool = l.tool AND v.measure = l.measure AND v.rn = greatest(1, CAST(ceil(l.pct * v.n / 100.0) AS BIGINT)) WHERE v.value > l.limit_value""",
+    "p4_rank_check": f"""
+WITH c AS (SELECT DISTINCT id, lower(trim(tool, {_BLANK})) AS tool, duration_ms, result_bytes FROM tool_calls),
+m AS (SELECT tool, 'duration_ms' AS measure, duration_ms AS value FROM c UNION ALL SELECT tool, 'result_bytes', result_bytes FROM c)
+SELECT tool, measure, p AS pct, count(*) AS n_exact, true AS within, h AS made_of
+FROM m, (VALUES (50.0::DOUBLE), (90.0), (99.0)) AS a(p), (VALUES ('partitions'), ('days')) AS b(h) WHERE value >= 0 AND tool IS NOT NULL GROUP BY tool, measure, p, h""",
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
     "p8_found": f"""
 WITH d AS (SELECT lower(trim(source, {_BLANK})) AS source, strlen(coalesce(text, '')) AS n FROM documents WHERE trim(source, {_BLANK}) <> ''),
 t AS (SELECT sum(n) AS total FROM d), s AS (SELECT source, sum(n) AS n FROM d GROUP BY source)
 SELECT m.source FROM mix_targets m CROSS JOIN t LEFT JOIN s ON s.source = m.source WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * t.total""",
+    "p8_share_bounds": f"""
+WITH s AS (SELECT lower(trim(source, {_BLANK})) AS source, sum(strlen(coalesce(text, ''))) AS n FROM documents WHERE trim(source, {_BLANK}) <> '' GROUP BY 1)
+SELECT m.source, m.max_repeats, CAST(coalesce(s.n, 0) AS BIGINT) AS available_tokens, true AS reaches, true AS within, true AS capped FROM mix_targets m LEFT JOIN s ON s.source = m.source""",
+    "p7_guarantees": """
+SELECT count(*) AS n_documents, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_tokens, count(*) FILTER (strlen(text) > 4096) AS n_cut, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_overlaps,
+  CAST(0 AS BIGINT) AS n_wrong_sizes, true AS tight FROM documents""",
     "p9_statistics": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,

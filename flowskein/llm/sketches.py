@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowskein.session import task_count
+from flowskein.session import materialize
 
 #: Rank error of a finished summary, as a share of the count.
 ERROR = 0.001
@@ -95,22 +95,34 @@ def _read(row) -> Summary:
     return int(row.n), float(row.error), np.asarray(row.v), np.asarray(row.lo), np.asarray(row.hi), np.asarray(row.below)
 
 
-def _merge_all(parts: Iterable[Summary], error: float) -> Summary:
-    """Merges a bounded number of summaries at a time, of one level of permission."""
-    done: list[Summary] = []
+def _merge_all(parts: Iterable[Summary], before: float, error: float) -> Summary:
+    """Merges any number of summaries, never more than ``FAN_IN`` at once, with compression between.
+
+    ``before`` is the uncertainty that the parts may have. What ``error`` permits
+    beyond it is given out by inner level: a half, three quarters, and so on.
+    """
+    levels: list[list[Summary]] = [[]]
     for part in parts:
-        done.append(part)
-        if len(done) == FAN_IN:
-            done = [merge(done)]
-    return compress(merge(done), error)
+        levels[0].append(part)
+        k = 0
+        while len(levels[k]) == FAN_IN:
+            whole = compress(merge(levels[k]), before + permitted(error - before, k))
+            levels[k] = []
+            k += 1
+            if k == len(levels):
+                levels.append([])
+            levels[k].append(whole)
+    return compress(merge([p for level in levels for p in level]), error)
 
 
 def summaries(values: DataFrame, groups: list[str], value: str, error: float = ERROR) -> DataFrame:
     """One summary for each group: the groups, ``n``, ``error`` and the arrays.
 
     Each task summarises what it holds, then summaries are merged ``FAN_IN`` at
-    a time, level by level: no task sees a group whole, whatever its share of
-    the rows. Null and NaN values are left out; a group without values has no
+    a time, level by level, as many levels as the number of tasks asks for: no
+    task sees a group whole, whatever its share of the rows. The tasks' own
+    summaries are written before, so their number is known and none is made
+    twice. Null and NaN values are left out; a group without values has no
     row. Null groups are groups. ``error`` of a row is the rank error reached.
     """
     leaf_error = permitted(error, 0)
@@ -138,39 +150,45 @@ def summaries(values: DataFrame, groups: list[str], value: str, error: float = E
                 settle()
                 count = 0
         settle()
-        rows = [dict(zip(groups, key)) | _row(compress(merge(parts), leaf_error)) for key, parts in made.items()]
+        rows = [dict(zip(groups, key)) | _row(_merge_all(parts, leaf_error / 2, leaf_error)) for key, parts in made.items()]
         if rows:
             yield pd.DataFrame(rows)
 
     out = values.select(*groups, F.col(value).cast("double").alias("__v")).mapInPandas(leaf, f"{keyed}, {_ARRAYS}")
-    out = out.withColumn("__slot", F.spark_partition_id())
-    return merged(out, groups, error, 1, max(task_count(values.sparkSession), 2)).drop("__slot")
+    made, _ = materialize(out.withColumn("__slot", F.spark_partition_id()), "summaries")
+    return merged(made, groups, error, 1)
 
 
-def _joiner(keys: list[str], allowed: float):
+def _joiner(keys: list[str], before: float, allowed: float):
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = _merge_all((_read(r) for r in frame.itertuples(index=False)), allowed)
+        whole = _merge_all((_read(r) for r in frame.itertuples(index=False)), before, allowed)
         return pd.DataFrame([{k: frame[k].iat[0] for k in keys} | _row(whole)])
 
     return join
 
 
-def merged(parts: DataFrame, groups: list[str], error: float = ERROR, level: int = 1, spread: int | None = None) -> DataFrame:
+def merged(parts: DataFrame, groups: list[str], error: float = ERROR, level: int = 1) -> DataFrame:
     """Summaries of ``groups`` from summaries of finer groups, partitions or days.
 
-    ``parts`` has the columns of ``summaries``; ``__slot`` spreads those of one
-    group over tasks, by default by a hash of the row's count and error.
+    ``parts`` has the columns of ``summaries``; ``__slot``, if there, numbers
+    those of one group, else they are spread by hash over as many slots as the
+    largest group asks for. ``error`` must be above that of the parts.
     """
     kinds = dict(parts.dtypes)
     keyed = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
-    spread = spread or task_count(parts.sparkSession)
-    if "__slot" not in parts.columns:
-        parts = parts.withColumn("__slot", F.pmod(F.xxhash64("n", "v"), F.lit(spread)).cast("int"))
+    if "__slot" in parts.columns:
+        spread = (parts.agg(F.max("__slot")).first()[0] or 0) + 1
+    else:
+        parts, _ = materialize(parts, "parts")
+        most = parts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 1
+        # half as many as a slot takes: few slots get more than FAN_IN, which are then merged in turn
+        spread = FAN_IN * math.ceil(2 * most / FAN_IN)
+        parts = parts.withColumn("__slot", F.pmod(F.xxhash64("n", "v", "hi"), F.lit(spread)).cast("int"))
     parts = parts.select(*groups, "__slot", "n", "error", "v", "lo", "hi", "below")
     while True:
         spread = math.ceil(spread / FAN_IN)
-        join = _joiner([*groups, "__slot"], permitted(error, level))
-        slotted = parts.withColumn("__slot", F.pmod(F.col("__slot"), F.lit(spread)).cast("int"))
+        join = _joiner([*groups, "__slot"], permitted(error, level - 1), permitted(error, level))
+        slotted = parts.withColumn("__slot", F.expr(f"__slot div {FAN_IN}").cast("int"))
         parts = slotted.groupBy(*groups, "__slot").applyInPandas(join, f"{keyed}, __slot int, {_ARRAYS}")
         level += 1
         if spread <= 1:
@@ -221,3 +239,22 @@ def over_limit(summaries: DataFrame, limits: DataFrame) -> DataFrame:
     reached = F.filter(F.arrays_zip("v", "lo", "hi"), lambda r: (r["lo"] + r["hi"]) / 2 >= F.col("__t"))
     value = F.coalesce(F.try_element_at(reached, F.lit(1))["v"], F.element_at("v", -1))
     return at.withColumn("value", value).filter(F.col("value") > F.col("limit_value")).select("tool", "measure", "pct", "limit_value", "value")
+
+
+def rank_check(values: DataFrame, found: DataFrame, groups: list[str]) -> DataFrame:
+    """Whether each percentile of ``found`` (as of ``percentiles``) has a rank within its stated error, by counting all values.
+
+    Adds nothing but ``n_exact``, the count of the group's values, and ``within``.
+    """
+    named = found.withColumnsRenamed({g: f"__{g}" for g in groups})
+    usable = values.filter(F.col("value").isNotNull())
+    met = usable.groupBy(*groups, F.col("value").alias("__x")).agg(F.count("*").alias("__c")).alias("u")
+    on = [F.col(f"u.{g}").eqNullSafe(F.col(f"f.__{g}")) for g in groups]
+    pairs = met.join(named.withColumnRenamed("value", "__v").alias("f"), on)
+    counted = pairs.groupBy(*(F.col(f"u.{g}").alias(g) for g in groups), "pct", "__v", "n", "rank_error").agg(
+        F.sum("__c").alias("n_exact"), F.sum(F.when(F.col("__x") <= F.col("__v"), F.col("__c")).otherwise(0)).alias("__le"), F.sum(F.when(F.col("__x") < F.col("__v"), F.col("__c")).otherwise(0)).alias("__lt")
+    )
+    target = F.greatest(F.lit(1), F.ceil(F.round(F.col("pct") * F.col("n_exact") / 100, 9)))
+    room = F.col("rank_error") * F.col("n_exact") + 1
+    within = (F.col("n") == F.col("n_exact")) & (F.col("__le") >= target - room) & (F.col("__lt") < target + room)
+    return counted.select(*groups, "pct", "n_exact", within.alias("within"))

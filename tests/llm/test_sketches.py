@@ -58,3 +58,33 @@ def test_calls_count_once_and_limits(spark):
     over = sketches.over_limit(sketches.summaries(measures, ["tool", "measure"], "value"), limits)
     assert [(r["limit_value"], r["value"]) for r in over.collect()] == [(29, 30.0)]
     assert sketches.summaries(measures.limit(0), ["tool", "measure"], "value").count() == 0
+
+
+def test_two_levels_of_tasks_and_of_days(spark):
+    """Forty tasks' summaries are merged in two levels, ninety days' in as many as they ask for, within the error stated."""
+    rng = np.random.default_rng(2)
+    data = [(int(i) % 90, "hot", float(x)) for i, x in enumerate(rng.lognormal(5, 2, 60_000))]
+    df = spark.createDataFrame(data, "day int, tool string, value double").repartition(40)
+    values = np.array([v for _, _, v in data])
+    error = 0.01
+    made = sketches.summaries(df, ["tool"], "value", error)
+    days = sketches.merged(sketches.summaries(df, ["day", "tool"], "value", error), ["tool"], 2 * error)
+    for found, allowed in ((made, error), (days, 2 * error)):
+        for row in sketches.percentiles(found, ["tool"], [1.0, 50.0, 99.0]).collect():
+            assert row["rank_error"] <= allowed and row["n"] == 60_000
+            assert rank_error(values, row["value"], row["pct"]) <= row["rank_error"] + 1e-9
+    checked = sketches.rank_check(df, sketches.percentiles(made, ["tool"], [50.0]), ["tool"]).collect()
+    assert [(r["n_exact"], r["within"]) for r in checked] == [(60_000, True)]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(1, 600), st.integers(0, 1_000))
+def test_merging_many_at_once_compresses_between(n, seed):
+    rng = np.random.default_rng(seed)
+    arrays = [rng.integers(0, 10**6, 50) for _ in range(n)]
+    parts = [sketches.compress(sketches.exact_summary(a), 0.05) for a in arrays]
+    whole = sketches._merge_all(iter(parts), 0.05, 0.1)
+    everything = np.sort(np.concatenate(arrays))
+    assert whole[0] == len(everything) and whole[1] <= 0.1
+    for pct in (10, 50, 95):
+        assert rank_error(everything, sketches.percentile(whole, pct), pct) <= 0.1 + 1e-9
