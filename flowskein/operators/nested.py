@@ -4,15 +4,16 @@ A node's Dewey label is the list of ordinals on the way to it, so its parent's
 label is the label without its last part: parent links need no join. Nodes are
 grouped into tables by schema path (the member names on the way, no ordinals).
 
-``dewey_tables`` walks known schema paths inside the JVM on the VARIANT type;
+``dewey_tables`` labels known schema paths inside the JVM on the VARIANT type;
 ``dewey_nodes`` labels every node of records of unknown depth.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,7 +46,7 @@ def complete_objects(df: DataFrame, body: str, out: str) -> DataFrame:
 
 
 def members(value: Column, name: str) -> Column:
-    """Array member ``name`` of an object, empty where absent, null or no array."""
+    """Array at the path ``name`` below an object, empty where absent, null or no array."""
     return F.coalesce(
         F.try_variant_get(value, f"$.{name}", "array<variant>"), F.expr("cast(array() as array<variant>)")
     )
@@ -56,184 +57,328 @@ def text_of(value: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(value, path, "string"), F.lit(""))
 
 
+Getter = str | Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Level:
-    """One schema path: its array member below the parent level, and the fields to keep."""
+    """One schema path: an array below the nodes of ``parent`` ('' for the record), and what to keep of its elements.
+
+    A field is a JSON path, whose text is kept ('' where absent), or a function
+    from the node's VARIANT to a column of a type that has an order.
+    """
 
     table: str
-    member: str
-    fields: dict[str, str]
+    parent: str
+    path: str
+    fields: dict[str, Getter] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Trees:
+    """Records whose labelled nodes are still packed: one array of (``dewey``, fields) for each schema path."""
+
+    packed: DataFrame
+    levels: dict[str, Level]
+
+    def table(self, name: str, inherited: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+        """Nodes of one schema path: ``record_key``, ``dewey``, ``parent_dewey`` (its truncation) and the fields.
+
+        ``inherited`` names columns that are fields of an ancestor, as
+        ``{column: (table, field)}``: its label is the node's, cut to its
+        length, and it is looked up in the same record's packed nodes.
+        """
+        rows = self.packed.select("*", F.explode(name).alias("__n"))
+        taken = {column: self._ancestor(table).getField(of) for column, (table, of) in (inherited or {}).items()}
+        kept = [c for c in self.packed.columns if c not in self.levels]
+        return rows.select(
+            *kept,
+            F.col("__n.dewey").alias("dewey"),
+            F.expr("slice(__n.dewey, 1, size(__n.dewey) - 1)").alias("parent_dewey"),
+            *(F.col(f"__n.{f}").alias(f) for f in self.levels[name].fields),
+            *(value.alias(column) for column, value in taken.items()),
+        )
+
+    def _ancestor(self, table: str) -> Column:
+        depth = 1
+        level = self.levels[table]
+        while level.parent:
+            level, depth = self.levels[level.parent], depth + 1
+        if depth == 1:  # nodes of the first level are packed in the order of their only ordinal
+            return F.get(F.col(table), F.col("__n.dewey")[0])
+        cut = F.slice(F.col("__n.dewey"), 1, depth)
+        return F.try_element_at(F.filter(table, lambda x: x["dewey"] == cut), F.lit(1))
+
+
+def _labelled(value: Column, levels: dict[str, Level], table: str) -> Column:
+    """Array of (``dewey``, ``node``) of all nodes of a level, in document order."""
+    level = levels[table]
+    child = lambda dewey: lambda c, i: F.struct(F.concat(dewey, F.array(i)).alias("dewey"), c.alias("node"))
+    if not level.parent:
+        return F.transform(members(value, level.path), child(F.expr("cast(array() as array<int>)")))
+    above = _labelled(value, levels, level.parent)
+    return F.flatten(F.transform(above, lambda p: F.transform(members(p["node"], level.path), child(p["dewey"]))))
+
+
+def dewey_tables(records: DataFrame, key: str, value: str, levels: tuple[Level, ...], wanted: tuple[str, ...] = (), order: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> Trees:
+    """Labels the nodes of a nested VARIANT column, for flat tables by schema path.
+
+    Labelling is narrow: no shuffle, whatever the size, and a member that is
+    absent, null, empty or not an array holds nothing. ``wanted`` names the
+    tables to pack (all). Without ``order`` every row is a record. With it, rows
+    of one ``key`` are deliveries of one record: the least by ``order`` whose
+    value is not null counts, with its ``carry`` columns, and a row without key
+    counts as a record of its own for each distinct ``order``. Nodes are then
+    settled packed, so what is shuffled is neither a body nor a row a node, and
+    a record delivered very often shrinks on the map side.
+    """
+    known = {level.table: level for level in levels}
+    names = wanted or tuple(known)
+
+    def pack(table: str) -> Column:
+        getters = known[table].fields
+        get = lambda node, g: text_of(node, g) if isinstance(g, str) else g(node)
+        nodes = _labelled(F.col("__v"), known, table)
+        return F.transform(nodes, lambda n: F.struct(n["dewey"].alias("dewey"), *(get(n["node"], g).alias(f) for f, g in getters.items()))).alias(table)
+
+    source = records.select(F.col(key).alias("record_key"), *order, *(c for c in carry if c not in order), F.col(value).alias("__v"))
+    levels_of = {t: known[t] for t in known if t in names}
+    keep = {**levels_of, **{t: known[t] for t in known if t not in names}}
+    if not order:
+        return Trees(source.select("record_key", *carry, *(pack(t) for t in names)), keep)
+    # a null value gives a null, which min() passes over; a filter would work the value out twice
+    delivery = F.when(F.col("__v").isNotNull(), F.struct(*order, *(c for c in carry if c not in order), *(pack(t) for t in names)))
+    own = F.when(F.col("record_key").isNull(), F.xxhash64(*order))
+    settled = source.select("record_key", own.alias("__own"), delivery.alias("__d")).groupBy("record_key", "__own").agg(F.min("__d").alias("__d"))
+    return Trees(settled.filter("__d IS NOT NULL").select("record_key", *(f"__d.{c}" for c in (*carry, *names))), keep)
+
+
+def is_object(node: Column) -> Column:
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
+
+
+def parent_span(value: Column) -> Column:
+    """A parent span id; '' for none: absent, null, blank or all zeros."""
+    return F.when(value.rlike(r"^[\s0]*$"), F.lit("")).otherwise(value)
+
+
+def service_of(resource: Column) -> Column:
+    """``stringValue`` of the resource's first own attribute ``service.name``, else ''."""
+    own = F.try_variant_get(resource, "$.resource.attributes", "array<variant>")
+    named = F.filter(own, lambda a: F.try_variant_get(a, "$.key", "string") == "service.name")
+    return F.coalesce(F.try_variant_get(F.try_element_at(named, F.lit(1)), "$.value.stringValue", "string"), F.lit(""))
+
+
+def _value_type(attribute: Column) -> Column:
+    held = F.try_variant_get(attribute, "$.value", "map<string,variant>")
+    return F.coalesce(F.element_at(F.map_keys(held), 1), F.lit(""))
+
+
+def _value_text(attribute: Column) -> Column:
+    held = F.try_variant_get(attribute, "$.value", "map<string,variant>")
+    return F.coalesce(F.element_at(F.map_values(held), 1).cast("string"), F.lit(""))
+
 
+#: Key-value attributes: ``value`` is the text of a plain value and the JSON text of a nested one, ``value_type`` the OTLP member that holds it.
+ATTRIBUTE: dict[str, Getter] = {"key": "$.key", "value_type": _value_type, "value": _value_text}
 
 #: The nesting of an OTLP trace export.
 OTLP_LEVELS = (
-    Level("resource", "resourceSpans", {}),
-    Level("scope", "scopeSpans", {"scope_name": "$.scope.name", "scope_version": "$.scope.version"}),
+    Level("resource", "", "resourceSpans", {"service": service_of}),
+    Level("resource_attribute", "resource", "resource.attributes", ATTRIBUTE),
+    Level("scope", "resource", "scopeSpans", {"scope_name": "$.scope.name", "scope_version": "$.scope.version"}),
     Level(
         "span",
+        "scope",
         "spans",
         {
+            "is_span": is_object,
             "trace_id": "$.traceId",
             "span_id": "$.spanId",
-            "parent_span_id": "$.parentSpanId",
+            "parent_span_id": lambda p: parent_span(text_of(p, "$.parentSpanId")),
             "name": "$.name",
             "kind": "$.kind",
             "start_ns": "$.startTimeUnixNano",
             "end_ns": "$.endTimeUnixNano",
         },
     ),
+    Level("span_attribute", "span", "attributes", ATTRIBUTE),
+    Level("event", "span", "events", {"name": "$.name", "at_ns": "$.timeUnixNano"}),
+    Level("event_attribute", "event", "attributes", ATTRIBUTE),
+    Level("link", "span", "links", {"trace_id": "$.traceId", "span_id": "$.spanId"}),
+    Level("link_attribute", "link", "attributes", ATTRIBUTE),
 )
 
 
-def dewey_tables(records: DataFrame, key: str, value: str, levels: tuple[Level, ...] = OTLP_LEVELS) -> dict[str, DataFrame]:
-    """Flat tables of a nested VARIANT column, one for each level.
+def export_trees(exports: DataFrame, levels: tuple[Level, ...] = OTLP_LEVELS, wanted: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> Trees:
+    """Labelled nodes of OTLP export bodies, each export once.
 
-    Each row has ``record_key``, ``dewey`` (array of ordinals from 0),
-    ``parent_dewey`` (its truncation), the level's fields as text ('' where
-    absent) and ``node`` (the VARIANT, for later levels). Only narrow steps: no
-    shuffle, whatever the size. Records whose value is null give no rows; so do
-    members that are absent, null, empty or not arrays.
+    Input columns: ``export_id``, ``received_at``, ``body`` and ``carry``; others
+    are ignored. Bodies that are null, not JSON, cut, or no object give no rows.
+    Of the deliveries of one ``export_id`` the earliest complete one counts
+    (ties: the lowest body hash); exports without id count once for each
+    distinct body and time. Every query over exports settles them this way.
     """
-    out: dict[str, DataFrame] = {}
-    current = records.select(F.col(key).alias("record_key"), F.col(value).alias("__node"), F.expr("cast(array() as array<int>)").alias("__dewey"))
-    for level in levels:
-        current = current.select(
-            "record_key", "__dewey", F.posexplode(members(F.col("__node"), level.member)).alias("__pos", "__child")
-        ).select("record_key", F.concat("__dewey", F.array("__pos")).alias("__dewey"), F.col("__child").alias("__node"))
-        out[level.table] = current.select(
-            "record_key",
-            F.col("__dewey").alias("dewey"),
-            F.expr("slice(__dewey, 1, size(__dewey) - 1)").alias("parent_dewey"),
-            *(text_of(F.col("__node"), path).alias(name) for name, path in level.fields.items()),
-            F.col("__node").alias("node"),
-        )
-    return out
-
-
-def attribute_table(nodes: DataFrame, path: str = "$.attributes") -> DataFrame:
-    """Key-value attributes of each node: the owner's label extended by one ordinal.
+    read = complete_objects(exports.select("export_id", "received_at", *carry, "body"), "body", "__body")
+    return dewey_tables(read.withColumn("__hash", F.xxhash64("body")), "export_id", "__body", levels, wanted, ("received_at", "__hash"), carry)
 
-    ``value`` is the text of a plain value and the JSON text of a nested one;
-    ``value_type`` the OTLP member that holds it ('' for none).
-    """
-    listed = F.coalesce(F.try_variant_get(F.col("node"), path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    one = nodes.select("record_key", F.col("dewey").alias("parent_dewey"), F.posexplode(listed).alias("__pos", "__a"))
-    held = F.try_variant_get(F.col("__a"), "$.value", "map<string,variant>")
-    kind = F.element_at(F.map_keys(held), 1)
-    return one.select(
-        "record_key",
-        F.concat("parent_dewey", F.array("__pos")).alias("dewey"),
-        "parent_dewey",
-        text_of(F.col("__a"), "$.key").alias("key"),
-        F.coalesce(kind, F.lit("")).alias("value_type"),
-        F.coalesce(F.element_at(F.map_values(held), 1).cast("string"), F.lit("")).alias("value"),
-    )
 
-
-def parent_span(value: Column) -> Column:
-    """A parent span id; '' for none: absent, null, blank or all zeros."""
-    return F.when(value.rlike(r"^[\s0]*$"), F.lit("")).otherwise(value)
-
-
-def service_of(resource: Column) -> Column:
-    """``stringValue`` of the resource's first own attribute ``service.name``, else ''."""
-    own = F.try_variant_get(resource, "$.resource.attributes", "array<variant>")
-    named = F.filter(own, lambda a: F.try_variant_get(a, "$.key", "string") == "service.name")
-    return F.coalesce(F.try_variant_get(F.try_element_at(named, F.lit(1)), "$.value.stringValue", "string"), F.lit(""))
+#: What ``export_spans`` keeps of the levels.
+_SPAN_LEVELS = tuple(
+    Level(level.table, level.parent, level.path, {k: v for k, v in level.fields.items() if k in ("service", "is_span", "span_id", "parent_span_id")})
+    for level in OTLP_LEVELS
+    if level.table in ("resource", "scope", "span")
+)
 
 
 def export_spans(exports: DataFrame) -> DataFrame:
     """Spans of OTLP export bodies with their place, parent span and service.
 
-    Input columns: ``export_id``, ``received_at``, ``body``; others are ignored.
-    Bodies that are null, not JSON, cut, or no object give no rows; arrays that
-    are absent, null or empty hold none; a place in ``spans`` that holds no
-    object (a null, a number) is no span, though it keeps its ordinal. Of the
-    deliveries of one ``export_id`` the earliest complete one counts (ties: the
-    lowest body hash); exports without id count as one per distinct body.
-
-    The spans stay packed in one compact array per delivery until the deliveries
-    are settled, so bodies are never shuffled and a delivery repeated very often
-    shrinks on the map side.
+    The places are the parts of the span's Dewey label; the service is a field
+    of the resource that the label, cut to its first part, names. Exports are
+    settled as in ``export_trees``. Arrays that are absent, null or empty hold
+    nothing; a place in ``spans`` that holds no object (a null, a number) is no
+    span, though it keeps its ordinal.
     """
-    places = F.flatten(
-        F.transform(
-            members(F.col("__v"), "resourceSpans"),
-            lambda r, i: F.flatten(
-                F.transform(
-                    members(r, "scopeSpans"),
-                    lambda s, j: F.transform(
-                        members(s, "spans"),
-                        lambda p, k: F.struct(
-                            i.alias("resource_pos"),
-                            j.alias("scope_pos"),
-                            k.alias("span_pos"),
-                            text_of(p, "$.spanId").alias("span_id"),
-                            parent_span(text_of(p, "$.parentSpanId")).alias("parent_span_id"),
-                            F.try_variant_get(p, "$", "map<string,variant>").isNotNull().alias("__is"),
-                        ),
-                    ),
-                )
-            ),
-        )
-    )
-    services = F.transform(members(F.col("__v"), "resourceSpans"), service_of)
-    read = complete_objects(exports.select("export_id", "received_at", "body"), "body", "__v")
-    # incomplete bodies give a null, which min() passes over; a filter would parse them twice
-    delivery = F.when(F.col("__v").isNotNull(), F.struct("received_at", "__hash", services.alias("services"), places.alias("spans")))
-    parsed = read.withColumn("__hash", F.xxhash64("body")).select(
-        "export_id", F.when(F.col("export_id").isNull(), F.col("__hash")).alias("__own"), delivery.alias("__d")
-    )
-    settled = parsed.groupBy("export_id", "__own").agg(F.min("__d").alias("__d"))
-    return settled.select("export_id", F.col("__d.services").alias("__svc"), F.explode("__d.spans").alias("__s")).filter("__s.__is").select(
-        "export_id",
-        "__s.resource_pos",
-        "__s.scope_pos",
-        "__s.span_pos",
-        "__s.span_id",
-        "__s.parent_span_id",
-        F.expr("__svc[__s.resource_pos]").alias("service"),
+    spans = export_trees(exports, _SPAN_LEVELS, ("resource", "span")).table("span", {"service": ("resource", "service")})
+    place = lambda i, name: F.col("dewey")[i].alias(name)
+    return spans.filter("is_span").select(
+        F.col("record_key").alias("export_id"), place(0, "resource_pos"), place(1, "scope_pos"), place(2, "span_pos"), "span_id", "parent_span_id", "service"
     )
 
 
-_NODE_SCHEMA = "record_key string, dewey array<int>, parent_dewey array<int>, schema_path string, kind string, value string"
+def lost_links(trees: Trees) -> DataFrame:
+    """Rows of every table and how many of them have a parent label that no row of the parent table has.
+
+    ``table``, ``n_rows``, ``n_parents`` (labels that have children), ``n_lost``.
+    Children are counted by parent label before the two tables meet.
+    """
+    out = None
+    for name, level in trees.levels.items():
+        rows = trees.table(name).select("record_key", "dewey", "parent_dewey")
+        below = rows.groupBy("record_key", F.col("parent_dewey").alias("dewey")).agg(F.count("*").alias("__n"))
+        if level.parent:
+            above = trees.table(level.parent).select("record_key", "dewey", F.lit(0).cast("bigint").alias("__n"), F.lit(1).alias("__is"))
+        else:
+            above = trees.packed.select("record_key", F.expr("cast(array() as array<int>)").alias("dewey"), F.lit(0).cast("bigint").alias("__n"), F.lit(1).alias("__is"))
+        met = below.withColumn("__is", F.lit(0)).unionByName(above).groupBy("record_key", "dewey").agg(F.sum("__n").alias("__n"), F.max("__is").alias("__is"))
+        part = met.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.count_if(F.col("__n") > 0).alias("n_parents"), F.coalesce(F.sum(F.when(F.col("__is") == 0, F.col("__n"))), F.lit(0)).alias("n_lost"))
+        part = part.select(F.lit(name).alias("table"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_NODE_COLUMNS = ("record_key", "dewey", "parent_dewey", "schema_path", "parent_path", "kind", "value")
+_NODE_SCHEMA = "record_key string, dewey array<int>, parent_dewey array<int>, schema_path string, parent_path string, kind string, value string"
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\]:,])|"((?:[^"\\\x00-\x1f]|\\.)*)"|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))')
+
+
+class _Object(list):
+    """Members of an object in text order, repeated names too."""
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def parse_json(text: str):
+    """JSON text of any depth; objects as lists of (name, value). Raises ``ValueError``."""
+    try:
+        return json.loads(text, object_pairs_hook=_Object, parse_constant=_no_constant)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str):
+    """Without recursion, for what nests too deeply for the ordinary parser."""
+    whole: list = []
+    open_: list[list] = [whole]
+    name: list[str | None] = [None]
+    at, want = 0, "value"  # or: first (value or end), member (name or end), name, colon, next (comma or end)
+    end = len(text.rstrip(" \t\r\n"))
+    while at < end:
+        found = _TOKEN.match(text, at)
+        if not found:
+            raise ValueError(f"no JSON at {at}")
+        at = found.end()
+        sign, string, number, word = found.groups()
+        inside = isinstance(open_[-1], _Object)
+        if want in ("value", "first") and (sign in ("{", "[") or sign is None):
+            if sign:
+                value = _Object() if sign == "{" else []
+            else:
+                value = json.loads(found.group(0)) if string is not None or number is not None else {"true": True, "false": False, "null": None}[word]
+            open_[-1].append((name.pop(), value) if inside else value)
+            if sign:
+                open_.append(value)
+                want = "member" if sign == "{" else "first"
+            else:
+                want = "next"
+        elif want in ("member", "name") and string is not None:
+            name.append(json.loads(found.group(0)))
+            want = "colon"
+        elif want == "colon" and sign == ":":
+            want = "value"
+        elif want == "next" and sign == "," and len(open_) > 1:
+            want = "name" if inside else "value"
+        elif len(open_) > 1 and ((sign == "}" and inside and want in ("member", "next")) or (sign == "]" and not inside and want in ("first", "next"))):
+            open_.pop()
+            want = "next"
+        else:
+            raise ValueError(f"no JSON at {at}")
+    if len(open_) > 1 or len(whole) != 1:
+        raise ValueError("cut")
+    return whole[0]
 
 
 def dewey_nodes(records: DataFrame, key: str, body: str) -> DataFrame:
     """Every node of JSON records of any depth, labelled in document order.
 
-    Members get ordinals in text order, elements by position. ``schema_path``
-    joins member names with '.', ``[]`` for elements; '$' is the root. Records
-    that are null or no JSON give no rows. One Arrow pass, no shuffle. Unknown
-    depth needs recursion, which no built-in expression offers, hence Python.
+    Members get ordinals in text order (repeated names each their own), elements
+    by position. ``schema_path`` joins member names with '.', ``[]`` for
+    elements; '$' is the root. A null body is no record. A text that is not JSON
+    gives one row of kind 'invalid' with the text as value, so no record goes
+    unseen. One Arrow pass, no shuffle. Unknown depth needs a walk that no
+    built-in expression offers, hence Python; depth itself is not limited.
     """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record_key, text in zip(batch["k"], batch["b"]):
+                if text is None:
+                    continue
                 try:
-                    root = json.loads(text)
-                except (TypeError, ValueError, RecursionError):
+                    root = parse_json(text)
+                except ValueError:
+                    rows.append((record_key, [], None, "$", None, "invalid", text))
                     continue
-                todo = [([], "$", root)]
+                todo = [([], "$", None, root)]
                 while todo:
-                    dewey, path, node = todo.pop()
+                    dewey, path, above, node = todo.pop()
                     inner: list = []
-                    if isinstance(node, dict):
+                    if isinstance(node, _Object):
                         kind, value = "object", None
-                        inner = [(dewey + [i], f"{path}.{m}", x) for i, (m, x) in enumerate(node.items())]
+                        inner = [(dewey + [i], f"{path}.{m}", path, x) for i, (m, x) in enumerate(node)]
                     elif isinstance(node, list):
                         kind, value = "array", None
-                        inner = [(dewey + [i], f"{path}[]", x) for i, x in enumerate(node)]
+                        inner = [(dewey + [i], f"{path}[]", path, x) for i, x in enumerate(node)]
                     else:
                         kind, value = "null" if node is None else type(node).__name__, node if isinstance(node, str) else json.dumps(node)
-                    rows.append((record_key, dewey, dewey[:-1] if dewey else None, path, kind, value))
+                    rows.append((record_key, dewey, dewey[:-1] if dewey else None, path, above, kind, value))
                     todo.extend(reversed(inner))
                     if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=["record_key", "dewey", "parent_dewey", "schema_path", "kind", "value"])
+                        yield pd.DataFrame(rows, columns=_NODE_COLUMNS)
                         rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["record_key", "dewey", "parent_dewey", "schema_path", "kind", "value"])
+                yield pd.DataFrame(rows, columns=_NODE_COLUMNS)
 
     return records.select(F.col(key).cast("string").alias("k"), F.col(body).alias("b")).mapInPandas(label, _NODE_SCHEMA)
+
+
+def node_summary(nodes: DataFrame) -> DataFrame:
+    """Nodes of every schema path: ``n_nodes``, ``n_children`` below them, ``n_lost`` children whose parent is not there."""
+    own = nodes.select("record_key", "dewey", "schema_path", F.lit(1).cast("bigint").alias("__own"), F.lit(0).cast("bigint").alias("__below"))
+    up = nodes.filter(F.col("parent_dewey").isNotNull()).groupBy("record_key", F.col("parent_dewey").alias("dewey"), F.col("parent_path").alias("schema_path")).agg(F.count("*").alias("__below"))
+    met = own.unionByName(up.withColumn("__own", F.lit(0).cast("bigint"))).groupBy("record_key", "dewey", "schema_path").agg(F.sum("__own").alias("__own"), F.sum("__below").alias("__below"))
+    return met.groupBy("schema_path").agg(F.sum("__own").alias("n_nodes"), F.sum("__below").alias("n_children"), F.sum(F.when(F.col("__own") == 0, F.col("__below")).otherwise(0)).alias("n_lost"))

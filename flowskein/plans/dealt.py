@@ -14,27 +14,33 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.export_spans(table(spark, sf_dir, "otlp_exports"))
 
 
-def _export_trees(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    exports = table(spark, sf_dir, "otlp_exports").select(F.col("export_id").cast("string").alias("k"), "body")
-    return nested.dewey_tables(nested.complete_objects(exports, "body", "v"), "k", "v")
-
-
 def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Span table by Dewey label, all fields, deliveries collapsed."""
+    """Span table by Dewey label, all fields, deliveries settled."""
     dotted = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
-    spans = _export_trees(spark, sf_dir)["span"]
+    spans = nested.export_trees(table(spark, sf_dir, "otlp_exports"), wanted=("span",)).table("span")
     return spans.select(
-        "record_key", dotted("dewey").alias("dewey"), dotted("parent_dewey").alias("parent_dewey"), "trace_id", "span_id", "name", "start_ns", "end_ns"
-    ).distinct()
+        F.col("record_key").cast("string").alias("record_key"), dotted("dewey").alias("dewey"), dotted("parent_dewey").alias("parent_dewey"), "trace_id", "span_id", "name", "start_ns", "end_ns"
+    )
 
 
 def p1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of spans and resources, counted by owner, key and value type."""
-    trees = _export_trees(spark, sf_dir)
-    spans = nested.attribute_table(trees["span"]).withColumn("owner", F.lit("span"))
-    own = nested.attribute_table(trees["resource"], "$.resource.attributes").withColumn("owner", F.lit("resource"))
-    each = spans.unionByName(own).select("owner", "record_key", "dewey", "key", "value_type", "value").distinct()
-    return each.groupBy("owner", "key", "value_type").agg(F.count("*").alias("n"))
+    trees = nested.export_trees(table(spark, sf_dir, "otlp_exports"), wanted=("span_attribute", "resource_attribute"))
+    owned = [trees.table(f"{owner}_attribute").select(F.lit(owner).alias("owner"), "key", "value_type") for owner in ("span", "resource")]
+    return owned[0].unionByName(owned[1]).groupBy("owner", "key", "value_type").agg(F.count("*").alias("n"))
+
+
+def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of the exports: rows, parents, and rows whose parent is not there."""
+    trees = nested.export_trees(table(spark, sf_dir, "otlp_exports"), tuple(nested.Level(x.table, x.parent, x.path) for x in nested.OTLP_LEVELS))
+    return nested.lost_links(nested.Trees(materialize(trees.packed, "export-trees")[0], trees.levels))
+
+
+def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of every complete export by schema path, whatever its depth, with its links checked."""
+    exports = table(spark, sf_dir, "otlp_exports").groupBy("export_id").agg(F.min("body").alias("body"))
+    valid = nested.complete_objects(exports, "body", "v").filter("v IS NOT NULL")
+    return nested.node_summary(nested.dewey_nodes(valid, "export_id", "body"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +126,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_spans, p1_attributes, p2_found, p2_pair_counts, p2_source_services, p3_found, p3_differences,
+        p1_found, p1_spans, p1_attributes, p1_tables, p1_nodes, p2_found, p2_pair_counts, p2_source_services, p3_found, p3_differences,
         p5_found, p5_paths, p5_descendants, p6_found, p6_report,
     )
 }
@@ -185,6 +191,25 @@ FROM p WHERE json_type(p) = 'OBJECT'""",
     + """, a AS (SELECT 'span' AS owner, unnest(json_extract(p, '$.attributes[*]')) AS a FROM p
   UNION ALL SELECT 'resource', unnest(json_extract(r, '$.resource.attributes[*]')) FROM r)
 SELECT owner, coalesce(json_extract_string(a, '$.key'), '') AS key, coalesce(json_keys(a, '$.value')[1], '') AS value_type, count(*) AS n FROM a GROUP BY 1, 2, 3""",
+    "p1_tables": _P1
+    + """, ra AS (SELECT export_id, resource_pos AS a, unnest(json_extract(r, '$.resource.attributes[*]')) AS x FROM r),
+q AS (SELECT *, concat_ws('.', resource_pos, scope_pos, span_pos) AS a FROM p),
+sa AS (SELECT export_id, a, unnest(json_extract(p, '$.attributes[*]')) AS x FROM q),
+ev AS (SELECT export_id, a, generate_subscripts(x, 1) AS k, unnest(x) AS x FROM (SELECT export_id, a, json_extract(p, '$.events[*]') AS x FROM q)),
+ea AS (SELECT export_id, a || '.' || k AS a, unnest(json_extract(x, '$.attributes[*]')) AS x FROM ev),
+ln AS (SELECT export_id, a, generate_subscripts(x, 1) AS k, unnest(x) AS x FROM (SELECT export_id, a, json_extract(p, '$.links[*]') AS x FROM q)),
+la AS (SELECT export_id, a || '.' || k AS a, unnest(json_extract(x, '$.attributes[*]')) AS x FROM ln),
+t AS (SELECT 'resource' AS "table", export_id, '' AS a FROM r UNION ALL SELECT 'resource_attribute', export_id, CAST(a AS VARCHAR) FROM ra
+  UNION ALL SELECT 'scope', export_id, CAST(resource_pos AS VARCHAR) FROM s UNION ALL SELECT 'span', export_id, concat_ws('.', resource_pos, scope_pos) FROM p
+  UNION ALL SELECT 'span_attribute', export_id, a FROM sa UNION ALL SELECT 'event', export_id, a FROM ev UNION ALL SELECT 'event_attribute', export_id, a FROM ea
+  UNION ALL SELECT 'link', export_id, a FROM ln UNION ALL SELECT 'link_attribute', export_id, a FROM la),
+names AS (SELECT unnest(['resource', 'resource_attribute', 'scope', 'span', 'span_attribute', 'event', 'event_attribute', 'link', 'link_attribute']) AS "table")
+SELECT n."table", count(t.export_id) AS n_rows, count(DISTINCT (t.export_id, t.a)) FILTER (t.export_id IS NOT NULL) AS n_parents, CAST(0 AS BIGINT) AS n_lost FROM names n LEFT JOIN t ON t."table" = n."table" GROUP BY n."table\"""",
+    "p1_nodes": """
+WITH e AS (SELECT export_id, min(body) AS body FROM otlp_exports WHERE json_valid(body) AND json_type(body) = 'OBJECT' GROUP BY export_id),
+t AS (SELECT regexp_replace(x.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS schema_path, x.parent IS NULL AS is_root, regexp_replace(x.path, '\\[[0-9]+\\]', '[]', 'g') AS above FROM e, json_tree(e.body) x),
+up AS (SELECT above AS schema_path, count(*) AS n FROM t WHERE NOT is_root GROUP BY 1)
+SELECT t.schema_path, count(*) AS n_nodes, CAST(coalesce(any_value(up.n), 0) AS BIGINT) AS n_children, CAST(0 AS BIGINT) AS n_lost FROM t LEFT JOIN up ON up.schema_path = t.schema_path GROUP BY t.schema_path""",
     "p2_found": """SELECT src, type FROM edges WHERE src IS NOT NULL AND trim(src) <> '' GROUP BY src, type
 HAVING count(DISTINCT id) * 100 > (SELECT count(DISTINCT id) FROM edges)""",
     "p2_pair_counts": """SELECT src, type, count(DISTINCT id) AS n_edges, count(*) AS n_rows FROM edges WHERE src IS NOT NULL AND trim(src) <> '' GROUP BY src, type""",
