@@ -22,6 +22,8 @@ from flowskein.session import discard, materialize
 
 #: Links that one task may finish; about 40 bytes each, without paths.
 CORE_ROWS = 65_536
+#: Links from which on the join of the play-back is split by load.
+HUB_ROWS = 1_000_000
 #: Rounds of a contraction: each removes a fixed share of the nodes, so more cannot come up.
 MAX_ROUNDS = 400
 KEEP, SPLICE, RAKE, CYCLE = 0, 1, 2, 3
@@ -140,17 +142,18 @@ def resolve_forest(links: DataFrame, core_rows: int = CORE_ROWS, paths: bool = F
     ``paths`` also the ids ``cid`` and ``pid``, which add ``path``. On or below a
     cycle the depth is -1, the root 0, 0 and the path null.
     """
+    spark = links.sparkSession
     more = ["cid", "pid", F.expr("cast(array() as array<string>)").alias("via")] if paths else []
     live, first = materialize(links.select("c1", "c2", "p1", "p2", F.lit(1).cast("bigint").alias("w"), *more), "forest")
-    records: list[DataFrame] = []
+    records: list[tuple[DataFrame, str, int]] = []
     while (left := live.count()) > core_rows:
         turn = len(records)
         if turn >= MAX_ROUNDS:
             raise RuntimeError(f"contraction did not end: {left} links are left")
-        done, _ = materialize(_compress(live, turn, paths) if turn % 2 else _rake(live), f"forest-{turn}")
+        done, path = materialize(_compress(live, turn, paths) if turn % 2 else _rake(live), f"forest-{turn}")
         if not turn:
-            discard(links.sparkSession, first)
-        records.append(done.filter(F.col("op") != KEEP))
+            discard(spark, first)
+        records.append((done.filter(F.col("op") != KEEP), path, left))
         live = done.filter(F.col("op") == KEEP).drop("op")
     result = "c1 bigint, c2 bigint, r1 bigint, r2 bigint, depth bigint" + ", path array<string>" * paths
     core = live.coalesce(1).mapInPandas(_core_task(paths), result)
@@ -160,21 +163,24 @@ def resolve_forest(links: DataFrame, core_rows: int = CORE_ROWS, paths: bool = F
         on_cycle.append(F.lit(None).cast("array<string>").alias("path"))
     resolved = []
     if records:
-        loops = _union([r.filter(F.col("op") == CYCLE).select("c1", "c2") for r in records[::2]])
+        loops, _ = materialize(_union([r.filter(F.col("op") == CYCLE).select("c1", "c2") for r, _, _ in records[::2]]), "loops")
         resolved.append(loops.select("c1", "c2", *on_cycle))
         # a node that was found to be its own parent looks like a root to the core
         core = core.join(loops.select(F.col("c1").alias("r1"), F.col("c2").alias("r2"), F.lit(True).alias("__loop")), ["r1", "r2"], "left")
         core = core.select("c1", "c2", *(F.when(F.col("__loop"), v).otherwise(F.col(k)).alias(k) for k, v in zip(("r1", "r2", "depth", "path"), on_cycle)))
     resolved.append(materialize(core, "core")[0])
-    for record in reversed(records):
+    for record, path, size in reversed(records):
         known = _union(resolved).withColumnsRenamed({"c1": "p1", "c2": "p2"})
-        rows = record.filter(F.col("op") != CYCLE).join(known, ["p1", "p2"], "left")
+        removed = record.filter(F.col("op") != CYCLE)
+        # a hub's children all ask for one parent: in a large record they are split by load, a small one is no task's burden
+        rows = fragment_replicate_join(removed, known, ["p1", "p2"], spread="c1") if size > HUB_ROWS else removed.join(known, ["p1", "p2"], "left")
         deeper = F.when(F.col("depth").isNull(), F.col("w")).when(F.col("depth") < 0, F.col("depth")).otherwise(F.col("depth") + F.col("w"))
         new = [F.coalesce("r1", "p1").alias("r1"), F.coalesce("r2", "p2").alias("r2"), deeper.alias("depth")]
         if paths:
             above = F.when(F.col("depth").isNull(), F.array("pid")).otherwise(F.col("path"))
             new.append(F.concat(above, "via", F.array("cid")).alias("path"))
         resolved.append(materialize(rows.select("c1", "c2", *new), "resolved")[0])
+        discard(spark, path)
     return _union(resolved)
 
 
@@ -211,7 +217,8 @@ def hierarchy(pairs: DataFrame, core_rows: int = CORE_ROWS) -> DataFrame:
     each type a forest of its own. Roots have depth 0. Nodes on or below a cycle
     have root '' and depth -1. Repeated pairs count once. A pair with a null end
     or type is no link; its other end is still a node. A child with several
-    parents keeps the one of the lowest key hash. Empty input, empty result.
+    parents keeps the one of the lowest key hash; ``several_parents`` reports
+    it with those it loses. Empty input, empty result.
     """
     resolved = resolve_forest(_links(_whole(pairs)), core_rows)
     placed = _nodes(pairs).join(resolved, ["c1", "c2"], "left")
@@ -224,6 +231,17 @@ def hierarchy(pairs: DataFrame, core_rows: int = CORE_ROWS) -> DataFrame:
     return plain.unionByName(inner.select("type", "node_id", "root_id", "depth"))
 
 
+def several_parents(pairs: DataFrame) -> DataFrame:
+    """Nodes that name more than one parent, of which a hierarchy can keep one.
+
+    ``type``, ``node_id``, ``n_parents``, and ``kept_parent``, the one that ``hierarchy`` goes by.
+    """
+    h = lambda s: F.xxhash64(F.lit(s), F.col("type"), F.col("parent"))
+    each = _whole(pairs).groupBy("type", F.col("child").alias("node_id"), "parent").agg(F.lit(1).alias("__one"))
+    least = F.min(F.struct(h(1).alias("a"), h(2).alias("b"), "parent"))
+    return each.groupBy("type", "node_id").agg(F.count("*").alias("n_parents"), least["parent"].alias("kept_parent")).filter("n_parents > 1")
+
+
 def hierarchy_paths(pairs: DataFrame, core_rows: int = CORE_ROWS // 8) -> DataFrame:
     """As ``hierarchy``, with ``path``: the ids from the root to the node, null on cycles.
 

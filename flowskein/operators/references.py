@@ -3,10 +3,14 @@
 The parents' integer keys (here: the microseconds at which a record stands) are
 compressed into contiguous runs for each identity; a reference is matched as of
 its own key to the run that starts at or before it and is an orphan beyond that
-run's end. Identities travel as 128 hash bits. References are first reduced to
-distinct (identity, key) pairs, so a hot identity shrinks before the shuffle;
-the rows behind the few orphan pairs are fetched by a second pass that a bitmap
-of bounded size has thinned out.
+run's end. Runs and references are united and sorted, and run ends are carried
+forward, so no pairs of the two are made; this happens within spans of the key
+axis, each of which begins with what the spans before it hand over, so an
+identity of very many references or runs is many tasks. Identities travel as
+128 hash bits. References are first reduced to distinct (identity, key) pairs,
+so a hot identity shrinks before the shuffle; the rows behind the few orphan
+pairs are fetched by a second pass that a bitmap of bounded size has thinned
+out.
 """
 
 from __future__ import annotations
@@ -20,16 +24,20 @@ from flowskein.session import materialize
 LEAST, MOST = -(2**63), 2**63 - 1
 #: Bits of the largest bitmap: a broadcast of at most 2**21 words.
 BITMAP_BITS = 2**27
-#: Part of the axis in which runs are joined first: a day of microseconds.
-CHUNK = 86_400_000_000
+#: Span of the axis that is worked on at a time: a day of microseconds, or more if the axis is longer than ``MOST_CHUNKS`` of them.
+CHUNK, MOST_CHUNKS = 86_400_000_000, 4_096
 
 
 def identity(value: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), value).alias("__h1"), F.xxhash64(F.lit(2), value).alias("__h2")]
 
 
+def _chunk(key: str, size: int) -> Column:
+    return F.expr(f"{key} div {size}")
+
+
 def key_runs(parents: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
-    """Contiguous runs [``start``, ``end``) of each identity (``__h1``, ``__h2``).
+    """Contiguous runs [``start``, ``end``) of each identity (``__h1``, ``__h2``) that start in one span of the axis.
 
     Input: one row for each stay, ``start`` and ``end`` bigint, end exclusive and
     null for open. A single integer key k is the stay [k, k + 1). Overlapping and
@@ -39,53 +47,41 @@ def key_runs(parents: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
     """
     start = F.coalesce("start", F.lit(LEAST))
     stays = parents.select("__h1", "__h2", start.alias("start"), F.greatest(start, F.when(F.col("start").isNull(), start).otherwise(F.coalesce("end", F.lit(MOST)))).alias("end"))
-    stays = stays.groupBy("__h1", "__h2", "start").agg(F.max("end").alias("end"))
-    # within spans of the axis first, so that an identity of very many stays does not come to one task whole
-    chunk = F.expr(f"start div {chunk_size}")
-    return _joined(_joined(stays.withColumn("__chunk", chunk), ["__h1", "__h2", "__chunk"]), ["__h1", "__h2"])
-
-
-def _joined(stays: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping and touching stays of a group as one; other columns than the group's go."""
-    by_id = W.partitionBy(*by).orderBy("start")
-    before = F.max("end").over(by_id.rowsBetween(W.unboundedPreceding, -1))
+    stays = stays.groupBy("__h1", "__h2", "start").agg(F.max("end").alias("end")).withColumn("__chunk", _chunk("start", chunk_size))
+    by = ["__h1", "__h2", "__chunk"]
+    line = W.partitionBy(*by).orderBy("start")
+    before = F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1))
     opened = stays.withColumn("__new", F.when(before >= F.col("start"), 0).otherwise(1))
-    numbered = opened.withColumn("__run", F.sum("__new").over(by_id.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("__h1", "__h2", "start", "end")
-
-
-def key_axis(runs: DataFrame) -> DataFrame:
-    """The whole axis of every identity cut into [``lo``, ``hi``) pieces with a ``state``.
-
-    ``late`` before the first run, ``held`` inside a run, ``removed`` between
-    and after runs: exactly one piece holds any key below ``MOST``.
-    """
-    by_id = W.partitionBy("__h1", "__h2").orderBy("start")
-    lined = runs.withColumn("__next", F.lead("start").over(by_id)).withColumn("__first", F.row_number().over(by_id) == 1)
-    piece = lambda lo, hi, state: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(state).alias("state"))
-    pieces = F.array(
-        piece(F.when(F.col("__first"), F.lit(LEAST)).otherwise(F.col("start")), F.col("start"), "late"),
-        piece(F.col("start"), F.col("end"), "held"),
-        piece(F.col("end"), F.coalesce("__next", F.lit(MOST)), "removed"),
-    )
-    return lined.select("__h1", "__h2", F.explode(F.filter(pieces, lambda p: p.lo < p.hi)).alias("p")).select("__h1", "__h2", "p.*")
+    numbered = opened.withColumn("__run", F.sum("__new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
 
 
-def orphan_keys(references: DataFrame, axis: DataFrame) -> DataFrame:
+def orphan_keys(references: DataFrame, runs: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
     """Distinct orphan pairs (``__h1``, ``__h2``, ``__key``) with their ``reason``.
 
-    A null key lies nowhere: its reason is ``missing`` or else ``removed``.
+    ``runs`` as of ``key_runs`` with the same ``chunk_size``. ``missing``: the
+    identity has no run; ``late``: none that starts at or before the key;
+    ``removed``: the key lies beyond the ends of all that do. A null key lies
+    nowhere: its reason is ``missing`` or else ``removed``.
     """
-    asked = references.select("__h1", "__h2", "__key").distinct()
-    at = F.coalesce("__key", F.lit(LEAST))
-    near = asked.withColumnsRenamed({"__h1": "__a1", "__h2": "__a2"}).withColumn("__at", at)
-    met = near.join(
-        axis,
-        (F.col("__a1") == F.col("__h1")) & (F.col("__a2") == F.col("__h2")) & (F.col("__at") >= F.col("lo")) & (F.col("__at") < F.col("hi")),
-        "left",
+    asked = references.select("__h1", "__h2", "__key").distinct().withColumn("__at", F.coalesce("__key", F.lit(LEAST)))
+    none = F.lit(None).cast("bigint")
+    events = asked.select("__h1", "__h2", _chunk("__at", chunk_size).alias("__chunk"), "__at", F.lit(2).alias("__o"), none.alias("end"), "__key", F.lit(None).cast("boolean").alias("__is")).unionByName(
+        runs.select("__h1", "__h2", "__chunk", F.col("start").alias("__at"), F.lit(1).alias("__o"), "end", none.alias("__key"), F.lit(None).cast("boolean").alias("__is"))
     )
-    reason = F.when(F.col("state").isNull(), "missing").when(F.col("__key").isNull(), "removed").otherwise(F.col("state"))
-    return met.select(F.col("__a1").alias("__h1"), F.col("__a2").alias("__h2"), "__key", reason.alias("reason")).filter(F.col("reason") != "held")
+    # what each span hands over to the later ones: at most one row for each span of an identity
+    spans = events.groupBy("__h1", "__h2", "__chunk").agg(F.max("end").alias("__end"), F.max(F.col("__o") == 2).alias("__asked"))
+    by_id = W.partitionBy("__h1", "__h2")
+    before = F.max("__end").over(by_id.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
+    handed = spans.withColumn("end", before).withColumn("__is", F.max("__end").over(by_id).isNotNull()).filter("__asked")
+    line = events.unionByName(handed.select("__h1", "__h2", "__chunk", F.lit(LEAST).alias("__at"), F.lit(0).alias("__o"), "end", none.alias("__key"), "__is"))
+    carried = W.partitionBy("__h1", "__h2", "__chunk").orderBy((F.col("__o") > 0).cast("int"), "__at", "__o").rowsBetween(W.unboundedPreceding, 0)
+    met = line.withColumn("__reach", F.max("end").over(carried)).withColumn("__known", F.max("__is").over(carried)).filter("__o = 2")
+    reason = (
+        F.when(~F.col("__known"), "missing").when(F.col("__key").isNull(), "removed").when(F.col("__reach").isNull(), "late")
+        .when(F.col("__reach") > F.col("__at"), "held").otherwise("removed")
+    )
+    return met.select("__h1", "__h2", "__key", reason.alias("reason")).filter(F.col("reason") != "held")
 
 
 def thinned(rows: DataFrame, wanted: DataFrame, n_wanted: int, on: list[str]) -> DataFrame:
@@ -141,7 +137,9 @@ def orphan_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("start"),
         F.unix_micros(F.col("removed_at").cast("timestamp")).alias("end"),
     )
-    orphans, _ = materialize(orphan_keys(ends, key_axis(key_runs(stays))), "orphans")
+    ends_of = edges.agg(*(F.unix_micros(f(F.col("indexed_at")).cast("timestamp")) for f in (F.min, F.max))).first()
+    chunk = max(CHUNK, ((ends_of[1] or 0) - (ends_of[0] or 0)) // MOST_CHUNKS + 1)
+    orphans, _ = materialize(orphan_keys(ends, key_runs(stays, chunk), chunk), "orphans")
     few = thinned(ends, orphans, orphans.count(), ["__h1", "__h2", "__key"])
     left, right = few.alias("l"), orphans.alias("r")
     same = (F.col("l.__h1") == F.col("r.__h1")) & (F.col("l.__h2") == F.col("r.__h2")) & F.col("l.__key").eqNullSafe(F.col("r.__key"))

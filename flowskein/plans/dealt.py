@@ -111,6 +111,11 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("type", "node_id").agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
 
 
+def p5_several_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trees that name several parents."""
+    return hierarchy.several_parents(_tree_pairs(spark, sf_dir)).select("type", "node_id", "n_parents")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge ends that name a node that is missing, late or removed."""
     cols = ("id", "indexed_at", "removed_at")
@@ -127,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_spans, p1_attributes, p1_tables, p1_nodes, p2_found, p2_pair_counts, p2_source_services, p3_found, p3_differences,
-        p5_found, p5_paths, p5_descendants, p6_found, p6_report,
+        p5_found, p5_paths, p5_descendants, p5_several_parents, p6_found, p6_report,
     )
 }
 
@@ -228,6 +233,8 @@ FROM nodes n LEFT JOIN walk w ON w.type = n.type AND w.node_id = n.node_id""",
   SELECT type, node_id, node_id AS at_id, 0 AS distance FROM walk
   UNION ALL SELECT b.type, b.node_id, p.child, b.distance + 1 FROM below b JOIN pairs p ON p.type = b.type AND p.parent = b.at_id)
 SELECT type, node_id, count(*) AS n_descendants, max(distance) AS height FROM below WHERE distance > 0 GROUP BY type, node_id""",
+    "p5_several_parents": """SELECT type, CASE WHEN type = 'contains' THEN dst ELSE src END AS node_id, count(DISTINCT CASE WHEN type = 'contains' THEN src ELSE dst END) AS n_parents
+FROM edges WHERE type IN ('contains', 'inherits') AND src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2 HAVING n_parents > 1""",
     "p6_found": _REFS + "SELECT edge_id, side, reason, period FROM found",
     "p6_report": _REFS + "SELECT side, reason, period, count(*) AS n_refs, count(DISTINCT edge_id) AS n_edges FROM found GROUP BY side, reason, period",
 }

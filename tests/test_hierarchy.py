@@ -63,3 +63,21 @@ def test_contraction_in_memory():
     for i in range(1, n):
         want[i] = want[parent[i - 1]] + 1
     assert (root == 0).all() and (depth == want).all()
+
+
+def test_hub_parents_in_the_play_back(spark, monkeypatch):
+    """A parent with most of the children, split by load on the way back; the same answer as without."""
+    monkeypatch.setattr(hierarchy, "HUB_ROWS", 10)
+    pairs = [("a", "hub", f"n{i}") for i in range(400)] + [("a", f"n{i}", f"m{i}") for i in range(0, 400, 7)] + [("a", "top", "hub"), ("a", "s", "s"), ("a", "s", "t")]
+    df = spark.createDataFrame(pairs, "type string, parent string, child string")
+    got = {(r["type"], r["node_id"]): (r["root_id"], r["depth"]) for r in hierarchy.hierarchy(df, 5).collect()}
+    assert got == brute(pairs)
+    deep = {r["node_id"]: r["path"] for r in hierarchy.hierarchy_paths(df, 5).collect()}
+    assert deep["m7"] == ["top", "hub", "n7", "m7"] and deep["t"] is None
+
+
+def test_several_parents_are_reported(spark):
+    df = spark.createDataFrame([("a", "p", "c"), ("a", "q", "c"), ("a", "p", "c"), ("b", "p", "c"), ("a", None, "c"), ("a", "p", "d")], "type string, parent string, child string")
+    (row,) = hierarchy.several_parents(df).collect()
+    assert (row["type"], row["node_id"], row["n_parents"]) == ("a", "c", 2)
+    assert {(r["node_id"], r["root_id"]) for r in hierarchy.hierarchy(df).collect() if r["type"] == "a"} >= {("c", row["kept_parent"])}

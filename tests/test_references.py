@@ -42,3 +42,25 @@ def test_plain_integer_keys_become_runs(spark):
     keys = spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 6, 6, 9)], "k bigint").select(F.lit(0).cast("bigint").alias("__h1"), F.lit(0).cast("bigint").alias("__h2"), F.col("k").alias("start"), (F.col("k") + 1).alias("end"))
     runs = {(r["start"], r["end"]) for r in references.key_runs(keys).collect()}
     assert runs == {(1, 4), (5, 7), (9, 10)}
+
+
+def test_hot_identity_over_many_spans_equals_brute_force(spark, monkeypatch):
+    """Thousands of references to one node, stays of all lengths, spans of the axis far shorter than the stays."""
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(references, "CHUNK", 3 * 3_600 * 1_000_000)
+    nodes = []
+    for name in ("hot", "cold", "rare"):
+        for _ in range(60 if name == "hot" else 8):
+            start = r.randrange(0, 900)
+            nodes.append((name, start, r.choice([None] + [start + r.randrange(-1, 30)] * 9) if name != "hot" else start + r.randrange(-1, 12)))
+    edges = [(f"e{i}", r.choice(["hot", "hot", "hot", "cold", "rare", "gone"]), "unresolved", r.randrange(-20, 950)) for i in range(3_000)]
+    want = []
+    for ident, src, _, t in edges:
+        own = [(a, b) for n, a, b in nodes if n == src]
+        if any(a <= t and (b is None or b > t) for a, b in own):
+            continue
+        reason = "missing" if not own else "late" if all(a > t for a, _ in own) else "removed"
+        want.append((ident, "src", reason, at(t).strftime("%Y-%m")))
+    assert orphans(spark, edges, nodes) == sorted(want)
