@@ -12,6 +12,7 @@ from flowskein.functions import scalars as S
 from flowskein.functions.predicates import given, is_structural, passes_verification
 from flowskein.operators import contracts, rollups, search
 from flowskein.operators import traversal as T
+from flowskein.session import materialize
 
 
 def context(nodes: DataFrame, edges: DataFrame, target: str, task: str = "", depth: int = 2) -> DataFrame:
@@ -29,22 +30,26 @@ def context(nodes: DataFrame, edges: DataFrame, target: str, task: str = "", dep
 def investigate(nodes: DataFrame, edges: DataFrame, query: str, flows: int = 5, depth: int = 6) -> dict:
     """Target, its neighbourhood, and the first flows through it with the state of their weakest hop.
 
-    A driver-side answer: every part of it is cut to what one answer shows.
+    A driver-side answer: every part of it is cut to what one answer shows, and
+    ``totals`` says how many there are of each.
     """
-    candidates = search.resolve_target(nodes, query).orderBy("pick").limit(4).collect()
+    named = search.resolve_target(nodes, query)
+    candidates = named.orderBy("pick").limit(4).collect()
     if not candidates:
-        return {"target": None, "candidates": [], "context": [], "flows": []}
+        return {"target": None, "candidates": [], "context": [], "flows": [], "totals": {"candidates": 0, "context": 0, "flows": 0}}
     target = candidates[0]["id"]
-    near = context(nodes, edges, target, depth=3).orderBy("depth", "node_id").limit(200).collect()
+    around, _ = materialize(context(nodes, edges, target, depth=3), "around")
+    near = around.orderBy("depth", "node_id").limit(200).collect()
     seeds = edges.sparkSession.createDataFrame([(target,)], "node_id string")
-    flow = T.chains(T.rolled_up(edges.filter("type NOT IN ('contains', 'declares')"), nodes), seeds, depth, flows)
+    leaves, _ = materialize(T.leaf_chains(T.rolled_up(edges.filter("type NOT IN ('contains', 'declares')"), nodes), seeds, depth), "flows")
+    flow = leaves.orderBy("chain_key").limit(flows)
     rank = F.when(F.col("verification_state") == "verified", 3).when(F.col("verification_state") == "observed_only_gap", 2).otherwise(1)
     hops = flow.select("chain_key", "nodes", F.explode("edge_ids").alias("id")).join(edges.select("id", rank.alias("r")), "id", "left")
     weakest = hops.groupBy("chain_key", "nodes").agg(F.min(F.coalesce("r", F.lit(0))).alias("r")).orderBy("chain_key").collect()
     names = ("rollup", "candidate", "observed_only_gap", "verified")
     return {
         "target": target, "candidates": [c["id"] for c in candidates[1:]], "context": [(r["node_id"], r["depth"]) for r in near],
-        "flows": [(r["nodes"], names[r["r"]]) for r in weakest],
+        "flows": [(r["nodes"], names[r["r"]]) for r in weakest], "totals": {"candidates": named.count() - 1, "context": around.count(), "flows": leaves.count()},
     }
 
 
@@ -104,8 +109,8 @@ def rendered(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return hop.groupBy("keys").agg(F.array_join(parts, "").alias("line"))
 
 
-def inherited(calls: DataFrame, parents: DataFrame, methods: DataFrame, depth: int = 32) -> DataFrame:
-    """Method of a call by the class and then what it inherits: all definitions at the nearest distance.
+def inherited(calls: DataFrame, parents: DataFrame, methods: DataFrame, depth: int = 0) -> DataFrame:
+    """Method of a call by the class and then what it inherits, however far up (or up to ``depth``): all definitions at the nearest distance.
 
     ``calls``: ``id``, ``class``, ``name``; ``parents``: ``class``, ``parent``;
     ``methods``: ``class``, ``name``, ``method_id``. Cycles end by what was seen.

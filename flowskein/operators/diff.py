@@ -43,7 +43,8 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: list[str], fields: lis
     Both inputs have the keys and fields under equal names and types; other
     columns are ignored. The sides are tagged, united and grouped once. Repeated
     rows collapse on the map side; if a side holds different rows for one key,
-    the greatest struct in field order stands for it. Null keys group together.
+    the greatest struct in field order stands for it, and ``__l_low`` or
+    ``__r_low``, the least, is not equal to it. Null keys group together.
     """
     names = [f.name for f in fields]
 
@@ -51,9 +52,8 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: list[str], fields: lis
         return df.select(*keys, F.struct(*names).alias("__v"), F.lit(side).alias("__side"))
 
     both = tagged(left, 0).unionByName(tagged(right, 1))
-    return both.groupBy(*keys).agg(
-        F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__l"), F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__r")
-    )
+    own = lambda side: F.when(F.col("__side") == side, F.col("__v"))
+    return both.groupBy(*keys).agg(F.max(own(0)).alias("__l"), F.max(own(1)).alias("__r"), F.min(own(0)).alias("__l_low"), F.min(own(1)).alias("__r_low"))
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list[Field], left_name: str, right_name: str) -> DataFrame:
@@ -76,3 +76,19 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
         .select(*keys, F.explode(F.expr(found)).alias("__d"))
         .select(*keys, "__d.diff", F.col("__d.l").alias("left_value"), F.col("__d.r").alias("right_value"))
     )
+
+
+def conflicts(left: DataFrame, right: DataFrame, keys: list[str], fields: list[Field], left_name: str, right_name: str) -> DataFrame:
+    """Keys of which one copy holds different rows within itself: ``side`` and the first ``field`` that is not the same in all of them.
+
+    Told by the least and the greatest row of the side in field order, so the
+    field is the first that differs between any two; fields compare exactly
+    after their tolerance.
+    """
+    rows = side_by_side(left, right, keys, fields)
+    parts = []
+    for side, name in (("l", left_name), ("r", right_name)):
+        one = rows.select(*keys, F.col(f"__{side}").alias("__l"), F.col(f"__{side}_low").alias("__r")).filter("__l IS NOT NULL")
+        first = F.coalesce(*(F.when(F.expr(f.differs()), F.lit(f.name)) for f in fields))
+        parts.append(one.select(*keys, F.lit(name).alias("side"), first.alias("field")).filter("field IS NOT NULL"))
+    return parts[0].unionByName(parts[1])

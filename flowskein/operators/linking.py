@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowskein.functions.predicates import given, meta
 from flowskein.functions.scalars import sql_table
-from flowskein.session import materialize
+from flowskein.session import Levels, materialize
 
 
 def edge(prefix: str, src: Column, dst: Column, edge_type: str, confidence: Column | str = "static") -> list[Column]:
@@ -174,21 +176,30 @@ def handshakes(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     Inputs: ``id``, ``service``, ``field``.
     """
     c = consumers.select(F.col("id").alias("c_id"), F.col("service").alias("c_service"), "field")
-    hits = producers.join(c, "field", "left").groupBy("id").agg(F.countDistinct(F.when(F.col("c_service") != F.col("service"), F.col("c_id"))).alias("n"))
+    # consumers are counted by field and service before producers ask, so a field of very many of both is no product of them
+    own = c.groupBy("field", F.col("c_service").alias("service")).agg(F.countDistinct("c_id").alias("__own"))
+    all_ = c.groupBy("field").agg(F.countDistinct(F.struct("c_id", "c_service")).alias("__all"))
+    asked = producers.select("id", "service", "field").distinct().join(all_, "field", "left").join(own, ["field", "service"], "left")
+    hits = asked.groupBy("id").agg(F.sum(F.coalesce("__all", F.lit(0)) - F.coalesce("__own", F.lit(0))).alias("n"))
     return hits.select("id", F.col("n").alias("n_matches"), F.when(F.col("n") == 0, "ledger").when(F.col("n") == 1, "resolved").otherwise("candidates").alias("outcome"))
 
 
 def hinted(clients: DataFrame, links: DataFrame) -> DataFrame:
     """Target service of each client whose URL starts with a link's base URL; the longest base counts.
 
-    ``links`` (``base_url``, ``target``) is configuration: it is joined by every
-    length it holds, so the join stays an equi-join.
+    A URL is cut to every length that ``links`` (``base_url``, ``target``) holds,
+    so the join stays an equi-join; all links count, however many there are. The
+    lengths come to the driver as one array, which has no more members than the
+    longest base URL has characters. Of several targets of one base the last by
+    name counts; null and empty bases are none.
     """
-    lengths = [r[0] for r in links.select(F.length("base_url")).distinct().limit(1_000).collect()]
+    known = links.filter("base_url <> ''").groupBy("base_url").agg(F.max("target").alias("target"))
+    lengths = known.agg(F.array_sort(F.collect_set(F.length("base_url"))).alias("l")).first()["l"]
     if not lengths:
         return clients.withColumn("target_service", F.lit(""))
-    heads = F.explode(F.array(*(F.substring("url", 1, n) for n in sorted(lengths))))
-    met = clients.select("id", "url", heads.alias("base_url")).join(F.broadcast(links.limit(10_000)), "base_url")
+    fit = F.filter(F.from_json(F.lit(json.dumps(lengths)), "array<int>"), lambda n: n <= F.length("url"))
+    heads = F.explode(F.transform(fit, lambda n: F.substr("url", F.lit(1), n)))
+    met = clients.select("id", heads.alias("base_url")).join(known, "base_url")
     best = met.groupBy("id").agg(F.max(F.struct(F.length("base_url").alias("n"), "target"))["target"].alias("target_service"))
     return clients.join(best, "id", "left").withColumn("target_service", given(F.col("target_service")))
 
@@ -250,21 +261,22 @@ def file_routes(files: DataFrame) -> DataFrame:
     return files.withColumn("dialect", dialect).filter("dialect IS NOT NULL").withColumn("__p", path).withColumn("route", F.concat(F.lit("/"), F.btrim(dynamic, F.lit("/")))).drop("__p")
 
 
-def group_prefixes(groups: DataFrame, max_depth: int = 16) -> DataFrame:
+def group_prefixes(groups: DataFrame) -> DataFrame:
     """Full prefix of nested route groups (``id``, ``parent_id``, ``prefix``): parents' prefixes first.
 
-    Nesting is bounded by ``max_depth``; deeper groups, and groups on a cycle, are left out.
+    Levels are worked out until none is left, each written once. Groups on or
+    below a cycle, or below a group that is not there, have no prefix: ``full``
+    is null and ``depth`` -1.
     """
-    level = groups.filter("parent_id IS NULL OR parent_id = ''").select("id", F.col("prefix").alias("full"), F.lit(0).alias("depth"))
-    parts = [level]
-    for depth in range(1, max_depth + 1):
-        up = parts[-1].select(F.col("id").alias("parent_id"), F.col("full").alias("__up"))
-        level = groups.join(up, "parent_id").select("id", F.concat(F.regexp_replace("__up", "/+$", ""), "prefix").alias("full"), F.lit(depth).alias("depth"))
-        parts.append(level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    stored, _ = materialize(groups.select("id", "parent_id", F.coalesce("prefix", F.lit("")).alias("prefix")), "groups")
+    level = stored.filter("parent_id IS NULL OR parent_id = ''").select("id", F.col("prefix").alias("full"), F.lit(0).alias("depth"))
+    found = Levels("group")
+    while found.add(level):
+        up = found.last.select(F.col("id").alias("parent_id"), F.col("full").alias("__up"), "depth")
+        level = stored.join(up, "parent_id").select("id", F.concat(F.regexp_replace("__up", "/+$", ""), "prefix").alias("full"), (F.col("depth") + 1).alias("depth"))
+    out = found.all()
+    lost = stored.select("id").join(out.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("full"), F.lit(-1).alias("depth"))
+    return out.unionByName(lost)
 
 
 def routes_to_handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:

@@ -15,11 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowskein.functions.predicates import is_structural
-from flowskein.session import materialize
+from flowskein.session import Levels, materialize
 
 #: Rows of a frontier that may be broadcast: some 20 MB of ids.
 BROADCAST_ROWS = 100_000
-UNLIMITED = 10_000
 
 
 @dataclass(frozen=True)
@@ -38,7 +37,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_dep
     """Nodes that each seed reaches: ``root_id``, ``node_id``, ``depth``, ``via_id``, ``via_type``, ``structural``, ``terminal``.
 
     ``seeds`` has ``root_id`` and ``node_id``; seeds themselves are not returned.
-    ``direction`` is out or in; depth 0 means no limit. A node is found at its
+    ``direction`` is out or in; depth 0 means no limit: levels follow until one
+    finds nothing new. A node is found at its
     least depth, by the edge of the least (type, id) there; it is terminal only
     if all edges there are. ``locals_`` (``id``) names captured locals.
     """
@@ -51,13 +51,13 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_dep
     if max_depth != 1:
         steps, _ = materialize(steps, "steps")  # what stands behind the edges is worked out once, not once a level
     start = seeds.select("root_id", "node_id").distinct()
-    frontier, _ = materialize(start.withColumn("structural", F.lit(False)), "seeds")
-    seen = frontier.select("root_id", "node_id")
-    found: list[DataFrame] = []
-    for depth in range(1, (max_depth or UNLIMITED) + 1):
-        rows = frontier.count()
-        if not rows:
-            break
+    found = Levels("traverse")
+    first = start.select("root_id", "node_id", F.lit(0).alias("depth"), F.lit("").alias("via_id"), F.lit("").alias("via_type"), F.lit(False).alias("structural"), F.lit(False).alias("terminal"))
+    rows, depth = found.add(first), 0
+    while rows and (not max_depth or depth < max_depth):
+        depth += 1
+        frontier = found.last.filter(~F.col("terminal")).select("root_id", "node_id", "structural")
+        seen = found.all().select("root_id", "node_id")
         walked = steps.join(F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier, "node_id")
         reached = walked.groupBy("root_id", F.col("next_id").alias("node_id")).agg(
             F.min(F.struct("__t", "__e", (F.col("structural") | is_structural(F.col("__t"))).alias("s"))).alias("v"),
@@ -66,16 +66,8 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_dep
         level = reached.join(seen, ["root_id", "node_id"], "left_anti").select(
             "root_id", "node_id", F.lit(depth).alias("depth"), F.col("v.__e").alias("via_id"), F.col("v.__t").alias("via_type"), F.col("v.s").alias("structural"), "terminal"
         )
-        level, _ = materialize(level, f"level-{depth}")
-        found.append(level)
-        seen = seen.unionByName(level.select("root_id", "node_id"))
-        frontier = level.filter(~F.col("terminal")).select("root_id", "node_id", "structural")
-    if not found:
-        return start.limit(0).selectExpr("root_id", "node_id", "0 AS depth", "'' AS via_id", "'' AS via_type", "false AS structural", "false AS terminal")
-    out = found[0]
-    for level in found[1:]:
-        out = out.unionByName(level)
-    return out
+        rows = found.add(level)
+    return found.all().filter("depth > 0")
 
 
 def both_ways(edges: DataFrame, seeds: DataFrame, max_depth: int, policy: Policy = Policy(), locals_: DataFrame | None = None) -> DataFrame:
@@ -136,15 +128,19 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, rule: PathRule) -> DataFram
     return out
 
 
+def leaf_chains(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """All root-to-leaf chains with ``chain_key``, whose order is the depth-first one."""
+    leaves = simple_paths(edges, seeds, PathRule(depth)).filter("is_leaf")
+    return leaves.withColumn("chain_key", F.array_join("keys", "\u0002"))
+
+
 def chains(edges: DataFrame, seeds: DataFrame, depth: int, show: int = 100, explore: int = 500) -> DataFrame:
     """Root-to-leaf chains in depth-first order, cut at ``explore`` and then at ``show``.
 
     Children come by type, neighbour and edge id, so depth-first order is the
     order of the key arrays.
     """
-    leaves = simple_paths(edges, seeds, PathRule(depth)).filter("is_leaf")
-    key = F.array_join("keys", "\u0002")
-    return leaves.withColumn("chain_key", key).orderBy("chain_key").limit(min(show, explore))
+    return leaf_chains(edges, seeds, depth).orderBy("chain_key").limit(min(show, explore))
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 5, max_depth: int = 10) -> DataFrame:

@@ -80,14 +80,24 @@ def _eval_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case results missing on either side and each field that differs."""
-    return p3_differences(spark, sf_dir).select("run_id", "case_id", "diff")
+    return _differences(spark, sf_dir).select("run_id", "case_id", "diff")
 
 
 def p3_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p3_found, with both values as text."""
+    """As p3_found, with both values as numbers: true is 1, NaN -1."""
+    number = lambda c: F.when(F.col(c).isin("true", "false"), (F.col(c) == "true").cast("double")).when(F.isnan(F.col(c).try_cast("double")), -1.0).otherwise(F.round(F.col(c).try_cast("double"), 9))
+    return _differences(spark, sf_dir).select("run_id", "case_id", "diff", number("left_value").alias("left_value"), number("right_value").alias("right_value"))
+
+
+def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.differences(*_eval_sides(spark, sf_dir), ["run_id", "case_id"], EVAL_FIELDS, "baseline", "mirror")
 
 
+def p3_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of which one of the copies contradicts itself."""
+    return diff.conflicts(*_eval_sides(spark, sf_dir), ["run_id", "case_id"], EVAL_FIELDS, "baseline", "mirror").select("run_id", "case_id", "side")
+
+
 def _tree_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "edges").filter(F.col("type").isin("contains", "inherits"))
     down = F.col("type") == "contains"
@@ -131,7 +141,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_spans, p1_attributes, p1_tables, p1_nodes, p2_found, p2_pair_counts, p2_source_services, p3_found, p3_differences,
+        p1_found, p1_spans, p1_attributes, p1_tables, p1_nodes, p2_found, p2_pair_counts, p2_source_services, p3_found, p3_differences, p3_conflicts,
         p5_found, p5_paths, p5_descendants, p5_several_parents, p6_found, p6_report,
     )
 }
@@ -166,20 +176,28 @@ found AS (
   SELECT a.edge_id, a.side, CASE WHEN f.id IS NULL THEN 'missing' WHEN f.first_at > a.t THEN 'late' ELSE 'removed' END AS reason, strftime(a.t, '%Y-%m') AS period
   FROM asked a LEFT JOIN held h ON h.ref = a.ref AND h.t = a.t LEFT JOIN first_seen f ON f.id = a.ref WHERE h.ref IS NULL)
 """
-_DIFF = f"""
+_SIDES = f"""
 WITH b AS (SELECT DISTINCT run_id, lower(trim(case_id, {_BLANK})) AS case_id, recall, precision_score, honest_misses, CAST(silent_misses AS DOUBLE) AS silent_misses, hard_fail FROM eval_baseline),
 m AS (SELECT DISTINCT run_id, lower(trim(case_id, {_BLANK})) AS case_id, recall, precision_score, honest_misses,
-  CASE WHEN trim(silent_misses, {_BLANK}) <> '' THEN coalesce(TRY_CAST(trim(silent_misses, {_BLANK}) AS DOUBLE), 'nan'::DOUBLE) END AS silent_misses, hard_fail FROM eval_mirror),
-both_sides AS (SELECT b.run_id, b.case_id, b AS l, m AS r FROM b JOIN m ON b.run_id = m.run_id AND b.case_id = m.case_id)
-SELECT run_id, case_id, 'only_baseline' AS diff FROM b ANTI JOIN m USING (run_id, case_id)
-UNION ALL SELECT run_id, case_id, 'only_mirror' FROM m ANTI JOIN b USING (run_id, case_id)
-UNION ALL SELECT run_id, case_id, 'recall' FROM both_sides WHERE l.recall IS DISTINCT FROM r.recall AND coalesce(isnan(l.recall) OR isnan(r.recall) OR abs(l.recall - r.recall) > 1e-6, true)
-UNION ALL SELECT run_id, case_id, 'precision_score' FROM both_sides WHERE l.precision_score IS DISTINCT FROM r.precision_score
-  AND coalesce(isnan(l.precision_score) OR isnan(r.precision_score) OR abs(l.precision_score - r.precision_score) > 1e-6, true)
-UNION ALL SELECT run_id, case_id, 'honest_misses' FROM both_sides WHERE l.honest_misses IS DISTINCT FROM r.honest_misses
-UNION ALL SELECT run_id, case_id, 'silent_misses' FROM both_sides WHERE l.silent_misses IS DISTINCT FROM r.silent_misses
-UNION ALL SELECT run_id, case_id, 'hard_fail' FROM both_sides WHERE l.hard_fail IS DISTINCT FROM r.hard_fail
+  CASE WHEN trim(silent_misses, {_BLANK}) <> '' THEN coalesce(TRY_CAST(trim(silent_misses, {_BLANK}) AS DOUBLE), 'nan'::DOUBLE) END AS silent_misses, hard_fail FROM eval_mirror)
 """
+_EXACT = ("honest_misses", "silent_misses", "hard_fail")
+_NEAR = ("recall", "precision_score")
+
+
+def _differs(name: str, a: str, b: str) -> str:
+    unlike = f"{a}.{name} IS DISTINCT FROM {b}.{name}"
+    return unlike if name in _EXACT else f"{unlike} AND coalesce(isnan({a}.{name}) OR isnan({b}.{name}) OR abs({a}.{name} - {b}.{name}) > 1e-6, true)"
+
+
+_DIFF = (
+    _SIDES
+    + """, both_sides AS (SELECT b.run_id, b.case_id, b AS l, m AS r FROM b JOIN m ON b.run_id = m.run_id AND b.case_id = m.case_id),
+d AS (SELECT run_id, case_id, 'only_baseline' AS diff, CAST(NULL AS DOUBLE) AS lv, CAST(NULL AS DOUBLE) AS rv FROM b ANTI JOIN m USING (run_id, case_id)
+UNION ALL SELECT run_id, case_id, 'only_mirror', NULL, NULL FROM m ANTI JOIN b USING (run_id, case_id) """
+    + " ".join(f"UNION ALL SELECT run_id, case_id, '{n}', CAST(l.{n} AS DOUBLE), CAST(r.{n} AS DOUBLE) FROM both_sides WHERE {_differs(n, 'l', 'r')}" for n in (*_NEAR, *_EXACT))
+    + ")"
+)
 
 ORACLES = {
     "p1_found": _P1
@@ -221,7 +239,11 @@ HAVING count(DISTINCT id) * 100 > (SELECT count(DISTINCT id) FROM edges)""",
     "p2_source_services": """WITH n AS (SELECT id, service, type FROM nodes UNION ALL SELECT id, service, type FROM shared_nodes),
 k AS (SELECT id, max(service) AS service, max(type) AS node_type FROM n GROUP BY id)
 SELECT k.service, k.node_type, count(*) AS n_rows FROM edges e LEFT JOIN k ON k.id = e.src WHERE e.src IS NOT NULL GROUP BY 1, 2""",
-    "p3_found": _DIFF,
+    "p3_found": _DIFF + " SELECT run_id, case_id, diff FROM d",
+    "p3_differences": _DIFF + " SELECT run_id, case_id, diff, CASE WHEN isnan(lv) THEN -1.0 ELSE round(lv, 9) END AS left_value, CASE WHEN isnan(rv) THEN -1.0 ELSE round(rv, 9) END AS right_value FROM d",
+    "p3_conflicts": _SIDES
+    + f""", x AS (SELECT *, 'baseline' AS side FROM b UNION ALL SELECT *, 'mirror' FROM m)
+SELECT DISTINCT a.run_id, a.case_id, a.side FROM x a JOIN x c ON a.run_id = c.run_id AND a.case_id = c.case_id AND a.side = c.side AND ({" OR ".join(f"({_differs(n, 'a', 'c')})" for n in (*_NEAR, *_EXACT))})""",
     "p5_found": _TREE
     + """SELECT n.type, n.node_id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth
 FROM nodes n LEFT JOIN walk w ON w.type = n.type AND w.node_id = n.node_id""",

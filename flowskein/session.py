@@ -60,6 +60,39 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Levels:
+    """Rows of a loop, level by level, each level written once.
+
+    Every ``COMPACT`` levels what is there is written as one table, so that the
+    plan over all of them stays short however many there are. Plans made of
+    ``all()`` before are not to be run after an ``add``.
+    """
+
+    COMPACT = 16
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+        self.parts: list[tuple[DataFrame, str]] = []
+        self.last: DataFrame | None = None
+
+    def add(self, level: DataFrame) -> int:
+        """Writes a level; returns how many rows it has."""
+        self.last, path = materialize(level, f"{self.name}-level")
+        if len(self.parts) >= self.COMPACT:  # only now: the new level's plan reads the parts
+            whole = materialize(self.all(), f"{self.name}-levels")
+            for _, old in self.parts:
+                discard(whole[0].sparkSession, old)
+            self.parts = [whole]
+        self.parts.append((self.last, path))
+        return self.last.count()
+
+    def all(self) -> DataFrame:
+        out = self.parts[0][0]
+        for part, _ in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
 def task_count(spark: SparkSession) -> int:
     """Reduce tasks that the session is set up for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -31,3 +31,11 @@ def test_number_texts(spark):
     texts = ["3", " +03 ", "3.0", "", "\t", None, "x"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(diff.number_text(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in rows[:6]] == [3.0, 3.0, 3.0, None, None, None] and math.isnan(rows[6]["n"])
+
+
+def test_conflicts_inside_one_copy(spark):
+    left = spark.createDataFrame([(1, 0.5, 1.0, ""), (1, 0.5 + 1e-9, 1.0, ""), (2, 0.5, 1.0, ""), (2, 0.5, 2.0, ""), (3, None, 1.0, ""), (3, 0.5, 1.0, "")], SCHEMA)
+    right = spark.createDataFrame([(1, 0.1, 1.0, ""), (1, 0.9, 2.0, ""), (4, 1.0, None, "")], SCHEMA)
+    got = {(r["id"], r["side"], r["field"]) for r in diff.conflicts(left, right, ["id"], FIELDS, "a", "b").collect()}
+    assert got == {(2, "a", "silent"), (3, "a", "recall"), (1, "b", "recall")}
+    assert diff.conflicts(left.limit(0), right.limit(0), ["id"], FIELDS, "a", "b").count() == 0

@@ -106,7 +106,7 @@ def test_routes_groups_hints(spark):
         "src/routes/b/+page.svelte": ("sveltekit", "/b"), "app/routes/c.$id.tsx": ("remix", "/c/:id"),
     }
     groups = spark.createDataFrame([("a", "", "/api"), ("b", "a", "/v1"), ("c", "b", "/x"), ("l", "l", "/loop")], "id string, parent_id string, prefix string")
-    assert {r["id"]: r["full"] for r in linking.group_prefixes(groups, 4).collect()} == {"a": "/api", "b": "/api/v1", "c": "/api/v1/x"}
+    assert {r["id"]: r["full"] for r in linking.group_prefixes(groups).collect()} == {"a": "/api", "b": "/api/v1", "c": "/api/v1/x", "l": None}
     clients = spark.createDataFrame([("1", "http://a/api/x"), ("2", "http://b"), ("3", "zzz")], "id string, url string")
     links = spark.createDataFrame([("http://a", "short"), ("http://a/api", "long"), ("http://b", "b")], "base_url string, target string")
     assert {r["id"]: r["target_service"] for r in linking.hinted(clients, links).collect()} == {"1": "long", "2": "b", "3": ""}
@@ -145,3 +145,24 @@ def test_similar_within_links_all_sources(spark):
     got = linking.similar_within(docs, "source").collect()
     assert len(got) == len(rows) and {g["id"]: (g["n_links"], g["n_own"]) for g in got} == want
     assert len({g["class"] for g in got}) == len({frozenset(x) for _, _, x in plain})
+
+
+def test_no_bound_on_links_lengths_levels_or_groups(spark, monkeypatch):
+    """More of each than the limits that once stood here: 1,200 base lengths and 11,000 links, groups 40 deep, chains of 120 levels, 50 ancestors."""
+    from flowskein import session
+    from flowskein.operators import answers
+
+    links = [("h" * n, f"t{n}") for n in range(1, 1_201)] + [(f"http://x{i}/", f"x{i}") for i in range(11_000)]
+    clients = spark.createDataFrame([("1", "h" * 1_200 + "/a"), ("2", "http://x10999/b"), ("3", "nothing"), ("4", None), ("5", "h")], "id string, url string")
+    found = linking.hinted(clients, spark.createDataFrame([*links, (None, "n"), ("", "e")], "base_url string, target string")).collect()
+    assert {r["id"]: r["target_service"] for r in found} == {"1": "t1200", "2": "x10999", "3": "", "4": "", "5": "t1"}
+    monkeypatch.setattr(session.Levels, "COMPACT", 5)
+    groups = [("g0", None, "/g0")] + [(f"g{i}", f"g{i - 1}", f"/g{i}") for i in range(1, 40)] + [("a", "b", "/a"), ("b", "a", "/b"), ("c", "gone", "/c")]
+    rows = {r["id"]: (r["full"], r["depth"]) for r in linking.group_prefixes(spark.createDataFrame(groups, "id string, parent_id string, prefix string")).collect()}
+    assert rows["g39"] == ("".join(f"/g{i}" for i in range(40)), 39) and rows["a"] == rows["b"] == rows["c"] == (None, -1)
+    chain = spark.createDataFrame([(f"e{i}", f"n{i}", f"n{i + 1}", "calls") for i in range(40)], "id string, src string, dst string, type string")
+    hits = T.traverse(chain, spark.createDataFrame([("n0", "n0")], "root_id string, node_id string")).collect()
+    assert {r["node_id"]: r["depth"] for r in hits} == {f"n{i}": i for i in range(1, 41)}
+    parents = spark.createDataFrame([(f"C{i}", f"C{i + 1}") for i in range(40)], "class string, parent string")
+    calls = spark.createDataFrame([("1", "C0", "m")], "id string, class string, name string")
+    assert answers.inherited(calls, parents, spark.createDataFrame([("C40", "m", "x")], "class string, name string, method_id string")).first()["depth"] == 40
