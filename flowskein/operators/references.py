@@ -64,7 +64,8 @@ def orphan_keys(references: DataFrame, runs: DataFrame, chunk_size: int = CHUNK)
     ``removed``: the key lies beyond the ends of all that do. A null key lies
     nowhere: its reason is ``missing`` or else ``removed``.
     """
-    asked = references.select("__h1", "__h2", "__key").distinct().withColumn("__at", F.coalesce("__key", F.lit(LEAST)))
+    once, _ = materialize(references.select("__h1", "__h2", "__key").distinct(), "asked")  # read twice below
+    asked = once.withColumn("__at", F.coalesce("__key", F.lit(LEAST)))
     none = F.lit(None).cast("bigint")
     events = asked.select("__h1", "__h2", _chunk("__at", chunk_size).alias("__chunk"), "__at", F.lit(2).alias("__o"), none.alias("end"), "__key", F.lit(None).cast("boolean").alias("__is")).unionByName(
         runs.select("__h1", "__h2", "__chunk", F.col("start").alias("__at"), F.lit(1).alias("__o"), "end", none.alias("__key"), F.lit(None).cast("boolean").alias("__is"))
