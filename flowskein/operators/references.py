@@ -4,9 +4,9 @@ The parents' integer keys (here: the microseconds at which a record stands) are
 compressed into contiguous runs for each identity; a reference is matched as of
 its own key to the run that starts at or before it and is an orphan beyond that
 run's end. Runs and references are united and sorted, and run ends are carried
-forward, so no pairs of the two are made; this happens within spans of the key
-axis, each of which begins with what the spans before it hand over, so an
-identity of very many references or runs is many tasks. Identities travel as
+forward, so no pairs of the two are made. An identity of very many references or
+runs is worked on in spans of the key axis, each of which begins with what the
+spans before it hand over, so it is many tasks. Identities travel as
 128 hash bits. References are first reduced to distinct (identity, key) pairs,
 so a hot identity shrinks before the shuffle; the rows behind the few orphan
 pairs are fetched by a second pass that a bitmap of bounded size has thinned
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowskein.operators.skew import key_hash, load_plan
 from flowskein.session import materialize
 
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -56,27 +57,39 @@ def key_runs(parents: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
     return numbered.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")
 
 
-def orphan_keys(references: DataFrame, runs: DataFrame, chunk_size: int = CHUNK) -> DataFrame:
+def orphan_keys(references: DataFrame, runs: DataFrame, chunk_size: int = CHUNK, tasks: int | None = None) -> DataFrame:
     """Distinct orphan pairs (``__h1``, ``__h2``, ``__key``) with their ``reason``.
 
-    ``runs`` as of ``key_runs`` with the same ``chunk_size``. ``missing``: the
-    identity has no run; ``late``: none that starts at or before the key;
-    ``removed``: the key lies beyond the ends of all that do. A null key lies
-    nowhere: its reason is ``missing`` or else ``removed``.
+    ``runs`` as of ``key_runs``. ``missing``: the identity has no run; ``late``:
+    none that starts at or before the key; ``removed``: the key lies beyond the
+    ends of all that do. A null key lies nowhere: its reason is ``missing`` or
+    else ``removed``. Identities that outweigh a task's share (``load_plan``)
+    are worked on in spans of the axis, all others whole.
     """
-    asked = references.select("__h1", "__h2", "__key").distinct().withColumn("__at", F.coalesce("__key", F.lit(LEAST)))
     none = F.lit(None).cast("bigint")
-    events = asked.select("__h1", "__h2", _chunk("__at", chunk_size).alias("__chunk"), "__at", F.lit(2).alias("__o"), none.alias("end"), "__key", F.lit(None).cast("boolean").alias("__is")).unionByName(
-        runs.select("__h1", "__h2", "__chunk", F.col("start").alias("__at"), F.lit(1).alias("__o"), "end", none.alias("__key"), F.lit(None).cast("boolean").alias("__is"))
+    asked = references.select("__h1", "__h2", "__key").distinct()
+    events = asked.select("__h1", "__h2", F.coalesce("__key", F.lit(LEAST)).alias("__at"), F.lit(2).alias("__o"), none.alias("end"), "__key").unionByName(
+        runs.select("__h1", "__h2", F.col("start").alias("__at"), F.lit(1).alias("__o"), "end", none.alias("__key"))
     )
-    # what each span hands over to the later ones: at most one row for each span of an identity
-    spans = events.groupBy("__h1", "__h2", "__chunk").agg(F.max("end").alias("__end"), F.max(F.col("__o") == 2).alias("__asked"))
-    by_id = W.partitionBy("__h1", "__h2")
-    before = F.max("__end").over(by_id.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
-    handed = spans.withColumn("end", before).withColumn("__is", F.max("__end").over(by_id).isNotNull()).filter("__asked")
-    line = events.unionByName(handed.select("__h1", "__h2", "__chunk", F.lit(LEAST).alias("__at"), F.lit(0).alias("__o"), "end", none.alias("__key"), "__is"))
-    carried = W.partitionBy("__h1", "__h2", "__chunk").orderBy((F.col("__o") > 0).cast("int"), "__at", "__o").rowsBetween(W.unboundedPreceding, 0)
-    met = line.withColumn("__reach", F.max("end").over(carried)).withColumn("__known", F.max("__is").over(carried)).filter("__o = 2")
+    events, _ = materialize(events, "events")
+    plan = load_plan(events, ["__h1", "__h2"], tasks)
+    by_id, spans = ["__h1", "__h2"], ["__h1", "__h2", "__chunk"]
+    line = events.withColumn("__chunk", F.lit(0).cast("bigint")).withColumn("__is", F.lit(None).cast("boolean"))
+    if plan.heavy:
+        hot = events.sparkSession.createDataFrame([(a, b) for a, b, _, _ in plan.heavy], "__k1 bigint, __k2 bigint")  # at most two rows a task
+        keyed = line.withColumn("__k1", key_hash(by_id, 1)).withColumn("__k2", key_hash(by_id, 2))
+        marked = keyed.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+        line = marked.withColumn("__chunk", F.when(F.col("__hot"), _chunk("__at", chunk_size)).otherwise(0))
+        # what each span hands over to the later ones: at most one row for each span of a hot identity
+        held = line.filter("__hot").groupBy(*spans).agg(F.max("end").alias("__end"), F.max(F.col("__o") == 2).alias("__asked"))
+        own = W.partitionBy(*by_id)
+        before = F.max("__end").over(own.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
+        handed = held.withColumn("end", before).withColumn("__is", F.max("__end").over(own).isNotNull()).filter("__asked")
+        line = line.drop("__hot").unionByName(handed.select(*spans, F.lit(LEAST).alias("__at"), F.lit(0).alias("__o"), "end", none.alias("__key"), "__is"))
+    whole = W.partitionBy(*spans)
+    carried = whole.orderBy((F.col("__o") > 0).cast("int"), "__at", "__o").rowsBetween(W.unboundedPreceding, 0)
+    any_run = F.coalesce(F.max("__is").over(whole), F.max(F.col("__o") == 1).over(whole))
+    met = line.withColumn("__reach", F.max("end").over(carried)).withColumn("__known", any_run).filter("__o = 2")
     reason = (
         F.when(~F.col("__known"), "missing").when(F.col("__key").isNull(), "removed").when(F.col("__reach").isNull(), "late")
         .when(F.col("__reach") > F.col("__at"), "held").otherwise("removed")

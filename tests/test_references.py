@@ -64,3 +64,8 @@ def test_hot_identity_over_many_spans_equals_brute_force(spark, monkeypatch):
         reason = "missing" if not own else "late" if all(a > t for a, _ in own) else "removed"
         want.append((ident, "src", reason, at(t).strftime("%Y-%m")))
     assert orphans(spark, edges, nodes) == sorted(want)
+    plan = references.load_plan
+    monkeypatch.setattr(references, "load_plan", lambda df, keys, tasks=None: plan(df, keys, 400))  # every identity is hot
+    assert orphans(spark, edges, nodes) == sorted(want)
+    monkeypatch.setattr(references, "load_plan", lambda df, keys, tasks=None: plan(df, keys, 1, fraction=2.0))  # none is
+    assert orphans(spark, edges, nodes) == sorted(want)
