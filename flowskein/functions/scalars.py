@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowskein import model
+from flowskein.functions.normalize import quote_strip
 from flowskein.functions.predicates import given
 
 
@@ -133,21 +136,36 @@ def channel_label(exchange: Column, routing_key: Column, label: Column, method:
     return F.when(broker != "", broker).when(given(label) != "", label).otherwise(F.trim(F.concat_ws(" ", given(method), given(path))))
 
 
-def http_of_span(kind: Column, attrs: Column) -> tuple[Column, Column]:
-    """Method and path of an HTTP span, newer attribute names first."""
-    a = lambda *names: F.coalesce(*(F.nullif(F.try_element_at(attrs, F.lit(n)), F.lit("")) for n in names), F.lit(""))
-    server = a("http.route", "url.path", "http.target")
-    client = a("url.full", "http.url")
-    return F.lower(a("http.request.method", "http.method")), F.when(kind == "CLIENT", client).otherwise(server)
+Look = Callable[[str], Column]
+
+
+def first_given(look: Look, *names: str) -> Column:
+    """The first attribute of those names that is not empty, else ''."""
+    return F.coalesce(*(F.nullif(look(n), F.lit("")) for n in names), F.lit(""))
+
+
+def http_of_span(kind: Column, look: Look) -> tuple[Column, Column]:
+    """Method and path of an HTTP span, newer attribute names first; without a method there is neither.
+
+    A server names its route, then its path; any other kind of span the full URL.
+    """
+    method = first_given(look, "http.request.method", "http.method")
+    path = F.when(kind == "SERVER", first_given(look, "http.route", "url.path", "http.target")).otherwise(look("url.full"))
+    return method, F.when(method != "", path).otherwise("")
+
+
+def is_event_stream(look: Look, path: Column, routes: tuple[str, ...] = ()) -> Column:
+    """Server-sent events: by the response's content type, or by a route known for it."""
+    return F.lower(look("http.response.header.content-type")).contains("text/event-stream") | path.isin(*routes)
 
 
-def messaging_of_span(attrs: Column) -> tuple[Column, Column]:
-    """Kind and key of a messaging span: rabbitmq is amqp, others than kafka and nats are jobs."""
-    system = F.coalesce(F.try_element_at(attrs, F.lit("messaging.system")), F.lit(""))
-    target = F.coalesce(F.try_element_at(attrs, F.lit("messaging.destination.name")), F.lit(""))
-    routing = F.coalesce(F.try_element_at(attrs, F.lit("messaging.rabbitmq.destination.routing_key")), F.lit(""))
-    kind = F.when(system == "rabbitmq", "amqp").when(system.isin("kafka", "nats"), system).when(system != "", "job").otherwise("")
-    return kind, F.when(kind == "amqp", F.trim(F.concat_ws(" ", target, routing))).otherwise(target)
+def messaging_of_span(look: Look) -> tuple[Column, Column, Column]:
+    """Kind, operation and key of a messaging span: rabbitmq is amqp, others than kafka and nats are jobs; no destination, no key."""
+    system = F.lower(look("messaging.system"))
+    kind = F.when(system == "rabbitmq", "amqp").when(system.isin("kafka", "nats"), system).otherwise("job")
+    target, routing = quote_strip(look("messaging.destination.name")), quote_strip(look("messaging.rabbitmq.destination.routing_key"))
+    key = F.when(target == "", "").when((kind == "amqp") & (routing != ""), F.concat_ws(" ", target, routing)).otherwise(target)
+    return kind, first_given(look, "messaging.operation.type", "messaging.operation"), key
 
 
 def slug(text: Column) -> Column:

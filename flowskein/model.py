@@ -24,11 +24,14 @@ NOISE_CLASSES = ("filter_chain", "mixin", "containment", "render_tree")
 BOILERPLATE_SEGMENTS = ("api", "apis", "rest", "public", "internal")
 # Methods tried for a client without one, in this order.
 FALLBACK_METHODS = ("get", "post", "put", "patch", "delete", "")
-# Span attributes that are kept.
+# Span attributes that are kept; no other ever leaves the body.
 SPAN_ATTRIBUTES = (
-    "http.request.method", "http.method", "http.route", "url.path", "http.target", "url.full", "http.url", "http.response.status_code",
-    "messaging.system", "messaging.destination.name", "messaging.rabbitmq.destination.routing_key", "code.filepath", "code.function",
+    "http.request.method", "url.full", "url.path", "http.route", "http.response.header.content-type", "http.method", "http.target",
+    "messaging.system", "messaging.operation.type", "messaging.destination.name", "messaging.rabbitmq.destination.routing_key", "messaging.operation",
+    "code.filepath", "code.function",
 )
+# Operations that send to a channel, and that take from one.
+PUBLISH_OPERATIONS, CONSUME_OPERATIONS = ("publish", "send"), ("process", "receive")
 
 VERIFIED, CANDIDATE, GAP, CONFLICTING = "verified", "candidate", "observed_only_gap", "conflicting"
 MATCH_TIERS = ("exact", "normalized", "wildcard_anchored", "exchange_only")

@@ -92,8 +92,8 @@ def compact_sources(spark, sf_dir):
     return edges(spark, sf_dir).select("id", F.array_join(S.compact_sources(F.col("sources"), F.lit(NOW)), "; ").alias("sources"))
 
 
-def _spans(spark, sf_dir) -> DataFrame:
-    return materialize(SP.span_rows(table(spark, sf_dir, "otlp_exports")), "spans")[0]  # bodies are parsed once
+def _spans(spark, sf_dir, **how) -> DataFrame:
+    return materialize(SP.span_rows(table(spark, sf_dir, "otlp_exports"), **how), "spans")[0]  # bodies are parsed once
 
 
 def spans_parent_child(spark, sf_dir):
@@ -106,11 +106,36 @@ def spans_flow_records(spark, sf_dir):
     return SP.flow_records(_spans(spark, sf_dir))
 
 
+def spans_messaging_flows(spark, sf_dir):
+    """Flows where spans that do not tell their operation are taken by their kind: links, and channels where there are none."""
+    return SP.flow_records(_spans(spark, sf_dir, told_by_kind=True)).filter("kind_of NOT IN ('http', 'sse')")
+
+
+#: A route of the corpus taken for one of server-sent events.
+SSE_ROUTES = ("/anvils/:id",)
+
+
+def spans_event_streams(spark, sf_dir):
+    """Flows of the routes that are known for server-sent events."""
+    return SP.flow_records(_spans(spark, sf_dir, sse_routes=SSE_ROUTES)).filter("kind_of = 'sse'")
+
+
+def spans_key_matches(spark, sf_dir):
+    """Consumers without link by channel and the services that publish to it."""
+    rows = SP.key_matched(_spans(spark, sf_dir, told_by_kind=True))
+    return rows.groupBy("session", "kind_of", "key", "src_service", F.col("service").alias("dst_service")).agg(F.count("*").alias("n"))
+
+
 def span_outcomes(spark, sf_dir):
     """What became of every span: the sum is all spans."""
     return SP.span_ledger(_spans(spark, sf_dir))
 
 
+def span_outcomes_by_kind(spark, sf_dir):
+    """As span_outcomes, with operations told by kind and one service unknown."""
+    return SP.span_ledger(_spans(spark, sf_dir, told_by_kind=True, names={"anvil": "forge"}))
+
+
 def session_summaries(spark, sf_dir):
     return SP.session_summary(_spans(spark, sf_dir))
 
@@ -363,7 +388,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reconcile_states, reconcile_report, runtime_coverage, provider_pairs, rule_proposals, evidence_fusion, yield_scorecard, yield_gate, ledger_retraction,
-        provider_files, epistemic_verdicts, compact_sources, spans_parent_child, spans_flow_records, span_outcomes, session_summaries, session_coverage,
+        provider_files, epistemic_verdicts, compact_sources, spans_parent_child, spans_flow_records, spans_messaging_flows, spans_event_streams, spans_key_matches, span_outcomes, span_outcomes_by_kind, session_summaries, session_coverage,
         contract_http, normalized_paths, bm25_search, fts_per_type, cosine_topk_per_type, cosine_topk_per_query, rrf_fusion, rrf_fusion_per_query, exact_first_search, resolve_target, embed_delta,
         doc_chunks, rank_margins, rank_margins_per_query, eval_report, eval_gate, arm_summary, ab_pairing_median, promoted_gaps, case_scores, promotion_diff, trend_delta,
         growth_flags, budget_prefix, budget_backfill, per_file_caps, previous_click, stream_tumbling_counts, stream_sliding_counts, stream_sessions,
@@ -388,9 +413,6 @@ c AS (SELECT class, scope, count(*) FILTER (kind = 'static') AS n_static, count(
   count(*) FILTER (kind = 'unresolved') AS n_unresolved, count(*) AS n_resolvable FROM y GROUP BY 1, 2)
 """
 )
-_ATTR = "coalesce(list_filter(json_extract(p, '$.attributes[*]'), lambda x: json_extract_string(x, '$.key') = '{k}')[1], NULL)"
-
-
 def _attr(name: str) -> str:
     got = f"list_filter(json_extract(p, '$.attributes[*]'), lambda x: coalesce(json_extract_string(x, '$.key'), '') = '{name}')[1]"
     return "coalesce(" + ", ".join(f"json_extract_string({got}, '$.value.{t}')" for t in ("stringValue", "intValue", "doubleValue", "boolValue")) + ", '')"
@@ -400,31 +422,60 @@ def _first(*names: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({_attr(n)}, '')" for n in names) + ", '')"
 
 
-_SPANS = (
-    """WITH b AS (SELECT session, body FROM otlp_exports WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
+def _spans_sql(by_kind: bool = False, sse: tuple[str, ...] = (), names: tuple[tuple[str, str], ...] = ()) -> str:
+    """Spans, calls, links, key matches, lone producers and flows."""
+    told = "WHEN op = '' THEN CASE WHEN kind = 'PRODUCER' THEN 'publish' ELSE 'consume' END" if by_kind else ""
+    routes = f"sv IN ({', '.join(repr(r) for r in sse)})" if sse else "false"
+    renamed = "CASE raw_service " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names) + " ELSE raw_service END" if names else "raw_service"
+    return (
+        """WITH b AS (SELECT export_id, min(session) AS session, min(body) AS body FROM otlp_exports WHERE json_valid(body) AND json_type(body) = 'OBJECT' GROUP BY export_id),
 sr AS (SELECT session, unnest(json_extract(body, '$.resourceSpans[*]')) AS r FROM b),
 ss AS (SELECT session, r, unnest(json_extract(r, '$.scopeSpans[*]')) AS s FROM sr),
-sp AS (SELECT session, coalesce(json_extract_string(list_filter(json_extract(r, '$.resource.attributes[*]'), lambda x: json_extract_string(x, '$.key') = 'service.name')[1], '$.value.stringValue'), '') AS service, unnest(json_extract(s, '$.spans[*]')) AS p FROM ss),
-sa AS (SELECT session, service, p, coalesce(json_extract_string(p, '$.traceId'), '') AS trace_id, coalesce(json_extract_string(p, '$.spanId'), '') AS span_id, coalesce(json_extract_string(p, '$.parentSpanId'), '') AS ps,
+sp AS (SELECT * FROM (SELECT session, coalesce(json_extract_string(list_filter(json_extract(r, '$.resource.attributes[*]'), lambda x: json_extract_string(x, '$.key') = 'service.name')[1], '$.value.stringValue'), '') AS raw_service,
+  unnest(json_extract(s, '$.spans[*]')) AS p FROM ss) WHERE json_type(p) = 'OBJECT'),
+sa AS (SELECT session, raw_service, p, coalesce(json_extract_string(p, '$.traceId'), '') AS trace_id, coalesce(json_extract_string(p, '$.spanId'), '') AS span_id, coalesce(json_extract_string(p, '$.parentSpanId'), '') AS ps,
   json_extract_string(p, '$.kind') AS k, json_extract_string(p, '$.startTimeUnixNano') AS start_ns, """
-    + f"""{_first('http.request.method', 'http.method')} AS m, {_first('http.route', 'url.path', 'http.target')} AS sv, {_first('url.full', 'http.url')} AS cv,
-  {_attr('messaging.system')} AS ms, {_attr('messaging.destination.name')} AS md, {_attr('messaging.rabbitmq.destination.routing_key')} AS mr, {_attr('code.filepath')} AS code_file,
+        + f"""{_first('http.request.method', 'http.method')} AS m, {_first('http.route', 'url.path', 'http.target')} AS sv, {_attr('url.full')} AS cv, {_attr('http.response.header.content-type')} AS ct,
+  lower({_attr('messaging.system')}) AS ms, {_attr('messaging.destination.name')} AS md, {_attr('messaging.rabbitmq.destination.routing_key')} AS mr, {_first('messaging.operation.type', 'messaging.operation')} AS op,
+  {_attr('code.filepath')} AS code_file, {_attr('code.function')} AS code_func,
   array_to_string(list_sort(list_distinct(list_transform(json_extract(p, '$.links[*]'), lambda x: coalesce(json_extract_string(x, '$.traceId'), '') || '/' || coalesce(json_extract_string(x, '$.spanId'), '')))), ',') AS links FROM sp),
-sb AS (SELECT session, service, trace_id, span_id, CASE WHEN regexp_full_match(ps, '[\\s0]*') THEN '' ELSE ps END AS parent_span_id, start_ns, links, code_file,
+sb AS (SELECT session, raw_service, {renamed} AS service, trace_id, span_id, CASE WHEN regexp_full_match(ps, '[\\s0]*') THEN '' ELSE ps END AS parent_span_id, start_ns, links, code_file, code_func,
   CASE WHEN TRY_CAST(k AS INT) BETWEEN 0 AND 5 THEN list_extract(['UNSPECIFIED', 'INTERNAL', 'SERVER', 'CLIENT', 'PRODUCER', 'CONSUMER'], CAST(TRY_CAST(k AS INT) + 1 AS INT)) ELSE replace(upper(k), 'SPAN_KIND_', '') END AS kind,
-  lower(m) AS m, sv, cv, ms, md, mr FROM sa),
-sc AS (SELECT *, CASE WHEN kind = 'CLIENT' THEN cv ELSE sv END AS path FROM sb),
-sd AS (SELECT *, CASE WHEN path <> '' THEN 'http' WHEN ms = 'rabbitmq' THEN 'amqp' WHEN ms IN ('kafka', 'nats') THEN ms WHEN ms <> '' THEN 'job' ELSE '' END AS kind_of,
+  lower(m) AS m, sv, cv, ct, ms, md, mr, op FROM sa),
+sc AS (SELECT *, kind IN ('PRODUCER', 'CONSUMER') AS msg, CASE WHEN m = '' THEN '' WHEN kind = 'SERVER' THEN sv ELSE cv END AS path FROM sb),
+sd AS (SELECT *, CASE WHEN msg THEN CASE WHEN ms = 'rabbitmq' THEN 'amqp' WHEN ms IN ('kafka', 'nats') THEN ms ELSE 'job' END WHEN m = '' THEN '' WHEN kind = 'SERVER' AND (contains(lower(ct), 'text/event-stream') OR {routes}) THEN 'sse' ELSE 'http' END AS kind_of,
   CASE WHEN contains(path, '://') THEN CASE WHEN regexp_extract(lower(path), '://[^/]*(/.*)$', 1) = '' THEN '/' ELSE regexp_extract(lower(path), '://[^/]*(/.*)$', 1) END ELSE lower(path) END AS p1 FROM sc),
 se AS (SELECT *, regexp_replace(regexp_replace(string_split(p1, '?')[1], ':[^/]+', '*', 'g'), '\\{{[^}}]+\\}}', '*', 'g') AS p2 FROM sd),
-s AS (SELECT DISTINCT session, service, trace_id, span_id, parent_span_id, kind, start_ns, links, code_file, kind_of,
-  CASE WHEN kind_of = 'http' THEN trim(m || ' ' || CASE WHEN p2 = '' THEN '' WHEN regexp_replace(p2, '/+$', '') = '' THEN '/' ELSE regexp_replace(p2, '/+$', '') END) WHEN kind_of = 'amqp' THEN trim(md || ' ' || mr) ELSE md END AS key FROM se),
-pc AS (SELECT d.*, u.service AS src_service, u.key AS parent_key FROM s d JOIN s u ON u.trace_id = d.trace_id AND u.span_id = d.parent_span_id AND u.kind IN ('CLIENT', 'PRODUCER') AND u.span_id <> ''
-  WHERE d.kind IN ('SERVER', 'CONSUMER') AND d.parent_span_id <> '' AND u.service <> d.service AND u.service <> '' AND d.service <> ''),
-lx AS (SELECT *, unnest(string_split(links, ',')) AS lk FROM s WHERE kind = 'CONSUMER' AND links <> ''),
-ln AS (SELECT d.*, u.service AS src_service FROM lx d JOIN s u ON u.kind = 'PRODUCER' AND u.trace_id || '/' || u.span_id = d.lk WHERE u.service <> d.service AND u.service <> '' AND d.service <> '')
+sf AS (SELECT *, CASE WHEN p2 = '' THEN '' WHEN regexp_replace(p2, '/+$', '') = '' THEN '/' ELSE regexp_replace(p2, '/+$', '') END AS p3 FROM se),
+s AS (SELECT DISTINCT session, raw_service, service, trace_id, span_id, parent_span_id, kind, start_ns, links, code_file, code_func, kind_of,
+  CASE WHEN msg THEN CASE WHEN md = '' THEN '' WHEN kind_of = 'amqp' AND mr <> '' THEN md || ' ' || mr ELSE md END WHEN path = '' THEN '' WHEN kind_of = 'sse' THEN p3 ELSE trim(m || ' ' || p3) END AS key,
+  CASE WHEN NOT msg THEN '' WHEN op IN ('publish', 'send') THEN 'publish' WHEN op IN ('process', 'receive') THEN 'consume' {told} ELSE '' END AS role FROM sf),
+u AS (SELECT session, trace_id, span_id, max((kind, raw_service, service)) AS v FROM s WHERE span_id <> '' GROUP BY 1, 2, 3),
+ca AS (SELECT d.*, CASE WHEN u.v[2] <> d.raw_service THEN u.v[3] END AS up FROM s d LEFT JOIN u ON u.session = d.session AND u.trace_id = d.trace_id AND u.span_id = d.parent_span_id AND u.v[1] = 'CLIENT' AND d.parent_span_id <> ''
+  WHERE d.kind = 'SERVER' AND d.service <> '' AND d.kind_of <> '' AND d.key <> ''),
+pc AS (SELECT *, up AS src_service FROM ca WHERE up <> ''),
+cs AS (SELECT * FROM s WHERE role = 'consume' AND service <> '' AND key <> ''),
+pr AS (SELECT * FROM s WHERE role = 'publish' AND service <> '' AND key <> ''),
+ln AS (SELECT d.*, u.v[3] AS src_service FROM (SELECT *, unnest(string_split(links, ',')) AS lk FROM cs WHERE links <> '') d JOIN u ON u.session = d.session AND u.trace_id || '/' || u.span_id = d.lk AND u.v[1] = 'PRODUCER' AND u.v[3] <> ''),
+lf AS (SELECT * FROM cs ANTI JOIN ln USING (session, trace_id, span_id, raw_service, kind_of, key)),
+km AS (SELECT d.*, q.src_service FROM lf d JOIN (SELECT DISTINCT session, kind_of, key, service AS src_service FROM pr) q USING (session, kind_of, key)),
+al AS (SELECT * FROM pr ANTI JOIN km USING (session, kind_of, key) WHERE (session, trace_id || '/' || span_id) NOT IN (SELECT (session, lk) FROM ln)),
+fa AS (SELECT kind_of, key, coalesce(up, '') AS src_service, service AS dst_service, CASE WHEN coalesce(up, '') <> '' THEN 'parent_child' ELSE 'server_only' END AS causality, trace_id, session, CAST(start_ns AS BIGINT) AS ns, span_id FROM ca
+  UNION ALL SELECT kind_of, key, src_service, service, 'link', trace_id, session, CAST(start_ns AS BIGINT), span_id FROM ln UNION ALL SELECT kind_of, key, src_service, service, 'key_match', trace_id, session, CAST(start_ns AS BIGINT), span_id FROM km
+  UNION ALL SELECT kind_of, key, service, '', 'key_match', trace_id, session, CAST(start_ns AS BIGINT), span_id FROM al),
+fl AS (SELECT kind_of, key, src_service, dst_service, arg_min(causality, (session, trace_id, ns, span_id, causality)) AS causality, count(DISTINCT trace_id) AS n_traces, count(DISTINCT session) AS n_sessions, count(DISTINCT (session, trace_id)) AS n_refs FROM fa GROUP BY 1, 2, 3, 4),
+us AS (SELECT DISTINCT session, trace_id, parent_span_id AS span_id FROM ca WHERE up IS NOT NULL),
+mt AS (SELECT DISTINCT session, trace_id, span_id, raw_service, kind_of, key FROM (SELECT session, trace_id, span_id, raw_service, kind_of, key FROM ln UNION ALL SELECT session, trace_id, span_id, raw_service, kind_of, key FROM km)),
+oc AS (SELECT s.kind, CASE WHEN s.kind = 'SERVER' THEN CASE WHEN service = '' THEN 'unknown_service' WHEN s.kind_of = '' THEN 'unsupported_span_kind' WHEN s.key = '' THEN 'no_route_or_path' ELSE 'flow' END
+  WHEN s.kind IN ('PRODUCER', 'CONSUMER') THEN CASE WHEN service = '' THEN 'unknown_service' WHEN s.key = '' THEN 'no_route_or_path' WHEN role = '' THEN 'unsupported_span_kind' WHEN role = 'publish' OR mt.key IS NOT NULL THEN 'flow' ELSE 'no_causality' END
+  WHEN s.kind = 'CLIENT' AND us.span_id IS NOT NULL THEN CASE WHEN service = '' THEN 'unknown_service' ELSE 'matched_client' END WHEN s.kind = 'CLIENT' AND s.kind_of <> '' THEN 'no_causality' ELSE 'unsupported_span_kind' END AS outcome
+  FROM s LEFT JOIN us ON us.session = s.session AND us.trace_id = s.trace_id AND us.span_id = s.span_id
+  LEFT JOIN mt ON mt.session = s.session AND mt.trace_id = s.trace_id AND mt.span_id = s.span_id AND mt.raw_service = s.raw_service AND mt.kind_of = s.kind_of AND mt.key = s.key)
 """
-)
+    )
+
+
+_SPANS = _spans_sql()
 _BM = """WITH d AS (SELECT doc_id, coalesce(lower(trim(source)), '') AS type, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents),
 c AS (SELECT doc_id, type, len(t) AS len, len(list_filter(t, lambda w: starts_with(w, 'session'))) AS a, len(list_filter(t, lambda w: starts_with(w, 'ledger'))) AS b FROM d),
 k AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM c),
@@ -484,15 +535,12 @@ SELECT type, array_to_string(list_filter([CASE WHEN c > 0 THEN 'candidate_edges'
   CASE WHEN 1750000000 - s.observed_at >= 86400 THEN CAST((1750000000 - s.observed_at) // 86400 AS VARCHAR) || 'd' WHEN 1750000000 - s.observed_at >= 3600 THEN CAST((1750000000 - s.observed_at) // 3600 AS VARCHAR) || 'h'
   ELSE CAST((1750000000 - s.observed_at) // 60 AS VARCHAR) || 'm' END || ')' ELSE '' END)), '; ') AS sources FROM e""",
     "spans_parent_child": _SPANS + "SELECT src_service, service AS dst_service, count(*) AS n, count(DISTINCT trace_id) AS n_traces FROM pc GROUP BY 1, 2",
-    "spans_flow_records": _SPANS
-    + """, f AS (SELECT kind_of, CASE WHEN key <> '' THEN key ELSE parent_key END AS key, src_service, service AS dst_service, trace_id, session, 'parent_child' AS causality FROM pc
-  UNION ALL SELECT kind_of, key, src_service, service, trace_id, session, 'link' FROM ln)
-SELECT kind_of, key, src_service, dst_service, causality, count(DISTINCT trace_id) AS n_traces, count(DISTINCT session) AS n_sessions FROM f GROUP BY 1, 2, 3, 4, 5""",
-    "span_outcomes": _SPANS
-    + """, fl AS (SELECT DISTINCT trace_id, span_id, service, session FROM pc UNION SELECT trace_id, span_id, service, session FROM ln), us AS (SELECT DISTINCT trace_id, parent_span_id FROM pc)
-SELECT CASE WHEN s.service = '' THEN 'no_service' WHEN fl.span_id IS NOT NULL THEN 'flow' WHEN us.trace_id IS NOT NULL THEN 'matched_client' WHEN s.kind IN ('INTERNAL', 'UNSPECIFIED') THEN 'internal' WHEN s.kind_of = '' THEN 'no_channel'
-  WHEN s.kind = 'SERVER' THEN 'server_only' WHEN s.kind = 'CONSUMER' THEN 'consumer_only' ELSE 'client_only' END AS outcome, s.kind, count(*) AS n_spans
-FROM s LEFT JOIN fl ON fl.trace_id = s.trace_id AND fl.span_id = s.span_id AND fl.service = s.service AND fl.session = s.session LEFT JOIN us ON us.trace_id = s.trace_id AND us.parent_span_id = s.span_id GROUP BY 1, 2""",
+    "spans_flow_records": _SPANS + "SELECT * FROM fl",
+    "spans_messaging_flows": _spans_sql(True) + "SELECT * FROM fl WHERE kind_of NOT IN ('http', 'sse')",
+    "spans_event_streams": _spans_sql(sse=SSE_ROUTES) + "SELECT * FROM fl WHERE kind_of = 'sse'",
+    "spans_key_matches": _spans_sql(True) + "SELECT session, kind_of, key, src_service, service AS dst_service, count(*) AS n FROM km GROUP BY 1, 2, 3, 4, 5",
+    "span_outcomes": _SPANS + "SELECT outcome, kind, count(*) AS n_spans FROM oc GROUP BY 1, 2",
+    "span_outcomes_by_kind": _spans_sql(True, names=(("anvil", "forge"),)) + "SELECT outcome, kind, count(*) AS n_spans FROM oc GROUP BY 1, 2",
     "session_summaries": _SPANS + "SELECT session, count(*) AS n_spans, count(DISTINCT trace_id) AS n_traces, array_to_string(list_sort(list_distinct(list(service) FILTER (service <> ''))), ',') AS services FROM s GROUP BY session",
     "bm25_search": _BM + "SELECT doc_id, score FROM bm",
     "fts_per_type": _BM + "SELECT doc_id, type, row_number() OVER (PARTITION BY type ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10",
@@ -572,8 +620,7 @@ WHERE NOT (f.k > 1 AND contains(w.p, '*') AND len(list_filter(w.g, lambda z: NOT
     "session_coverage": W.rstrip()
     + ", "
     + _SPANS.replace("WITH ", "", 1)
-    + """, f AS (SELECT DISTINCT CASE WHEN kind_of = 'http' THEN 'http_call' WHEN kind_of = 'kafka' THEN 'kafka_publish' WHEN kind_of = 'nats' THEN 'nats_publish' WHEN kind_of = 'job' THEN 'job_enqueue' ELSE 'publishes' END AS type, k AS label
-  FROM (SELECT kind_of, CASE WHEN key <> '' THEN key ELSE parent_key END AS k FROM pc UNION SELECT kind_of, key FROM ln))
+    + """, f AS (SELECT DISTINCT CASE WHEN kind_of = 'http' THEN 'http_call' WHEN kind_of = 'sse' THEN 'sse_endpoint' WHEN kind_of = 'kafka' THEN 'kafka_publish' WHEN kind_of = 'nats' THEN 'nats_publish' WHEN kind_of = 'job' THEN 'job_enqueue' ELSE 'publishes' END AS type, key AS label FROM fl)
 SELECT e.type, count(*) AS n_edges, count(f.type) AS n_seen FROM e LEFT JOIN f ON f.type = e.type AND f.label = e.label
 WHERE e.type IN ('http_call', 'sse_endpoint', 'publishes', 'kafka_publish', 'nats_publish', 'job_enqueue') GROUP BY e.type""",
     "doc_chunks": """WITH s AS (SELECT doc_id, CASE WHEN len(parts) = 0 THEN [] ELSE parts END AS parts FROM (

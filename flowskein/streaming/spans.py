@@ -39,10 +39,22 @@ def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
 
 
 def ingest_spans(stream: DataFrame, target: str, checkpoint: str):
-    """Export bodies to a span table, a batch at a time, by the batch operator itself."""
+    """Export bodies to a span table, a batch at a time, by the batch operator itself.
+
+    An export that an earlier batch wrote counts no more: the ids that are there
+    (one narrow column of the table) are taken off, as exports of one batch are
+    settled among themselves. Exports without id are settled within a batch
+    only. A batch that is run again replaces what it wrote.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        export_spans(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark = batch.sparkSession
+        new = export_spans(batch)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            there = spark.read.schema("export_id bigint, batch bigint").parquet(target).filter(F.col("batch") < number)
+            new = new.join(there.select("export_id").distinct(), "export_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

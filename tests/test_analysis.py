@@ -67,23 +67,75 @@ def span(trace, ident, parent="", kind=3, **attrs):
     return {"traceId": trace, "spanId": ident, "parentSpanId": parent, "kind": kind, "attributes": [{"key": k.replace("__", "."), "value": {"stringValue": v}} for k, v in attrs.items()]}
 
 
+EXPORTS = "export_id bigint, received_at timestamp, session string, body string"
+
+
+def resources(*parts):
+    """An export of (service, span, span, ...)."""
+    own = lambda service: {"attributes": [{"key": "service.name", "value": {"stringValue": service}}]}
+    return json.dumps({"resourceSpans": [{"resource": own(service), "scopeSpans": [{"spans": list(spans)}]} for service, *spans in parts]})
+
+
+def flows_of(spans):
+    return {(r["kind_of"], r["key"], r["src_service"], r["dst_service"], r["causality"], r["n_refs"]) for r in SP.flow_records(spans).collect()}
+
+
+def outcomes_of(spans):
+    return {(r["outcome"], r["kind"]): r["n_spans"] for r in SP.span_ledger(spans).collect()}
+
+
+def message(trace, ident, kind, to="orders", system="Kafka", operation=None, **more):
+    told = {"messaging__operation__type": operation or ("publish" if kind == 4 else "process")} if operation != "" else {}
+    return span(trace, ident, kind=kind, messaging__system=system, messaging__destination__name=to, **told, **more)
+
+
 def test_spans_become_flows_or_ledger_rows(spark):
-    def body(service, *spans):
-        return {"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": service}}]}, "scopeSpans": [{"spans": list(spans)}]}
-
-    link = span("t2", "c", kind="SPAN_KIND_CONSUMER", messaging__system="kafka", messaging__destination__name="orders") | {"links": [{"traceId": "t1", "spanId": "p"}]}
-    export = {"resourceSpans": [
-        body("web", span("t1", "a", http__request__method="GET", url__full="http://h/x/1"), span("t1", "i", kind=1), span("t1", "p", kind="4", messaging__system="kafka", messaging__destination__name="orders")),
-        body("api", span("t1", "b", "a", 2, http__method="GET", http__route="/x/:id"), span("t1", "z", "gone", 2, http__route="/y"), link), body("", span("t9", "n", kind=2)),
-    ]}
-    rows = SP.span_rows(spark.createDataFrame([("s", json.dumps(export)), ("s", json.dumps(export)), ("s", "{")], "session string, body string"))
-    flows = {(r["kind_of"], r["key"], r["src_service"], r["dst_service"], r["causality"]) for r in SP.flow_records(rows).collect()}
-    assert flows == {("http", "get /x/*", "web", "api", "parent_child"), ("kafka", "orders", "web", "api", "link")}
-    ledger = {(r["outcome"], r["kind"]): r["n_spans"] for r in SP.span_ledger(rows).collect()}
-    assert ledger == {("flow", "SERVER"): 1, ("flow", "CONSUMER"): 1, ("matched_client", "CLIENT"): 1, ("internal", "INTERNAL"): 1, ("client_only", "PRODUCER"): 1, ("server_only", "SERVER"): 1, ("no_service", "SERVER"): 1}
+    link = message("t2", "c", "SPAN_KIND_CONSUMER") | {"links": [{"traceId": "t1", "spanId": "p"}]}
+    body = resources(
+        ("web", span("t1", "a", http__request__method="GET", url__full="http://h/x/1"), span("t1", "i", kind=1), message("t1", "p", 4), span("t1", "w", http__request__method="GET", url__full="http://h/o")),
+        ("api", span("t1", "b", "a", 2, http__method="GET", http__route="/x/:id"), span("t1", "z", "gone", 2, http__method="PUT", url__path="/y/"), span("t1", "q", "", 2, http__route="/no-method"), span("t1", "r", "", 2, http__method="GET"), link),
+        ("", span("t9", "n", kind=2, http__method="GET", http__route="/n")),
+    )
+    rows = SP.span_rows(spark.createDataFrame([(1, None, "s", body), (1, None, "s", body), (2, None, "s", body), (3, None, "s", "{")], EXPORTS))
+    assert flows_of(rows) == {("http", "get /x/*", "web", "api", "parent_child", 1), ("http", "put /y", "", "api", "server_only", 1), ("kafka", "orders", "web", "api", "link", 1)}
+    ledger = outcomes_of(rows)
+    assert ledger == {
+        ("flow", "SERVER"): 2, ("flow", "CONSUMER"): 1, ("flow", "PRODUCER"): 1, ("matched_client", "CLIENT"): 1, ("no_causality", "CLIENT"): 1, ("unsupported_span_kind", "INTERNAL"): 1,
+        ("unsupported_span_kind", "SERVER"): 1, ("no_route_or_path", "SERVER"): 1, ("unknown_service", "SERVER"): 1,
+    }
     assert sum(ledger.values()) == rows.count()
 
 
+def test_channels_match_where_no_link_does(spark):
+    """Consumers without link meet all services that publish to their kind and key, in their session only; producers alone are flows to nobody."""
+    unknown = message("t3", "u", 5) | {"links": [{"traceId": "t1", "spanId": "gone"}]}
+    one = resources(
+        ("shop", message("t1", "p", 4), message("t1", "x", 4, "lonely"), message("t1", "m", 4, "mail", "RabbitMQ", messaging__rabbitmq__destination__routing_key="new.*")),
+        ("cart", message("t1", "p2", 4)),
+        ("bill", unknown, message("t4", "v", 5, "nobody"), message("t4", "k", 5, "mail", "rabbitmq", "receive", messaging__rabbitmq__destination__routing_key="new.*"), message("t4", "o", 5, operation=""), message("t4", "e", 5, "")),
+    )
+    rows = SP.span_rows(spark.createDataFrame([(1, None, "s", one), (2, None, "other", resources(("bill", message("t5", "w", 5))))], EXPORTS))
+    assert flows_of(rows) == {
+        ("kafka", "orders", "shop", "bill", "key_match", 1), ("kafka", "orders", "cart", "bill", "key_match", 1), ("kafka", "lonely", "shop", "", "key_match", 1), ("amqp", "mail new.*", "shop", "bill", "key_match", 1),
+    }
+    assert outcomes_of(rows) == {("flow", "PRODUCER"): 4, ("flow", "CONSUMER"): 2, ("no_causality", "CONSUMER"): 2, ("unsupported_span_kind", "CONSUMER"): 1, ("no_route_or_path", "CONSUMER"): 1}
+    by_kind = SP.span_rows(spark.createDataFrame([(1, None, "s", one)], EXPORTS), told_by_kind=True)
+    assert outcomes_of(by_kind)["flow", "CONSUMER"] == 3
+
+
+def test_event_streams_names_and_unknown_callers(spark):
+    body = resources(
+        ("front-1", span("t", "a", http__request__method="GET", url__full="http://h/e")),
+        ("api", span("t", "b", "a", 2, http__method="GET", http__route="/e/:id", **{"http__response__header__content-type": "Text/Event-Stream; x"}), span("t", "c", "", 2, http__method="GET", http__route="/live")),
+    )
+    exports = spark.createDataFrame([(1, None, "s", body)], EXPORTS)
+    assert flows_of(SP.span_rows(exports, {"front-1": "front"}, ("front", "api"), ("/live",))) == {("sse", "/e/*", "front", "api", "parent_child", 1), ("sse", "/live", "", "api", "server_only", 1)}
+    stranger = SP.span_rows(exports, known=("api",))
+    assert flows_of(stranger) == {("sse", "/e/*", "", "api", "server_only", 1), ("http", "get /live", "", "api", "server_only", 1)} and outcomes_of(stranger)["unknown_service", "CLIENT"] == 1
+    kept = SP.span_rows(spark.createDataFrame([(1, None, "s", resources(("a", span("t", "x", secret__key="s", code__filepath="f.go"))))], EXPORTS)).first()
+    assert kept["code_file"] == "f.go" and "s" not in [v for k, v in kept.asDict().items() if k != "session"]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "session ledger"), (2, "session session sessions"), (3, "other"), (4, None)], "doc_id bigint, text string")
     scores = {r["doc_id"]: r["score"] for r in search.bm25(docs, ["session", "ledger"]).collect()}
@@ -205,6 +257,10 @@ def test_streams_equal_batches(spark, tmp_path):
     caps = streaming.stream_table(spark, str(tmp_path / "caps"), spark.read.parquet(str(tmp_path / "caps")).schema)
     streaming.ingest_spans(caps, str(tmp_path / "spans"), str(tmp_path / "ck3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "spans")).count() == 1
+    again = [(1, None, body), (1, None, body), (2, None, body)]  # delivered again in a later batch
+    spark.createDataFrame(again, "export_id bigint, received_at timestamp, body string").write.mode("append").parquet(str(tmp_path / "caps"))
+    streaming.ingest_spans(caps, str(tmp_path / "spans"), str(tmp_path / "ck3")).awaitTermination()
+    assert sorted(r["export_id"] for r in spark.read.parquet(str(tmp_path / "spans")).collect()) == [1, 2]
 
 
 def test_stream_join_matches_spans(spark, tmp_path):
