@@ -86,7 +86,8 @@ def skipped_root_kind(node_type: Column, root_kind: Column) -> Column:
 
 
 def tree_kind(node_type: Column) -> Column:
-    return node_type  # kinds bear their type's name, and other types show as they are
+    """Kind of a node in an outline: that of its type's name, ``other`` for types without one."""
+    return F.when(node_type.isin(*model.TREE_KINDS), node_type).otherwise("other")
 
 
 def under_path(path: Column, folder: str) -> Column:

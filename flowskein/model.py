@@ -15,7 +15,7 @@ NON_RESOLUTION_EDGES = (
 RUNTIME_EDGES = ("http_call", "sse_endpoint", "publishes", "kafka_publish", "nats_publish", "job_enqueue")
 # Node types that start flows.
 ENTRYPOINT_TYPES = ("http_handler", "route", "worker", "subscriber", "grpc_handler", "graphql_resolver")
-# Node types with an outline kind of the same name; others keep their type.
+# Node types with an outline kind of the same name.
 TREE_KINDS = ("class", "struct", "function", "method", "component", "variable")
 # Middleware edges are marked by what made them.
 FILTER_VIAS = ("rails_filter", "gin_middleware_use", "express_middleware_use")

@@ -85,7 +85,7 @@ def launch_prefix(edges: DataFrame, node: str, hops: int = 6) -> list[str]:
 
 def chain_entities(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 12) -> DataFrame:
     """Forward chains from entry points as search entities: id by member hash, text by labels, members once."""
-    leaves = T.simple_paths(edges, starts, T.PathRule(depth)).filter("is_leaf")
+    leaves = T.simple_paths(edges, starts, T.PathRule(depth)).filter("is_leaf").select("nodes").distinct()
     members = leaves.select(F.col("nodes").alias("members"), F.posexplode("nodes").alias("at", "id")).join(nodes.select("id", "label"), "id", "left")
     text = members.groupBy("members").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: given(x["label"])), " ").alias("text"))
     digest = F.substring(F.sha2(F.array_join("members", "\u0001"), 256), 1, 12)

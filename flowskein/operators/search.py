@@ -148,6 +148,19 @@ def expand_query(query: str, synonyms: dict[str, list[str]]) -> str:
     return " ".join([query, *extra])
 
 
+def expanded(query: Column, synonyms: dict[str, list[str]]) -> Column:
+    """As ``expand_query``, for a column of queries."""
+    known = F.create_map(*(x for w, more in synonyms.items() for x in (F.lit(w), F.array(*(F.lit(m) for m in more)))))
+    extra = F.flatten(F.transform(F.split(F.lower(query), r"\s+"), lambda w: F.coalesce(F.try_element_at(known, w), F.expr("cast(array() as array<string>)"))))
+    return F.concat_ws(" ", query, extra)
+
+
+def enriched(ids: DataFrame, entities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ids of a result (``entity_id``) with their entities' texts and, for nodes, their columns; what is unknown stays with nulls."""
+    n = nodes.select(F.col("id").alias("entity_id"), "label", F.col("type").alias("node_type"), "service", "file", "line")
+    return ids.join(entities.select("entity_id", "text"), "entity_id", "left").join(n, "entity_id", "left")
+
+
 def stale_embeddings(entities: DataFrame, stored: DataFrame, embedder: str) -> DataFrame:
     """Entities (``entity_id``, ``text``) to embed again: new text, or another embedder."""
     wanted = entities.withColumn("content_hash", content_hash(F.col("text"))).withColumn("embedder", F.lit(embedder))

@@ -144,15 +144,33 @@ def chains(edges: DataFrame, seeds: DataFrame, depth: int, show: int = 100, expl
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str, k: int = 5, max_depth: int = 10) -> DataFrame:
-    """The ``k`` (at most 20) shortest simple paths, ties by the sequence of edge ids."""
-    spark = edges.sparkSession
-    seeds = spark.createDataFrame([(source,)], "node_id string")
-    # a path that reached its target does not go on
-    onward = edges.filter(F.col("src") != target)
-    paths = simple_paths(onward, seeds, PathRule(min(max_depth, 50))).filter(F.element_at("nodes", -1) == target)
+    """The ``k`` (at most 20) shortest simple paths, ties by the sequence of edge ids.
+
+    Paths grow a hop at a time over nodes that can still reach the target in
+    the hops that are left, and end with the length at which there are ``k``.
+    """
+    spark, k, max_depth = edges.sparkSession, min(k, 20), min(max_depth, 50)
+    schema = "nodes array<string>, edge_ids array<string>"
     if source == target:
-        paths = paths.limit(0)
-    return paths.select("nodes", "edge_ids", F.size("edge_ids").alias("hops")).orderBy("hops", F.array_join("edge_ids", ",")).limit(min(k, 20))
+        return spark.createDataFrame([], schema + ", hops int")
+    seed = spark.createDataFrame([(target, target)], "root_id string, node_id string")
+    near, _ = materialize(traverse(edges, seed, "in", max_depth).select("node_id", "depth").unionByName(seed.select("node_id", F.lit(0).alias("depth"))), "near")
+    # a path that reached its target does not go on
+    steps = edges.filter(F.col("src") != target).select(F.col("src").alias("__at"), F.col("dst").alias("node_id"), F.col("id").alias("__edge"))
+    steps, _ = materialize(steps.join(near, "node_id"), "steps")
+    ended = F.element_at("nodes", -1) == target
+    grown = Levels("paths")
+    rows = grown.add(spark.createDataFrame([([source], [])], schema))
+    hops = 0
+    while rows and hops < max_depth:
+        hops += 1
+        onward = grown.last.filter(~ended).withColumn("__at", F.element_at("nodes", -1)).join(steps, "__at")
+        fit = ~F.array_contains("nodes", F.col("node_id")) & (F.col("depth") + hops <= max_depth)
+        rows = grown.add(onward.filter(fit).select(F.concat("nodes", F.array("node_id")).alias("nodes"), F.concat("edge_ids", F.array("__edge")).alias("edge_ids")))
+        if grown.all().filter(ended).limit(k).count() == k:
+            break
+    found = grown.all().filter(ended)
+    return found.select("nodes", "edge_ids", F.size("edge_ids").alias("hops")).orderBy("hops", F.array_join("edge_ids", ",")).limit(k)
 
 
 def flows_through(edges: DataFrame, entrypoints: DataFrame, target: str, depth: int = 8, limit: int = 20) -> DataFrame:
