@@ -28,7 +28,8 @@ def current_nodes(*tables: DataFrame) -> DataFrame:
     for more in tables[1:]:
         rows = rows.unionByName(more.select(*cols))
     rows = rows.filter(F.col("id").isNotNull()).withColumns({c: given(F.col(c)) for c in ("type", "label", "service", "file", "lang")})
-    return latest(rows, ["id"], ["indexed_at", "type", "label", "service", "file", "line"])
+    rows = rows.withColumn("__class", given(F.try_element_at("meta", F.lit("class"))))
+    return latest(rows, ["id"], ["indexed_at", "type", "label", "service", "file", "line", "__class"]).drop("__class")
 
 
 def current_edges(edges: DataFrame) -> DataFrame:

@@ -454,7 +454,7 @@ QUERIES = {
 GRAPH_SQL = """
 n0 AS (SELECT id, coalesce(type, '') AS type, coalesce(label, '') AS label, coalesce(service, '') AS service, coalesce(file, '') AS file, line, end_line, coalesce(lang, '') AS lang, meta, indexed_at
   FROM (SELECT * FROM nodes UNION ALL SELECT * FROM shared_nodes) WHERE id IS NOT NULL),
-n AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, type DESC, label DESC, service DESC, file DESC, line DESC) = 1),
+n AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, type DESC, label DESC, service DESC, file DESC, line DESC, coalesce(meta['class'], '') DESC) = 1),
 e0 AS (SELECT id, src, dst, coalesce(type, '') AS type, coalesce(label, '') AS label, coalesce(confidence, '') AS confidence, coalesce(http_method, '') AS http_method, coalesce(http_path, '') AS http_path, sources,
   coalesce(verification_state, '') AS verification_state, coalesce(verified_granularity, '') AS verified_granularity, indexed_at FROM edges
   WHERE id IS NOT NULL AND trim(src) <> '' AND trim(dst) <> '' AND src <> 'unresolved' AND dst <> 'unresolved' AND NOT starts_with(src, 'unresolved:') AND NOT starts_with(dst, 'unresolved:')),

@@ -3,11 +3,11 @@ import os
 import pytest
 
 import __spark_entry__
-from flowskein.plans import analysis, dealt, graph, inventory
+from flowskein.plans import analysis, dealt, graph, inventory, links
 from tests.oracle import DATA, connect, rows_of_both
 
-QUERIES = {n: q for m in (dealt, graph, analysis, inventory) for n, q in m.QUERIES.items()}
-ORACLES = {n: s for m in (dealt, graph, analysis, inventory) for n, s in m.ORACLES.items()}
+QUERIES = {n: q for m in (dealt, graph, analysis, inventory, links) for n, q in m.QUERIES.items()}
+ORACLES = {n: s for m in (dealt, graph, analysis, inventory, links) for n, s in m.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
