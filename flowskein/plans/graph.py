@@ -418,11 +418,15 @@ def flows_through(spark, sf_dir):
     return T.flows_through(transitions(spark, sf_dir), starts, "purchase", 3, 25).select(F.array_join("nodes", ">").alias("path"))
 
 
+#: Extensions that the chunks get in turn, so that every language's patterns meet all kinds of text.
+PATTERN_EXTS = ("go", "py", "ts", "rb", "html", "css", "sql", "proto", "graphql", "templ")
+
+
 def pattern_nodes(spark, sf_dir):
-    """What the Go patterns find in all chunks, were they Go files."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), "text")
-    found = patterns.extract(docs, "docs", tuple(p for p in patterns.PACKS if p.lang == "go"))
-    return found.groupBy(F.col("meta")["pattern"].alias("pattern"), "type").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+    """What all packs find in all chunks, each read as a file of one of the languages in turn."""
+    ext = F.element_at(F.array(*(F.lit(x) for x in PATTERN_EXTS)), (F.pmod("doc_id", F.lit(len(PATTERN_EXTS))) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), ext).alias("path"), "text")
+    return patterns.extract(docs, "docs").groupBy(F.col("meta")["pattern"].alias("pattern"), "type").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
 
 
 QUERIES = {
@@ -490,16 +494,19 @@ def _paths(seed: str, depth: int, stop: str = "true") -> str:
 
 
 _LEDGER = W + ", lg AS (SELECT n.service, n.file, x.dst AS name, x.type AS kind FROM edges x JOIN n ON n.id = x.src WHERE x.dst = 'unresolved' OR starts_with(x.dst, 'unresolved:'))"
-_GO = [p for p in patterns.PACKS if p.lang == "go"]
 
 
 def _pattern_sql() -> str:
-    """One branch for each Go pattern over all lines; a label is the group named so, else all groups joined."""
+    """One branch for each pattern over the lines of its extensions, every match; a label is the group named so, else all groups joined."""
     parts = []
-    for p in _GO:
-        group = lambda i: f"regexp_extract(line, '{p.regex}', {i + 1})"  # noqa: B023, E731
-        label = group(p.fields.index("label")) if "label" in p.fields else "trim(" + " || ' ' || ".join(group(i) for i in range(len(p.fields))) + ")"
-        parts.append(f"SELECT '{p.name}' AS pattern, '{p.node_type}' AS type, doc_id, pos, {label} AS label FROM l WHERE regexp_matches(line, '{p.regex}')")
+    for rank, p in enumerate(patterns.PACKS):
+        if not set(p.exts) & set(PATTERN_EXTS):
+            continue
+        regex = p.regex.replace("'", "''")
+        groups = ", ".join(f"unnest(regexp_extract_all(line, '{regex}', {i + 1})) AS g{i}" for i in range(len(p.fields)))
+        label = f"coalesce(g{p.fields.index('label')}, '')" if "label" in p.fields else "trim(" + " || ' ' || ".join(f"coalesce(g{i}, '')" for i in range(len(p.fields))) + ")"
+        exts = ", ".join(f"'{x}'" for x in p.exts)
+        parts.append(f"SELECT {rank} AS rank, '{p.name}' AS pattern, '{p.node_type}' AS type, doc_id, pos, {label} AS label FROM (SELECT doc_id, pos, {groups} FROM l WHERE ext IN ({exts}))")
     return " UNION ALL ".join(parts)
 
 
@@ -512,9 +519,11 @@ ORACLES = {
     + _paths("src", 3)
     + """SELECT array_to_string(nodes, '>') AS path FROM p WHERE nodes[1] IN ('view', 'signup') AND hops > 0 AND list_contains(nodes, 'purchase')
   AND (hops = 3 OR NOT EXISTS (SELECT 1 FROM t WHERE t.src = p.nodes[-1] AND NOT list_contains(p.nodes, t.dst))) ORDER BY nodes[1], key LIMIT 25""",
-    "pattern_nodes": "WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS x FROM documents)), f AS ("
+    "pattern_nodes": "WITH l AS (SELECT doc_id, ext, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, ["
+    + ", ".join(f"'{x}'" for x in PATTERN_EXTS)
+    + f"][doc_id % {len(PATTERN_EXTS)} + 1] AS ext, regexp_split_to_array(text, '\\r?\\n') AS x FROM documents)), f AS ("
     + _pattern_sql()
-    + ") SELECT pattern, type, count(DISTINCT (doc_id, pos, type, label)) AS n, count(DISTINCT label) AS n_labels FROM f GROUP BY 1, 2",
+    + "), d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, pos, type, label ORDER BY rank) = 1) SELECT pattern, type, count(*) AS n, count(DISTINCT label) AS n_labels FROM d GROUP BY 1, 2",
     "graph_stats": W + "SELECT 'nodes' AS what, count(*) AS n FROM n UNION ALL SELECT 'edges', count(*) FROM e",
     "current_edge_states": W + "SELECT id, src, dst, type, confidence, verification_state FROM e",
     "current_node_rows": W + "SELECT id, type, label, service, file, line FROM n",

@@ -77,3 +77,18 @@ def test_pattern_packs(spark):
     assert {r["meta"].get("is_test") for r in rows if r["file"].startswith("t/")} == {"true"} and next(r for r in rows if r["type"] == "method")["meta"]["class"] == "*Srv"
     with pytest.raises(ValueError):
         patterns.Pattern("bad", "go", ("go",), "x", "(a)(b)", ("one",))
+
+
+def test_own_packs_and_several_matches_a_line(spark):
+    own = '[{"name": "todo", "lang": "any", "exts": ["go", "txt"], "node_type": "note", "regex": "TODO\\\\((\\\\w+)\\\\): (\\\\w+)", "fields": ["who", "label"]}]'
+    packs = patterns.load_packs(own)
+    text = "x TODO(ann): fix TODO(bob): test\n\tgo run() ; go stop()\nclose(os.Getenv(\"A\"), os.Getenv(\"B\"))"
+    rows = patterns.extract(spark.createDataFrame([("a.go", text), ("b.txt", text), ("c.py", text), ("d", text), ("e.go", "")], "path string, text string"), "s", packs).collect()
+    got = {(r["file"], r["type"], r["label"], r["line"]) for r in rows}
+    notes = {(f, "note", label, 1) for f in ("a.go", "b.txt") for label in ("fix", "test")}
+    assert got == notes | {("a.go", "function", "run", 2), ("a.go", "variable", "A", 3), ("a.go", "variable", "B", 3)}
+    assert {r["meta"]["who"] for r in rows if r["type"] == "note"} == {"ann", "bob"}
+    for bad in ('[{"name": "x", "typo": 1}]', '[{"name": "go_func", "lang": "go", "exts": ["go"], "node_type": "f", "regex": "(a)", "fields": ["label"]}]', '[{"name": "x", "lang": "go", "exts": [], "node_type": "f", "regex": "(a)", "fields": ["label"]}]'):
+        with pytest.raises(ValueError):
+            patterns.load_packs(bad)
+    assert len({p.name for p in patterns.PACKS}) == len(patterns.PACKS)
