@@ -429,10 +429,37 @@ def pattern_nodes(spark, sf_dir):
     return patterns.extract(docs, "docs").groupBy(F.col("meta")["pattern"].alias("pattern"), "type").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
 
 
+#: A line of code for a node, by extension and node type; the label takes the place of %.
+CODE_LINES = {
+    "go": {"function": "func %(x int) {", "struct": "type % struct {", "class": "type % interface {", "method": "func (s *Srv) %(x int) {", "http_handler": 'r.GET("/%", h); r.POST("/%/new", h)', "http_client": 'http.Get("http://h/%")',
+           "publisher": 'nc.Publish("%", b)', "subscriber": 'nc.Subscribe("%", f)', "table": 'db.Query("select a from %")', "variable": 'x := os.Getenv("%")'},
+    "py": {"function": "def %(x):", "class": "class %(Base):", "method": "    def %(self):", "http_handler": '@app.get("/%")', "http_client": 'requests.post("http://h/%")', "publisher": "%.delay(1)", "variable": 'os.environ["X"]', "table": '__tablename__ = "%"'},
+    "ts": {"function": "export function %(x) {", "class": "export class % {", "struct": "export interface % {", "http_handler": "router.get('/%', h)", "http_client": "fetch(`/api/%`)", "subscriber": 'socket.on("message", %)', "element": 'document.getElementById("%")',
+           "component": "export const % = (props) => {", "variable": "export type % = string"},
+    "rb": {"method": "  def %", "class": "class % < Base", "struct": "module %", "http_handler": "  get '/%'", "http_client": "Faraday.get('/%')", "publisher": "%.perform_later(1)", "table": "  has_many :%", "variable": "  before_action :%"},
+}
+
+
+def _code_line() -> str:
+    """SQL for the line of a node, '' for types that have none; runs on both engines."""
+    cases = " ".join(f"WHEN ext = '{ext}' AND type = '{kind}' THEN replace('" + line.replace("'", "''") + "', '%', label)" for ext, kinds in CODE_LINES.items() for kind, line in kinds.items())
+    return f"CASE {cases} ELSE '' END"
+
+
+def pattern_sources(spark, sf_dir):
+    """What the packs find in files that hold a line of code for each of their nodes."""
+    n = nodes(spark, sf_dir).filter("service <> '' AND file LIKE '%.%' AND label <> ''").withColumn("ext", F.regexp_extract("file", r"\.([^./]+)$", 1))
+    line = n.select("service", "file", "id", F.expr(_code_line()).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
+    made = line.groupBy("service", "file").agg(text.alias("text")).select(F.concat_ws("/", "service", "file").alias("path"), "text")
+    found = patterns.extract(made, "src")
+    return found.groupBy("lang", F.col("meta")["pattern"].alias("pattern"), "type").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"), F.count_if(F.col("meta")["is_test"] == "true").alias("n_tests"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        health_report, ledger_filter, file_nodes, scanned_files, flows_through, pattern_nodes,
+        health_report, ledger_filter, file_nodes, scanned_files, flows_through, pattern_nodes, pattern_sources,
         graph_stats, current_edge_states, current_node_rows, point_lookup, edge_scan, nodes_by_type_ranked, delete_cascade, graph_page, ledger_replace,
         history_latest_runs, audit_page, audit_retention, edge_union, descendants_bfs, impact_backward, impact_both, impact_terminal_policy, impact_multi_root,
         file_impact, entry_points_hit, related_files, noise_classes, test_files, min_verification, diff_spans, diff_impact, enclosing_functions, nearest_below,
@@ -500,13 +527,13 @@ def _pattern_sql() -> str:
     """One branch for each pattern over the lines of its extensions, every match; a label is the group named so, else all groups joined."""
     parts = []
     for rank, p in enumerate(patterns.PACKS):
-        if not set(p.exts) & set(PATTERN_EXTS):
+        if not set(p.exts) & (set(PATTERN_EXTS) | set(CODE_LINES)):
             continue
         regex = p.regex.replace("'", "''")
         groups = ", ".join(f"unnest(regexp_extract_all(line, '{regex}', {i + 1})) AS g{i}" for i in range(len(p.fields)))
         label = f"coalesce(g{p.fields.index('label')}, '')" if "label" in p.fields else "trim(" + " || ' ' || ".join(f"coalesce(g{i}, '')" for i in range(len(p.fields))) + ")"
         exts = ", ".join(f"'{x}'" for x in p.exts)
-        parts.append(f"SELECT {rank} AS rank, '{p.name}' AS pattern, '{p.node_type}' AS type, doc_id, pos, {label} AS label FROM (SELECT doc_id, pos, {groups} FROM l WHERE ext IN ({exts}))")
+        parts.append(f"SELECT {rank} AS rank, '{p.lang}' AS lang, '{p.name}' AS pattern, '{p.node_type}' AS type, doc_id, pos, {label} AS label FROM (SELECT doc_id, pos, {groups} FROM l WHERE ext IN ({exts}))")
     return " UNION ALL ".join(parts)
 
 
@@ -524,6 +551,13 @@ ORACLES = {
     + f"][doc_id % {len(PATTERN_EXTS)} + 1] AS ext, regexp_split_to_array(text, '\\r?\\n') AS x FROM documents)), f AS ("
     + _pattern_sql()
     + "), d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, pos, type, label ORDER BY rank) = 1) SELECT pattern, type, count(*) AS n, count(DISTINCT label) AS n_labels FROM d GROUP BY 1, 2",
+    "pattern_sources": W
+    + ", c AS (SELECT *, regexp_extract(file, '\\.([^./]+)$', 1) AS ext FROM n WHERE service <> '' AND file LIKE '%.%' AND label <> ''), l AS (SELECT service || '/' || file AS doc_id, ext, "
+    + _code_line()
+    + " AS line, row_number() OVER (PARTITION BY service, file ORDER BY id) AS pos FROM c), f AS ("
+    + _pattern_sql()
+    + "), d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, pos, type, label ORDER BY rank) = 1) SELECT lang, pattern, type, count(*) AS n, count(DISTINCT label) AS n_labels, "
+    + "count(*) FILTER (regexp_matches(regexp_extract(lower(doc_id), '[^/]*$'), '\\.test\\.|\\.spec\\.|_test\\.go$|_test\\.rb$|_spec\\.rb$|^test_')) AS n_tests FROM d GROUP BY 1, 2, 3",
     "graph_stats": W + "SELECT 'nodes' AS what, count(*) AS n FROM n UNION ALL SELECT 'edges', count(*) FROM e",
     "current_edge_states": W + "SELECT id, src, dst, type, confidence, verification_state FROM e",
     "current_node_rows": W + "SELECT id, type, label, service, file, line FROM n",

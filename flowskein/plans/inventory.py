@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,10 +14,13 @@ from flowskein.functions import normalize as N
 from flowskein.functions import predicates as P
 from flowskein.functions import scalars as S
 from flowskein.operators import answers, contracts, evaluation, evidence, graph_store, linking, rollups, search
+from flowskein.operators import spans as SP
 from flowskein.operators import traversal as T
+from flowskein.plans import analysis, dealt
 from flowskein.plans.graph import HUB, W, both, edges, nodes
-from flowskein.session import materialize, table
+from flowskein.session import materialize, shared_dir, table
 from flowskein.sources import files as sources
+from flowskein.streaming import spans as streaming
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -856,3 +860,63 @@ def budget_backfills(spark, sf_dir):
     from flowskein.operators import history
 
     return history.backfill(docs, "type", "doc_id", "cost", 50_000).select("doc_id", "type", "cost")
+
+
+# ---- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _source(spark, sf_dir, name: str) -> DataFrame:
+    """A table of the data set as a stream."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _run(out: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and reads what its batches wrote."""
+    spark = out.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns)
+
+
+@query(dealt.ORACLES["p1_found"])
+def stream_ingested_spans(spark, sf_dir):
+    """Spans of exports that come as a stream, each export once."""
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    streaming.ingest_spans(_source(spark, sf_dir, "otlp_exports"), f"{base}/spans", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/spans").drop("batch")
+
+
+@query("SELECT lower(trim(tool)) AS tool, count(DISTINCT id) AS n FROM tool_calls GROUP BY 1")
+def stream_deduped_calls(spark, sf_dir):
+    """Calls that are delivered again, counted once, as a stream."""
+    calls = _source(spark, sf_dir, "tool_calls").select("id", F.lower(F.trim("tool")).alias("tool"), F.col("received_at").cast("timestamp").alias("at"))
+    return _run(streaming.deduped(calls, "at", ["id"], "60 days")).groupBy("tool").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n FROM w, m WHERE s + INTERVAL 6 HOUR <= mark""")
+def stream_closed_windows(spark, sf_dir):
+    """Windows that the watermark has closed: none later can change."""
+    ev = _source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _run(streaming.windowed_counts(ev, "ts", ["event_type"], "6 hours"))
+    return out.select(F.col("window_start").cast("string").alias("window_start"), "event_type", "n")
+
+
+@query(
+    analysis._SPANS
+    + """SELECT c.trace_id, c.span_id AS client_span, d.span_id AS server_span, c.service AS src_service, d.service AS dst_service FROM s c JOIN s d ON d.trace_id = c.trace_id AND d.parent_span_id = c.span_id
+WHERE c.kind = 'CLIENT' AND d.kind = 'SERVER' AND c.span_id <> '' AND abs(CAST(d.start_ns AS BIGINT) - CAST(c.start_ns AS BIGINT)) <= 3600000000000"""
+)
+def stream_joined_spans(spark, sf_dir):
+    """Client spans joined to server spans as two streams."""
+    spans = materialize(SP.span_rows(table(spark, sf_dir, "otlp_exports")).withColumn("started_at", F.timestamp_micros(F.expr("start_ns div 1000"))), "spans")[0]
+
+    def side(kind: str) -> DataFrame:
+        own, path = materialize(spans.filter((F.col("kind") == kind) & (F.col("span_id") != "")), kind.lower())
+        return spark.readStream.schema(own.schema).parquet(path)
+
+    return _run(streaming.matched_spans(side("CLIENT"), side("SERVER")))
