@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowskein import model
@@ -204,21 +205,22 @@ def link(nodes: DataFrame, rule: Rule) -> Linked:
     if rule.same_service != "keep":
         same = F.col("service") == F.col("c_service")
         hits = hits.filter(same if rule.same_service == "same_service_only" else ~same)
-    hits, _ = materialize(hits, f"{rule.kind}-hits")
+    # a producer's hits are judged where they lie, after one shuffle by producer
     one = ["id", "cand"]
-    best = hits.groupBy(*one).agg(F.min(F.struct("__try", "__t")).alias("b"))
-    won = hits.join(best, one).filter((F.col("__try") == F.col("b.__try")) & (F.col("__t") == F.col("b.__t")))
+    own = W.partitionBy(*one)
+    order = F.struct("__try", "__t")
+    won = hits.withColumn("__best", F.min(order).over(own)).filter(order == F.col("__best"))
     # what a browser asks of its own origin is its own service's, if that answers at all
-    own = won.filter("local AND c_service = service").select(*one).distinct().withColumn("__own", F.lit(True))
-    won = won.join(own, one, "left").filter(F.col("__own").isNull() | (F.col("c_service") == F.col("service")))
-    fan = won.groupBy(*one).agg(F.countDistinct("c_service").alias("__services"))
+    at_home = F.col("local") & (F.col("c_service") == F.col("service"))
+    won = won.withColumn("__own", F.max(at_home).over(own)).filter(~F.col("__own") | (F.col("c_service") == F.col("service")))
+    won, _ = materialize(won.withColumn("__fan", F.min("c_service").over(own) != F.max("c_service").over(own)), f"{rule.kind}-hits")
     confidence = (
-        F.when((F.col("__services") > 1) | (F.col("tier") == "exchange_only") | (F.col("ceiling") == "partial"), "partial")
+        F.when(F.col("__fan") | (F.col("tier") == "exchange_only") | (F.col("ceiling") == "partial"), "partial")
         .when((F.col("tier") == "exact") & (F.col("ceiling") == "") & (F.col("cand") == 0), "static")
         .otherwise("inferred")
     )
-    weak = (F.col("__services") > 1) & (path_evidence(F.col("tail")) == "weak")
-    edges = won.join(fan, one).filter(~weak).select(
+    weak = F.col("__fan") & (path_evidence(F.col("tail")) == "weak")
+    edges = won.filter(~weak).select(
         F.concat(F.lit(rule.id_prefix + ":"), "id", F.lit("->"), "c_id").alias("id"), F.col("id").alias("src"), F.col("c_id").alias("dst"),
         F.lit(rule.edge_type).alias("type"), F.col("norm").alias("label"), confidence.alias("confidence"), "tier",
     ).distinct()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowskein.functions.scalars import normal_fact
+from flowskein.session import materialize
 
 
 def case_scores(expected: DataFrame, returned: DataFrame, ledger: DataFrame, must: DataFrame | None = None, forbidden: DataFrame | None = None, exhaustive: DataFrame | None = None) -> DataFrame:
@@ -77,7 +81,31 @@ def pairing(trials: DataFrame, keys: list[str], arm: str, value: str, a: str, b:
     side = lambda name: F.avg(F.when(F.col(arm) == name, F.col(value)))
     paired = trials.groupBy(*keys).agg(side(a).alias("a"), side(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a > 0")
     cut = paired.select((100.0 * (F.col("a") - F.col("b")) / F.col("a")).alias("cut"))
-    return cut.agg(F.count("*").alias("n_pairs"), F.round(F.median("cut"), 6).alias("median_reduction"))
+    return exact_median(cut, "cut", slice_=0.001)
+
+
+def exact_median(values: DataFrame, column: str, slice_: float) -> DataFrame:
+    """``n_pairs`` and the exact ``median_reduction`` of a column, without gathering it.
+
+    Two approximate percentiles, off by a tenth of ``slice_`` at most, bound the
+    median; values below are counted, and only the slice between is sorted,
+    equal values as one. An even count takes the mean of the middle two; no
+    values give 0 and null.
+    """
+    spark = values.sparkSession
+    kept, _ = materialize(values.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL"), "median")
+    ends = F.percentile_approx("v", F.array(F.lit(0.5 - slice_), F.lit(0.5 + slice_)), math.ceil(10 / slice_))
+    n, bounds = kept.agg(F.count("*"), ends).first()
+    if not n:
+        return spark.createDataFrame([(0, None)], "n_pairs bigint, median_reduction double")
+    low, high = bounds
+    below = kept.filter(F.col("v") < low).count()
+    near = kept.filter(F.col("v").between(low, high)).groupBy("v").count()
+    order = W.partitionBy(F.lit(1)).orderBy("v")
+    ranked = near.withColumn("to", F.sum("count").over(order) + below).withColumn("from", F.col("to") - F.col("count"))
+    middle = [(n - 1) // 2 + 1, n // 2 + 1]
+    at = [F.max(F.when((F.col("from") < m) & (F.col("to") >= m), F.col("v"))) for m in middle]
+    return ranked.agg(F.round((at[0] + at[1]) / 2, 6).alias("median_reduction")).select(F.lit(n).cast("bigint").alias("n_pairs"), "median_reduction")
 
 
 def flow_gate(pairs: DataFrame, correctness: float) -> DataFrame:

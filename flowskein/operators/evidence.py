@@ -37,11 +37,15 @@ def fused(static: DataFrame, evidence: DataFrame) -> DataFrame:
         return df.withColumn("__ch", F.concat_ws("\u0001", "type", tail))
 
     rows, facts = channel(static), channel(evidence)
-    added = facts.groupBy("__ch").agg(F.array_sort(F.collect_set("source")).alias("__add"))
+    # a channel that is observed very often comes down to its distinct sources before they are gathered
+    once = facts.groupBy("__ch", F.col("source.provider").alias("__p"), F.col("source.ref").alias("__f")).agg(F.min("source").alias("source"))
+    added = once.groupBy("__ch").agg(F.array_sort(F.collect_list("source")).alias("__add"))
     known = rows.join(added, "__ch", "left").withColumn("sources", merged_sources(F.concat("sources", F.coalesce("__add", F.expr("slice(sources, 1, 0)"))))).drop("__add", "__ch")
     loose = facts.join(rows.select("__ch").distinct(), "__ch", "left_anti")
     gap_id = F.concat(F.lit("gap:"), "type", F.lit(":"), given(F.col("label")), F.lit(":"), "src", F.lit("->"), "dst")
-    gaps = loose.groupBy("src", "dst", "type", "label").agg(F.array_sort(F.collect_set("source")).alias("sources")).withColumn("id", gap_id).withColumn("confidence", F.lit(""))
+    ends = ["src", "dst", "type", "label"]
+    single = loose.groupBy(*ends, F.col("source.provider").alias("__p"), F.col("source.ref").alias("__f")).agg(F.min("source").alias("source"))
+    gaps = single.groupBy(*ends).agg(F.array_sort(F.collect_list("source")).alias("sources")).withColumn("id", gap_id).withColumn("confidence", F.lit(""))
     return known.select("id", "src", "dst", "type", "label", "confidence", "sources").unionByName(gaps.select("id", "src", "dst", "type", "label", "confidence", "sources"))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowskein.session import Levels, materialize
+
 
 def run_counts(rows: DataFrame, by: list[str], run: str = "run_at") -> DataFrame:
     """Count of each group at each run."""
@@ -39,45 +38,44 @@ def growth(history: DataFrame, by: list[str], runs: int = 3) -> DataFrame:
     return flags.filter((F.col("n") == runs - 1) & (F.col("known") == runs - 1) & (F.col("up") == 1)).select(*by)
 
 
-def budget_prefix(items: DataFrame, by: list[str], order: list[str], cost: str, most: int, salts: int = 64) -> DataFrame:
+def budget_prefix(items: DataFrame, by: list[str], order: list[str], cost: str, most: int | Column, salts: int = 64) -> DataFrame:
     """The longest prefix of each group whose cost stays within the budget, at least one item.
 
     What is beyond the budget in a salted part of a group is beyond it in the
     group, so parts are cut first and the last window sees little of a large
     group. The item that takes a part over the budget stays until then, for it
-    is that item's cost that ends the group. Costs are not negative.
+    is that item's cost that ends the group. Costs are not negative. ``most``
+    may be a column that is the same for all rows of a group.
     """
     def over(keys: list[str]):
         return W.partitionBy(*keys).orderBy(*order)
 
+    budget = most if isinstance(most, Column) else F.lit(most)
     salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = F.coalesce(F.sum(cost).over(over([*by, "__salt"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = salted.withColumn("__before", before).filter(F.col("__before") <= max(most, 0)).drop("__before")
+    parts = salted.withColumn("__before", before).filter(F.col("__before") <= F.greatest(budget, F.lit(0))).drop("__before")
     run = parts.withColumn("used", F.sum(cost).over(over(by).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(over(by)))
-    return run.filter((F.col("used") <= most) | (F.col("__n") == 1)).drop("__n", "__salt")
+    return run.filter((F.col("used") <= budget) | (F.col("__n") == 1)).drop("__n", "__salt")
 
 
 def backfill(items: DataFrame, by: str, order: str, cost: str, most: int) -> DataFrame:
     """Prefix of the budget, then, in order, every later item that still fits.
 
-    Sequential within a group, so groups are folded in Python; a group is what
-    one answer shows.
+    In rounds: of the items after the last one taken, those that cost more than
+    what is left can never fit and are dropped; the prefix of the rest that fits
+    is taken. Each round takes at least one item of every group that has any
+    left, and what is left of a budget soon rules out nearly all. Groups are cut
+    in salted parts, so none is one task. Costs are not negative, orders differ
+    within a group; the first item is taken whatever it costs.
     """
-    kinds = dict(items.dtypes)
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used: dict = {}
-        for frame in frames:
-            keep = []
-            for key, c in zip(frame[by], frame[cost]):
-                had = used.get(key)
-                fits = had is None or had + c <= most
-                used[key] = (had or 0) + (c if fits else 0)
-                keep.append(fits)
-            yield frame[keep]
-
-    names = ", ".join(f"`{c}` {kinds[c]}" for c in items.columns)
-    return items.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, names)
+    rows, _ = materialize(items.withColumn("__cost", F.coalesce(F.col(cost), F.lit(0))), "items")
+    taken = Levels("backfill")
+    level = budget_prefix(rows, [by], [order], "__cost", most)
+    while taken.add(level.select(*rows.columns)):
+        done = taken.all().groupBy(F.col(by).alias("__by")).agg((F.lit(most) - F.sum("__cost")).alias("__left"), F.max(order).alias("__last"))
+        after = rows.join(done, rows[by].eqNullSafe(done["__by"])).filter((F.col(order) > F.col("__last")) & (F.col("__cost") <= F.col("__left")))
+        level = budget_prefix(after, [by], [order], "__cost", F.col("__left"))
+    return taken.all().drop("__cost")
 
 
 def per_file_cap(rows: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:

@@ -334,7 +334,7 @@ def budget_prefix(spark, sf_dir):
 
 def budget_backfill(spark, sf_dir):
     """As budget_prefix, with later chunks that still fit."""
-    docs = _docs(spark, sf_dir).select("doc_id", "type", F.length("text").cast("bigint").alias("cost"))
+    docs = _docs(spark, sf_dir).select("doc_id", "type", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("cost"))
     return history.backfill(docs, "type", "doc_id", "cost", 50_000)
 
 
@@ -595,6 +595,10 @@ SELECT event_type, max(k) FILTER (rn = 1) AS latest, max(k) FILTER (rn = least(5
 SELECT a.user_id FROM r a JOIN r b ON b.user_id = a.user_id AND b.rn = 2 JOIN r c ON c.user_id = a.user_id AND c.rn = 3 WHERE a.rn = 1 AND a.k > b.k AND b.k > c.k""",
     "budget_prefix": """WITH d AS (SELECT doc_id, coalesce(lower(trim(source)), '') AS type, length(text) AS cost FROM documents),
 r AS (SELECT doc_id, type, CAST(sum(cost) OVER w AS BIGINT) AS used, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY type ORDER BY doc_id)) SELECT doc_id, type, used FROM r WHERE used <= 50000 OR k = 1""",
+    "budget_backfill": """WITH RECURSIVE d AS (SELECT doc_id, coalesce(lower(trim(source)), '') AS type, coalesce(length(text), 0) AS cost, row_number() OVER (PARTITION BY coalesce(lower(trim(source)), '') ORDER BY doc_id) AS r FROM documents),
+w AS (SELECT doc_id, type, cost, r, cost AS used, true AS fits FROM d WHERE r = 1
+  UNION ALL SELECT d.doc_id, d.type, d.cost, d.r, CASE WHEN w.used + d.cost <= 50000 THEN w.used + d.cost ELSE w.used END, w.used + d.cost <= 50000 FROM w JOIN d ON d.type = w.type AND d.r = w.r + 1)
+SELECT doc_id, type, CAST(cost AS BIGINT) AS cost FROM w WHERE fits""",
     "per_file_caps": W + "SELECT service || ':' || file AS key, least(count(*), 5) AS n_shown, greatest(count(*) - 5, 0) AS n_dropped FROM n WHERE file <> '' GROUP BY 1",
     "previous_click": """SELECT p.event_id, coalesce((SELECT arg_max(c.event_id, (c.ts, c.event_id)) FROM events c WHERE c.user_id = p.user_id AND c.event_type = 'click' AND (c.ts, c.event_id) <= (p.ts, p.event_id)), -1) AS click_id FROM events p WHERE p.event_type = 'purchase'""",
     "stream_tumbling_counts": """SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""",

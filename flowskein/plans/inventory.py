@@ -850,18 +850,6 @@ def answer_coverage(spark, sf_dir):
     return g.select("service", evidence.verdict(F.col("u"), F.lit(False), none, none, none, none).alias("causes"), "n")
 
 
-@query("""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lower(trim(source)), '') AS type, coalesce(length(text), 0) AS cost, row_number() OVER (PARTITION BY coalesce(lower(trim(source)), '') ORDER BY doc_id) AS r FROM documents),
-w AS (SELECT doc_id, type, cost, r, cost AS used, true AS fits FROM d WHERE r = 1
-  UNION ALL SELECT d.doc_id, d.type, d.cost, d.r, CASE WHEN w.used + d.cost <= 50000 THEN w.used + d.cost ELSE w.used END, w.used + d.cost <= 50000 FROM w JOIN d ON d.type = w.type AND d.r = w.r + 1)
-SELECT doc_id, type, CAST(cost AS BIGINT) AS cost FROM w WHERE fits""")
-def budget_backfills(spark, sf_dir):
-    """Chunks of every source in order, each that still fits into the budget."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", P.given(F.lower(F.trim("source"))).alias("type"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("cost"))
-    from flowskein.operators import history
-
-    return history.backfill(docs, "type", "doc_id", "cost", 50_000).select("doc_id", "type", "cost")
-
-
 # ---- streams ----------------------------------------------------------------------------------------------------------
 
 
