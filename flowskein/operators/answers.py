@@ -65,6 +65,16 @@ def symbol_context(nodes: DataFrame, edges: DataFrame, term: str) -> DataFrame:
     return up.unionByName(down).withColumn("rank", rank).filter("rank <= 4")
 
 
+def symbol_text(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Source of each node (``id``, ``service``, ``file``, ``line``, ``end_line``): its lines of the file's ``text``, one if its end is unknown.
+
+    Nodes whose file is not there have null source.
+    """
+    n = F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(1))
+    joined = nodes.join(files.select("service", "file", "text"), ["service", "file"], "left")
+    return joined.select("id", F.array_join(F.slice(F.split("text", "\n"), F.greatest("line", F.lit(1)), n), "\n").alias("source"))
+
+
 def verified_chains(paths: DataFrame, edges: DataFrame, least: str) -> DataFrame:
     """Chains of which every hop passes the least verification."""
     bad = edges.filter(~passes_verification(F.col("verification_state"), least)).select("id")

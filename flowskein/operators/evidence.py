@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,3 +153,34 @@ def provider_files(edges: DataFrame) -> DataFrame:
     """Files that each provider's sources name, and how many edges they back."""
     rows = edge_sources(edges).withColumn("file", F.regexp_replace(given(F.col("ref")), r":[0-9]+$", ""))
     return rows.filter("file <> ''").groupBy("provider", "file").agg(F.countDistinct("edge_id").alias("n_edges"), listed("type").alias("types"))
+
+
+#: A provider of evidence: what it makes of the session's inputs, as ``src``, ``dst``, ``type``, ``label``, ``source``.
+Provider = Callable[[dict[str, DataFrame]], DataFrame]
+PROVIDERS = ("runtime", "contract", "config")
+
+
+def collected(providers: dict[str, Provider], inputs: dict[str, DataFrame]) -> tuple[DataFrame | None, DataFrame | None, dict[str, str]]:
+    """Evidence of all providers as one table, their claims on ledger rows, and what went wrong by provider.
+
+    A provider is a function of the named input tables that gives evidence, or
+    evidence and claims (``service``, ``file``, ``line``, ``name``). One that
+    fails while it builds its plan is reported and does not stop the others;
+    names must be among ``PROVIDERS``; their sources must bear their name.
+    """
+    evidence, claims, problems = None, None, {}
+    for name, provide in sorted(providers.items()):
+        if name not in PROVIDERS:
+            raise ValueError(f"unknown provider {name!r}")
+        try:
+            made = provide(inputs)
+        except Exception as e:  # one provider must not end the others' work
+            problems[name] = f"{type(e).__name__}: {e}"[:200]
+            continue
+        own, claimed = made if isinstance(made, tuple) else (made, None)
+        own = own.select("src", "dst", "type", "label", "source").filter(F.col("source.provider") == name)
+        evidence = own if evidence is None else evidence.unionByName(own)
+        if claimed is not None:
+            rows = claimed.select("service", "file", "line", "name")
+            claims = rows if claims is None else claims.unionByName(rows)
+    return evidence, claims, problems

@@ -213,15 +213,20 @@ def asset_imports(imports: DataFrame, files: DataFrame, exts: tuple[str, ...] =
     and as a folder's index; the first that exists counts. URLs are left out.
     """
     folder = F.regexp_replace(F.col("file"), r"[^/]*$", "")
-    local = imports.filter(~F.col("target").rlike(r"^(?:https?:)?//|^url\(")).withColumn("__id", F.struct("service", "file", "line", "target"))
     clean = F.regexp_replace(F.col("target"), r"^\./", "")
     head, tail = F.regexp_replace(clean, r"[^/]*$", ""), F.regexp_extract(clean, r"([^/]*)$", 1)
-    shapes = [clean]
-    for e in exts:
-        shapes += [F.concat(clean, F.lit(f".{e}")), F.concat(head, F.lit("_"), tail, F.lit(f".{e}")), F.concat(clean, F.lit(f"/_index.{e}")), F.concat(clean, F.lit(f"/index.{e}"))]
-    # "a/b/../c" is "a/c"
-    flat = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"(^|/)\./", "$1"), r"[^/.][^/]*/\.\./", ""), r"[^/.][^/]*/\.\./", "")
-    tried = F.array(*(flat(F.concat(folder, s)) for s in shapes), *(flat(s) for s in shapes))
+
+    def flat(path: Column) -> Column:
+        """ "a/b/../c/" is "a/c/"; three steps up at most beside one another."""
+        for pattern, by in ((r"(^|/)\./", "$1"), *[(r"[^/.][^/]*/\.\./", "")] * 3):
+            path = F.regexp_replace(path, pattern, by)
+        return path
+
+    local = imports.filter(~F.col("target").rlike(r"^(?:https?:)?//|^url\(")).withColumn("__id", F.struct("service", "file", "line", "target"))
+    local = local.withColumn("__dirs", F.array(flat(F.concat(folder, head)), flat(head))).withColumn("__tail", tail)
+    ends = [("", "")] + [x for e in exts for x in (("", f".{e}"), ("_", f".{e}"), ("", f"/_index.{e}"), ("", f"/index.{e}"))]
+    shapes = F.array(*(F.struct(F.lit(before).alias("b"), F.lit(after).alias("a")) for before, after in ends))
+    tried = F.flatten(F.transform("__dirs", lambda d: F.transform(shapes, lambda x: F.concat(d, x["b"], F.col("__tail"), x["a"]))))
     each = local.select("__id", "service", F.posexplode(tried).alias("__rank", "path"))
     met = each.join(files.select("service", F.col("file").alias("path")).distinct(), ["service", "path"]).groupBy("__id").agg(F.min(F.struct("__rank", "path")).alias("b"))
     joined = local.select("__id").distinct().join(met, "__id", "left").select("__id.*", F.col("b.path").alias("found"))
@@ -318,3 +323,52 @@ def selected_profiles(versions: DataFrame, registry: DataFrame) -> DataFrame:
     oldest = F.min(F.struct("__p", "profile"))
     best = met.groupBy("service", "tool", "version", "__v").agg(F.coalesce(below, oldest).alias("b"))
     return best.select("service", "tool", "version", F.col("b.profile").alias("profile"), (~F.coalesce(F.col("b.__p") == F.col("__v"), F.lit(False))).alias("inferred"))
+
+
+def import_targets(imports: DataFrame, files: DataFrame, exts: tuple[str, ...] = ("ts", "tsx", "js", "jsx", "rb", "py", "go")) -> tuple[DataFrame, DataFrame]:
+    """Imports of relative paths to the files they mean, as edges between files; the ledger of those that mean none.
+
+    As ``asset_imports``, with the extensions of code; names of packages (no
+    leading dot) are left out, for they are no files of the tree.
+    """
+    local = imports.filter(F.col("target").startswith("."))
+    found, lost = asset_imports(local, files, exts)
+    at = lambda c: F.concat_ws(":", "service", c, F.lit("file"))
+    return found.select(*edge("imports", at("file"), at("found"), "imports")).distinct(), lost.withColumn("kind", F.lit("import_unresolved"))
+
+
+def class_name(association: Column, many: Column) -> Column:
+    """Class that an association names: singular if it is of many, words joined with capitals."""
+    one = F.when(many & association.rlike("ies$"), F.regexp_replace(association, "ies$", "y")).when(many & association.rlike("(s|x|z|ch|sh)es$"), F.regexp_replace(association, "es$", "")).when(many, F.regexp_replace(association, "s$", "")).otherwise(association)
+    return F.array_join(F.transform(F.split(one, "_"), lambda w: F.initcap(w)), "")
+
+
+def associations(owners: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes to the classes that their associations name, in their service; the ledger of those that are not there.
+
+    ``owners``: ``id``, ``service``, ``file``, ``line``, ``kind`` (belongs_to,
+    has_one, has_many ...), ``name``, and ``class_name`` ('' if it is not
+    told); ``classes``: ``id``, ``service``, ``label``. All classes of the name count.
+    """
+    many = F.col("kind").isin("has_many", "has_and_belongs_to_many")
+    named = owners.withColumn("label", F.when(given(F.col("class_name")) != "", F.col("class_name")).otherwise(class_name(F.col("name"), many)))
+    joined = named.join(classes.select(F.col("id").alias("c_id"), "service", "label"), ["service", "label"], "left")
+    return joined.filter("c_id IS NOT NULL").select(*edge("association", F.col("id"), F.col("c_id"), "uses_type", "inferred")).distinct(), _ledger(joined.filter("c_id IS NULL"), F.col("label"), "association_unresolved")
+
+
+def receiver_calls(calls: DataFrame, types: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Method calls to the methods of their receiver's type; the ledger of those whose receiver's type is known but has none.
+
+    ``calls``: ``id``, ``service``, ``file``, ``line``, ``scope``, ``receiver``,
+    ``name``; ``types``: ``service``, ``scope``, ``receiver``, ``class``, what
+    assignments and parameters say; a receiver of several types calls all of
+    them, which makes it partial. ``methods``: ``id``, ``service``, ``class``, ``label``.
+    """
+    known = types.select("service", "scope", "receiver", "class").distinct()
+    size = known.groupBy("service", "scope", "receiver").agg(F.count("*").alias("__types"))
+    typed = calls.join(known, ["service", "scope", "receiver"]).join(size, ["service", "scope", "receiver"])
+    m = methods.select(F.col("id").alias("m_id"), "service", "class", F.col("label").alias("name"))
+    joined = typed.join(m, ["service", "class", "name"], "left")
+    found = joined.filter("m_id IS NOT NULL")
+    lost = joined.join(found.select("id").distinct(), "id", "left_anti").dropDuplicates(["id"])
+    return found.select(*edge("calls", F.col("id"), F.col("m_id"), "calls", F.when(F.col("__types") > 1, "partial").otherwise("inferred"))).distinct(), _ledger(lost, F.concat_ws(".", "class", "name"), "method_unresolved")

@@ -908,3 +908,56 @@ def stream_joined_spans(spark, sf_dir):
         return spark.readStream.schema(own.schema).parquet(path)
 
     return _run(streaming.matched_spans(side("CLIENT"), side("SERVER")))
+
+
+# ---- providers, bundles, sources of symbols ---------------------------------------------------------------------------
+
+
+@query(W + """, s AS (SELECT e.type, x.provider AS p FROM (SELECT type, unnest(sources) AS x FROM e) e) SELECT p AS provider, type, count(*) AS n FROM s WHERE p IN ('runtime', 'contract') GROUP BY 1, 2 UNION ALL SELECT 'problem', 'config: ValueError: no settings', 1""")
+def evidence_providers(spark, sf_dir):
+    """Evidence that the providers give, and the one that fails."""
+    def of(name: str):
+        def provide(inputs: dict[str, DataFrame]) -> DataFrame:
+            if name == "config":
+                raise ValueError("no settings")
+            return inputs["edges"].select("src", "dst", "type", "label", F.explode("sources").alias("source"))
+
+        return provide
+
+    found, _, problems = evidence.collected({p: of(p) for p in evidence.PROVIDERS}, {"edges": edges(spark, sf_dir)})
+    rows = found.groupBy(F.col("source.provider").alias("provider"), "type").agg(F.count("*").alias("n"))
+    return rows.unionByName(spark.createDataFrame([("problem", f"{k}: {v}", 1) for k, v in problems.items()], "provider string, type string, n bigint"))
+
+
+@query("""WITH b AS (SELECT doc_id, '## ' || doc_id || chr(10) || chr(10) || coalesce(text, '') || chr(10) AS t FROM documents ORDER BY doc_id LIMIT 40), s AS (SELECT doc_id, sum(strlen(t)) OVER (ORDER BY doc_id) AS u, row_number() OVER (ORDER BY doc_id) AS r FROM b)
+SELECT greatest(1, count(*) FILTER (u / 4.0 <= 3000)) AS n_kept, 40 - greatest(1, count(*) FILTER (u / 4.0 <= 3000)) AS n_dropped FROM s""")
+def context_bundle(spark, sf_dir):
+    """How many of forty blocks fit into a bundle of 3,000 tokens: one answer's blocks, a feature of the bundle."""
+    rows = table(spark, sf_dir, "documents").orderBy("doc_id").limit(40).collect()
+    text, dropped = answers.bundle([(str(r["doc_id"]), r["text"] or "") for r in rows], 3_000)
+    return spark.createDataFrame([(len(rows) - dropped, dropped)], "n_kept bigint, n_dropped bigint")
+
+
+@query(W + f"""SELECT '{HUB}' AS target, (SELECT count(*) FROM (SELECT dst AS x FROM e WHERE src = '{HUB}' UNION SELECT src FROM e WHERE dst = '{HUB}') WHERE x <> '{HUB}') AS n_near, 0 AS n_candidates""")
+def investigation(spark, sf_dir):
+    """What an investigation of the hub finds next to it, of all that there is."""
+    n, e = (materialize(df, "graph")[0] for df in both(spark, sf_dir))
+    found = answers.investigate(n, e, HUB, flows=5, depth=2)
+    near = answers.context(n, e, found["target"], depth=1).count()
+    assert len(found["context"]) <= found["totals"]["context"] and len(found["flows"]) <= found["totals"]["flows"]
+    return spark.createDataFrame([(found["target"], near, found["totals"]["candidates"])], "target string, n_near bigint, n_candidates bigint")
+
+
+@query(W + """, d AS (SELECT service || '/' || file AS k, string_agg('line ' || line || ' ' || label, chr(10) ORDER BY line, id) AS t, count(*) AS c FROM n WHERE service <> '' AND file <> '' GROUP BY 1),
+x AS (SELECT id, service || '/' || file AS k, row_number() OVER (PARTITION BY service, file ORDER BY line, id) AS r FROM n WHERE service <> '' AND file <> '')
+SELECT x.id, array_to_string(string_split(d.t, chr(10))[r : r + 1], chr(10)) AS source FROM x JOIN d ON d.k = x.k""")
+def symbol_sources(spark, sf_dir):
+    """The two lines of its file in which each node begins."""
+    n = nodes(spark, sf_dir).filter("service <> '' AND file <> ''")
+    line = F.concat_ws(" ", F.lit("line"), "line", "label")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "id", line.alias("t")))), lambda x: x["t"]), "\n")
+    files = n.groupBy("service", "file").agg(text.alias("text"))
+    from pyspark.sql import Window
+
+    placed = n.withColumn("at", F.row_number().over(Window.partitionBy("service", "file").orderBy("line", "id")))
+    return answers.symbol_text(placed.select("id", "service", "file", F.col("at").alias("line"), (F.col("at") + 1).alias("end_line")), files).select("id", "source")

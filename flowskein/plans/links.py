@@ -311,3 +311,64 @@ def toolchain_profiles(spark, sf_dir):
     profiles = F.explode(F.array(*(F.struct(F.lit(v).alias("version"), F.lit(p).alias("profile")) for v, p in (("2.0", "two"), ("4.1", "four"), ("4.2", "later")))))
     registry = n.select(F.col("lang").alias("tool")).distinct().select("tool", profiles.alias("r")).select("tool", "r.*")
     return L.selected_profiles(versions, registry)
+
+
+_IMPORTS = """, f AS (SELECT DISTINCT service, file, regexp_replace(file, '[^/]*$', '') AS d, regexp_replace(regexp_extract(file, '([^/]*)$'), '\\.[^./]+$', '') AS b, regexp_extract(file, '\\.([^./]+)$', 1) AS x FROM n WHERE file <> '' AND service <> ''),
+a AS (SELECT service, d || 'sub/caller.ts' AS file, '../' || b AS target, d || b AS stem FROM f UNION ALL SELECT service, d || 'main.ts', './' || b, d || b FROM f WHERE length(b) % 2 = 0 UNION ALL SELECT service, d || 'main.ts', './no_' || b, d || 'no_' || b FROM f WHERE length(b) % 5 = 0),
+t AS (SELECT a.*, (SELECT arg_min(f.file, list_position(['ts', 'tsx', 'js', 'jsx', 'rb', 'py', 'go'], f.x)) FROM f WHERE f.service = a.service AND f.d || f.b = a.stem) AS found FROM (SELECT DISTINCT * FROM a) a)"""
+
+
+def _imports(spark, sf_dir):
+    f = nodes(spark, sf_dir).filter("file <> '' AND service <> ''").selectExpr("service", "file", "regexp_replace(file, '[^/]*$', '') AS d", "regexp_replace(regexp_extract(file, '([^/]*)$', 1), '[.][^./]+$', '') AS b").distinct()
+    asked = f.selectExpr("service", "concat(d, 'sub/caller.ts') AS file", "concat('../', b) AS target").unionByName(f.filter("length(b) % 2 = 0").selectExpr("service", "concat(d, 'main.ts') AS file", "concat('./', b) AS target"))
+    asked = asked.unionByName(f.filter("length(b) % 5 = 0").selectExpr("service", "concat(d, 'main.ts') AS file", "concat('./no_', b) AS target"))
+    outside = f.selectExpr("service", "concat(d, 'main.ts') AS file", "b AS target")
+    return L.import_targets(asked.unionByName(outside).withColumn("line", F.lit(1)), f.select("service", "file"))
+
+
+@query(W + _IMPORTS + " SELECT DISTINCT service || ':' || file || ':file' AS src, service || ':' || found || ':file' AS dst FROM t WHERE found IS NOT NULL")
+def import_targets(spark, sf_dir):
+    """Imports of relative paths to the files that they mean."""
+    return _imports(spark, sf_dir)[0].select("src", "dst")
+
+
+@query(W + _IMPORTS + " SELECT service, file, target AS name FROM t WHERE found IS NULL")
+def imports_unresolved(spark, sf_dir):
+    """Imports of files that are not there."""
+    return _imports(spark, sf_dir)[1].select("service", "file", "name")
+
+
+@query(W + """, o AS (SELECT id, service, label, line, CASE WHEN line % 2 = 0 THEN label ELSE label END AS c FROM n WHERE type IN ('class', 'struct') AND regexp_full_match(label, '[A-Z][a-z]+') AND service <> '')
+SELECT DISTINCT o.id AS src, n.id AS dst FROM o JOIN n ON n.service = o.service AND n.label = o.label AND n.type IN ('class', 'struct')""")
+def association_targets(spark, sf_dir):
+    """Classes to those that an association in snake case, of one or of many, names: here their own names."""
+    n = nodes(spark, sf_dir)
+    held = n.filter("type IN ('class', 'struct') AND label RLIKE '^[A-Z][a-z]+$' AND service <> ''")
+    plural = "CASE WHEN label RLIKE 'y$' THEN regexp_replace(lower(label), 'y$', 'ies') WHEN label RLIKE '(s|x|z|ch|sh)$' THEN concat(lower(label), 'es') ELSE concat(lower(label), 's') END"
+    owners = held.selectExpr("id", "service", "file", "line", "CASE WHEN line % 2 = 0 THEN 'has_many' ELSE 'belongs_to' END AS kind", f"CASE WHEN line % 2 = 0 THEN {plural} ELSE lower(label) END AS name", "'' AS class_name")
+    return L.associations(owners, n.filter("type IN ('class', 'struct')"))[0].select("src", "dst")
+
+
+_RECEIVERS = """, m AS (SELECT id, service, meta['class'] AS class, label AS name FROM n WHERE type = 'method' AND coalesce(meta['class'], '') <> ''), t AS (SELECT DISTINCT service, file AS scope, lower(class) AS receiver, class FROM (SELECT service, file, meta['class'] AS class FROM n WHERE type = 'method' AND coalesce(meta['class'], '') <> '')
+  UNION SELECT DISTINCT service, file, lower(meta['class']), 'Other' FROM n WHERE type = 'method' AND coalesce(meta['class'], '') <> '' AND line % 4 = 0),
+c AS (SELECT 'c:' || id AS id, service, file AS scope, lower(meta['class']) AS receiver, CASE WHEN line % 3 = 0 THEN 'none' ELSE label END AS name FROM n WHERE type = 'method' AND coalesce(meta['class'], '') <> ''),
+z AS (SELECT service, scope, receiver, count(*) AS k FROM t GROUP BY 1, 2, 3)"""
+
+
+def _receivers(spark, sf_dir):
+    held = nodes(spark, sf_dir).filter("type = 'method' AND coalesce(try_element_at(meta, 'class'), '') <> ''").withColumn("class", F.expr("meta['class']"))
+    types = held.selectExpr("service", "file AS scope", "lower(class) AS receiver", "class").unionByName(held.filter("line % 4 = 0").selectExpr("service", "file AS scope", "lower(class) AS receiver", "'Other' AS class"))
+    calls = held.selectExpr("concat('c:', id) AS id", "service", "file", "line", "file AS scope", "lower(class) AS receiver", "CASE WHEN line % 3 = 0 THEN 'none' ELSE label END AS name")
+    return L.receiver_calls(calls, types, held.select("id", "service", "class", "label"))
+
+
+@query(W + _RECEIVERS + " SELECT DISTINCT c.id AS src, m.id AS dst, CASE WHEN z.k > 1 THEN 'partial' ELSE 'inferred' END AS confidence FROM c JOIN t USING (service, scope, receiver) JOIN z USING (service, scope, receiver) JOIN m ON m.service = c.service AND m.class = t.class AND m.name = c.name")
+def receiver_calls(spark, sf_dir):
+    """Calls to the methods of their receiver's types."""
+    return _receivers(spark, sf_dir)[0].select("src", "dst", "confidence")
+
+
+@query(W + _RECEIVERS + " SELECT c.service, c.scope AS file, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM t JOIN m ON m.service = t.service AND m.class = t.class WHERE t.service = c.service AND t.scope = c.scope AND t.receiver = c.receiver AND m.name = c.name) GROUP BY 1, 2")
+def receivers_unresolved(spark, sf_dir):
+    """Calls whose receiver's type has no such method."""
+    return _receivers(spark, sf_dir)[1].groupBy("service", "file").agg(F.count("*").alias("n"))
