@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -192,26 +193,43 @@ def bundle(blocks: list[tuple[str, str]], most_tokens: int) -> tuple[str, int]:
     return "\n".join(texts[:kept]), len(texts) - kept
 
 
-def word_pieces(text: Column, vocabulary: list[str]) -> Column:
-    """Greedy longest-match pieces of the words of a text, ``[UNK]`` where none fits; for small vocabularies.
+def word_pieces(text: Column, vocabulary: list[str], most_letters: int = 100) -> Column:
+    """Greedy longest-match pieces of the words of a text, ``[UNK]`` for a word that cannot be made of them or is longer than ``most_letters``.
 
-    Built-in expressions only: each word is consumed by a fold over its letters.
+    Words are in lower case; signs are words of their own. The vocabulary
+    travels to the workers once as a set. A word is taken apart once for each
+    batch, however often it comes.
     """
-    vocab = F.array(*(F.lit(v) for v in vocabulary))
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"([^\p{L}\p{N}\s])", " $1 "), r"\s+"), lambda w: w != "")
-
-    def pieces(word: Column) -> Column:
-        start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), word.alias("rest"))
-
-        def step(state: Column, _: Column) -> Column:
-            head = F.when(F.size(state["out"]) > 0, "##").otherwise("")
-            tries = F.filter(F.transform(F.sequence(F.greatest(F.length(state["rest"]), F.lit(1)), F.lit(1), F.lit(-1)), lambda n: F.concat(head, F.substr(state["rest"], F.lit(1), n))), lambda p: F.array_contains(vocab, p))
-            best = F.get(tries, F.lit(0))
-            stuck = best.isNull() | (state["rest"] == "")
-            grown = F.struct(F.concat(state["out"], F.array(best)).alias("out"), F.substr(state["rest"], F.length(best) - F.length(head) + 1).alias("rest"))
-            return F.when(stuck, state).otherwise(grown)
-
-        done = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)
-        return F.when(done["rest"] == "", done["out"]).otherwise(F.array(F.lit("[UNK]")))
-
-    return F.flatten(F.transform(words, pieces))
+    known = frozenset(vocabulary)
+    longest = max(map(len, known), default=0)
+
+    def pieces(word: str) -> list[str]:
+        out: list[str] = []
+        at = 0
+        while at < len(word):
+            head = "##" if at else ""
+            end = min(len(word), at + longest - len(head))
+            while end > at and head + word[at:end] not in known:
+                end -= 1
+            if end <= at:
+                return ["[UNK]"]
+            out.append(head + word[at:end])
+            at = end
+        return out if len(word) <= most_letters else ["[UNK]"]
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        seen: dict[str, list[str]] = {}
+        rows = []
+        for line in texts:
+            row: list[str] | None = None
+            if line is not None:
+                row = []
+                for word in line.split():
+                    if word not in seen:
+                        seen[word] = pieces(word)
+                    row += seen[word]
+            rows.append(row)
+        return pd.Series(rows)
+
+    return cut(F.regexp_replace(F.lower(text), r"([^\p{L}\p{N}\s])", " $1 "))

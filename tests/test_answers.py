@@ -92,3 +92,21 @@ def test_own_packs_and_several_matches_a_line(spark):
         with pytest.raises(ValueError):
             patterns.load_packs(bad)
     assert len({p.name for p in patterns.PACKS}) == len(patterns.PACKS)
+
+
+def test_word_pieces_equal_a_public_tokenizer(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    vocabulary = ["[UNK]", *"abcdefgh", *(f"##{c}" for c in "abcdefg"), "ab", "abc", "##cd", "##de", "cab", "bad", ",", "!"]
+    model = tokenizers.Tokenizer(tokenizers.models.WordPiece({w: i for i, w in enumerate(vocabulary)}, unk_token="[UNK]", max_input_chars_per_word=12))
+    model.pre_tokenizer = tokenizers.pre_tokenizers.BertPreTokenizer()
+    texts = ["Abcde cab, bad!", "abcdh h", "x", "", "  ", "aaaaaaaaaaaaa aaaaaaaaaaaa", "fade-cab", "cabbage", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = {r["i"]: r["p"] for r in df.select("i", answers.word_pieces(F.col("t"), vocabulary, 12).alias("p")).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i] == (None if text is None else model.encode(text.lower()).tokens)
+
+
+def test_sources_of_symbols(spark):
+    files = spark.createDataFrame([("s", "f", "a\nb\nc")], "service string, file string, text string")
+    nodes = spark.createDataFrame([("1", "s", "f", 2, 3), ("2", "s", "f", 3, 0), ("3", "s", "g", 1, 2), ("4", "s", "f", 0, 1)], "id string, service string, file string, line int, end_line int")
+    assert {r["id"]: r["source"] for r in answers.symbol_text(nodes, files).collect()} == {"1": "b\nc", "2": "c", "3": None, "4": "a\nb"}
