@@ -9,7 +9,7 @@ from flowskein.functions import predicates as P
 from flowskein.operators import graph_store as G
 from flowskein.operators import linking, rollups
 from flowskein.operators import traversal as T
-from flowskein.session import table
+from flowskein.session import stored, table, table_version
 from flowskein.sources import patterns
 
 HUB = "shared-kit:pkg/util/mixed.go:function:Sundry:227"
@@ -17,11 +17,15 @@ SPAN_HUB = "shared-kit:pkg/flow/sinkhole.go:function:sink:162"
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.current_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "shared_nodes"))
+    """The current nodes, stored once a session; sorted by type, so that a type's rows lie together."""
+    made = lambda: G.current_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "shared_nodes")).sortWithinPartitions("type")
+    return stored(spark, "current-nodes", tuple(table_version(spark, sf_dir, n) for n in ("nodes", "shared_nodes")), made)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.current_edges(table(spark, sf_dir, "edges"))
+    """The current edges, stored once a session; sorted by type and source, so that filters on them skip most row groups."""
+    made = lambda: G.current_edges(table(spark, sf_dir, "edges")).sortWithinPartitions("type", "src")
+    return stored(spark, "current-edges", (table_version(spark, sf_dir, "edges"),), made)
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,24 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def table_version(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """What tells one state of a table's files from another: their size and time."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{path.toUri()}:{fs.getContentSummary(path).getLength()}:{fs.getFileStatus(path).getModificationTime()}"
+
+
+_STORED: dict[tuple[str, ...], tuple[DataFrame, str]] = {}
+
+
+def stored(spark: SparkSession, name: str, versions: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session read: written once for each state of what it is made of."""
+    key = (spark.sparkContext.applicationId, name, *versions)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), name)
+    return _STORED[key][0]
+
+
 class Levels:
     """Rows of a loop, level by level, each level written once.
 
