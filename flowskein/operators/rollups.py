@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from flowskein.functions.predicates import base_name, entrypoint_kind, is_flow, is_structural, meta, skipped_root_kind, verification_rank, worst_first_rank
 from flowskein.functions.scalars import is_stale
 
+#: Seed files up to which they are broadcast.
+SEED_ROWS = 50_000
 STATE_OF_RANK = ("verified", "observed_only_gap", "candidate", "conflicting", "")
 
 
@@ -21,7 +23,11 @@ def listed(column: str | Column) -> Column:
 
 
 def _sided(edges: DataFrame, nodes: DataFrame, *fields: str) -> DataFrame:
-    """Edges with fields of both end nodes as ``src_<field>`` and ``dst_<field>``; ends must exist."""
+    """Edges with fields of both end nodes as ``src_<field>`` and ``dst_<field>``; ends must exist.
+
+    Inner joins whose hot side is the edges: a hub's partition is split by
+    adaptive execution, as nothing downstream asks for its partitioning.
+    """
     for side in ("src", "dst"):
         edges = edges.join(nodes.select(F.col("id").alias(side), *(F.col(f).alias(f"{side}_{f}") for f in fields)), side)
     return edges
@@ -67,8 +73,10 @@ def related_files(edges: DataFrame, nodes: DataFrame, seed_files: DataFrame) ->
     out = both.select("id", "type", "verification_state", F.struct(F.col("src_service").alias("service"), F.col("src_file").alias("file")).alias("a"), F.struct(F.col("dst_service").alias("service"), F.col("dst_file").alias("file")).alias("b"))
     pairs = out.select("id", "type", "verification_state", F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("p"))
     flat = pairs.select("id", "type", "verification_state", F.col("p.s.service").alias("service"), F.col("p.s.file").alias("file"), F.col("p.o.service").alias("other_service"), F.col("p.o.file").alias("other_file"))
-    near = flat.join(F.broadcast(seed_files), ["service", "file"], "left_semi").filter("other_file <> ''")
-    apart = near.join(F.broadcast(seed_files.withColumnsRenamed({"service": "other_service", "file": "other_file"})), ["other_service", "other_file"], "left_anti")
+    seeds = seed_files.select("service", "file").distinct()
+    sized = F.broadcast if seeds.limit(SEED_ROWS + 1).count() <= SEED_ROWS else (lambda df: df)
+    near = flat.join(sized(seeds), ["service", "file"], "left_semi").filter("other_file <> ''")
+    apart = near.join(sized(seeds.withColumnsRenamed({"service": "other_service", "file": "other_file"})), ["other_service", "other_file"], "left_anti")
     return apart.groupBy(F.col("other_service").alias("service"), F.col("other_file").alias("file")).agg(
         F.countDistinct("id").alias("n_refs"), listed("type").alias("edge_types"), state_of_rank(F.min(verification_rank(F.col("verification_state")))).alias("best_state")
     )
