@@ -89,15 +89,20 @@ _MARK = re.compile(
 )
 _SPEAKER = re.compile(r"^[ \t]*([\w.@-]{2,24}:[ \t]+)(?=\S)")
 _RUN, _NUMBER = re.compile(r"\s+"), re.compile(r"\d+")
+#: Characters after which a unit is cut, so that the memory it takes to measure is bounded however long a text or a line is.
+UNIT_CHARS = 1_000_000
 
 
 def units(text: str) -> list[tuple[str, list[str], int]]:
-    """Runs of lines under one mark: the mark's kind, the lines without it, the characters they take."""
+    """Runs of lines under one mark: the mark's kind, the lines without it, the characters they take.
+
+    Runs and lines of more than ``UNIT_CHARS`` characters are several units.
+    """
     out: list[tuple[str, list[str], int]] = []
     kind_before: str | None = None
     lines: list[str] = []
     total = 0
-    for line in text.split("\n"):
+    for line in _bounded_lines(text):
         bare = line.strip()
         if not bare:
             kind_before = None if kind_before is None or not kind_before.startswith(("//", "#", ">")) else kind_before
@@ -115,7 +120,7 @@ def units(text: str) -> list[tuple[str, list[str], int]]:
             body, kind = line.strip(" \t\r"), ""
             if ":" in bare[:25] and (who := _SPEAKER.match(line)) and len(line) - who.end() > 24:
                 body, kind = line[who.end() :], "who:"
-        if lines and kind == kind_before:
+        if lines and kind == kind_before and total + len(bare) <= UNIT_CHARS:
             lines.append(body)
             total += len(bare)
         else:
@@ -128,6 +133,14 @@ def units(text: str) -> list[tuple[str, list[str], int]]:
     return out
 
 
+def _bounded_lines(text: str) -> Iterator[str]:
+    for line in text.split("\n"):
+        if len(line) <= UNIT_CHARS:
+            yield line
+        else:
+            yield from (line[i : i + UNIT_CHARS] for i in range(0, len(line), UNIT_CHARS))
+
+
 def jsd(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon divergence in bits, 0 to 1."""
     return float(jsds(p[None, :], q)[0])
@@ -652,8 +665,7 @@ def profile_documents(documents: DataFrame, profiles: Profiles, batch_chars: int
     that holds most of them, by function words, 'ja' where kana are met. The
     divergences are those of the largest unit from the prose of its language.
     Every row counts, whatever its id; whole texts are read. One Arrow pass, no
-    shuffle; the units of ``batch_chars`` characters or of one longer document
-    are measured at a time.
+    shuffle; units of some ``batch_chars`` characters are measured at a time.
     """
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -672,6 +684,26 @@ def profile_documents(documents: DataFrame, profiles: Profiles, batch_chars: int
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(describe, RESULT)
 
 
+def _parts(cut: list[tuple[str, list[str], int]]) -> Iterator[list[tuple[str, list[str], int]]]:
+    """Units in turn, some ``UNIT_CHARS`` characters at a time."""
+    part: list[tuple[str, list[str], int]] = []
+    held = 0
+    for unit in cut:
+        if part and held + unit[2] > UNIT_CHARS:
+            yield part
+            part, held = [], 0
+        part.append(unit)
+        held += unit[2]
+    yield part
+
+
+def _judged(profiles: Profiles, cut: list[tuple[str, list[str], int]]) -> tuple[np.ndarray, ...]:
+    """Of each unit the shape, the language, the divergences of function words and characters, and its common and all words."""
+    m = measure(cut)
+    function, _, chars = profiles.divergences(m)
+    return profiles.nearest(m), m.lang, function, chars, *profiles.common_words(m)
+
+
 def describe_batch(profiles: Profiles, ids: list, cuts: list[list]) -> pd.DataFrame:
     """The rows of ``RESULT`` for documents that are cut into units."""
     n = len(ids)
@@ -680,14 +712,13 @@ def describe_batch(profiles: Profiles, ids: list, cuts: list[list]) -> pd.DataFr
     every = [u for cut in cuts for u in cut]
     if not every:
         return out
-    measured = measure(every)
-    shape = profiles.nearest(measured)
+    found = [_judged(profiles, part) for part in _parts(every)]
+    shape, lang, function, chars, known, of_all = (np.concatenate(x) for x in zip(*found))
     doc = np.repeat(np.arange(n), counts)
     size = np.array([u[2] for u in every], dtype=float)
     held = np.bincount(doc * len(SHAPES) + shape, weights=size, minlength=n * len(SHAPES)).reshape(n, -1)
-    spoken = np.bincount(doc * len(LANGUAGES) + measured.lang, weights=size, minlength=n * len(LANGUAGES)).reshape(n, -1)
-    common, words = (np.bincount(doc, weights=x, minlength=n) for x in profiles.common_words(measured))
-    function, _, chars = profiles.divergences(measured)
+    spoken = np.bincount(doc * len(LANGUAGES) + lang, weights=size, minlength=n * len(LANGUAGES)).reshape(n, -1)
+    common, words = (np.bincount(doc, weights=x, minlength=n) for x in (known, of_all))
     order = np.lexsort((-np.arange(len(doc)), size, doc))  # the first largest unit of a document comes last
     largest = order[np.cumsum(counts)[counts > 0] - 1]
     some = counts > 0

@@ -122,3 +122,16 @@ def test_divergence_from_profiles_is_that_of_the_whole_distributions(corpus):
     assert np.allclose(profiles.divergences(m)[0], want)
     assert quality._point_jsd(np.array([0.0, 1.0])).tolist() == [1.0, 0.0]
     assert quality._point_jsd(np.array([0.3]))[0] == pytest.approx(quality.jsd(np.array([1.0, 0, 0]), np.array([0.3, 0.5, 0.2])))
+
+
+def test_very_long_texts_are_measured_in_bounded_parts(corpus, monkeypatch):
+    """A document, a run and a line far beyond what is measured at a time: all of it counts."""
+    profiles = quality.Profiles().fit([t for _, t in corpus], [s for s, _ in corpus])
+    proses, codes = [t for s, t in corpus if s == "prose"], [t for s, t in corpus if s == "code"]
+    long = "\n".join(proses * 4) + "\n" + "\n".join(codes) + "\n" + "y" * 30_000
+    whole = quality.describe_batch(profiles, [1], [quality.units(long)])
+    monkeypatch.setattr(quality, "UNIT_CHARS", 4_000)
+    cut = quality.units(long)
+    assert max(u[2] for u in cut) <= 4_000 and sum(u[2] for u in cut) == sum(len(x.strip()) for x in long.split("\n"))
+    parts = quality.describe_batch(profiles, [1], [cut])
+    assert parts["shape"][0] == whole["shape"][0] == "prose" and abs(parts["prose_share"][0] - whole["prose_share"][0]) < 0.05
