@@ -144,6 +144,12 @@ def _with_methods(producers: DataFrame) -> DataFrame:
     ).drop("__m")
 
 
+def _few(masks: DataFrame, most: int = 50_000) -> DataFrame:
+    """Distinct sets of wildcard places, written once; broadcast if they are counted to be few, as they are for any but made-up routes."""
+    kept, _ = materialize(masks.distinct(), "masks")
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def _wildcard_pairs(p: DataFrame, q: DataFrame) -> DataFrame:
     """Segment-wise matches with ``*`` on either side, by equality of masked keys.
 
@@ -159,8 +165,8 @@ def _wildcard_pairs(p: DataFrame, q: DataFrame) -> DataFrame:
     both = lambda: F.array_union("__mp", "__mc")
     masked = lambda segs: F.array_join(F.transform(segs, lambda s, i: F.when(F.array_contains(both(), i), "*").otherwise(s)), "/")
     anchored = F.size(both()) < F.col("__n")
-    lk = left.join(right.select("head", "__n", "__mc").distinct(), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__s")))
-    rk = right.join(left.select("head", "__n", "__mp").distinct(), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__cs")))
+    lk = left.join(_few(right.select("head", "__n", "__mc")), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__s")))
+    rk = right.join(_few(left.select("head", "__n", "__mp")), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__cs")))
     met = lk.join(rk, ["head", "__n", "__mp", "__mc", "__key"]).filter(N.segments_match(F.col("__s"), F.col("__cs")))
     return met.select(*p.columns, *q.columns)
 

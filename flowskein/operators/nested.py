@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -268,8 +268,8 @@ def lost_links(trees: Trees) -> DataFrame:
     return out
 
 
-_NODE_COLUMNS = ("record_key", "dewey", "parent_dewey", "schema_path", "parent_path", "kind", "value")
-_NODE_SCHEMA = "record_key string, dewey array<int>, parent_dewey array<int>, schema_path string, parent_path string, kind string, value string"
+_NODE_COLUMNS = ("record_key", "label", "parent_label", "schema_path", "parent_path", "kind", "value", "n_children")
+_NODE_SCHEMA = "record_key string, label string, parent_label string, schema_path string, parent_path string, kind string, value string, n_children bigint"
 _TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\]:,])|"((?:[^"\\\x00-\x1f]|\\.)*)"|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))')
 
 
@@ -331,54 +331,81 @@ def _parse_deep(text: str):
     return whole[0]
 
 
-def dewey_nodes(records: DataFrame, key: str, body: str) -> DataFrame:
+def dewey_nodes(records: DataFrame, key: str, body: str, batch_nodes: int = 20_000) -> DataFrame:
     """Every node of JSON records of any depth, labelled in document order.
 
     Members get ordinals in text order (repeated names each their own), elements
     by position. ``schema_path`` joins member names with '.', ``[]`` for
-    elements; '$' is the root. A null body is no record. A text that is not JSON
-    gives one row of kind 'invalid' with the text as value, so no record goes
-    unseen. One Arrow pass, no shuffle. Unknown depth needs a walk that no
-    built-in expression offers, hence Python; depth itself is not limited.
+    elements; '$' is the root, whose label is empty and whose parent is null. A
+    null body is no record. A text that is not JSON gives one row of kind
+    'invalid' with the text as value, so no record goes unseen. One Arrow pass,
+    no shuffle. Unknown depth needs a walk that no built-in expression offers,
+    hence Python; depth itself is not limited.
     """
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in _NODE_COLUMNS]
+        add = [c.append for c in columns]
+
+        def made() -> pa.RecordBatch:
+            kinds = [pa.string()] * 7 + [pa.int64()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(_NODE_COLUMNS))
+            for c in columns:
+                c.clear()
+            return batch
+
         for batch in batches:
-            rows = []
-            for record_key, text in zip(batch["k"], batch["b"]):
+            for record_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     continue
                 try:
-                    root = parse_json(text)
+                    todo = [("", None, "$", None, parse_json(text))]
                 except ValueError:
-                    rows.append((record_key, [], None, "$", None, "invalid", text))
+                    for put, value in zip(add, (record_key, "", None, "$", None, "invalid", text, 0)):
+                        put(value)
                     continue
-                todo = [([], "$", None, root)]
                 while todo:
-                    dewey, path, above, node = todo.pop()
+                    own, up, path, above, node = todo.pop()
                     inner: list = []
+                    value = None
+                    head = f"{own}." if own else ""
                     if isinstance(node, _Object):
-                        kind, value = "object", None
-                        inner = [(dewey + [i], f"{path}.{m}", path, x) for i, (m, x) in enumerate(node)]
+                        kind = "object"
+                        inner = [(f"{head}{i}", own, f"{path}.{m}", path, x) for i, (m, x) in enumerate(node)]
                     elif isinstance(node, list):
-                        kind, value = "array", None
-                        inner = [(dewey + [i], f"{path}[]", path, x) for i, x in enumerate(node)]
+                        kind, below = "array", path + "[]"
+                        inner = [(f"{head}{i}", own, below, path, x) for i, x in enumerate(node)]
+                    elif isinstance(node, str):
+                        kind, value = "str", node
                     else:
-                        kind, value = "null" if node is None else type(node).__name__, node if isinstance(node, str) else json.dumps(node)
-                    rows.append((record_key, dewey, dewey[:-1] if dewey else None, path, above, kind, value))
+                        kind, value = "null" if node is None else type(node).__name__, json.dumps(node)
+                    for put, x in zip(add, (record_key, own, up, path, above, kind, value, len(inner))):
+                        put(x)
                     todo.extend(reversed(inner))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=_NODE_COLUMNS)
-                        rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=_NODE_COLUMNS)
+                    if len(columns[0]) >= batch_nodes:
+                        yield made()
+        if columns[0]:
+            yield made()
 
-    return records.select(F.col(key).cast("string").alias("k"), F.col(body).alias("b")).mapInPandas(label, _NODE_SCHEMA)
+    rows = records.select(F.col(key).cast("string").alias("k"), F.col(body).alias("b")).mapInArrow(label, _NODE_SCHEMA)
+    numbers = lambda c: F.when(F.col(c) == "", F.expr("cast(array() AS array<int>)")).otherwise(F.split(c, "[.]").cast("array<int>"))
+    return rows.select("record_key", numbers("label").alias("dewey"), numbers("parent_label").alias("parent_dewey"), *(c for c in _NODE_COLUMNS if c != "record_key"))
 
 
 def node_summary(nodes: DataFrame) -> DataFrame:
-    """Nodes of every schema path: ``n_nodes``, ``n_children`` below them, ``n_lost`` children whose parent is not there."""
-    own = nodes.select("record_key", "dewey", "schema_path", F.lit(1).cast("bigint").alias("__own"), F.lit(0).cast("bigint").alias("__below"))
-    up = nodes.filter(F.col("parent_dewey").isNotNull()).groupBy("record_key", F.col("parent_dewey").alias("dewey"), F.col("parent_path").alias("schema_path")).agg(F.count("*").alias("__below"))
-    met = own.unionByName(up.withColumn("__own", F.lit(0).cast("bigint"))).groupBy("record_key", "dewey", "schema_path").agg(F.sum("__own").alias("__own"), F.sum("__below").alias("__below"))
-    return met.groupBy("schema_path").agg(F.sum("__own").alias("n_nodes"), F.sum("__below").alias("n_children"), F.sum(F.when(F.col("__own") == 0, F.col("__below")).otherwise(0)).alias("n_lost"))
+    """Nodes of every schema path: ``n_nodes``, ``n_children`` that name one of them as parent, ``n_lost`` links that do not fit.
+
+    Links are checked without bringing nodes together: what the nodes of a path
+    say of their labels and numbers of children, and what children say of their
+    parents' labels, are summed up as hashes of two seeds, which agree only if
+    every child's parent is there and has as many children as it says. Where
+    they do not, ``n_lost`` is the difference in numbers, at least 1.
+    """
+    hashes = lambda c: [F.pmod(F.xxhash64(F.lit(seed), "record_key", F.col(c)), F.lit(2**31)) for seed in (1, 2)]
+    zero, one, n = F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.col("n_children")
+    own = F.struct(F.col("schema_path").alias("path"), one.alias("own"), n.alias("told"), zero.alias("met"), *((h * n).alias(f"h{i}") for i, h in enumerate(hashes("label"))))
+    up = F.struct(F.col("parent_path").alias("path"), zero.alias("own"), zero.alias("told"), one.alias("met"), *((-h).alias(f"h{i}") for i, h in enumerate(hashes("parent_label"))))
+    said = nodes.select(F.explode(F.when(F.col("parent_label").isNull(), F.array(own)).otherwise(F.array(own, up))).alias("e")).select("e.*")
+    summed = said.groupBy(F.col("path").alias("schema_path")).agg(*(F.sum(c).alias(c) for c in ("own", "told", "met", "h0", "h1")))
+    lost = F.when((F.col("h0") == 0) & (F.col("h1") == 0) & (F.col("told") == F.col("met")), 0).otherwise(F.greatest(F.abs(F.col("told") - F.col("met")), F.lit(1)))
+    return summed.select("schema_path", F.col("own").alias("n_nodes"), F.col("met").alias("n_children"), lost.cast("bigint").alias("n_lost"))
