@@ -184,6 +184,35 @@ def rules_from_json(text: str) -> tuple[contracts.Rule, ...]:
     return (*contracts.RULES, *out)
 
 
+def rules_from_yaml(text: str) -> tuple[contracts.Rule, ...]:
+    """Workspace rules in YAML after the built-in ones: a list ``contracts`` of kind, producer, consumer, normalizers, match, edge and unmatched.
+
+    The normalisers hold for every key field. Unknown names and fields are
+    refused, so that a slip is no rule that matches nothing.
+    """
+    import yaml  # only workspaces with such files need it
+
+    def known(raw: dict, allowed: set[str], what: str) -> dict:
+        if extra := set(raw) - allowed:
+            raise ValueError(f"unknown {what} field {sorted(extra)[0]!r}")
+        return raw
+
+    def end(raw: dict) -> contracts.Endpoint:
+        known(raw, {"node", "where", "not_where", "key", "key_fallbacks", "target_service_meta"}, "endpoint")
+        fallbacks = {k: tuple(v) for k, v in (raw.get("key_fallbacks") or {}).items()}
+        return contracts.Endpoint(raw["node"], tuple(raw["key"]), raw.get("where") or {}, raw.get("not_where") or {}, fallbacks, raw.get("target_service_meta") or "")
+
+    out = []
+    for raw in (yaml.safe_load(text) or {}).get("contracts") or []:
+        known(raw, {"kind", "producer", "consumer", "normalizers", "match", "edge", "unmatched"}, "rule")
+        edge = known(raw["edge"], {"type", "id_prefix", "same_service"}, "edge")
+        p, c = end(raw["producer"]), end(raw["consumer"])
+        chain = tuple(raw.get("normalizers") or ())
+        names = {f: chain for f in (*p.key, *c.key)}
+        out.append(contracts.Rule(raw["kind"], p, c, names, tuple(raw["match"]), edge["type"], edge["id_prefix"], edge.get("same_service", "keep"), raw.get("unmatched", "drop")))
+    return (*contracts.RULES, *out)
+
+
 def bundle(blocks: list[tuple[str, str]], most_tokens: int) -> tuple[str, int]:
     """Markdown blocks (title, body) within a budget of four bytes a token; whole blocks go, last first."""
     texts = [f"## {title}\n\n{body}\n" for title, body in blocks]

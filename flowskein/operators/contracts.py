@@ -32,6 +32,8 @@ class Endpoint:
     where: dict[str, str] = field(default_factory=dict)
     not_where: dict[str, str] = field(default_factory=dict)
     fallbacks: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Meta field that names the service a producer asks, if it is known: only its consumers count then.
+    target: str = ""
 
 
 @dataclass(frozen=True)
@@ -71,9 +73,9 @@ def _simple(kind: str, producer: str, consumer: str, key: str, edge: str, prefix
 
 #: The built-in rules.
 RULES = (
-    Rule("http", Endpoint("http_client", ("method", "path"), {"nav_link": ""}, fallbacks={"path": ("url",)}), Endpoint("http_handler", ("method", "path")),
+    Rule("http", Endpoint("http_client", ("method", "path"), {"nav_link": ""}, fallbacks={"path": ("url",)}, target="target_service"), Endpoint("http_handler", ("method", "path")),
          {"method": ("case_fold",), "path": _PATH}, ("exact", "normalized", "wildcard_anchored"), "http_call", "link", "keep", "unknown_edge"),
-    Rule("nav", Endpoint("http_client", ("method", "path"), {"nav_link": "true"}, fallbacks={"path": ("url",)}), Endpoint("http_handler", ("method", "path")),
+    Rule("nav", Endpoint("http_client", ("method", "path"), {"nav_link": "true"}, fallbacks={"path": ("url",)}, target="target_service"), Endpoint("http_handler", ("method", "path")),
          {"method": ("case_fold",), "path": _PATH}, ("exact", "normalized", "wildcard_anchored"), "navigates_to", "nav", "keep", "drop"),
     Rule("amqp", Endpoint("channel", ("exchange", "routing_key"), not_where={"role": "consumer"}), Endpoint("channel", ("exchange", "routing_key"), {"role": "consumer"}),
          {"exchange": _QUOTE, "routing_key": ("quote_strip", "dynamic_host_strip", "amqp_topic_wildcard")}, ("exact", "normalized", "exchange_only"), "publishes", "broker", "skip", "drop"),
@@ -125,6 +127,7 @@ def _side(nodes: DataFrame, rule: Rule, end: Endpoint) -> DataFrame:
         "id", "service", "file", "line", F.concat_ws(" ", *raw).alias("raw"), F.concat_ws(" ", *norm).alias("norm"),
         norm[0].alias("head"), norm[-1].alias("tail"), given(F.try_element_at("meta", F.lit("confidence_ceiling"))).alias("ceiling"),
         given(F.try_element_at("meta", F.lit("wrapper"))).alias("wrapper"), "cand", local.alias("local"),
+        (given(F.try_element_at("meta", F.lit(end.target))) if end.target else F.lit("")).alias("target"),
     )
 
 
@@ -211,6 +214,7 @@ def link(nodes: DataFrame, rule: Rule) -> Linked:
     if rule.same_service != "keep":
         same = F.col("service") == F.col("c_service")
         hits = hits.filter(same if rule.same_service == "same_service_only" else ~same)
+    hits = hits.filter((F.col("target") == "") | (F.col("c_service") == F.col("target")))
     # a producer's hits are judged where they lie, after one shuffle by producer
     one = ["id", "cand"]
     own = W.partitionBy(*one)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,3 +137,37 @@ def set_diff(expected: DataFrame, produced: DataFrame, keys: list[str]) -> DataF
     """Rows of either side that the other lacks, with multiplicity."""
     a, b = expected.select(*keys), produced.select(*keys)
     return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("extra")))
+
+
+CASE_FIELDS = {"expected": ("expected_impacted", "expect_any_of"), "must": ("must_not_miss",), "forbidden": ("must_not_include",)}
+
+
+def manifest_cases(manifests: DataFrame) -> DataFrame:
+    """Cases of evaluation manifests (``repo``, ``text`` in YAML or JSON): ``repo``, ``case_id``, ``kind``, ``target``, ``exhaustive`` and the lists ``expected``, ``must``, ``forbidden``.
+
+    A case without id gets one of its kind and target. A manifest that cannot be
+    read is a row of kind 'invalid' whose target is the problem.
+    """
+    schema = "repo string, case_id string, kind string, target string, exhaustive boolean, " + ", ".join(f"{n} array<string>" for n in CASE_FIELDS)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml  # JSON is YAML, too
+
+        for frame in frames:
+            rows = []
+            for repo, text in zip(frame["repo"], frame["text"]):
+                try:
+                    for case in (yaml.safe_load(text or "") or {}).get("cases") or []:
+                        kind, target = str(case.get("kind") or ""), str(case.get("target") or case.get("query") or "")
+                        lists = [[str(x) for f in fields for x in case.get(f) or []] for fields in CASE_FIELDS.values()]
+                        rows.append((repo, str(case.get("id") or f"{kind}-{target}"), kind, target, bool(case.get("exhaustive")), *lists))
+                except (yaml.YAMLError, AttributeError, TypeError) as e:
+                    rows.append((repo, "", "invalid", f"{type(e).__name__}"[:200], False, *([[]] * len(CASE_FIELDS))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return manifests.select("repo", "text").mapInPandas(read, schema)
+
+
+def case_items(cases: DataFrame, name: str) -> DataFrame:
+    """One of the lists of ``manifest_cases`` as the sets that ``case_scores`` takes: ``case_id``, ``item``."""
+    return cases.select("case_id", F.explode(name).alias("item")).distinct()

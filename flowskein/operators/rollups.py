@@ -179,6 +179,24 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").select("id", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
+def neighbours(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """Edges of a node in both directions, with the columns of the node at the other end: ``direction``, ``type``, ``other``, ``label``, ``service``, ``file``."""
+    side = lambda own, far, way: edges.filter(F.col(own) == node).select(F.lit(way).alias("direction"), "type", F.col(far).alias("other"))
+    both = side("src", "dst", "out").unionByName(side("dst", "src", "in"))
+    return both.join(nodes.select(F.col("id").alias("other"), "label", "service", "file"), "other", "left")
+
+
+def filtered(nodes: DataFrame, edges: DataFrame, types: list[str], services: list[str], edge_types: list[str], states: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a view shows: nodes of the types and services, and edges of the types and states between them; an empty list is no filter."""
+    def within(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+        return df.filter(F.col(column).isin(*values)) if values else df
+
+    shown = within(within(nodes, "type", types), "service", services)
+    kept = within(within(edges, "type", edge_types), "verification_state", states)
+    ids = shown.select("id")
+    return shown, kept.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
 def outline(nodes: DataFrame) -> DataFrame:
     """Folders of every service, all levels, with the files and nodes below them.
 

@@ -142,6 +142,51 @@ def contract_other_services(spark, sf_dir):
     return contracts.link(_http_nodes(spark, sf_dir), replace(_HTTP, same_service="skip")).edges.select("id", "confidence", "tier")
 
 
+@query(_HTTP_ENDS.replace("p0 AS (SELECT", "p0 AS (SELECT CASE WHEN line % 4 = 0 THEN service WHEN line % 4 = 1 THEN 'shared-kit' ELSE '' END AS target,") + _linked("(target = '' OR cs = target)") + "SELECT id, confidence, tier FROM ed")
+def contract_targets(spark, sf_dir):
+    """As contract_methods, where half of the clients tell the service they ask."""
+    n = _http_nodes(spark, sf_dir)
+    told = F.expr("CASE WHEN line % 4 = 0 THEN service WHEN line % 4 = 1 THEN 'shared-kit' ELSE '' END")
+    return contracts.link(n.withColumn("meta", F.map_concat("meta", F.create_map(F.lit("target_service"), told))), _HTTP).edges.select("id", "confidence", "tier")
+
+
+@query("""SELECT DISTINCT repo, repo || '/' || lower(trim(case_id)) AS case_id, coalesce(max(exhaustive), false) AS exhaustive, CAST(2 AS BIGINT) AS n_expected, CAST(1 AS BIGINT) AS n_must FROM eval_baseline WHERE case_id IS NOT NULL AND repo IS NOT NULL GROUP BY repo, lower(trim(case_id))""")
+def manifest_cases(spark, sf_dir):
+    """Cases read from a manifest for each repository."""
+    cases = table(spark, sf_dir, "eval_baseline").filter("case_id IS NOT NULL AND repo IS NOT NULL").groupBy("repo", F.lower(F.trim("case_id")).alias("c")).agg(F.coalesce(F.max("exhaustive"), F.lit(False)).alias("x"))
+    one = F.concat(F.lit("  - id: '"), "repo", F.lit("/"), "c", F.lit("'\n    kind: node\n    exhaustive: "), F.col("x").cast("string"), F.lit("\n    expected_impacted: [a/b.go, '"), "c", F.lit("']\n    must_not_miss:\n      - a/b.go\n"))
+    made = cases.groupBy("repo").agg(F.concat(F.lit("cases:\n"), F.array_join(F.collect_list(one), "")).alias("text"))
+    read = evaluation.manifest_cases(made)
+    return read.select("repo", "case_id", "exhaustive", F.size("expected").cast("bigint").alias("n_expected"), F.size("must").cast("bigint").alias("n_must"))
+
+
+@query(W + """SELECT 'out' AS direction, e.type, e.dst AS other, coalesce(n.label, '') AS label, coalesce(n.service, '') AS service FROM e LEFT JOIN n ON n.id = e.dst WHERE e.src = '""" + HUB + """' UNION ALL SELECT 'in', e.type, e.src, coalesce(n.label, ''), coalesce(n.service, '') FROM e LEFT JOIN n ON n.id = e.src WHERE e.dst = '""" + HUB + """'""")
+def node_neighbours(spark, sf_dir):
+    """Edges of the hub in both directions with the nodes at their other ends."""
+    return rollups.neighbours(*both(spark, sf_dir), HUB).select("direction", "type", "other", P.given(F.col("label")).alias("label"), P.given(F.col("service")).alias("service"))
+
+
+@query(W + """, k AS (SELECT id FROM n WHERE type IN ('class', 'function') AND service LIKE '%-web-%') SELECT 'node' AS what, count(*) AS n FROM k UNION ALL SELECT 'edge', count(*) FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k) AND type <> 'contains' AND verification_state <> 'conflicting'""")
+def filtered_view(spark, sf_dir):
+    """Nodes and edges that pass the filters of a view."""
+    n, e = both(spark, sf_dir)
+    services = [r[0] for r in n.filter("service LIKE '%-web-%'").select("service").distinct().collect()]  # what a user ticked
+    kept = sorted(r[0] for r in e.select("verification_state").distinct().collect() if r[0] != "conflicting")
+    types = sorted(r[0] for r in e.select("type").distinct().collect() if r[0] != "contains")
+    shown, left = rollups.filtered(n, e, ["class", "function"], services, types, kept)
+    return shown.agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "n").unionByName(left.agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), "n"))
+
+
+@query(W + """SELECT service, count(*) AS n_lines, CAST(sum(length(id)) AS BIGINT) AS n_chars FROM n WHERE service <> '' GROUP BY 1""")
+def source_tree(spark, sf_dir):
+    """Files of a tree on disk, read whole: one folder for each service, a line for each node."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    nodes(spark, sf_dir).filter("service <> ''").select("service", "id").write.partitionBy("service").text(root)
+    read = sources.texts(spark, root, "*.txt").select(F.regexp_extract("path", "service=([^/]+)/", 1).alias("service"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    assert sources.tree(spark, root, "*.txt").filter("content_hash IS NULL OR ext <> 'txt'").count() == 0
+    return read.groupBy("service").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
 def _broker_nodes(spark, sf_dir) -> DataFrame:
     """Channels as ends of a broker: exchange by language, routing key by label, every tenth one open; publishers produce, subscribers consume."""
     made = _ends(spark, sf_dir, "q", type="channel", exchange="lang", routing_key="CASE WHEN line % 10 = 0 THEN '#' ELSE lower(label) END", role="CASE WHEN type = 'subscriber' THEN 'consumer' ELSE '' END")

@@ -110,3 +110,35 @@ def test_sources_of_symbols(spark):
     files = spark.createDataFrame([("s", "f", "a\nb\nc")], "service string, file string, text string")
     nodes = spark.createDataFrame([("1", "s", "f", 2, 3), ("2", "s", "f", 3, 0), ("3", "s", "g", 1, 2), ("4", "s", "f", 0, 1)], "id string, service string, file string, line int, end_line int")
     assert {r["id"]: r["source"] for r in answers.symbol_text(nodes, files).collect()} == {"1": "b\nc", "2": "c", "3": None, "4": "a\nb"}
+
+
+def test_rules_and_manifests_in_yaml(spark):
+    pytest.importorskip("yaml")
+    rule = """
+contracts:
+  - kind: mq
+    producer: {node: publisher, where: {pattern: mq_send}, key: [q], key_fallbacks: {q: [queue]}, target_service_meta: to}
+    consumer: {node: subscriber, key: [q]}
+    normalizers: [case_fold, quote_strip]
+    match: [exact, normalized]
+    edge: {type: publishes, id_prefix: mq, same_service: skip}
+    unmatched: ledger
+"""
+    made = answers.rules_from_yaml(rule)[-1]
+    assert (made.kind, made.producer.fallbacks, made.producer.target, made.normalizers["q"], made.same_service, made.unmatched) == ("mq", {"q": ("queue",)}, "to", ("case_fold", "quote_strip"), "skip", "ledger")
+    assert answers.rules_from_yaml("") == contracts.RULES
+    for bad in (rule.replace("match:", "typo: 1\n    match:"), rule.replace("case_fold", "fold"), rule.replace("same_service: skip", "same_service: maybe")):
+        with pytest.raises(ValueError):
+            answers.rules_from_yaml(bad)
+    nodes = spark.createDataFrame([("p", "publisher", "a", "f", 1, {"pattern": "mq_send", "queue": "Q", "to": "b"}), ("c1", "subscriber", "b", "f", 1, {"q": "'q'"}), ("c2", "subscriber", "c", "f", 1, {"q": "q"})], "id string, type string, service string, file string, line int, meta map<string,string>")
+    assert [(r["src"], r["dst"]) for r in contracts.link(nodes, made).edges.collect()] == [("p", "c1")]
+    from flowskein.operators import evaluation
+
+    text = "cases:\n  - {id: a, kind: node, target: t, exhaustive: true, expected_impacted: [x, y], must_not_miss: [x], must_not_include: [z]}\n  - {kind: semantic, query: q, expect_any_of: [m]}\n"
+    cases = evaluation.manifest_cases(spark.createDataFrame([("r", text), ("bad", "cases: [1]"), ("odd", "{"), ("none", None)], "repo string, text string"))
+    got = {(r["repo"], r["case_id"], r["kind"], r["exhaustive"], tuple(r["expected"]), tuple(r["must"]), tuple(r["forbidden"])) for r in cases.collect() if r["kind"] != "invalid"}
+    assert got == {("r", "a", "node", True, ("x", "y"), ("x",), ("z",)), ("r", "semantic-q", "semantic", False, ("m",), (), ())}
+    assert {r["repo"] for r in cases.filter("kind = 'invalid'").collect()} == {"bad", "odd"}
+    scores = evaluation.case_scores(evaluation.case_items(cases, "expected"), spark.createDataFrame([("a", "x"), ("a", "z")], "case_id string, item string"), cases.select("case_id", F.lit("").alias("item")).limit(0), evaluation.case_items(cases, "must"), evaluation.case_items(cases, "forbidden"))
+    row = scores.filter("case_id = 'a'").first()
+    assert row["recall"] == 0.5 and row["hard_fail"] and row["forbidden_hits"] == 1
