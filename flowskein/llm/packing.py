@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Expected windows and items of a cell: what one task packs at a time.
 CELL_WINDOWS, CELL_ITEMS = 2_000, 40_000
+#: Repeats of one row that are numbered at a time.
+COPIES = 65_536
 #: Items above this share of the capacity are large; groups of large items.
 LARGE, GROUPS = 1 / 8, 24
 
@@ -134,7 +136,8 @@ def windows(documents: DataFrame, capacity: int = 4096, text: str = "text", key:
     their own. ``start`` is the first token's place in the window. A null or
     empty text takes no room but has a place. Every row is a document, repeated
     or null keys too. Only keys and lengths are shuffled; cells are hashed by
-    key (by text where the key is null), so no group of copies fills one.
+    key (by text where the key is null) and number among repeats, so neither
+    copies nor repeated rows fill one.
     """
     sized = documents.select(F.col(key).alias("doc_id"), byte_tokens(F.col(text)).alias("size"), F.when(F.col(key).isNull(), F.xxhash64(text)).alias("own"))
     total = sized.agg(F.sum("size"), F.count("*")).first()
@@ -168,7 +171,11 @@ def windows(documents: DataFrame, capacity: int = 4096, text: str = "text", key:
         })
 
     kind = dict(sized.dtypes)["doc_id"]
-    placed = sized.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "own"), F.lit(cells)).cast("int")).drop("own")
+    # repeated rows are counted, numbered and spread, a block of numbers at a time
+    alike = sized.groupBy("doc_id", "size", "own").agg(F.count("*").alias("n"))
+    blocks = alike.withColumn("b", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")))
+    copies = blocks.withColumn("c", F.explode(F.expr(f"sequence(b * {COPIES}, least(n, (b + 1) * {COPIES}) - 1)")))
+    placed = copies.select("doc_id", "size", F.pmod(F.xxhash64("doc_id", "size", "own", "c"), F.lit(cells)).cast("int").alias("cell"))
     return placed.groupBy("cell").applyInPandas(
         fill, f"doc_id {kind}, piece int, n_pieces int, window_id bigint, start int, n_tokens int"
     )

@@ -29,3 +29,16 @@ def test_every_document_has_its_place(spark):
     spans = sorted((r["window_id"], r["start"], r["start"] + r["n_tokens"]) for r in rows if r["n_tokens"])
     assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:])) and max(s[2] for s in spans) <= 4096
     assert packing.windows(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_repeated_rows_are_spread_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 100)
+    monkeypatch.setattr(packing, "CELL_ITEMS", 500)
+    rows = [(1, "x" * 700)] * 3_000 + [(i, "y" * 50) for i in range(2, 1_000)] + [(None, "z")] * 250
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = packing.windows(documents)
+    assert placed.count() == len(rows) and placed.filter("doc_id = 1").count() == 3_000 and placed.filter("doc_id IS NULL").count() == 250
+    cells = [r["count"] for r in placed.filter("doc_id = 1").groupBy(packing.F.shiftrightunsigned("window_id", 32)).count().collect()]
+    assert len(cells) > 4 and max(cells) < 1_000
+    kept = packing.guarantees(placed, documents).first()
+    assert kept["n_overfull"] == kept["n_overlaps"] == kept["n_wrong_sizes"] == 0 and kept["n_documents"] == len(rows)
