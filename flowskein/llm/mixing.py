@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowskein.llm.packing import byte_tokens
+from flowskein.llm.packing import COPIES, byte_tokens
 
 #: Least and most slots of a cycle (more only where there are more sources); slots of the least weight; tokens of a block, about.
 SLOTS, MOST_SLOTS, LEAST_QUOTA, BLOCK_TOKENS = 1_000, 200_000, 2, 262_144
@@ -160,11 +160,16 @@ def mixture(documents: DataFrame, plan: list[Share], seed: int = 0) -> DataFrame
     )
     schedule = spark.createDataFrame(laid, "source string, __turn int, __slot int")
     rows = rows.join(sized(known.select("source"), len(live)), "source").withColumn("__b", F.shiftrightunsigned("__h", 48).bitwiseAND(2**bits - 1))
+    # repeated rows are one row with a number until they have their places
+    rows = rows.groupBy("source", "doc_id", "n_tokens", "__h", "__b").agg(F.count("*").alias("__m"))
+    weight = F.col("n_tokens") * F.col("__m")
     by_bucket = W.partitionBy("source").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # at most 2**16 rows a source
-    base = rows.groupBy("source", "__b").agg(F.sum("n_tokens").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(by_bucket), F.lit(0)))
+    base = rows.groupBy("source", "__b").agg(F.sum(weight).alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(by_bucket), F.lit(0)))
     inside = W.partitionBy("source", "__b").orderBy("__h", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     # the window has brought the rows to where this join wants them
-    placed = rows.withColumn("__in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base.select("source", "__b", "__base"), ["source", "__b"])
+    placed = rows.withColumn("__in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(base.select("source", "__b", "__base"), ["source", "__b"])
+    placed = placed.withColumn("__i", F.explode(F.expr(f"sequence(0L, (__m - 1) div {COPIES})")))
+    placed = placed.withColumn("__i", F.explode(F.expr(f"sequence(__i * {COPIES}, least(__m, (__i + 1) * {COPIES}) - 1)"))).withColumn("__in", F.col("__in") + F.col("__i") * F.col("n_tokens"))
     placed = placed.join(sized(known, len(live)), "source").withColumn("__at", F.col("__base") + F.col("__in"))
     times = F.ceil((F.col("__taken") - F.col("__at")) / F.greatest(F.col("__all"), F.lit(1))).cast("int")
     copies = placed.filter(F.col("__at") < F.col("__taken")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(times, F.lit(1)) - 1)))

@@ -86,3 +86,13 @@ def test_many_small_sources(spark, monkeypatch):
     targets = [("big", 0.7, 3), *((f"s{k}", 0.3 / 1_201, 4) for k in range(1_201))]
     worst, live = deviations(spark, docs, targets, monkeypatch, 50)
     assert live == 1_202 and worst < 1.0
+
+
+def test_repeated_rows_have_places_of_their_own(spark, monkeypatch):
+    docs = [(1, "x" * 10, "a")] * 900 + [(i, "y" * 10, "a") for i in range(2, 102)] + [(i, "z" * 10, "b") for i in range(200, 1_200)]
+    worst, live = deviations(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)], monkeypatch, 10)
+    assert live == 2 and worst < 1.0
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    plan = mixing.shares(documents, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int"))
+    mixed = mixing.mixture(documents, plan)
+    assert mixed.filter("doc_id = 1").count() == 900 and mixed.filter("doc_id = 1").select("position").distinct().count() == 900
