@@ -731,17 +731,16 @@ def describe_batch(profiles: Profiles, ids: list, cuts: list[list]) -> pd.DataFr
     return out
 
 
-def basic_statistics(documents: DataFrame, languages: tuple[str, ...] = ("en",)) -> DataFrame:
+def basic_statistics(documents: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """Counts of every document inside the JVM; null texts count as empty.
 
     Words are runs without white space, symbols what is neither letter, digit
     nor white space, lines those that are not blank. Shares of nothing are 0.
 
-    ``common_word_share`` is that of English function words, and a line ends
-    with an ASCII mark. With several ``languages`` (of ``LANGUAGES``) the share
-    is the best of theirs, an elided article (``l'``) counts as the word it
-    begins, Japanese is the share of particle kana among letters, and
-    full-width marks end a line too.
+    ``common_word_share`` is the best share of function words of the
+    ``languages``: an elided article (``l'``) counts as the word it begins, and
+    Japanese is the share of particle kana among letters. Full-width marks end
+    a line, too. With English alone only plain words and ASCII marks count.
     """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

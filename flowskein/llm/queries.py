@@ -107,21 +107,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basic text counts of every document; common words are English, ends of lines ASCII."""
+    """Basic text counts of every document, with the common words and ends of lines of all languages of the corpus."""
     return quality.basic_statistics(table(spark, sf_dir, "documents"))
 
 
-def p9_statistics_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p9_statistics, with the common words and ends of lines of all languages of the corpus."""
-    return quality.basic_statistics(table(spark, sf_dir, "documents"), quality.LANGUAGES)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         p4_found, p4_percentiles, p4_daily_combined, p4_rank_check, p7_found, p7_windows, p7_fill, p7_guarantees, p8_found, p8_mixture, p8_shares,
         p8_share_bounds,
-        p9_found, p9_profiles, p9_statistics, p9_statistics_languages,
+        p9_found, p9_profiles, p9_statistics,
     )
 }
 
@@ -150,17 +145,6 @@ SELECT count(*) AS n_documents, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT)
   CAST(0 AS BIGINT) AS n_wrong_sizes, true AS tight FROM documents""",
     "p9_statistics": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,
-  list_filter(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g')) <> '') AS l FROM d)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(l) AS BIGINT) AS n_lines,
-  coalesce(round(length(array_to_string(w, '')) / nullif(len(w), 0), 6), 0.0) AS mean_word_chars,
-  coalesce(round(length(regexp_replace(t, '[\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]', '', 'g')) / nullif(length(t), 0), 6), 0.0) AS symbol_share,
-  coalesce(round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,][ \\t\\n\\x0B\\f\\r]*$'))) / nullif(len(l), 0), 6), 0.0) AS ended_line_share,
-  coalesce(round(len(list_filter(w, lambda x: list_contains([%s], regexp_replace(lower(x), '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')))) / nullif(len(w), 0), 6), 0.0) AS common_word_share
-FROM s"""
-    % ", ".join(f"'{w}'" for w in sorted(quality.FUNCTION_WORDS["en"].split())),
-    "p9_statistics_languages": """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w,
   list_filter(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]', ' ', 'g')) <> '') AS l FROM d),
 b AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '^[^\\p{L}]+|[^\\p{L}]+$', '', 'g')) AS b FROM s)
