@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowskein.session import task_count
+
 #: Expected windows and items of a cell: what one task packs at a time.
 CELL_WINDOWS, CELL_ITEMS = 2_000, 40_000
 #: Repeats of one row that are numbered at a time.
@@ -176,7 +178,8 @@ def windows(documents: DataFrame, capacity: int = 4096, text: str = "text", key:
     blocks = alike.withColumn("b", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")))
     copies = blocks.withColumn("c", F.explode(F.expr(f"sequence(b * {COPIES}, least(n, (b + 1) * {COPIES}) - 1)")))
     placed = copies.select("doc_id", "size", F.pmod(F.xxhash64("doc_id", "size", "own", "c"), F.lit(cells)).cast("int").alias("cell"))
-    return placed.groupBy("cell").applyInPandas(
+    # a number of its own keeps cells apart that are small to shuffle and long to pack
+    return placed.repartition(min(cells, task_count(documents.sparkSession)), "cell").groupBy("cell").applyInPandas(
         fill, f"doc_id {kind}, piece int, n_pieces int, window_id bigint, start int, n_tokens int"
     )
 
