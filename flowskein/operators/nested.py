@@ -397,15 +397,16 @@ def node_summary(nodes: DataFrame) -> DataFrame:
 
     Links are checked without bringing nodes together: what the nodes of a path
     say of their labels and numbers of children, and what children say of their
-    parents' labels, are summed up as hashes of two seeds, which agree only if
+    parents' labels, are summed up as hashes of two halves, which agree only if
     every child's parent is there and has as many children as it says. Where
     they do not, ``n_lost`` is the difference in numbers, at least 1.
     """
-    hashes = lambda c: [F.pmod(F.xxhash64(F.lit(seed), "record_key", F.col(c)), F.lit(2**31)) for seed in (1, 2)]
+    hashes = lambda c: [F.shiftrightunsigned(c, 33), F.col(c).bitwiseAND(2**31 - 1)]
+    hashed = nodes.select("schema_path", "parent_path", "n_children", F.xxhash64("record_key", "label").alias("__own"), F.when(F.col("parent_label").isNotNull(), F.xxhash64("record_key", "parent_label")).alias("__up"))
     zero, one, n = F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.col("n_children")
-    own = F.struct(F.col("schema_path").alias("path"), one.alias("own"), n.alias("told"), zero.alias("met"), *((h * n).alias(f"h{i}") for i, h in enumerate(hashes("label"))))
-    up = F.struct(F.col("parent_path").alias("path"), zero.alias("own"), zero.alias("told"), one.alias("met"), *((-h).alias(f"h{i}") for i, h in enumerate(hashes("parent_label"))))
-    said = nodes.select(F.explode(F.when(F.col("parent_label").isNull(), F.array(own)).otherwise(F.array(own, up))).alias("e")).select("e.*")
+    own = F.struct(F.col("schema_path").alias("path"), one.alias("own"), n.alias("told"), zero.alias("met"), *((h * n).alias(f"h{i}") for i, h in enumerate(hashes("__own"))))
+    up = F.struct(F.col("parent_path").alias("path"), zero.alias("own"), zero.alias("told"), one.alias("met"), *((-h).alias(f"h{i}") for i, h in enumerate(hashes("__up"))))
+    said = hashed.select(F.explode(F.when(F.col("__up").isNull(), F.array(own)).otherwise(F.array(own, up))).alias("e")).select("e.*")
     summed = said.groupBy(F.col("path").alias("schema_path")).agg(*(F.sum(c).alias(c) for c in ("own", "told", "met", "h0", "h1")))
     lost = F.when((F.col("h0") == 0) & (F.col("h1") == 0) & (F.col("told") == F.col("met")), 0).otherwise(F.greatest(F.abs(F.col("told") - F.col("met")), F.lit(1)))
     return summed.select("schema_path", F.col("own").alias("n_nodes"), F.col("met").alias("n_children"), lost.cast("bigint").alias("n_lost"))
