@@ -430,7 +430,7 @@ def key_normalizers(spark, sf_dir):
     )
 
 
-@query("""SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS t0 FROM documents""".replace("list_filter(", "array_to_string(list_filter(").replace("AS t0", "AS t0").replace("lambda t: t <> '')", "lambda t: t <> ''), ' ')").replace("t0", "tokens"))
+@query("""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''), ' ') AS tokens FROM documents""")
 def search_tokens(spark, sf_dir):
     """Search tokens of every chunk."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(S.search_tokens(P.given(F.col("text"))), " ").alias("tokens"))
@@ -721,7 +721,7 @@ def _start(spark, sf_dir) -> DataFrame:
     return spawning.unionByName(spark.createDataFrame([(HUB,)], "node_id string")).distinct()
 
 
-@query(_WRC + _walks("wk", _START, 3) + """SELECT array_to_string(ns, ' > ') AS path, array_to_string(ks, chr(2)) AS key FROM lf ORDER BY key LIMIT 40""".replace("array_to_string(ks, chr(2)) AS key", "len(es) AS hops").replace("ORDER BY key", "ORDER BY array_to_string(ks, chr(2))"))
+@query(_WRC + _walks("wk", _START, 3) + "SELECT array_to_string(ns, ' > ') AS path, len(es) AS hops FROM lf ORDER BY array_to_string(ks, chr(2)) LIMIT 40")
 def chains_of_graph(spark, sf_dir):
     """The first forty flow chains from the hub and all spawning nodes, in depth-first order."""
     out = T.chains(_path_edges(spark, sf_dir), _start(spark, sf_dir), 3, 40)
