@@ -10,14 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowskein import model
 from flowskein.functions import normalize as N
 from flowskein.functions.predicates import given, is_browser_executed, is_relative_url, is_test_file, path_evidence
 from flowskein.operators.graph_store import latest
-from flowskein.session import materialize
+from flowskein.session import materialize, task_count
 
 SERVICE_POLICIES = ("keep", "skip", "same_service_only")
 UNMATCHED_POLICIES = ("unknown_edge", "ledger", "drop")
@@ -153,39 +152,77 @@ def _few(masks: DataFrame, most: int = 50_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def _wildcard_pairs(p: DataFrame, q: DataFrame) -> DataFrame:
-    """Segment-wise matches with ``*`` on either side, by equality of masked keys.
+def _wildcard_keys(p: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segment-wise matches with ``*`` on either side, as equality of masked keys.
 
     A pair matches if its keys are equal once the wildcard places of both are
     masked. Few sets of places occur for a method and length, so each key is
     masked once for each set that occurs on the other side, and the join is on
     the masked text: no method's keys are compared all with all. Pairs without a
-    literal place in common cannot pass the anchor rule and are never made.
+    literal place in common cannot pass the anchor rule and are never made; what
+    else that rule asks (``segments_match``) can be told from the masked key.
     """
     wild = lambda segs: F.filter(F.transform(segs, lambda s, i: F.when(s == "*", i).otherwise(-1)), lambda i: i >= 0)
     left = p.withColumn("__s", N.segments(F.col("tail"))).filter(F.exists("__s", lambda s: s != "*")).withColumn("__n", F.size("__s")).withColumn("__mp", wild(F.col("__s")))
     right = q.withColumn("__cs", N.segments(F.col("c_tail"))).withColumn("__n", F.size("__cs")).withColumn("__mc", wild(F.col("__cs"))).withColumn("head", F.col("c_head"))
     both = lambda: F.array_union("__mp", "__mc")
-    masked = lambda segs: F.array_join(F.transform(segs, lambda s, i: F.when(F.array_contains(both(), i), "*").otherwise(s)), "/")
+    masked = lambda segs: F.transform(segs, lambda s, i: F.when(F.array_contains(both(), i), "*").otherwise(s))
+    key = lambda segs: F.struct("head", "__n", "__mp", "__mc", F.array_join(masked(segs), "/").alias("s"))
     anchored = F.size(both()) < F.col("__n")
-    lk = left.join(_few(right.select("head", "__n", "__mc")), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__s")))
-    rk = right.join(_few(left.select("head", "__n", "__mp")), ["head", "__n"]).filter(anchored).withColumn("__key", masked(F.col("__cs")))
-    met = lk.join(rk, ["head", "__n", "__mp", "__mc", "__key"]).filter(N.segments_match(F.col("__s"), F.col("__cs")))
-    return met.select(*p.columns, *q.columns)
+    told = (F.size("__mp") == 0) | F.exists(masked(F.col("__s")), lambda s: (s != "*") & ~N.is_boilerplate(s))
+    lk = left.join(_few(right.select("head", "__n", "__mc")), ["head", "__n"]).filter(anchored & told).withColumn("__k", key(F.col("__s")))
+    rk = right.join(_few(left.select("head", "__n", "__mp")), ["head", "__n"]).filter(anchored).withColumn("__k", key(F.col("__cs")))
+    return lk.select(*p.columns, "__k"), rk.select(*q.columns, "__k")
 
 
-def _pairs(p: DataFrame, c: DataFrame, tier: str) -> DataFrame:
+def _keys(p: DataFrame, c: DataFrame, tier: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a tier with ``__k``: they pair where it is equal, each pair by one key."""
     q = c.select(*(F.col(n).alias(f"c_{n}") for n in ("id", "service", "raw", "norm", "head", "tail")))
     if tier == "exact":
-        joined = p.join(q, p["raw"] == q["c_raw"])
-    elif tier == "normalized":
-        joined = p.join(q, p["norm"] == q["c_norm"])
-    elif tier == "wildcard_anchored":
-        joined = _wildcard_pairs(p, q)
-    else:
-        is_open = lambda t: F.regexp_replace(t, r"[*#. ]", "") == ""
-        joined = p.join(q, (p["head"] == q["c_head"]) & (is_open(p["tail"]) | is_open(q["c_tail"])))
-    return joined.withColumn("tier", F.lit(tier)).withColumn("__t", F.lit(model.MATCH_TIERS.index(tier)))
+        return p.withColumn("__k", F.col("raw")), q.withColumn("__k", F.col("c_raw"))
+    if tier == "normalized":
+        return p.withColumn("__k", F.col("norm")), q.withColumn("__k", F.col("c_norm"))
+    if tier == "wildcard_anchored":
+        return _wildcard_keys(p, q)
+    # an open producer meets all consumers of its exchange, any other one those that are open
+    is_open = lambda t: F.regexp_replace(t, r"[*#. ]", "") == ""
+    kinds = F.when(is_open("c_tail"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    met = q.withColumn("__a", F.explode(kinds)).withColumn("__k", F.struct(F.col("c_head").alias("h"), F.col("__a").alias("a")))
+    return p.withColumn("__k", F.struct(F.col("head").alias("h"), is_open("tail").alias("a"))), met.drop("__a")
+
+
+def _judged(tried: DataFrame, c: DataFrame, rule: Rule) -> DataFrame:
+    """For each producer with hits (``id``, ``cand``) the order and tier that win, whether only its own service's hits count, and whether several services' do.
+
+    Hits are counted by key and service and never made: what is shuffled and
+    written grows with the sides, not with their pairs.
+    """
+    rows = None
+    for tier in rule.tiers:
+        p, q = _keys(tried, c, tier)
+        by = q.groupBy("__k", "c_service").agg(F.min("c_id").alias("__lo"), F.max("c_id").alias("__hi"))
+        of_key = by.groupBy("__k").agg(F.count("*").alias("__n"), F.min("c_service").alias("__first"), F.max("c_service").alias("__last"))
+        met = p.join(of_key, "__k").join(by.withColumnRenamed("c_service", "service"), ["__k", "service"], "left")
+        told = F.col("target") != ""
+        others = F.col("__n") - F.col("__lo").isNotNull().cast("int")
+        if rule.producer.target:
+            met = met.join(by.select("__k", F.col("c_service").alias("target"), F.lit(True).alias("__there")), ["__k", "target"], "left")
+            others = F.when(told, (F.col("__there").isNotNull() & (F.col("target") != F.col("service"))).cast("int")).otherwise(others)
+        # a node is no hit of its own
+        at_home = F.coalesce((F.col("__lo") != F.col("id")) | (F.col("__hi") != F.col("id")), F.lit(False)) & (~told | (F.col("target") == F.col("service")))
+        other = F.when(told, F.col("target")).when(F.col("__first") != F.col("service"), F.col("__first")).otherwise(F.col("__last"))
+        seen = met.select(
+            "id", "cand", "service", "local", "__try", F.lit(model.MATCH_TIERS.index(tier)).alias("__t"), other.alias("__one"),
+            (F.lit(False) if rule.same_service == "skip" else at_home).alias("__home"), (F.lit(0) if rule.same_service == "same_service_only" else others).alias("__others"),
+        ).filter("__home OR __others > 0")
+        rows = seen if rows is None else rows.unionByName(seen)
+    home, one = F.when(F.col("__home"), F.col("service")), F.when(F.col("__others") > 0, F.col("__one"))
+    tiers = rows.groupBy("id", "cand", "__try", "__t").agg(
+        F.max(F.col("local") & F.col("__home")).alias("own"), F.max(F.col("__others") > 1).alias("many"), F.min(F.least(home, one)).alias("lo"), F.max(F.greatest(home, one)).alias("hi")
+    )
+    best = tiers.groupBy("id", "cand").agg(F.min(F.struct("__try", "__t", "own", (F.col("many") | F.coalesce(F.col("lo") != F.col("hi"), F.lit(False))).alias("fan"))).alias("b"))
+    # what a browser asks of its own origin is its own service's, if that answers at all
+    return best.select("id", "cand", "b.__try", "b.__t", F.col("b.own").alias("__own"), (F.col("b.fan") & ~F.col("b.own")).alias("__fan"))
 
 
 @dataclass
@@ -202,40 +239,46 @@ def link(nodes: DataFrame, rule: Rule) -> Linked:
     exchange only; partial too when the targets lie in several services. Without
     nodes both are empty.
     """
-    # keys are made once and hits are found once: both are read several times below
+    # keys are made once: both sides are read several times below
     p, _ = materialize(_side(nodes, rule, rule.producer), f"{rule.kind}-producers")
     c, _ = materialize(_side(nodes, rule, rule.consumer), f"{rule.kind}-consumers")
+    several = all(side.filter("cand > 0").limit(1).count() for side in (p, c))
     p = deduped(p)
     tried = _with_methods(p) if rule.producer.key[0] == "method" else p.withColumn("__try", F.lit(0))
-    hits = None
-    for tier in rule.tiers:
-        pairs = _pairs(tried, c, tier).filter("id <> c_id")
-        hits = pairs if hits is None else hits.unionByName(pairs)
-    if rule.same_service != "keep":
-        same = F.col("service") == F.col("c_service")
-        hits = hits.filter(same if rule.same_service == "same_service_only" else ~same)
-    hits = hits.filter((F.col("target") == "") | (F.col("c_service") == F.col("target")))
-    # a producer's hits are judged where they lie, after one shuffle by producer
     one = ["id", "cand"]
-    own = W.partitionBy(*one)
-    order = F.struct("__try", "__t")
-    won = hits.withColumn("__best", F.min(order).over(own)).filter(order == F.col("__best"))
-    # what a browser asks of its own origin is its own service's, if that answers at all
-    at_home = F.col("local") & (F.col("c_service") == F.col("service"))
-    won = won.withColumn("__own", F.max(at_home).over(own)).filter(~F.col("__own") | (F.col("c_service") == F.col("service")))
-    won, _ = materialize(won.withColumn("__fan", F.min("c_service").over(own) != F.max("c_service").over(own)), f"{rule.kind}-hits")
+    won, _ = materialize(tried.join(_judged(tried, c, rule), [*one, "__try"]), f"{rule.kind}-won")
+    edges = None
+    for tier in rule.tiers:
+        pairs = _edges(won, c, rule, tier)
+        edges = pairs if edges is None else edges.unionByName(pairs)
+    # only candidates of both sides can pair twice
+    edges = edges.distinct() if several else edges
+    lost = p.join(won.select(*one).distinct(), one, "left_anti").select("id", "service", "file", "line", F.col("raw").alias("name"), F.lit(rule.kind).alias("kind"))
+    return Linked(edges, lost if rule.unmatched != "drop" else lost.limit(0))
+
+
+def _edges(won: DataFrame, c: DataFrame, rule: Rule, tier: str) -> DataFrame:
+    """Edges of the producers that a tier wins. Pairs are made by the last join and go straight on: neither sorted, shuffled nor written."""
     confidence = (
-        F.when(F.col("__fan") | (F.col("tier") == "exchange_only") | (F.col("ceiling") == "partial"), "partial")
-        .when((F.col("tier") == "exact") & (F.col("ceiling") == "") & (F.col("cand") == 0), "static")
+        F.when(F.col("__fan") | F.lit(tier == "exchange_only") | (F.col("ceiling") == "partial"), "partial")
+        .when(F.lit(tier == "exact") & (F.col("ceiling") == "") & (F.col("cand") == 0), "static")
         .otherwise("inferred")
     )
     weak = F.col("__fan") & (path_evidence(F.col("tail")) == "weak")
-    edges = won.filter(~weak).select(
+    mine = won.filter(F.col("__t") == model.MATCH_TIERS.index(tier)).filter(~weak).withColumn("confidence", confidence)
+    left, right = _keys(mine, c, tier)
+    left = left.select("__k", "id", "service", "target", "__own", "norm", "confidence").distinct()
+    right = right.select("__k", "c_id", "c_service").distinct()
+    tasks = task_count(won.sparkSession)  # by number, as what is small before the join is large after it
+    pairs = left.repartition(tasks, "__k").join(right.repartition(tasks, "__k"), "__k").filter("id <> c_id")
+    same = F.col("service") == F.col("c_service")
+    if rule.same_service != "keep":
+        pairs = pairs.filter(same if rule.same_service == "same_service_only" else ~same)
+    pairs = pairs.filter(((F.col("target") == "") | (F.col("c_service") == F.col("target"))) & (~F.col("__own") | same))
+    return pairs.select(
         F.concat(F.lit(rule.id_prefix + ":"), "id", F.lit("->"), "c_id").alias("id"), F.col("id").alias("src"), F.col("c_id").alias("dst"),
-        F.lit(rule.edge_type).alias("type"), F.col("norm").alias("label"), confidence.alias("confidence"), "tier",
-    ).distinct()
-    lost = p.join(won.select(*one).distinct(), one, "left_anti").select("id", "service", "file", "line", F.col("raw").alias("name"), F.lit(rule.kind).alias("kind"))
-    return Linked(edges, lost if rule.unmatched != "drop" else lost.limit(0))
+        F.lit(rule.edge_type).alias("type"), F.col("norm").alias("label"), "confidence", F.lit(tier).alias("tier"),
+    )
 
 
 def unknown_edges(lost: DataFrame, rule: Rule) -> DataFrame:
