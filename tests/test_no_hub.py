@@ -20,3 +20,7 @@ def hubless(spark, tmp_path_factory):
 
 def test_waypoint_route_is_empty(spark, hubless):
     assert inventory.waypoint_route(spark, hubless).collect() == []
+
+
+def test_flows_through_node_is_empty(spark, hubless):
+    assert inventory.flows_through_node(spark, hubless).collect() == []
