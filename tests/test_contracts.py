@@ -38,3 +38,10 @@ def test_pairs_are_never_written(spark, monkeypatch):
     assert len({r["id"] for r in edges}) == len(edges) == N * 2 * N
     assert {(r["confidence"], r["tier"], r["label"]) for r in edges} == {("partial", "normalized", "get /v/items")}
     assert most <= 2 * N + 1
+
+
+def test_unknown_edges_need_no_pairs(spark, monkeypatch):
+    rows = clients() + handlers("api") + [("c999", "http_client", "", "web", "a.go", 999, "go", {"method": "get", "path": "/none/such"})]
+    done, most = linked(spark, monkeypatch, rows, HTTP)
+    assert [(r["id"], r["dst"]) for r in contracts.unknown_edges(done.unmatched, HTTP).collect()] == [("link:c999->unresolved", "unresolved")]
+    assert most <= N + 1
