@@ -45,3 +45,12 @@ def test_unknown_edges_need_no_pairs(spark, monkeypatch):
     done, most = linked(spark, monkeypatch, rows, HTTP)
     assert [(r["id"], r["dst"]) for r in contracts.unknown_edges(done.unmatched, HTTP).collect()] == [("link:c999->unresolved", "unresolved")]
     assert most <= N + 1
+
+
+def test_told_targets(spark, monkeypatch):
+    told = [(i, *rest, meta | {"target_service": ("web", "api", "none", "")[k % 4]}) for k, (i, *rest, meta) in enumerate(clients())]
+    done, most = linked(spark, monkeypatch, told + handlers("api", "web"), HTTP)
+    got = {(int(r["src"][1:]) % 4, r["dst"].split("-")[1], r["confidence"]) for r in done.edges.collect()}
+    assert got == {(0, "web", "static"), (1, "api", "static"), (3, "web", "partial"), (3, "api", "partial")}
+    assert done.edges.count() == N // 4 * 4 * N and done.unmatched.count() == N // 4
+    assert most <= 2 * N
