@@ -54,3 +54,13 @@ def test_told_targets(spark, monkeypatch):
     assert got == {(0, "web", "static"), (1, "api", "static"), (3, "web", "partial"), (3, "api", "partial")}
     assert done.edges.count() == N // 4 * 4 * N and done.unmatched.count() == N // 4
     assert most <= 2 * N
+
+
+def test_exchanges(spark, monkeypatch):
+    p = [(f"p{i:03}", "channel", "", "web", "a.go", i, "go", {"exchange": "ex", "routing_key": "#" if i % 2 else "k.one"}) for i in range(N)]
+    c = [(f"q{i:03}", "channel", "", "api", "b.go", i, "go", {"exchange": "ex", "routing_key": "#" if i % 3 == 0 else "k.two", "role": "consumer"}) for i in range(N)]
+    done, most = linked(spark, monkeypatch, p + c, contracts.RULES[2])
+    got = sorted((r["src"], r["dst"], r["tier"]) for r in done.edges.collect())
+    open_p, open_c = lambda i: i % 2 == 1, lambda i: i % 3 == 0  # an open key equals an open key
+    want = [(f"p{i:03}", f"q{j:03}", "exact" if open_p(i) else "exchange_only") for i in range(N) for j in range(N) if open_c(j)]
+    assert got == sorted(want) and most <= N
