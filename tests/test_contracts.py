@@ -64,3 +64,10 @@ def test_exchanges(spark, monkeypatch):
     open_p, open_c = lambda i: i % 2 == 1, lambda i: i % 3 == 0  # an open key equals an open key
     want = [(f"p{i:03}", f"q{j:03}", "exact" if open_p(i) else "exchange_only") for i in range(N) for j in range(N) if open_c(j)]
     assert got == sorted(want) and most <= N
+
+
+def test_unmatched_of_own_services_only(spark, monkeypatch):
+    done, most = linked(spark, monkeypatch, clients() + handlers("api"), replace(HTTP, same_service="same_service_only"))
+    assert done.edges.count() == 0 and done.unmatched.count() == N
+    done, most = linked(spark, monkeypatch, clients() + handlers("api", "web"), HTTP)
+    assert done.unmatched.count() == 0 and most <= 2 * N
