@@ -71,3 +71,9 @@ def test_unmatched_of_own_services_only(spark, monkeypatch):
     assert done.edges.count() == 0 and done.unmatched.count() == N
     done, most = linked(spark, monkeypatch, clients() + handlers("api", "web"), HTTP)
     assert done.unmatched.count() == 0 and most <= 2 * N
+
+
+def test_other_services(spark, monkeypatch):
+    done, most = linked(spark, monkeypatch, clients() + handlers("api", "web"), replace(HTTP, same_service="skip"))
+    assert {(r["dst"].split("-")[1], r["confidence"]) for r in done.edges.collect()} == {("api", "static")} and done.edges.count() == N * N
+    assert most <= 2 * N
