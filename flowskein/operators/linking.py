@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -101,41 +102,26 @@ def similar_sets(left: DataFrame, right: DataFrame, least_shared: int = 2, least
         return keyed.select("id", "class"), keyed.groupBy("class").agg(F.any_value("items").alias("items"))
 
     (lm, lc), (rm, rc) = classes(left), classes(right)
-    freq = lc.select(F.explode("items").alias("item")).unionByName(rc.select(F.explode("items").alias("item"))).groupBy("item").agg(F.count("*").alias("n"))
-
-    def prefixes(cls: DataFrame, name: str) -> DataFrame:
-        ranked = cls.select("class", F.size("items").alias("size"), F.explode("items").alias("item")).join(freq, "item")
-        order = W.partitionBy("class").orderBy("n", "item")
-        # a pair as similar as asked shares one of the first size - ceil(t size) + 1 items of either side
-        keep = F.col("size") - F.ceil(F.lit(least_jaccard) * F.col("size") - 1e-9) + 1
-        kept = ranked.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= keep)
-        return kept.select(F.col("class").alias(name), "item", F.col("size").alias(f"{name}_size"))
-
-    # sets of sizes too far apart cannot be similar
-    near = prefixes(lc, "l").join(prefixes(rc, "r"), "item").filter(
-        (F.col("l_size") >= F.lit(least_jaccard) * F.col("r_size") - 1e-9) & (F.col("r_size") >= F.lit(least_jaccard) * F.col("l_size") - 1e-9)
-    ).select("l", "r").distinct()
-    pairs = near.join(lc.select(F.col("class").alias("l"), F.col("items").alias("a")), "l").join(rc.select(F.col("class").alias("r"), F.col("items").alias("b")), "r")
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = pairs.select("l", "r", shared.alias("shared"), (shared / (F.size("a") + F.size("b") - shared)).alias("jaccard"))
-    kept = scored.filter((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard - 1e-12))
-    return kept, lm, rm
-
-
-def similar_within(docs: DataFrame, by: str, least_shared: int = 2, least_jaccard: float = 0.8) -> DataFrame:
-    """Every row of ``docs`` (``id``, ``items``, ``by``) with its class, and how many other rows it links to, in all and within its ``by``.
-
-    As ``similar_sets``, with all rows on both sides; sets of fewer than
-    ``least_shared`` items have a class and no link, and a null ``by`` is ''. A
-    pair of classes is tried where the smaller one's prefix meets the larger
-    one's, if the items left there and the bits that differ allow the overlap.
+    of_both = lc.select("class", "items", F.lit(True).alias("a"), F.lit(False).alias("b")).unionByName(rc.select("class", "items", F.lit(False).alias("a"), F.lit(True).alias("b")))
+    known = of_both.groupBy("class").agg(F.any_value("items").alias("items"), F.max("a").alias("a"), F.max("b").alias("b"))
+    sets, _ = materialize(known.withColumn("set", F.monotonically_increasing_id()), "sets")
+    found, _ = materialize(_alike(sets, least_shared, least_jaccard, "a", "b"), "pairs")
+    named = lambda name, side: sets.filter(side).select(F.col("set").alias(name), F.col("class").alias(f"{name}_class"))
+    turned = found.select(F.col("r").alias("l"), F.col("l").alias("r"), "shared", "jaccard")
+    pairs = found.unionByName(turned).join(named("l", "a"), "l").join(named("r", "b"), "r").select(F.col("l_class").alias("l"), F.col("r_class").alias("r"), "shared", "jaccard")
+    itself = sets.filter("a AND b").select(F.col("class").alias("l"), F.col("class").alias("r"), F.size("items").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(itself), lm, rm
+
+
+def _alike(sets: DataFrame, least_shared: int, least_jaccard: float, one: str = "", other: str = "") -> DataFrame:
+    """Pairs (``l``, ``r``, ``shared``, ``jaccard``) of different sets (``set``, ``items``), each once, the smaller set first.
+
+    With ``one`` and ``other``, flags of the sets, only pairs of a set of either.
+    A pair is tried where the smaller one's prefix meets the larger one's, if the
+    items left there and the bits that differ allow the overlap.
     """
-    items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
-    keyed = docs.select("id", given(F.col(by)).alias(by), items.alias("items")).withColumn("class", F.sha2(F.array_join("items", "\u0001"), 256))
-    members, _ = materialize(keyed.filter(F.size("items") >= least_shared).groupBy("class", by).agg(F.count("*").alias("n"), F.any_value("items").alias("items")), "members")
-    sets, _ = materialize(members.groupBy("class").agg(F.any_value("items").alias("items")).withColumn("set", F.monotonically_increasing_id()), "sets")
-
-    each = sets.select("set", F.size("items").alias("size"), F.explode("items").alias("item"))
+    flags = [one, other] if one else []
+    each = sets.select("set", *flags, F.size("items").alias("size"), F.explode("items").alias("item"))
     words = [f"b{i}" for i in range(4)]
     bits = each.groupBy("set").agg(*(F.expr(f"bit_or(if(pmod(xxhash64(item), 256) div 64 = {i}, shiftleft(1L, cast(pmod(xxhash64(item), 64) AS int)), 0L))").alias(b) for i, b in enumerate(words)))
     freq = each.groupBy("item").agg(F.count("*").alias("n"))
@@ -144,7 +130,7 @@ def similar_within(docs: DataFrame, by: str, least_shared: int = 2, least_jaccar
 
     def prefixes(name: str, share: float) -> DataFrame:
         kept = placed.filter(F.col("at") <= F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1)
-        return kept.join(bits, "set").select("item", F.col("set").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "at", *words)))
+        return kept.join(bits, "set").select("item", F.col("set").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "at", *words, *flags)))
 
     # with the larger set an overlap takes at least 2t / (1 + t) of the smaller one, so its prefix is shorter
     total, least = F.col("l_size") + F.col("r_size"), F.ceil(F.lit(of_both) * (F.col("l_size") + F.col("r_size")) - 1e-9)
@@ -152,13 +138,35 @@ def similar_within(docs: DataFrame, by: str, least_shared: int = 2, least_jaccar
     ordered = (F.col("l_size") < F.col("r_size")) | ((F.col("l_size") == F.col("r_size")) & (F.col("l") < F.col("r")))
     left = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) + 1
     may = ordered & (F.col("l_size") >= F.lit(least_jaccard) * F.col("r_size") - 1e-9) & (left >= least) & (differ <= total - 2 * least)
-    near = prefixes("l", 2 * of_both).join(prefixes("r", least_jaccard), "item").filter(may).select("l", "r").distinct()
+    if one:
+        may = may & ((F.col(f"l_{one}") & F.col(f"r_{other}")) | (F.col(f"l_{other}") & F.col(f"r_{one}")))
+    # sizes in bands of the ratio that they may have: a smaller set lies in the larger one's band or the one below
+    band = lambda size: F.floor(F.log(F.col(size)) / F.lit(1e-6 - math.log(least_jaccard)))
+    smaller = prefixes("l", 2 * of_both).withColumn("__band", band("l_size"))
+    larger = prefixes("r", least_jaccard).withColumn("__band", F.explode(F.array(band("r_size") - 1, band("r_size"))))
+    near = smaller.join(larger, ["item", "__band"]).filter(may).select("l", "r").distinct()
 
     held = lambda name, alias: sets.select(F.col("set").alias(name), F.col("items").alias(alias))
     shared = F.size(F.array_intersect("a", "b"))
-    scored = near.join(held("l", "a"), "l").join(held("r", "b"), "r").withColumn("shared", shared)
-    alike = (F.col("shared") >= least_shared) & (F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")) >= least_jaccard - 1e-12)
-    pairs, _ = materialize(scored.filter(alike).select("l", "r"), "pairs")
+    made = near.join(held("l", "a"), "l").join(held("r", "b"), "r")
+    scored = made.select("l", "r", shared.alias("shared"), (shared / (F.size("a") + F.size("b") - shared)).alias("jaccard"))
+    return scored.filter((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard - 1e-12))
+
+
+def similar_within(docs: DataFrame, by: str, least_shared: int = 2, least_jaccard: float = 0.8) -> DataFrame:
+    """Every row of ``docs`` (``id``, ``items``, ``by``) with its class, and how many other rows it links to, in all and within its ``by``.
+
+    As ``similar_sets``, with all rows on both sides; sets of fewer than
+    ``least_shared`` items have a class and no link, and a null ``by`` is ''. A
+    pair of classes is tried where the smaller one's prefix meets the larger
+    one's, if the items left there and the bits that differ allow the overlap.
+    """
+    items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
+    keyed = docs.select("id", given(F.col(by)).alias(by), items.alias("items")).withColumn("class", F.sha2(F.array_join("items", "\u0001"), 256))
+    members, _ = materialize(keyed.filter(F.size("items") >= least_shared).groupBy("class", by).agg(F.count("*").alias("n"), F.any_value("items").alias("items")), "members")
+    sets, _ = materialize(members.groupBy("class").agg(F.any_value("items").alias("items")).withColumn("set", F.monotonically_increasing_id()), "sets")
+
+    pairs, _ = materialize(_alike(sets, least_shared, least_jaccard).select("l", "r"), "pairs")
     itself = sets.select(F.col("set").alias("l"), F.col("set").alias("r"))
     both = pairs.unionByName(pairs.select(F.col("r").alias("l"), F.col("l").alias("r"))).unionByName(itself)
 

@@ -166,3 +166,14 @@ def test_no_bound_on_links_lengths_levels_or_groups(spark, monkeypatch):
     parents = spark.createDataFrame([(f"C{i}", f"C{i + 1}") for i in range(40)], "class string, parent string")
     calls = spark.createDataFrame([("1", "C0", "m")], "id string, class string, name string")
     assert answers.inherited(calls, parents, spark.createDataFrame([("C40", "m", "x")], "class string, name string, method_id string")).first()["depth"] == 40
+
+
+def test_similar_sets_are_numbered(spark, monkeypatch):
+    """Sets of both sides are written once, by number, and so are the pairs that hold; one in both sides is its own pair."""
+    tried, materialize = [], linking.materialize
+    rows = lambda k: spark.createDataFrame([(f"{k}{i}", ["x", "y", *(f"{k}{i}-{j}" for j in range(2 + i % 3))]) for i in range(30)], "id string, items array<string>")
+    near = spark.createDataFrame([("n", ["x", "y", "l0-0", "l0-1"])], "id string, items array<string>")
+    monkeypatch.setattr(linking, "materialize", lambda df, name: tried.append(name) or materialize(df, name))
+    pairs, lm, rm = linking.similar_sets(rows("l"), rows("r").unionByName(near))
+    got = pairs.join(lm.withColumnsRenamed({"class": "l", "id": "a"}), "l").join(rm.withColumnsRenamed({"class": "r", "id": "b"}), "r").select("a", "b", "shared", "jaccard").collect()
+    assert [tuple(r) for r in got] == [("l0", "n", 4, 1.0)] and tried == ["sets", "pairs"]
