@@ -25,7 +25,7 @@ def test_current_edges_that_pass(spark):
     assert graph_store.current_edges_where(edges, "type = 'none'").count() == 0
 
 
-@pytest.mark.parametrize("name", ["contract_unknown_edges", "contract_targets", "contract_unmatched"])
+@pytest.mark.parametrize("name", ["contract_unknown_edges", "contract_targets", "contract_unmatched", "contract_other_services"])
 def test_no_other_edges_are_stored(spark, tmp_path, name):
     for t in ("nodes", "shared_nodes", "edges"):
         os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
