@@ -195,7 +195,7 @@ def handshakes(producers: DataFrame, consumers: DataFrame) -> DataFrame:
 def hinted(clients: DataFrame, links: DataFrame) -> DataFrame:
     """Target service of each client whose URL starts with a link's base URL; the longest base counts.
 
-    A URL is cut to every length that ``links`` (``base_url``, ``target``) holds,
+    A URL is cut, once for all its clients, to every length that ``links`` (``base_url``, ``target``) holds,
     so the join stays an equi-join; all links count, however many there are. The
     lengths come to the driver as one array, which has no more members than the
     longest base URL has characters. Of several targets of one base the last by
@@ -207,9 +207,9 @@ def hinted(clients: DataFrame, links: DataFrame) -> DataFrame:
         return clients.withColumn("target_service", F.lit(""))
     fit = F.filter(F.from_json(F.lit(json.dumps(lengths)), "array<int>"), lambda n: n <= F.length("url"))
     heads = F.explode(F.transform(fit, lambda n: F.substr("url", F.lit(1), n)))
-    met = clients.select("id", heads.alias("base_url")).join(known, "base_url")
-    best = met.groupBy("id").agg(F.max(F.struct(F.length("base_url").alias("n"), "target"))["target"].alias("target_service"))
-    return clients.join(best, "id", "left").withColumn("target_service", given(F.col("target_service")))
+    met = clients.select("url").distinct().select("url", heads.alias("base_url")).join(known, "base_url")
+    best = met.groupBy("url").agg(F.max(F.struct(F.length("base_url").alias("n"), "target"))["target"].alias("target_service"))
+    return clients.join(best, "url", "left").select(*clients.columns, given(F.col("target_service")).alias("target_service"))
 
 
 def shared_channels(rows: DataFrame) -> DataFrame:

@@ -177,3 +177,12 @@ def test_similar_sets_are_numbered(spark, monkeypatch):
     pairs, lm, rm = linking.similar_sets(rows("l"), rows("r").unionByName(near))
     got = pairs.join(lm.withColumnsRenamed({"class": "l", "id": "a"}), "l").join(rm.withColumnsRenamed({"class": "r", "id": "b"}), "r").select("a", "b", "shared", "jaccard").collect()
     assert [tuple(r) for r in got] == [("l0", "n", 4, 1.0)] and tried == ["sets", "pairs"]
+
+
+def test_hints_cut_each_url_once(spark):
+    """Clients of one URL are not exploded by the lengths of the bases; each client of an id has its own URL's target."""
+    links = spark.createDataFrame([("http://a.test" + "/x" * k, f"t{k}") for k in range(30)], "base_url string, target string")
+    rows = [(str(i), "http://a.test/x/x/y") for i in range(200)] + [("0", "http://b.test"), ("n", None)]
+    got = linking.hinted(spark.createDataFrame(rows, "id string, url string"), links)
+    assert got.columns == ["id", "url", "target_service"] and got.count() == len(rows)
+    assert {(r["url"], r["target_service"]) for r in got.collect()} == {("http://a.test/x/x/y", "t2"), ("http://b.test", ""), (None, "")}
