@@ -104,33 +104,47 @@ def similar_sets(left: DataFrame, right: DataFrame, least_shared: int = 2, least
     (lm, lc), (rm, rc) = classes(left), classes(right)
     of_both = lc.select("class", "items", F.lit(True).alias("a"), F.lit(False).alias("b")).unionByName(rc.select("class", "items", F.lit(False).alias("a"), F.lit(True).alias("b")))
     known = of_both.groupBy("class").agg(F.any_value("items").alias("items"), F.max("a").alias("a"), F.max("b").alias("b"))
-    sets, _ = materialize(known.withColumn("set", F.monotonically_increasing_id()), "sets")
+    sets, _ = materialize(_numbered(known), "sets")
     found, _ = materialize(_alike(sets, least_shared, least_jaccard, "a", "b"), "pairs")
     named = lambda name, side: sets.filter(side).select(F.col("set").alias(name), F.col("class").alias(f"{name}_class"))
     turned = found.select(F.col("r").alias("l"), F.col("l").alias("r"), "shared", "jaccard")
     pairs = found.unionByName(turned).join(named("l", "a"), "l").join(named("r", "b"), "r").select(F.col("l_class").alias("l"), F.col("r_class").alias("r"), "shared", "jaccard")
-    itself = sets.filter("a AND b").select(F.col("class").alias("l"), F.col("class").alias("r"), F.size("items").alias("shared"), F.lit(1.0).alias("jaccard"))
+    itself = sets.filter("a AND b").select(F.col("class").alias("l"), F.col("class").alias("r"), F.col("size").alias("shared"), F.lit(1.0).alias("jaccard"))
     return pairs.unionByName(itself), lm, rm
 
 
+_WORDS = [f"b{i}" for i in range(8)]
+
+
+def _numbered(sets: DataFrame) -> DataFrame:
+    """Sets (``class``, ``items``) with a number (``set``), ``size``, 512 bits, and ``nos`` for the items: their numbers, the rarest first.
+
+    What is brought together for a pair are numbers then, not words. Only this
+    plan's one write may be read, as it numbers by place.
+    """
+    key = F.unhex(F.substring("class", 1, 32)).alias("__k")
+    each = sets.select(key, F.explode("items").alias("item"))
+    freq = each.groupBy("item").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id())
+    bits = [F.expr(f"bit_or(if(pmod(xxhash64(no), 512) div 64 = {i}, shiftleft(1L, cast(pmod(xxhash64(no), 64) AS int)), 0L))").alias(b) for i, b in enumerate(_WORDS)]
+    nos = F.transform(F.array_sort(F.collect_list(F.struct("n", "no"))), lambda x: x["no"]).alias("nos")
+    of_key = each.join(freq, "item").groupBy("__k").agg(nos, *bits)
+    return sets.withColumn("size", F.size("items")).select(key, *(c for c in sets.columns if c != "items"), "size").join(of_key, "__k").drop("__k").withColumn("set", F.monotonically_increasing_id())
+
+
 def _alike(sets: DataFrame, least_shared: int, least_jaccard: float, one: str = "", other: str = "") -> DataFrame:
-    """Pairs (``l``, ``r``, ``shared``, ``jaccard``) of different sets (``set``, ``items``), each once, the smaller set first.
+    """Pairs (``l``, ``r``, ``shared``, ``jaccard``) of different sets, as of ``_numbered``, each once, the smaller set first.
 
     With ``one`` and ``other``, flags of the sets, only pairs of a set of either.
     A pair is tried where the smaller one's prefix meets the larger one's, if the
     items left there and the bits that differ allow the overlap.
     """
-    flags = [one, other] if one else []
-    each = sets.select("set", *flags, F.size("items").alias("size"), F.explode("items").alias("item"))
-    words = [f"b{i}" for i in range(4)]
-    bits = each.groupBy("set").agg(*(F.expr(f"bit_or(if(pmod(xxhash64(item), 256) div 64 = {i}, shiftleft(1L, cast(pmod(xxhash64(item), 64) AS int)), 0L))").alias(b) for i, b in enumerate(words)))
-    freq = each.groupBy("item").agg(F.count("*").alias("n"))
-    placed = each.join(freq, "item").withColumn("at", F.row_number().over(W.partitionBy("set").orderBy("n", "item")))
+    flags, words, numbered = [one, other] if one else [], _WORDS, sets
     of_both = least_jaccard / (1 + least_jaccard)
 
     def prefixes(name: str, share: float) -> DataFrame:
-        kept = placed.filter(F.col("at") <= F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1)
-        return kept.join(bits, "set").select("item", F.col("set").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "at", *words, *flags)))
+        length = (F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9) + 1).cast("int")
+        kept = numbered.select("*", F.posexplode(F.slice("nos", F.lit(1), length)).alias("pos", "item")).withColumn("at", F.col("pos") + 1)
+        return kept.select("item", F.col("set").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", "at", *words, *flags)))
 
     # with the larger set an overlap takes at least 2t / (1 + t) of the smaller one, so its prefix is shorter
     total, least = F.col("l_size") + F.col("r_size"), F.ceil(F.lit(of_both) * (F.col("l_size") + F.col("r_size")) - 1e-9)
@@ -146,7 +160,7 @@ def _alike(sets: DataFrame, least_shared: int, least_jaccard: float, one: str =
     larger = prefixes("r", least_jaccard).withColumn("__band", F.explode(F.array(band("r_size") - 1, band("r_size"))))
     near = smaller.join(larger, ["item", "__band"]).filter(may).select("l", "r").distinct()
 
-    held = lambda name, alias: sets.select(F.col("set").alias(name), F.col("items").alias(alias))
+    held = lambda name, alias: numbered.select(F.col("set").alias(name), F.col("nos").alias(alias))
     shared = F.size(F.array_intersect("a", "b"))
     made = near.join(held("l", "a"), "l").join(held("r", "b"), "r")
     scored = made.select("l", "r", shared.alias("shared"), (shared / (F.size("a") + F.size("b") - shared)).alias("jaccard"))
@@ -164,7 +178,7 @@ def similar_within(docs: DataFrame, by: str, least_shared: int = 2, least_jaccar
     items = F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))
     keyed = docs.select("id", given(F.col(by)).alias(by), items.alias("items")).withColumn("class", F.sha2(F.array_join("items", "\u0001"), 256))
     members, _ = materialize(keyed.filter(F.size("items") >= least_shared).groupBy("class", by).agg(F.count("*").alias("n"), F.any_value("items").alias("items")), "members")
-    sets, _ = materialize(members.groupBy("class").agg(F.any_value("items").alias("items")).withColumn("set", F.monotonically_increasing_id()), "sets")
+    sets, _ = materialize(_numbered(members.groupBy("class").agg(F.any_value("items").alias("items"))), "sets")
 
     pairs, _ = materialize(_alike(sets, least_shared, least_jaccard).select("l", "r"), "pairs")
     itself = sets.select(F.col("set").alias("l"), F.col("set").alias("r"))

@@ -186,3 +186,16 @@ def test_hints_cut_each_url_once(spark):
     got = linking.hinted(spark.createDataFrame(rows, "id string, url string"), links)
     assert got.columns == ["id", "url", "target_service"] and got.count() == len(rows)
     assert {(r["url"], r["target_service"]) for r in got.collect()} == {("http://a.test/x/x/y", "t2"), ("http://b.test", ""), (None, "")}
+
+
+def test_pairs_of_sets_are_compared_by_number(spark, monkeypatch):
+    """What is brought to a candidate pair are the numbers of its items, whatever the items' length."""
+    word = lambda k: f"{k:04}" + "x" * 200
+    sets = [(i, [word(k) for k in range(i % 5, 20 + i % 3)] + [word(100 + i)]) for i in range(12)]
+    docs = spark.createDataFrame([(str(i), items, "s") for i, items in sets], "id string, items array<string>, source string")
+    written, materialize = {}, linking.materialize
+    monkeypatch.setattr(linking, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    links = {int(r["id"]): r["n_links"] for r in linking.similar_within(docs, "source").collect()}
+    same = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert links == {i: sum(same(a, b) >= 0.8 - 1e-12 for j, b in sets if i != j) for i, a in sets}
+    assert "items" not in written["sets"][0].columns and dict(written["sets"][0].dtypes)["nos"] == "array<bigint>"
